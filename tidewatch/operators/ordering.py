@@ -1,12 +1,13 @@
 """Global order without a single task: prefix sums, ranks and cut keys.
 
-``small_table`` is the only place that puts a broadcast hint on a table, and it
-does so only after the table has proved to be below a row bound.
+Broadcast hints are set on tables from ``materialize`` only, that is after a
+table has proved to be below a row bound.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,16 +19,20 @@ BROADCAST_ROWS = 100_000
 HASH_DIGITS = 4  # 65,536 cells per stratum
 
 
-def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Evaluate a summary table once and mark it for broadcast if it is small.
+def materialize(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
+    """Evaluate a summary table once; ``(table, rows)`` if it is small.
 
     At most ``max_rows + 1`` rows reach the driver. A larger table comes back
-    as it was, without a hint, and joins by shuffle.
+    as it was with ``None``: it carries no hint and joins by shuffle.
     """
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+        return df, None
+    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), head.num_rows
+
+
+def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    return materialize(df, max_rows)[0]
 
 
 def running_totals(
@@ -83,14 +88,16 @@ def cut_keys(
     strata: list[str],
     row_id: str,
     seed: int,
-    targets,
+    targets: Callable[[Column], Column] | DataFrame,
     digits: int = HASH_DIGITS,
 ) -> DataFrame:
     """Find the order key at given ranks of every stratum without ranking its rows.
 
-    ``targets(total)`` maps the stratum size to an array of 1-based ranks. The
-    result has one row per (stratum, part): ``total``, ``part`` (position in the
-    array) and the key ``cut_hash``, ``cut_id`` of the row holding that rank.
+    ``targets`` gives 1-based ranks: a function from the stratum size to an
+    array of ranks, or a table ``(strata..., ranks)``. The result has one row
+    per (stratum, part): ``total``, ``part`` (position in the array) and the key
+    ``cut_hash``, ``cut_id`` of the row holding that rank.
+
     Rows are only counted per hash cell; the few cells holding a target are
     sorted. No class is ever gathered in one task.
     """
@@ -100,22 +107,44 @@ def cut_keys(
     cells = keyed.groupBy(*strata, "cell").agg(F.count(F.lit(1)).alias("n"))
     along = Window.partitionBy(*strata).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*strata)
+    placed = cells.select(
+        *strata, "cell", "n", F.sum("n").over(along).alias("upto"), F.sum("n").over(whole).alias("total")
+    )
+    if isinstance(targets, DataFrame):
+        placed = join_null_safe(placed, targets.select(*strata, "ranks"), strata)
+    else:
+        placed = placed.withColumn("ranks", targets(F.col("total")))
     hit = (
-        cells.select(*strata, "cell", "n", F.sum("n").over(along).alias("upto"), F.sum("n").over(whole).alias("total"))
-        .select("*", F.posexplode(targets(F.col("total"))).alias("part", "rank"))
+        placed.select("*", F.posexplode("ranks").alias("part", "rank"))
         .where((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
         .select(*strata, "cell", "total", "part", (F.col("rank") - F.col("upto") + F.col("n")).alias("residual"))
     )
-    hit = small_table(hit)
+    hit, rows = materialize(hit)
     wanted = hit.select(*strata, "cell").distinct()
+    if rows is not None:
+        wanted = F.broadcast(wanted)
     inside = Window.partitionBy(*strata, "cell").orderBy("cut_hash", "cut_id")
-    candidates = _semi(keyed, wanted, [*strata, "cell"]).withColumn("residual", F.row_number().over(inside))
+    candidates = join_null_safe(keyed, wanted, [*strata, "cell"], "left_semi").withColumn(
+        "residual", F.row_number().over(inside).cast("long")
+    )
     keys = [*strata, "cell", "residual"]
-    return join_null_safe(hit, candidates, keys).select(*strata, "total", "part", "cut_hash", "cut_id")
+    return join_null_safe(candidates, hit, keys).select(*strata, "total", "part", "cut_hash", "cut_id")
 
 
-def _semi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return join_null_safe(left, right, keys, "left_semi")
+def hash_rank(df: DataFrame, strata: list[str], row_id: str, seed: int, name: str = "rank", digits: int = HASH_DIGITS) -> DataFrame:
+    """Exact 1-based rank of every row in its stratum, in hash order.
+
+    Ranks are counted inside hash cells and shifted by the size of the cells
+    before, so a stratum is spread over up to ``16 ** digits`` tasks.
+    """
+    keyed = df.withColumn("__hash", hash_key(row_id, seed)).withColumn("__cell", F.substring("__hash", 1, digits))
+    cells = keyed.groupBy(*strata, "__cell").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*strata).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select(*strata, "__cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(*strata, "__cell").orderBy("__hash", row_id)
+    local = keyed.withColumn("__inner", F.row_number().over(inside).cast("long"))
+    out = join_null_safe(local, offsets, [*strata, "__cell"])
+    return out.select(*df.columns, (F.col("__inner") + F.col("__offset")).alias(name))
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

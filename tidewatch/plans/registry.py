@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 SECTIONS = (
-    "evaluation",
+    "evaluation", "labelling", "sampling",
 )
 
 
