@@ -8,7 +8,8 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 SECTIONS = (
-    "evaluation", "labelling", "sampling",
+    "evaluation", "labelling", "sampling", "profiling", "statistics", "columns",
+    "preparation", "joins", "ensembles",
 )
 
 
