@@ -113,10 +113,14 @@ def curve(
     df: DataFrame, by: list[str] = MODEL, anchors: list[float] | None = None, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Counts at or above each distinct score: tp, fp, with own pos and neg."""
-    table = score_table(df, by, anchors)
+    return curve_of(score_table(df, by, anchors), by, df.count(), rows_per_task)
+
+
+def curve_of(table: DataFrame, by: list[str], rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The curve of a score table ``(by..., proba, pos, neg)`` of at most ``rows`` rows."""
     totals = running_totals(
         table.withColumn("rank", F.lit(1).cast("long")), by, [F.col("proba").desc()], ["pos", "neg", "rank"],
-        rows=df.count(), rows_per_task=rows_per_task,
+        rows=rows, rows_per_task=rows_per_task,
     )
     return totals.select(
         *by, "proba", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), F.col("cum_rank").alias("rank")

@@ -38,13 +38,13 @@ def to_numeric(spark, sf):
 
 
 @query("prj5_to_numeric_adaptive", """
-WITH b AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS size_text, p_type FROM part),
+WITH b AS (SELECT p_partkey, CASE WHEN p_brand = 'Brand#2' THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS size_text, p_type FROM part),
 n AS (SELECT p_partkey, TRY_CAST(size_text AS DOUBLE) AS s, p_type FROM b),
 c AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part))
 SELECT p_partkey, coalesce(s, (SELECT median(s) FROM n)) AS size_text, code::DOUBLE AS p_type FROM n JOIN c USING (p_type)""")
 def adaptive(spark, sf):
     df = read_table(spark, sf, "part").select(
-        "p_partkey", F.when(F.col("p_partkey") % 4 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("size_text"), "p_type")
+        "p_partkey", F.when(F.col("p_brand") == "Brand#2", "n/a").otherwise(F.col("p_size").cast("string")).alias("size_text"), "p_type")
     return C.to_numeric_adaptive(df, ["size_text", "p_type"])
 
 
@@ -123,12 +123,12 @@ def within(spark, sf):
 
 
 @query("jn7_match_ranked", """
-WITH f AS (SELECT c_custkey AS rank, CASE WHEN c_custkey % 2 = 0 THEN ' ' || upper(c_name) ELSE c_name END AS feature FROM customer),
+WITH f AS (SELECT c_custkey AS rank, CASE WHEN c_mktsegment = 'MACHINERY' THEN ' ' || upper(c_name) ELSE c_name END AS feature FROM customer),
 h AS (SELECT c_name AS "column" FROM customer WHERE c_nationkey < 20)
 SELECT rank, feature, "column", "column" IS NOT NULL AS present FROM f LEFT JOIN h ON lower(trim(f.feature)) = lower(trim(h."column"))""")
 def match(spark, sf):
     df = read_table(spark, sf, "customer")
-    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), F.upper("c_name"))).otherwise(F.col("c_name"))
+    name = F.when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit(" "), F.upper("c_name"))).otherwise(F.col("c_name"))
     wanted = df.select(F.col("c_custkey").alias("rank"), name.alias("feature"))
     have = df.where("c_nationkey < 20").select(F.col("c_name").alias("column"))
     return C.match_ranked(wanted, have)

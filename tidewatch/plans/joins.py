@@ -24,18 +24,18 @@ def weights(spark, sf):
 def _predictions(spark, sf):
     """Predictions that miss some rows and repeat others."""
     p = event_scores_wide(spark, sf).select("row_id", F.col("s3").alias("proba"))
-    return p.where("row_id % 10 <> 3").unionByName(p.where("row_id % 100 = 7"))
+    return p.where("proba >= 0.1").unionByName(p.where("proba >= 0.9"))
 
 
-@query("jn2_align", f"""WITH {WIDE_SQL}, p AS (SELECT row_id, s3 AS proba FROM wide WHERE row_id % 10 <> 3 UNION ALL SELECT row_id, s3 FROM wide WHERE row_id % 100 = 7)
+@query("jn2_align", f"""WITH {WIDE_SQL}, p AS (SELECT row_id, s3 AS proba FROM wide WHERE s3 >= 0.1 UNION ALL SELECT row_id, s3 FROM wide WHERE s3 >= 0.9)
 SELECT p.row_id, proba, y FROM p JOIN wide USING (row_id)""")
 def align(spark, sf):
     return E.align(_predictions(spark, sf), event_scores_wide(spark, sf).select("row_id", "y"), "row_id")
 
 
-@query("jn2_align_report", """
-SELECT count(*) FILTER (event_id % 10 <> 3 AND event_id % 100 <> 7) AS matched, 0::BIGINT AS without_truth,
-       count(*) FILTER (event_id % 10 = 3) AS without_prediction, count(*) FILTER (event_id % 100 = 7) AS repeated FROM events""")
+@query("jn2_align_report", f"""WITH {WIDE_SQL}
+SELECT count(*) FILTER (s3 >= 0.1 AND s3 < 0.9) AS matched, 0::BIGINT AS without_truth,
+       count(*) FILTER (s3 < 0.1) AS without_prediction, count(*) FILTER (s3 >= 0.9) AS repeated FROM wide""")
 def align_report(spark, sf):
     return E.align_report(_predictions(spark, sf), event_scores_wide(spark, sf).select("row_id", "y"), "row_id")
 
