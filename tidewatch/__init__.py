@@ -1 +1,9 @@
 """Detection analytics on Spark: DataFrame in, DataFrame out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: nothing has to be
+# installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

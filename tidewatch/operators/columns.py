@@ -6,14 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidewatch.functions.expressions import col, margin_to_probability, nan_to_null, to_double
+from tidewatch.functions.expressions import col, margin_to_probability, nan_to_null, number, quoted, to_double
 from tidewatch.operators.labels import factorize_sorted
 
 # Label names looked for, in order, and the spellings of 0 and 1.
 LABEL_NAMES = ["label", "target", "class", "attack"]
 LABEL_NAMES_WIDE = ["Label", "label", "target", "Target", "Class", "class", "is_attack", "attack", "y", "Y"]
 BINARY_SPELLINGS = ["0", "1", "True", "False", "true", "false"]
-COLUMNS_PER_JOB = 60
 
 
 @dataclass(frozen=True)
@@ -84,7 +83,7 @@ def split_label(df: DataFrame, label: str, keep: list[str] = ()) -> tuple[DataFr
 
 
 def to_numeric(df: DataFrame, except_: list[str] = ()) -> DataFrame:
-    return df.select(*[col(c) if c in except_ else to_double(c).alias(c) for c in df.columns])
+    return df.selectExpr(*[quoted(c) if c in except_ else f"{number(c)} AS {quoted(c)}" for c in df.columns])
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -92,7 +91,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def numeric_share(df: DataFrame, names: list[str]) -> dict[str, float]:
-    row = df.agg(*[F.avg(to_double(c).isNotNull().cast("double")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    row = df.agg(*[F.expr(f"avg(double({number(c)} IS NOT NULL))") for c in names]).first()
     return {c: (row[i] or 0.0) for i, c in enumerate(names)}
 
 

@@ -15,7 +15,7 @@ LOW, HIGH = 0.001, 0.999
 
 def cells(df: DataFrame, names: list[str], label: str) -> DataFrame:
     """(feature, value, pos, neg, n): the one shuffle the whole scan reads from."""
-    long = stacked(df, names, [F.col(label).cast("long").alias("y")], text=True)
+    long = stacked(df, names, [F.col(label).cast("long").alias("y")], as_text=True)
     return label_cells(long).withColumn("n", F.col("pos") + F.col("neg"))
 
 

@@ -9,7 +9,7 @@ from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.functions.expressions import col, to_double
+from tidewatch.functions.expressions import col, number, quoted, real
 from tidewatch.operators.ordering import ROWS_PER_TASK, running_totals
 from tidewatch.operators.profiling import _chunks, per_column
 
@@ -39,7 +39,7 @@ def values_at_ranks(df: DataFrame, names: list[str], ranks, rows_per_task: int =
     """
     counts: dict[str, int] = {}
     for block in _chunks(names):
-        row = df.agg(*[F.count(to_double(c)).alias(f"c{i}") for i, c in enumerate(block)]).first()
+        row = df.agg(*[F.expr(f"count({number(c)})") for c in block]).first()
         counts.update({c: row[i] for i, c in enumerate(block)})
     wanted = {c: dict(enumerate(ranks(counts[c]))) for c in names if counts[c] > 0}
     if not any(wanted.values()):
@@ -58,12 +58,10 @@ def values_at_ranks(df: DataFrame, names: list[str], ranks, rows_per_task: int =
                 span = everything(span.feature, span.parts)
                 rows += counts[span.feature]
             spans.append(span)
-    stack = F.array(*[
-        F.struct(F.lit(i).alias("span"), F.when(
-            (to_double(s.feature) >= s.low) & (to_double(s.feature) <= s.high), to_double(s.feature)).alias("value"))
-        for i, s in enumerate(spans)
-    ])
-    table = df.select(F.inline(stack)).where(F.col("value").isNotNull()).groupBy("span", "value").agg(
+    inside = lambda s: number(s.feature) if s.high == -s.low == float("inf") else (
+        f"if({number(s.feature)} BETWEEN {real(s.low)} AND {real(s.high)}, {number(s.feature)}, NULL)")
+    stack = ", ".join(f"struct({i} AS span, {inside(s)} AS value)" for i, s in enumerate(spans))
+    table = df.selectExpr(f"inline(array({stack}))").where("value IS NOT NULL").groupBy("span", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
     placed = running_totals(table, ["span"], [F.col("value")], ["n"], rows=rows, rows_per_task=rows_per_task)
@@ -84,17 +82,15 @@ def _sketched_spans(df: DataFrame, wanted: dict, counts: dict):
             min(1.0, max(0.0, r / counts[c] + side)) for r in wanted[c].values() for side in (-SKETCH_MARGIN, SKETCH_MARGIN)
         ] for c in block}
         row = df.agg(*[
-            F.percentile_approx(to_double(c), probs[c], SKETCH_ACCURACY).alias(f"q{i}") for i, c in enumerate(block)
+            F.expr(f"percentile_approx({number(c)}, array({', '.join(map(real, probs[c]))}), {SKETCH_ACCURACY})") for c in block
         ]).first()
         spans = [
             _Span(c, row[i][2 * j], row[i][2 * j + 1], {p: r})
             for i, c in enumerate(block) for j, (p, r) in enumerate(wanted[c].items())
         ]
         sizes = df.agg(*[
-            F.struct(
-                F.count(F.when(to_double(s.feature) < s.low, 1)).alias("below"),
-                F.count(F.when(to_double(s.feature) <= s.high, 1)).alias("upto"),
-            ).alias(f"s{i}") for i, s in enumerate(spans)
+            F.expr(f"struct(count_if({number(s.feature)} < {real(s.low)}) AS below, count_if({number(s.feature)} <= {real(s.high)}) AS upto)")
+            for s in spans
         ]).first()
         for i, s in enumerate(spans):
             yield s, sizes[i].below, sizes[i].upto
@@ -114,7 +110,7 @@ class MedianImputer:
     dropped: list[str] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        filled = df.withColumns({c: F.coalesce(to_double(c), F.lit(v)) for c, v in self.values.items()})
+        filled = df.withColumns({c: F.expr(f"coalesce({number(c)}, {real(v)})") for c, v in self.values.items()})
         return filled.drop(*self.dropped)
 
 
@@ -131,11 +127,11 @@ class Scaler:
     std: dict[str, float]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: (to_double(c) - F.lit(m)) / F.lit(self.std[c] or 1.0) for c, m in self.mean.items()})
+        return df.withColumns({c: F.expr(f"({number(c)} - {real(m)}) / {real(self.std[c] or 1.0)}") for c, m in self.mean.items()})
 
 
 def fit_scale(df: DataFrame, names: list[str]) -> Scaler:
-    rows = per_column(df, names, lambda c: {"mean": F.avg(to_double(c)), "std": F.stddev_pop(to_double(c))}).collect()
+    rows = per_column(df, names, {"mean": "avg({x})", "std": "stddev_pop({x})"}).collect()
     known = [r for r in rows if r["mean"] is not None]
     return Scaler({r.feature: r["mean"] for r in known}, {r.feature: r["std"] for r in known})
 
@@ -183,10 +179,6 @@ def onehot_cells(model: PipelineModel, df: DataFrame, names: list[str], keep: li
     return out.select(*keep, F.explode(F.array(*per_row)).alias("cell")).where("cell IS NOT NULL").select(*keep, "cell.*")
 
 
-def _number(v: float) -> str:
-    return f"CAST('{v!r}' AS DOUBLE)"
-
-
 class TabularPreparation(Estimator):
     """Estimator: median fill and scaling of numbers, one-hot of categories, assembled.
 
@@ -204,8 +196,8 @@ class TabularPreparation(Estimator):
         scaler = fit_scale(imputer.transform(df), list(imputer.values))
         used = list(imputer.values)
         cleaned = [
-            f"(coalesce(nullif(try_cast(`{c}` AS DOUBLE), CAST('NaN' AS DOUBLE)), {_number(imputer.values[c])}) - {_number(scaler.mean[c])})"
-            f" / {_number(scaler.std[c] or 1.0)} AS `__num_{c}`" for c in used
+            f"(coalesce({number(c)}, {real(imputer.values[c])}) - {real(scaler.mean[c])}) / {real(scaler.std[c] or 1.0)} AS {quoted('__num_' + c)}"
+            for c in used
         ] + [f"coalesce(CAST(`{c}` AS STRING), 'missing') AS `{c}__cat`" for c in self.categorical]
         first = SQLTransformer(statement=f"SELECT *, {', '.join(cleaned)} FROM __THIS__")
         stages: list = [first]
@@ -234,7 +226,7 @@ def pca(df: DataFrame, names: list[str], k: int = 3, keep: list[str] = ()) -> tu
     The sign of a component makes its largest loading positive. Missing numbers
     are taken as zero before scaling.
     """
-    filled = df.withColumns({c: F.coalesce(to_double(c), F.lit(0.0)) for c in names})
+    filled = df.withColumns({c: F.expr(f"coalesce({number(c)}, CAST(0 AS DOUBLE))") for c in names})
     scaled = fit_scale(filled, names).transform(filled)
     vec = VectorAssembler(inputCols=names, outputCol="__v").transform(scaled).select(*keep, "__v")
     model = PCA(k=k, inputCol="__v", outputCol="__p").fit(vec)

@@ -12,64 +12,64 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.functions.expressions import col, nan_to_null, ratio, to_double
+from tidewatch.functions.expressions import col, nan_to_null, number, quoted, ratio, text
 from tidewatch.operators.ordering import small_table
 
 NEAR_ZERO_VARIANCE = 1e-12
 MAX_ZERO_SHARE = 0.9999
-COLUMNS_PER_JOB = 60
+COLUMNS_PER_JOB = 16
 
 
 def _chunks(names: list[str], size: int = COLUMNS_PER_JOB) -> list[list[str]]:
     return [names[i:i + size] for i in range(0, len(names), size)]
 
 
-def per_column(df: DataFrame, names: list[str], stats, by: list[str] = ()) -> DataFrame:
-    """One aggregate pass per block of columns, result in long form.
+def per_column(df: DataFrame, names: list[str], stats: dict[str, str], by: list[str] = (), raw: bool = False) -> DataFrame:
+    """Aggregates of many columns in one pass per block, result in long form.
 
-    ``stats(column_name)`` maps output names to aggregate expressions. Blocks
-    keep the generated code small enough to be compiled.
+    ``stats`` maps output names to SQL aggregates of ``{x}``, the column as a
+    number or, with ``raw``, as it is. Blocks keep the generated code small;
+    each reads only its own columns.
     """
     parts = []
     for block in _chunks(names):
         wide = df.groupBy(*by).agg(*[
-            F.struct(*[e.alias(k) for k, e in stats(c).items()]).alias(f"s{i}") for i, c in enumerate(block)
+            F.expr("struct(" + ", ".join(
+                f"{e.format(x=quoted(c) if raw else number(c))} AS {k}" for k, e in stats.items()) + f") AS s{i}")
+            for i, c in enumerate(block)
         ])
-        parts.append(wide.select(*by, F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("s")) for i, c in enumerate(block)
-        ]))).select(*by, "feature", "s.*"))
+        rows = ", ".join(f"struct({text(c)} AS feature, s{i} AS s)" for i, c in enumerate(block))
+        keys = [quoted(k) for k in by]
+        parts.append(wide.selectExpr(*keys, f"inline(array({rows}))").selectExpr(*keys, "feature", "s.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def stacked(df: DataFrame, names: list[str], keep: list[Column] = (), text: bool = False) -> DataFrame:
+def stacked(df: DataFrame, names: list[str], keep: list[Column | str] = (), as_text: bool = False) -> DataFrame:
     """Long form ``(keep..., feature, value)``."""
-    value = (lambda c: col(c).cast("string")) if text else to_double
-    return df.select(*keep, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in names
-    ])))
+    value = (lambda c: f"CAST({quoted(c)} AS STRING)") if as_text else number
+    rows = ", ".join(f"struct({text(c)} AS feature, {value(c)} AS value)" for c in names)
+    return df.select(*keep, F.expr(f"inline(array({rows}))"))
 
 
-def value_counts(df: DataFrame, names: list[str], text: bool = True) -> DataFrame:
-    return stacked(df, names, text=text).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, names: list[str], as_text: bool = True) -> DataFrame:
+    return stacked(df, names, as_text=as_text).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _moments(c: str) -> dict[str, Column]:
-    x = to_double(c)
-    return {
-        "rows": F.count(F.lit(1)), "n": F.count(x), "variance": F.var_pop(x),
-        "zeros": F.coalesce(F.sum((x == 0).cast("long")), F.lit(0)),
-    }
+# Aggregates behind a column profile.
+MOMENTS = {
+    "rows": "count(1)", "n": "count({x})", "variance": "var_pop({x})", "zeros": "count_if(coalesce({x} = 0, false))",
+}
 
 
 def profile(df: DataFrame, names: list[str]) -> DataFrame:
     """Variance, distinct values, share of nulls and of zeros; one row per column."""
     base = profile_fast(df, names)
-    distinct = value_counts(df, names, text=False).groupBy("feature").agg(F.count("value").alias("n_unique"))
+    distinct = value_counts(df, names, as_text=False).groupBy("feature").agg(F.count("value").alias("n_unique"))
     return base.join(distinct, "feature").select("feature", "variance", "n_unique", "pct_nan", "pct_zero")
 
 
 def profile_fast(df: DataFrame, names: list[str]) -> DataFrame:
-    m = per_column(df, names, _moments)
+    m = per_column(df, names, MOMENTS)
     return m.select(
         "feature", "variance", ratio(F.col("rows") - F.col("n"), F.col("rows")).alias("pct_nan"),
         ratio(F.col("zeros"), F.col("rows")).alias("pct_zero"),
@@ -169,7 +169,7 @@ def fold_summary(df: DataFrame, by: list[str], value: str = "value") -> DataFram
 
 
 def missing(df: DataFrame, names: list[str], n: int = 10) -> DataFrame:
-    gone = per_column(df, names, lambda c: {"n_missing": F.count(F.when(col(c).isNull(), 1)), "rows": F.count(F.lit(1))})
+    gone = per_column(df, names, {"n_missing": "count_if({x} IS NULL)", "rows": "count(1)"}, raw=True)
     return gone.select("feature", "n_missing", ratio(F.col("n_missing"), F.col("rows")).alias("pct_missing")).orderBy(
         F.col("n_missing").desc(), "feature"
     ).limit(n)
@@ -178,7 +178,7 @@ def missing(df: DataFrame, names: list[str], n: int = 10) -> DataFrame:
 # ---- histograms ---------------------------------------------------------------------
 
 def _binned(df: DataFrame, names: list[str], bins: int, keep: list[Column] = ()) -> DataFrame:
-    limits = small_table(per_column(df, names, lambda c: {"lo": F.min(to_double(c)), "hi": F.max(to_double(c))}))
+    limits = small_table(per_column(df, names, {"lo": "min({x})", "hi": "max({x})"}))
     flat = F.col("lo") == F.col("hi")
     limits = limits.select(
         "feature", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.functions.expressions import margin_to_probability
+from tidewatch.functions.expressions import margin_to_probability, quoted
 from tidewatch.operators import scores as S
 from tidewatch.operators.ensembles import compare_metrics
 from tidewatch.sources.bundles import Bundle, promote
@@ -26,17 +26,13 @@ def positive_probability(df: DataFrame, positive_index: int = 1) -> DataFrame:
     raise ValueError("the model gives neither probability nor margin")
 
 
-SCORER_COLUMNS = ["features", "probability", "rawPrediction", "prediction", "margin"]
-
-
 def predict(bundle: Bundle, df: DataFrame) -> DataFrame:
     """Input columns with ``proba`` and ``pred``."""
     missing = [c for c in bundle.columns if c not in df.columns]
     if missing:
         raise ValueError(f"{bundle.name}: columns {missing} are missing")
     scored = positive_probability(bundle.model.transform(df), bundle.positive_index)
-    keep = df.columns + ["proba"]
-    return S.apply_threshold(scored.select(*[F.col(f"`{c}`") for c in keep]), bundle.threshold)
+    return S.apply_threshold(scored.selectExpr(*map(quoted, df.columns + ["proba"])), bundle.threshold)
 
 
 def predict_report(bundle: Bundle, df: DataFrame, label: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,23 +9,21 @@ from pyspark.ml.stat import Correlation
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.functions.expressions import ratio, to_double, xlogx
+from tidewatch.functions.expressions import number, ratio, real, text, xlogx
 from tidewatch.operators.ordering import ROWS_PER_TASK
 from tidewatch.operators.profiling import per_column, stacked
 
 PAIRS_PER_JOB = 200
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Null for constants; the built-in function raises on them under ANSI."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+def _pearson(x: str, y: str) -> str:
+    """Pairwise complete; null for constants, where the built-in function raises under ANSI."""
+    a, b = f"if({y} IS NULL, NULL, {x})", f"if({x} IS NULL, NULL, {y})"
+    return f"try_divide(covar_pop({a}, {b}), stddev_pop({a}) * stddev_pop({b}))"
 
 
 def pearson(df: DataFrame, names: list[str], label: str) -> DataFrame:
-    y = to_double(label)
-    return per_column(df, names, lambda c: {"correlation": _pearson(to_double(c), y)})
+    return per_column(df, names, {"correlation": _pearson("{x}", number(label))})
 
 
 def corr_pairs(df: DataFrame, names: list[str], n: int | None = 20) -> DataFrame:
@@ -38,11 +36,10 @@ def corr_pairs(df: DataFrame, names: list[str], n: int | None = 20) -> DataFrame
     parts = []
     for i in range(0, len(pairs), PAIRS_PER_JOB):
         block = pairs[i:i + PAIRS_PER_JOB]
-        wide = df.agg(*[_pearson(to_double(a), to_double(b)).alias(f"p{j}") for j, (a, b) in enumerate(block)])
-        parts.append(wide.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"p{j}").alias("correlation"))
-            for j, (a, b) in enumerate(block)
-        ]))))
+        wide = df.agg(*[F.expr(f"{_pearson(number(a), number(b))} AS p{j}") for j, (a, b) in enumerate(block)])
+        rows = ", ".join(
+            f"struct({text(a)} AS left, {text(b)} AS right, p{j} AS correlation)" for j, (a, b) in enumerate(block))
+        parts.append(wide.selectExpr(f"inline(array({rows}))"))
     out = reduce(DataFrame.unionByName, parts).where(F.col("correlation").isNotNull())
     ranked = out.orderBy(F.abs(F.round("correlation", 9)).desc(), "left", "right")
     return ranked if n is None else ranked.limit(n)
@@ -88,7 +85,7 @@ def mutual_info(df: DataFrame, names: list[str], label: str, bins: int | None =
     """
     y = F.col(label).cast("long").alias("y")
     if bins is None:
-        long = stacked(df, names, [y], text=True)
+        long = stacked(df, names, [y], as_text=True)
     else:
         long = quantile_bins(df, names, bins, [y], rows_per_task).select("y", "feature", F.col("bin").alias("value"))
     return mutual_info_from_counts(label_cells(long))
@@ -98,21 +95,17 @@ def quantile_bins(df: DataFrame, names: list[str], bins: int, keep: list[Column]
     """Long form with ``bin``: how many quantile cuts of the column are at or below the value."""
     from tidewatch.operators.preparation import values_at_ranks
     cuts = values_at_ranks(df, names, lambda n: [-(-i * n // bins) for i in range(1, bins)], rows_per_task)
-    # One literal array of at most ``bins - 1`` numbers per column.
-    value = lambda c: to_double(c)
-    bin_of = lambda c: F.when(value(c).isNotNull(), sum(
-        [(value(c) >= F.lit(v)).cast("int") for v in cuts.get(c, [])], F.lit(0)))
-    return df.select(*keep, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bin")) for c in names
-    ])))
+    # At most ``bins - 1`` numbers per column go into the expression.
+    above = lambda c: " + ".join(["0"] + [f"int({number(c)} >= {real(v)})" for v in cuts.get(c, [])])
+    rows = ", ".join(
+        f"struct({text(c)} AS feature, if({number(c)} IS NULL, NULL, {above(c)}) AS bin)" for c in names)
+    return df.select(*keep, F.expr(f"inline(array({rows}))"))
 
 
 def anova_f(df: DataFrame, names: list[str], label: str) -> DataFrame:
     """F statistic of each column against the classes; null where it is undefined."""
-    x = lambda c: to_double(c)
     per_class = per_column(
-        df.where(F.col(label).isNotNull()), names,
-        lambda c: {"n": F.count(x(c)), "mean": F.avg(x(c)), "var": F.var_pop(x(c))}, [label],
+        df.where(F.col(label).isNotNull()), names, {"n": "count({x})", "mean": "avg({x})", "var": "var_pop({x})"}, [label],
     ).where(F.col("n") > 0)
     n, mean = F.col("n").cast("double"), F.col("mean")
     together = Window.partitionBy("feature")

@@ -71,7 +71,7 @@ grid AS (SELECT i, CASE WHEN i = {points - 1} THEN {stop}::DOUBLE
 def embedding_columns(spark: SparkSession, sf: str, n: int = 64) -> DataFrame:
     """Embeddings as one column per dimension: ``vec_id, label, f0 ... f63``."""
     df = read_table(spark, sf, "embeddings")
-    return df.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(n)])
+    return df.selectExpr("vec_id", "label", *[f"CAST(embedding[{i}] AS DOUBLE) AS f{i}" for i in range(n)])
 
 
 LINEITEM_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

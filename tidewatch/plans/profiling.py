@@ -11,10 +11,16 @@ from tidewatch.sources.tables import read_table
 
 rnd = lambda c, n=6: F.round(c, n).alias(c)
 # Constant, all-zero and sparse columns are planted next to the real ones.
-PLANTED = {
-    "zero": F.lit(0.0), "three": F.lit(3.0), "rare": F.when(F.col("l_orderkey") == 17, 1.0).otherwise(0.0),
-    "gaps": F.when(F.col("l_linenumber") > 3, F.col("l_quantity")),
-}
+PLANTED = ["zero", "three", "rare", "gaps"]
+
+
+def planted():
+    return {
+        "zero": F.lit(0.0), "three": F.lit(3.0), "rare": F.when(F.col("l_orderkey") == 17, 1.0).otherwise(0.0),
+        "gaps": F.when(F.col("l_linenumber") > 3, F.col("l_quantity")),
+    }
+
+
 PROFILE_COLUMNS = LINEITEM_NUMERIC + ["l_linenumber", *PLANTED]
 PROFILE_BASE_SQL = """
 base AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber::DOUBLE AS l_linenumber, 0::DOUBLE AS zero, 3::DOUBLE AS three,
@@ -26,7 +32,7 @@ prof AS (""" + " UNION ALL ".join(f"""
 
 
 def _lineitem(spark, sf):
-    return read_table(spark, sf, "lineitem").withColumns(PLANTED)
+    return read_table(spark, sf, "lineitem").withColumns(planted())
 
 
 def _profile(spark, sf):
