@@ -42,19 +42,28 @@ def running_totals(
     sums: list[str],
     rows: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    totals: bool = False,
+    leads: list[str] = (),
 ) -> DataFrame:
     """Add ``cum_<c>``: the inclusive prefix sum of ``c`` within ``by``.
 
-    ``order`` must be unique within ``by``. When ``rows`` (an upper bound of the
-    row count) exceeds one task's share the rows are range-partitioned, the
-    ranges are checkpointed so that they cannot shift between passes, and the
-    prefix sums are put together from range totals and sums inside each range.
+    ``totals`` also adds ``all_<c>``, the whole sum, and ``leads`` adds
+    ``next_<c>``, the value of the next row. ``order`` must be unique within
+    ``by``. When ``rows`` (an upper bound of the row count) exceeds one task's
+    share the rows are range-partitioned, the ranges are checkpointed so that
+    they cannot shift between passes, and the results are put together from
+    range totals and sums inside each range.
     """
     if rows is None:
         rows = df.count()
     if rows <= rows_per_task:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in sums])
+        w = Window.partitionBy(*by).orderBy(*order)
+        upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+        return df.select(
+            "*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in sums],
+            *[F.lead(c).over(w).alias(f"next_{c}") for c in leads],
+            *([F.sum(c).over(whole).alias(f"all_{c}") for c in sums] if totals else []),
+        )
 
     ready_to_checkpoint(df.sparkSession)
     parts = math.ceil(rows / rows_per_task)
@@ -63,16 +72,26 @@ def running_totals(
         .withColumn("range_id", F.spark_partition_id())
         .checkpoint()
     )
-    totals = ranged.groupBy(*by, "range_id").agg(*[F.sum(c).alias(f"base_{c}") for c in sums])
-    before = Window.partitionBy(*by).orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(
-        *by, "range_id", *[F.coalesce(F.sum(f"base_{c}").over(before), F.lit(0)).alias(f"base_{c}") for c in sums]
+    inside = Window.partitionBy(*by, "range_id").orderBy(*order)
+    across = Window.partitionBy(*by).orderBy("range_id")
+    before, whole = across.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    bases = ranged.groupBy(*by, "range_id").agg(*[F.sum(c).alias(f"sum_{c}") for c in sums])
+    if leads:
+        heads = ranged.withColumn("__place", F.row_number().over(inside)).where("__place = 1")
+        bases = join_null_safe(
+            bases, heads.select(*by, "range_id", *[F.col(c).alias(f"head_{c}") for c in leads]), [*by, "range_id"])
+    bases = bases.select(
+        *by, "range_id", *[F.coalesce(F.sum(f"sum_{c}").over(before), F.lit(0)).alias(f"base_{c}") for c in sums],
+        *[F.lead(f"head_{c}").over(across).alias(f"head_{c}") for c in leads],
+        *([F.sum(f"sum_{c}").over(whole).alias(f"all_{c}") for c in sums] if totals else []),
     )
-    inside = Window.partitionBy(*by, "range_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(c).over(inside).alias(f"cum_{c}") for c in sums])
-    out = local.join(bases, [*by, "range_id"])
-    return out.select(
-        *df.columns, *[(F.col(f"cum_{c}") + F.col(f"base_{c}")).alias(f"cum_{c}") for c in sums]
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select(
+        "*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in sums], *[F.lead(c).over(inside).alias(f"next_{c}") for c in leads])
+    return join_null_safe(local, bases, [*by, "range_id"]).select(
+        *df.columns, *[(F.col(f"cum_{c}") + F.col(f"base_{c}")).alias(f"cum_{c}") for c in sums],
+        *[F.coalesce(f"next_{c}", f"head_{c}").alias(f"next_{c}") for c in leads],
+        *([F.col(f"all_{c}") for c in sums] if totals else []),
     )
 
 

@@ -24,22 +24,25 @@ def _chunks(names: list[str], size: int = COLUMNS_PER_JOB) -> list[list[str]]:
     return [names[i:i + size] for i in range(0, len(names), size)]
 
 
-def per_column(df: DataFrame, names: list[str], stats: dict[str, str], by: list[str] = (), raw: bool = False) -> DataFrame:
+def per_column(
+    df: DataFrame, names: list[str], stats: dict[str, str], by: list[str] = (), raw: bool = False, shared: list[str] = ()
+) -> DataFrame:
     """Aggregates of many columns in one pass per block, result in long form.
 
     ``stats`` maps output names to SQL aggregates of ``{x}``, the column as a
-    number or, with ``raw``, as it is. Blocks keep the generated code small;
-    each reads only its own columns.
+    number or, with ``raw``, as it is; ``shared`` adds SQL columns the
+    aggregates also need. Blocks keep the generated code small; each reads only
+    its own columns, and each column is converted once per row.
     """
     parts = []
+    keys = [quoted(k) for k in by]
     for block in _chunks(names):
-        wide = df.groupBy(*by).agg(*[
-            F.expr("struct(" + ", ".join(
-                f"{e.format(x=quoted(c) if raw else number(c))} AS {k}" for k, e in stats.items()) + f") AS s{i}")
-            for i, c in enumerate(block)
+        base = df.selectExpr(*keys, *shared, *[f"{quoted(c) if raw else number(c)} AS __x{i}" for i, c in enumerate(block)])
+        wide = base.groupBy(*by).agg(*[
+            F.expr("struct(" + ", ".join(f"{e.format(x=f'__x{i}')} AS {k}" for k, e in stats.items()) + f") AS s{i}")
+            for i in range(len(block))
         ])
         rows = ", ".join(f"struct({text(c)} AS feature, s{i} AS s)" for i, c in enumerate(block))
-        keys = [quoted(k) for k in by]
         parts.append(wide.selectExpr(*keys, f"inline(array({rows}))").selectExpr(*keys, "feature", "s.*"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -18,8 +18,10 @@ from tidewatch.operators.ordering import ROWS_PER_TASK, running_totals
 MODEL = ["model_id"]
 
 
-def _clean(df: DataFrame, by: list[str]) -> DataFrame:
-    out = df.select(*by, nan_to_null(F.col("proba").cast("double")).alias("proba"), F.col("y").cast("long").alias("y"))
+def _clean(df: DataFrame, by: list[str], *extra: Column) -> DataFrame:
+    out = df.select(
+        *by, nan_to_null(F.col("proba").cast("double")).alias("proba"), F.col("y").cast("long").alias("y"),
+        *[e.alias(f"__s{i}") for i, e in enumerate(extra)])
     return out.where(F.col("proba").isNotNull() & F.col("y").isNotNull())
 
 
@@ -91,39 +93,36 @@ def macro_f1(df: DataFrame, by: list[str], pred: str = "pred", y: str = "y") ->
 
 # ---- score table and curves ---------------------------------------------------------
 
-def score_table(df: DataFrame, by: list[str] = MODEL, anchors: list[float] | None = None) -> DataFrame:
-    """Positives and negatives at each distinct score; anchors add empty rows."""
-    counts = _clean(df, by).groupBy(*by, "proba").agg(
-        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
+def score_table(df: DataFrame, by: list[str] = MODEL, **sums: Column) -> DataFrame:
+    """Positives and negatives at each distinct score, and further sums if asked."""
+    return _clean(df, by, *sums.values()).groupBy(*by, "proba").agg(
+        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), *[F.sum(f"__s{i}").alias(n) for i, n in enumerate(sums)]
     )
-    if anchors is None:
-        return counts
-    marks = counts.select(*by).distinct().select(*by, F.explode(F.array(*[F.lit(float(a)) for a in anchors])).alias("proba"))
-    zero = F.lit(0).cast("long")
-    both = counts.unionByName(marks.withColumns({"pos": zero, "neg": zero}))
-    return both.groupBy(*by, "proba").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def candidate_thresholds(df: DataFrame, by: list[str] = MODEL) -> DataFrame:
     """Distinct scores together with 0 and 1."""
-    return score_table(df, by, [0.0, 1.0]).select(*by, F.col("proba").alias("threshold"))
+    values = F.array("proba", F.lit(0.0), F.lit(1.0))
+    return _clean(df, by).select(*by, F.explode(values).alias("threshold")).distinct()
 
 
-def curve(
-    df: DataFrame, by: list[str] = MODEL, anchors: list[float] | None = None, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Counts at or above each distinct score: tp, fp, with own pos and neg."""
-    return curve_of(score_table(df, by, anchors), by, df.count(), rows_per_task)
+def curve(df: DataFrame, by: list[str] = MODEL, rows_per_task: int = ROWS_PER_TASK, leads: bool = False) -> DataFrame:
+    """Counts at or above each distinct score: tp, fp, with own pos and neg and the class totals."""
+    return curve_of(score_table(df, by), by, df.count(), rows_per_task, leads)
 
 
-def curve_of(table: DataFrame, by: list[str], rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def curve_of(
+    table: DataFrame, by: list[str], rows: int | None = None, rows_per_task: int = ROWS_PER_TASK, leads: bool = False
+) -> DataFrame:
     """The curve of a score table ``(by..., proba, pos, neg)`` of at most ``rows`` rows."""
     totals = running_totals(
         table.withColumn("rank", F.lit(1).cast("long")), by, [F.col("proba").desc()], ["pos", "neg", "rank"],
-        rows=rows, rows_per_task=rows_per_task,
+        rows=rows, rows_per_task=rows_per_task, totals=True, leads=["pos", "neg"] if leads else [],
     )
+    made = {"cum_pos", "cum_neg", "cum_rank", "all_pos", "all_neg", "all_rank", "rank"}
     return totals.select(
-        *by, "proba", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), F.col("cum_rank").alias("rank")
+        *[c for c in totals.columns if c not in made], F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+        F.col("cum_rank").alias("rank"), F.col("all_pos").alias("p_all"), F.col("all_neg").alias("n_all"),
     )
 
 
@@ -131,30 +130,34 @@ def roc_auc(df: DataFrame, by: list[str] = MODEL, **kw) -> DataFrame:
     return auc_from_curve(curve(df, by, **kw), by)
 
 
+def _area() -> Column:
+    """Pairs of a negative with a higher positive; ties count one half."""
+    d = lambda c: F.col(c).cast("double")
+    return F.sum(d("neg") * (d("tp") - d("pos") / 2))
+
+
+def _average_precision() -> Column:
+    return F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp")))
+
+
 def auc_from_curve(points: DataFrame, by: list[str]) -> DataFrame:
     """Ties count one half; null when one class is missing."""
     d = lambda c: F.col(c).cast("double")
-    return points.groupBy(*by).agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
-        F.sum(d("neg") * (d("tp") - d("pos") / 2)).alias("area"),
-    ).select(*by, "n_pos", "n_neg", ratio(F.col("area"), d("n_pos") * d("n_neg")).alias("roc_auc"))
+    return points.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), _area().alias("area")).select(
+        *by, "n_pos", "n_neg", ratio(F.col("area"), d("n_pos") * d("n_neg")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, by: list[str] = MODEL, **kw) -> DataFrame:
-    return ap_from_curve(curve(df, by, **kw), by)
-
+    return curve(df, by, **kw).groupBy(*by).agg(F.sum("pos").alias("n_pos"), _average_precision().alias("area")).select(
+        *by, "n_pos", ratio(F.col("area"), F.col("n_pos")).alias("pr_auc"))
 
-def ap_from_curve(points: DataFrame, by: list[str]) -> DataFrame:
-    return points.groupBy(*by).agg(
-        F.sum("pos").alias("n_pos"),
-        F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("area"),
-    ).select(*by, "n_pos", ratio(F.col("area"), F.col("n_pos")).alias("pr_auc"))
 
-
-def _with_class_totals(points: DataFrame, by: list[str]) -> DataFrame:
-    """Attach P and N; one row per ``by``, so the planner may broadcast it by size."""
-    ends = points.groupBy(*by).agg(F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"))
-    return points.join(ends, by)
+def _with_end(points: DataFrame, by: list[str], x: str, y: str, end: tuple[float, float]) -> DataFrame:
+    """Curve points (threshold, x, y) and the end point without a threshold, next to the first row."""
+    point = lambda t, a, b: F.struct(t.cast("double").alias("threshold"), a.alias(x), b.alias(y))
+    own = point(F.col("proba"), F.col(x), F.col(y))
+    extra = point(F.lit(None), F.lit(end[0]), F.lit(end[1]))
+    return points.select(*by, F.inline(F.when(F.col("rank") == 1, F.array(extra, own)).otherwise(F.array(own))))
 
 
 def roc_curve(df: DataFrame, by: list[str] = MODEL, drop_collinear: bool = False, **kw) -> DataFrame:
@@ -162,42 +165,22 @@ def roc_curve(df: DataFrame, by: list[str] = MODEL, drop_collinear: bool = False
 
     ``drop_collinear`` leaves out points on a straight line between neighbours.
     """
-    points = curve(df, by, **kw)
+    points = curve(df, by, leads=drop_collinear, **kw)
     if drop_collinear:
-        nxt = points.select(*by, (F.col("rank") - 1).alias("rank"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
-        points = points.join(nxt, [*by, "rank"], "left").where(
-            (F.col("rank") == 1) | F.col("next_pos").isNull() | (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
-        )
-        sums = curve_totals(df, by)
-        full = points.join(sums, by)
-    else:
-        full = _with_class_totals(points, by)
-    body = full.select(
-        *by, F.col("proba").alias("threshold"),
-        ratio(F.col("fp"), F.col("n_all")).alias("fpr"), ratio(F.col("tp"), F.col("p_all")).alias("tpr"),
-    )
-    origin = full.select(*by).distinct().select(
-        *by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
-    )
-    return body.unionByName(origin)
-
-
-def curve_totals(df: DataFrame, by: list[str]) -> DataFrame:
-    return _clean(df, by).groupBy(*by).agg(F.sum("y").alias("p_all"), F.sum(1 - F.col("y")).alias("n_all"))
+        points = points.where(
+            (F.col("rank") == 1) | F.col("next_pos").isNull()
+            | (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg")))
+    rates = points.select(
+        *by, "proba", "rank", ratio(F.col("fp"), F.col("n_all")).alias("fpr"), ratio(F.col("tp"), F.col("p_all")).alias("tpr"))
+    return _with_end(rates, by, "fpr", "tpr", (0.0, 0.0))
 
 
 def pr_curve(df: DataFrame, by: list[str] = MODEL, **kw) -> DataFrame:
     """Precision and recall at each threshold; ends at (1, 0, null)."""
-    full = _with_class_totals(curve(df, by, **kw), by)
-    body = full.select(
-        *by, F.col("proba").alias("threshold"),
-        ratio_or_zero(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        ratio(F.col("tp"), F.col("p_all")).alias("recall"),
-    )
-    end = full.select(*by).distinct().select(
-        *by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
-    )
-    return body.unionByName(end)
+    rates = curve(df, by, **kw).select(
+        *by, "proba", "rank", ratio_or_zero(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+        ratio(F.col("tp"), F.col("p_all")).alias("recall"))
+    return _with_end(rates, by, "precision", "recall", (1.0, 0.0))
 
 
 def curve_steps(points: DataFrame, by: list[str] = MODEL) -> DataFrame:
@@ -210,15 +193,22 @@ def curve_steps(points: DataFrame, by: list[str] = MODEL) -> DataFrame:
 
 # ---- thresholds ---------------------------------------------------------------------
 
-def interval_counts(df: DataFrame, thresholds: list[float], by: list[str] = MODEL) -> DataFrame:
-    """Positives and negatives by ``k``, the number of thresholds not above the score."""
+def _intervals(df: DataFrame, thresholds: list[float], by: list[str], pos: Column, neg: Column) -> DataFrame:
     cuts = [float("-inf"), *thresholds, float("inf")]
     if len(cuts) < 3 or any(a >= b for a, b in zip(cuts, cuts[1:])):
         raise ValueError("thresholds must be finite and strictly increasing")
-    binned = Bucketizer(splits=cuts, inputCol="proba", outputCol="k").transform(_clean(df, by))
-    return binned.groupBy(*by, F.col("k").cast("int").alias("k")).agg(
-        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
-    )
+    binned = Bucketizer(splits=cuts, inputCol="proba", outputCol="k").transform(df)
+    return binned.groupBy(*by, F.col("k").cast("int").alias("k")).agg(F.sum(pos).alias("pos"), F.sum(neg).alias("neg"))
+
+
+def interval_counts(df: DataFrame, thresholds: list[float], by: list[str] = MODEL) -> DataFrame:
+    """Positives and negatives by ``k``, the number of thresholds not above the score."""
+    return _intervals(_clean(df, by), thresholds, by, F.col("y"), 1 - F.col("y"))
+
+
+def interval_counts_of(table: DataFrame, thresholds: list[float], by: list[str] = MODEL) -> DataFrame:
+    """The same from a score table."""
+    return _intervals(table, thresholds, by, F.col("pos"), F.col("neg"))
 
 
 def metrics_at_grid(df: DataFrame, thresholds: list[float], by: list[str] = MODEL) -> DataFrame:
@@ -227,7 +217,10 @@ def metrics_at_grid(df: DataFrame, thresholds: list[float], by: list[str] = MODE
     The rows collapse to at most ``len(thresholds) + 1`` intervals per model
     before anything is ordered.
     """
-    counts = interval_counts(df, thresholds, by)
+    return _grid_metrics(interval_counts(df, thresholds, by), thresholds, by)
+
+
+def _grid_metrics(counts: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:
     per_model = counts.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("k", F.struct("pos", "neg")))).alias("m"),
         F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"),
@@ -263,30 +256,49 @@ def sweep(df: DataFrame, grid: Grid, by: list[str] = MODEL, target: float | None
 
     With ``target``, also the lowest threshold whose accuracy reaches it.
     """
-    table = with_metrics(metrics_at_grid(df, grid.values(), by), "accuracy")
+    return _best_accuracy(metrics_at_grid(df, grid.values(), by), by, target)
+
+
+def _best_accuracy(table: DataFrame, by: list[str], target: float | None = None) -> DataFrame:
+    table = with_metrics(table, "accuracy")
     best = F.max_by(F.struct("threshold", "accuracy", "tp", "fp", "tn", "fn"), F.struct("accuracy", -F.col("threshold")))
-    extra = []
-    if target is not None:
-        extra = [F.min(F.when(F.col("accuracy") >= target, F.col("threshold"))).alias("target_threshold")]
-    return table.groupBy(*by).agg(best.alias("b"), *extra).select(
-        *by, "b.threshold", "b.accuracy", "b.tp", "b.fp", "b.tn", "b.fn", *[c for c in (["target_threshold"] if extra else [])]
-    )
+    reached = F.min(F.when(F.col("accuracy") >= target, F.col("threshold"))).alias("target_threshold") if target is not None else None
+    extra = [reached] if target is not None else []
+    return table.groupBy(*by).agg(best.alias("b"), *extra).select(*by, "b.*", *(["target_threshold"] if extra else []))
+
+
+def sweep_and_auc(df: DataFrame, grid: Grid, by: list[str] = MODEL, **kw) -> DataFrame:
+    """Best threshold of the grid, its confusion counts, and the AUC.
+
+    Both come from one score table: its shuffle is the only one that grows with
+    the data.
+    """
+    table = score_table(df, by)
+    best = _best_accuracy(_grid_metrics(interval_counts_of(table, grid.values(), by), grid.values(), by), by)
+    auc = auc_from_curve(curve_of(table, by, df.count(), **kw), by)
+    return best.join(auc.select(*by, "roc_auc"), by)
 
 
 def best_f1(df: DataFrame, by: list[str] = MODEL, **kw) -> DataFrame:
     """Lowest threshold among the scores, 0 and 1 with the best F1."""
-    points = _with_class_totals(curve(df, by, anchors=[0.0, 1.0], **kw), by)
-    scored = points.select(
-        *by, F.col("proba").alias("threshold"), "tp", "fp",
-        (F.col("n_all") - F.col("fp")).alias("tn"), (F.col("p_all") - F.col("tp")).alias("fn"),
-    )
     f1 = metric_columns()["f1"]
-    best = F.max_by(F.struct("threshold", "tp", "fp", "tn", "fn", f1.alias("f1")), F.struct(f1, -F.col("threshold")))
-    return scored.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
+    tn, fn = (F.col("n_all") - F.col("fp")).alias("tn"), (F.col("p_all") - F.col("tp")).alias("fn")
+    at = lambda c, t: F.coalesce(F.max(F.when(F.col("proba") >= t, F.col(c))), F.lit(0))
+    scored = curve(df, by, **kw).select(*by, F.col("proba").alias("proba"), "tp", "fp", "p_all", "n_all", tn, fn)
+    point = lambda t, tp, fp: F.struct(t.alias("threshold"), tp.alias("tp"), fp.alias("fp"))
+    per_model = scored.groupBy(*by).agg(
+        F.max_by(point(F.col("proba"), F.col("tp"), F.col("fp")), F.struct(f1, -F.col("proba"))).alias("top"),
+        *[point(F.lit(t), at("tp", t), at("fp", t)).alias(name) for name, t in (("zero", 0.0), ("one", 1.0))],
+        F.max("p_all").alias("p_all"), F.max("n_all").alias("n_all"),
+    )
+    three = per_model.select(*by, "p_all", "n_all", F.inline(F.array("top", "zero", "one"))).select(
+        *by, "threshold", "tp", "fp", tn, fn).withColumn("f1", f1)
+    best = F.max_by(F.struct("threshold", "tp", "fp", "tn", "fn", "f1"), F.struct("f1", -F.col("threshold")))
+    return three.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
 
 def threshold_for_recall(df: DataFrame, target: float, by: list[str] = MODEL, pick: str = "highest", **kw) -> DataFrame:
-    points = _with_class_totals(curve(df, by, **kw), by)
+    points = curve(df, by, **kw)
     reached = F.when(ratio(F.col("tp"), F.col("p_all")) >= target, F.col("proba"))
     choose = F.max if pick == "highest" else F.min
     return points.groupBy(*by).agg(choose(reached).alias("threshold"))
@@ -316,20 +328,24 @@ def arg_best(df: DataFrame, score: str, tie: str, by: list[str] | None = None) -
     return ranked.groupBy(*(by or [])).agg(lowest.alias("m")).select("m.row.*")
 
 
-def evaluate_catalogue(df: DataFrame, threshold: float = 0.5, by: list[str] = MODEL, **kw) -> DataFrame:
-    """All headline metrics for all models of a stacked score table.
+def evaluate_catalogue(df: DataFrame, threshold: float | None = 0.5, by: list[str] = MODEL, **kw) -> DataFrame:
+    """All headline metrics for all models of a stacked score table, in one pass.
 
-    Everything is derived from the one score table: the confusion counts too.
+    The confusion counts come from the threshold or, with ``threshold`` None,
+    from the ``pred`` column.
     """
-    points = curve(df, by, **kw)
+    if threshold is None:
+        flag = F.col("pred").cast("long")
+        table = score_table(df, by, hit_pos=flag * F.col("y").cast("long"), hit_neg=flag * (1 - F.col("y").cast("long")))
+    else:
+        hit = F.col("proba") >= F.lit(float(threshold))
+        table = score_table(df, by).withColumns({
+            "hit_pos": F.when(hit, F.col("pos")).otherwise(0), "hit_neg": F.when(hit, F.col("neg")).otherwise(0)})
+    points = curve_of(table, by, df.count(), **kw)
     d = lambda c: F.col(c).cast("double")
-    hit = F.col("proba") >= F.lit(float(threshold))
     sums = points.groupBy(*by).agg(
-        F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"),
-        F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)).alias("fp"),
-        F.sum(d("neg") * (d("tp") - d("pos") / 2)).alias("area"),
-        F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("ap"),
+        F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"), F.sum("hit_pos").alias("tp"), F.sum("hit_neg").alias("fp"),
+        _area().alias("area"), _average_precision().alias("ap"),
     )
     flat = sums.select(
         *by, "tp", "fp", (F.col("n_all") - F.col("fp")).alias("tn"), (F.col("p_all") - F.col("tp")).alias("fn"),
@@ -340,9 +356,4 @@ def evaluate_catalogue(df: DataFrame, threshold: float = 0.5, by: list[str] = MO
 
 def full_report(predictions: DataFrame, truth: DataFrame, row_id: str, **kw) -> DataFrame:
     """Metrics of a predictions table (row_id, proba, pred) against truth (row_id, y)."""
-    joined = predictions.join(truth, row_id).withColumn("model_id", F.lit("predictions"))
-    at_pred = with_metrics(confusion(joined, MODEL), "accuracy", "precision", "recall", "f1", "specificity")
-    points = curve(joined, MODEL, **kw)
-    return at_pred.join(auc_from_curve(points, MODEL).drop("n_pos", "n_neg"), MODEL).join(
-        ap_from_curve(points, MODEL).drop("n_pos"), MODEL
-    ).drop("model_id")
+    return evaluate_catalogue(predictions.join(truth, row_id), None, [], **kw)

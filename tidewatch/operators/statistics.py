@@ -23,7 +23,7 @@ def _pearson(x: str, y: str) -> str:
 
 
 def pearson(df: DataFrame, names: list[str], label: str) -> DataFrame:
-    return per_column(df, names, {"correlation": _pearson("{x}", number(label))})
+    return per_column(df, names, {"correlation": _pearson("{x}", "__y")}, shared=[f"{number(label)} AS __y"])
 
 
 def corr_pairs(df: DataFrame, names: list[str], n: int | None = 20) -> DataFrame:
@@ -33,10 +33,12 @@ def corr_pairs(df: DataFrame, names: list[str], n: int | None = 20) -> DataFrame
     for hundreds of complete columns use ``corr_matrix_pairs``.
     """
     pairs = list(combinations(names, 2))
+    x = {c: f"__x{i}" for i, c in enumerate(names)}
+    numbers = df.selectExpr(*[f"{number(c)} AS {x[c]}" for c in names])
     parts = []
     for i in range(0, len(pairs), PAIRS_PER_JOB):
         block = pairs[i:i + PAIRS_PER_JOB]
-        wide = df.agg(*[F.expr(f"{_pearson(number(a), number(b))} AS p{j}") for j, (a, b) in enumerate(block)])
+        wide = numbers.agg(*[F.expr(f"{_pearson(x[a], x[b])} AS p{j}") for j, (a, b) in enumerate(block)])
         rows = ", ".join(
             f"struct({text(a)} AS left, {text(b)} AS right, p{j} AS correlation)" for j, (a, b) in enumerate(block))
         parts.append(wide.selectExpr(f"inline(array({rows}))"))

@@ -290,7 +290,7 @@ def candidates(spark, sf):
 
 @query("wn3_cumulative_counts", f"WITH {CURVE_SQL} SELECT model_id, proba, pos, neg, tp, fp, rnk AS rank FROM points")
 def cumulative(spark, sf):
-    return S.curve(event_scores(spark, sf))
+    return S.curve(event_scores(spark, sf)).drop("p_all", "n_all")
 
 
 @query("wn4_curve_steps", f"""WITH {CURVE_SQL}
@@ -308,10 +308,8 @@ def threshold_rows(spark, sf):
 
 def flagship(spark, sf):
     """Best threshold, confusion counts and AUC of every score on one plan."""
-    scores = event_scores(spark, sf)
-    best = S.sweep(scores, GRIDS["thousandths"])
-    return best.join(S.roc_auc(scores), "model_id").select(
-        "model_id", "threshold", rnd("accuracy"), "tp", "fp", "tn", "fn", rnd("roc_auc"))
+    best = S.sweep_and_auc(event_scores(spark, sf), GRIDS["thousandths"])
+    return best.select("model_id", "threshold", rnd("accuracy"), "tp", "fp", "tn", "fn", rnd("roc_auc"))
 
 
 query("entry_threshold_and_auc", SWEEP_SQL["thousandths"].replace(
