@@ -16,7 +16,8 @@ from tidewatch.session import ready_to_checkpoint
 
 ROWS_PER_TASK = 2_000_000
 BROADCAST_ROWS = 100_000
-HASH_DIGITS = 4  # 65,536 cells per stratum
+ROWS_PER_CELL = 1_000
+MAX_HASH_DIGITS = 5  # at most 1,048,576 cells per stratum
 
 
 def materialize(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
@@ -102,13 +103,18 @@ def ordered_index(df: DataFrame, order: list[Column], name: str, start: int = 0,
     return ranked.withColumn(name, F.col("cum___one") - 1 + start).drop("__one", "cum___one", "__all")
 
 
+def hash_digits(rows: int) -> int:
+    """Hex digits of the hash that make cells of about a thousand rows."""
+    return min(MAX_HASH_DIGITS, max(1, math.ceil(math.log(max(rows / ROWS_PER_CELL, 1), 16))))
+
+
 def cut_keys(
     df: DataFrame,
     strata: list[str],
     row_id: str,
     seed: int,
     targets: Callable[[Column], Column] | DataFrame,
-    digits: int = HASH_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Find the order key at given ranks of every stratum without ranking its rows.
 
@@ -120,6 +126,7 @@ def cut_keys(
     Rows are only counted per hash cell; the few cells holding a target are
     sorted. No class is ever gathered in one task.
     """
+    digits = hash_digits(df.count()) if digits is None else digits
     keyed = df.select(
         *strata, F.col(row_id).alias("cut_id"), hash_key(row_id, seed).alias("cut_hash")
     ).withColumn("cell", F.substring("cut_hash", 1, digits))
@@ -150,12 +157,13 @@ def cut_keys(
     return join_null_safe(candidates, hit, keys).select(*strata, "total", "part", "cut_hash", "cut_id")
 
 
-def hash_rank(df: DataFrame, strata: list[str], row_id: str, seed: int, name: str = "rank", digits: int = HASH_DIGITS) -> DataFrame:
+def hash_rank(df: DataFrame, strata: list[str], row_id: str, seed: int, name: str = "rank", digits: int | None = None) -> DataFrame:
     """Exact 1-based rank of every row in its stratum, in hash order.
 
     Ranks are counted inside hash cells and shifted by the size of the cells
     before, so a stratum is spread over up to ``16 ** digits`` tasks.
     """
+    digits = hash_digits(df.count()) if digits is None else digits
     keyed = df.withColumn("__hash", hash_key(row_id, seed)).withColumn("__cell", F.substring("__hash", 1, digits))
     cells = keyed.groupBy(*strata, "__cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*strata).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)

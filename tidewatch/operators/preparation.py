@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -9,7 +10,7 @@ from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.functions.expressions import col, number, quoted, real
+from tidewatch.functions.expressions import col, count_cuts, number, quoted, real
 from tidewatch.operators.ordering import ROWS_PER_TASK, running_totals
 from tidewatch.operators.profiling import _chunks, per_column
 
@@ -17,83 +18,86 @@ SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 4.0 / SKETCH_ACCURACY
 
 
-@dataclass
-class _Span:
-    """Values of one column in [low, high]; ``parts`` maps output position to rank."""
-
-    feature: str
-    low: float
-    high: float
-    parts: dict[int, int]
-    below: int = 0
-
-
 def values_at_ranks(df: DataFrame, names: list[str], ranks, rows_per_task: int = ROWS_PER_TASK) -> dict[str, list[float]]:
     """Exact order statistics of many columns: ``ranks(n)`` lists 1-based ranks.
 
     Small columns are counted by value. For large ones a quantile sketch gives
-    an interval around each wanted rank; the values below it are counted, and
-    only values inside it are ordered. Intervals that turn out not to hold
-    their rank are widened to the whole column, so the result is always exact.
-    Per column a handful of numbers reach the driver.
+    an interval around each wanted rank: values inside the intervals are
+    counted one by one, the values between two intervals only as a group, so
+    little is shuffled. A rank that falls into such a group after all sends its
+    column through again as a whole: the result is always exact. Per column a
+    handful of numbers reach the driver.
     """
+    x = {c: f"__x{i}" for i, c in enumerate(names)}
+    numbers = df.selectExpr(*[f"{number(c)} AS {x[c]}" for c in names])
     counts: dict[str, int] = {}
     for block in _chunks(names):
-        row = df.agg(*[F.expr(f"count({number(c)})") for c in block]).first()
+        row = numbers.agg(*[F.count(x[c]) for c in block]).first()
         counts.update({c: row[i] for i, c in enumerate(block)})
-    wanted = {c: dict(enumerate(ranks(counts[c]))) for c in names if counts[c] > 0}
-    if not any(wanted.values()):
-        return {c: [] for c in wanted}
-    everything = lambda c, parts: _Span(c, float("-inf"), float("inf"), parts)
-    rows = sum(counts[c] for c in wanted)
-    if rows <= rows_per_task:
-        spans = [everything(c, parts) for c, parts in wanted.items()]
-    else:
-        spans, rows = [], 0
-        for span, below, upto in _sketched_spans(df, wanted, counts):
-            if all(below < r <= upto for r in span.parts.values()):
-                span.below = below
-                rows += upto - below
-            else:
-                span = everything(span.feature, span.parts)
-                rows += counts[span.feature]
-            spans.append(span)
-    inside = lambda s: number(s.feature) if s.high == -s.low == float("inf") else (
-        f"if({number(s.feature)} BETWEEN {real(s.low)} AND {real(s.high)}, {number(s.feature)}, NULL)")
-    stack = ", ".join(f"struct({i} AS span, {inside(s)} AS value)" for i, s in enumerate(spans))
-    table = df.selectExpr(f"inline(array({stack}))").where("value IS NOT NULL").groupBy("span", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    placed = running_totals(table, ["span"], [F.col("value")], ["n"], rows=rows, rows_per_task=rows_per_task)
-    targets = df.sparkSession.createDataFrame(
-        [(i, p, r - s.below) for i, s in enumerate(spans) for p, r in s.parts.items()], "span int, part int, rank long"
-    )
-    hit = placed.join(F.broadcast(targets), "span").where(
-        (F.col("rank") <= F.col("cum_n")) & (F.col("rank") > F.col("cum_n") - F.col("n"))
-    )
-    found = {(spans[r.span].feature, r.part): r.value for r in hit.select("span", "part", "value").collect()}
-    return {c: [found[c, p] for p in parts] for c, parts in wanted.items()}
-
-
-def _sketched_spans(df: DataFrame, wanted: dict, counts: dict):
-    """Yield (span, values below it, values up to its end) for every wanted rank."""
-    for block in _chunks(list(wanted), 20):
-        probs = {c: [
-            min(1.0, max(0.0, r / counts[c] + side)) for r in wanted[c].values() for side in (-SKETCH_MARGIN, SKETCH_MARGIN)
-        ] for c in block}
-        row = df.agg(*[
-            F.expr(f"percentile_approx({number(c)}, array({', '.join(map(real, probs[c]))}), {SKETCH_ACCURACY})") for c in block
-        ]).first()
-        spans = [
-            _Span(c, row[i][2 * j], row[i][2 * j + 1], {p: r})
-            for i, c in enumerate(block) for j, (p, r) in enumerate(wanted[c].items())
-        ]
-        sizes = df.agg(*[
-            F.expr(f"struct(count_if({number(s.feature)} < {real(s.low)}) AS below, count_if({number(s.feature)} <= {real(s.high)}) AS upto)")
-            for s in spans
+    wanted = {c: list(ranks(counts[c])) for c in names if counts[c] > 0}
+    todo = [c for c in wanted if wanted[c]]
+    spans = {c: [WHOLE] for c in todo}
+    if sum(counts[c] for c in todo) > rows_per_task:
+        spans = _sketched_spans(numbers, x, wanted, counts, todo)
+    found: dict[str, list[float]] = {c: [] for c in wanted}
+    while todo:
+        hits = _place(numbers, x, wanted, counts, {c: spans[c] for c in todo}, rows_per_task)
+        for c in todo:
+            if all(hits.get((c, r)) is not None for r in wanted[c]):
+                found[c] = [hits[c, r] for r in wanted[c]]
+            elif spans[c] == [WHOLE]:
+                raise RuntimeError(f"rank not found in {c}: the table changed between passes")
+        todo = [c for c in todo if not found[c]]
+        spans = {c: [WHOLE] for c in todo}
+    return found
+
+
+WHOLE = (float("-inf"), float("inf"))
+
+
+def _place(numbers: DataFrame, x: dict, wanted: dict, counts: dict, spans: dict, rows_per_task: int) -> dict:
+    """Value at each wanted rank, or none where it lies outside the spans."""
+    names, stack, rows = list(spans), [], 0
+    # Segment 2k + 1 is span k, even segments are the gaps around them.
+    edges = {x[c]: [v for low, high in spans[c] for v in (low, math.nextafter(high, math.inf))] for c in names if spans[c] != [WHOLE]}
+    cut = count_cuts(numbers, edges, {e: f"{e}_s" for e in edges})
+    for i, c in enumerate(names):
+        if x[c] not in edges:
+            segment, value = "1", x[c]
+            rows += counts[c]
+        else:
+            segment, value = f"{x[c]}_s", f"if({x[c]}_s % 2 = 1, {x[c]}, NULL)"
+            rows += min(counts[c], math.ceil(counts[c] * 4 * SKETCH_MARGIN * len(wanted[c])))
+        stack.append(f"struct({i} AS c, {segment} AS segment, {value} AS value, {x[c]} IS NOT NULL AS known)")
+    table = cut.selectExpr(f"inline(array({', '.join(stack)}))").where("known").groupBy("c", "segment", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    placed = running_totals(
+        table, ["c"], [F.col("segment"), F.col("value")], ["n"], rows=rows, rows_per_task=rows_per_task)
+    targets = numbers.sparkSession.createDataFrame(
+        [(i, r) for i, c in enumerate(names) for r in sorted(set(wanted[c]))], "c int, rank long")
+    hit = placed.join(F.broadcast(targets), "c").where(
+        (F.col("rank") <= F.col("cum_n")) & (F.col("rank") > F.col("cum_n") - F.col("n")))
+    return {(names[r.c], r["rank"]): r.value for r in hit.select("c", "rank", "value").collect()}
+
+
+def _sketched_spans(numbers: DataFrame, x: dict, wanted: dict, counts: dict, names: list[str]) -> dict:
+    """Per column disjoint intervals that should hold the wanted ranks."""
+    out = {}
+    for block in _chunks(names):
+        near = {c: [(max(0.0, r / counts[c] - SKETCH_MARGIN), min(1.0, r / counts[c] + SKETCH_MARGIN)) for r in sorted(wanted[c])] for c in block}
+        probs = {c: sorted({q for pair in near[c] for q in pair}) for c in block}
+        row = numbers.agg(*[
+            F.expr(f"percentile_approx({x[c]}, array({', '.join(map(real, probs[c]))}), {SKETCH_ACCURACY})") for c in block
         ]).first()
-        for i, s in enumerate(spans):
-            yield s, sizes[i].below, sizes[i].upto
+        for i, c in enumerate(block):
+            value, spans = dict(zip(probs[c], row[i])), []
+            for low, high in near[c]:
+                if spans and value[low] <= math.nextafter(spans[-1][1], math.inf):
+                    spans[-1] = (spans[-1][0], max(spans[-1][1], value[high]))
+                else:
+                    spans.append((value[low], value[high]))
+            out[c] = spans
+    return out
 
 
 def medians(df: DataFrame, names: list[str], rows_per_task: int = ROWS_PER_TASK) -> dict[str, float]:

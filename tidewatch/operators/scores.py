@@ -106,9 +106,14 @@ def candidate_thresholds(df: DataFrame, by: list[str] = MODEL) -> DataFrame:
     return _clean(df, by).select(*by, F.explode(values).alias("threshold")).distinct()
 
 
-def curve(df: DataFrame, by: list[str] = MODEL, rows_per_task: int = ROWS_PER_TASK, leads: bool = False) -> DataFrame:
-    """Counts at or above each distinct score: tp, fp, with own pos and neg and the class totals."""
-    return curve_of(score_table(df, by), by, df.count(), rows_per_task, leads)
+def curve(
+    df: DataFrame, by: list[str] = MODEL, rows_per_task: int = ROWS_PER_TASK, leads: bool = False, rows: int | None = None
+) -> DataFrame:
+    """Counts at or above each distinct score: tp, fp, with own pos and neg and the class totals.
+
+    ``rows``, an upper bound of the row count, saves a count where it is known.
+    """
+    return curve_of(score_table(df, by), by, df.count() if rows is None else rows, rows_per_task, leads)
 
 
 def curve_of(
@@ -328,7 +333,9 @@ def arg_best(df: DataFrame, score: str, tie: str, by: list[str] | None = None) -
     return ranked.groupBy(*(by or [])).agg(lowest.alias("m")).select("m.row.*")
 
 
-def evaluate_catalogue(df: DataFrame, threshold: float | None = 0.5, by: list[str] = MODEL, **kw) -> DataFrame:
+def evaluate_catalogue(
+    df: DataFrame, threshold: float | None = 0.5, by: list[str] = MODEL, rows: int | None = None, **kw
+) -> DataFrame:
     """All headline metrics for all models of a stacked score table, in one pass.
 
     The confusion counts come from the threshold or, with ``threshold`` None,
@@ -341,7 +348,7 @@ def evaluate_catalogue(df: DataFrame, threshold: float | None = 0.5, by: list[st
         hit = F.col("proba") >= F.lit(float(threshold))
         table = score_table(df, by).withColumns({
             "hit_pos": F.when(hit, F.col("pos")).otherwise(0), "hit_neg": F.when(hit, F.col("neg")).otherwise(0)})
-    points = curve_of(table, by, df.count(), **kw)
+    points = curve_of(table, by, df.count() if rows is None else rows, **kw)
     d = lambda c: F.col(c).cast("double")
     sums = points.groupBy(*by).agg(
         F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"), F.sum("hit_pos").alias("tp"), F.sum("hit_neg").alias("fp"),
@@ -356,4 +363,4 @@ def evaluate_catalogue(df: DataFrame, threshold: float | None = 0.5, by: list[st
 
 def full_report(predictions: DataFrame, truth: DataFrame, row_id: str, **kw) -> DataFrame:
     """Metrics of a predictions table (row_id, proba, pred) against truth (row_id, y)."""
-    return evaluate_catalogue(predictions.join(truth, row_id), None, [], **kw)
+    return evaluate_catalogue(predictions.join(truth, row_id), None, [], rows=predictions.count(), **kw)

@@ -9,7 +9,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.functions.expressions import number, ratio, real, text, xlogx
+from tidewatch.functions.expressions import count_cuts, number, quoted, ratio, real, text, xlogx
 from tidewatch.operators.ordering import ROWS_PER_TASK
 from tidewatch.operators.profiling import per_column, stacked
 
@@ -29,19 +29,41 @@ def pearson(df: DataFrame, names: list[str], label: str) -> DataFrame:
 def corr_pairs(df: DataFrame, names: list[str], n: int | None = 20) -> DataFrame:
     """Strongest absolute correlations of column pairs, each pair once.
 
-    Nulls are left out pair by pair. Pairs are computed a few hundred per scan;
-    for hundreds of complete columns use ``corr_matrix_pairs``.
+    Nulls are left out pair by pair. Columns are centred first, after which
+    plain sums of products are exact enough. Pairs are computed a few hundred
+    per scan; for hundreds of complete columns use ``corr_matrix_pairs``.
     """
-    pairs = list(combinations(names, 2))
     x = {c: f"__x{i}" for i, c in enumerate(names)}
     numbers = df.selectExpr(*[f"{number(c)} AS {x[c]}" for c in names])
+    facts = {}
+    for r in per_column(numbers, list(x.values()), {"m": "avg({x})", "w": "max({x}) - min({x})", "gaps": "count_if({x} IS NULL)"}).collect():
+        facts[r.feature] = r
+    used = [c for c in names if facts[x[c]].w]
+    centred = numbers.selectExpr(*[f"{x[c]} - {real(facts[x[c]].m)} AS {x[c]}" for c in used])
+    pairs = list(combinations(used, 2))
     parts = []
     for i in range(0, len(pairs), PAIRS_PER_JOB):
         block = pairs[i:i + PAIRS_PER_JOB]
-        wide = numbers.agg(*[F.expr(f"{_pearson(x[a], x[b])} AS p{j}") for j, (a, b) in enumerate(block)])
-        rows = ", ".join(
-            f"struct({text(a)} AS left, {text(b)} AS right, p{j} AS correlation)" for j, (a, b) in enumerate(block))
-        parts.append(wide.selectExpr(f"inline(array({rows}))"))
+        gaps = lambda p: facts[x[p[0]]].gaps or facts[x[p[1]]].gaps
+        singles = sorted({c for p in block if not gaps(p) for c in p})
+        sums = [f"sum({x[c]} * {x[c]}) AS q{x[c]}" for c in singles] + [f"sum({x[c]}) AS s{x[c]}" for c in singles] + ["count(1) AS n"]
+        rows = []
+        for j, (a, b) in enumerate(block):
+            u, v = x[a], x[b]
+            sums.append(f"sum({u} * {v}) AS p{j}")
+            if gaps((a, b)):
+                at = lambda value, other: f"if({other} IS NULL, NULL, {value})"
+                sums += [f"sum({at(f'{u} * {u}', v)}) AS qa{j}", f"sum({at(f'{v} * {v}', u)}) AS qb{j}",
+                         f"sum({at(u, v)}) AS sa{j}", f"sum({at(v, u)}) AS sb{j}", f"count({u} * {v}) AS n{j}"]
+                qa, qb, sa, sb, m = f"qa{j}", f"qb{j}", f"sa{j}", f"sb{j}", f"n{j}"
+            else:
+                qa, qb, sa, sb, m = f"q{u}", f"q{v}", f"s{u}", f"s{v}", "n"
+            var = lambda q, s, c: f"if({q} - {s} * {s} / nullif({m}, 0) > {real(1e-18 * facts[x[c]].w ** 2)} * {m}, {q} - {s} * {s} / nullif({m}, 0), NULL)"
+            r = f"(p{j} - {sa} * {sb} / nullif({m}, 0)) / (sqrt({var(qa, sa, a)}) * sqrt({var(qb, sb, b)}))"
+            rows.append(f"struct({text(a)} AS left, {text(b)} AS right, {r} AS correlation)")
+        parts.append(centred.agg(*[F.expr(s) for s in sums]).selectExpr(f"inline(array({', '.join(rows)}))"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "left string, right string, correlation double")
     out = reduce(DataFrame.unionByName, parts).where(F.col("correlation").isNotNull())
     ranked = out.orderBy(F.abs(F.round("correlation", 9)).desc(), "left", "right")
     return ranked if n is None else ranked.limit(n)
@@ -97,11 +119,13 @@ def quantile_bins(df: DataFrame, names: list[str], bins: int, keep: list[Column]
     """Long form with ``bin``: how many quantile cuts of the column are at or below the value."""
     from tidewatch.operators.preparation import values_at_ranks
     cuts = values_at_ranks(df, names, lambda n: [-(-i * n // bins) for i in range(1, bins)], rows_per_task)
-    # At most ``bins - 1`` numbers per column go into the expression.
-    above = lambda c: " + ".join(["0"] + [f"int({number(c)} >= {real(v)})" for v in cuts.get(c, [])])
-    rows = ", ".join(
-        f"struct({text(c)} AS feature, if({number(c)} IS NULL, NULL, {above(c)}) AS bin)" for c in names)
-    return df.select(*keep, F.expr(f"inline(array({rows}))"))
+    x, k = ({c: f"__{v}{i}" for i, c in enumerate(names)} for v in "xk")
+    numbers = df.select(*keep, *[F.expr(f"{number(c)} AS {x[c]}") for c in names])
+    kept = numbers.columns[:len(keep)]
+    cut = count_cuts(numbers, {x[c]: cuts.get(c, []) for c in names}, {x[c]: k[c] for c in names})
+    at = lambda c: k[c] if cuts.get(c) else f"int(nullif({x[c]} IS NULL, true))"
+    rows = ", ".join(f"struct({text(c)} AS feature, {at(c)} AS bin)" for c in names)
+    return cut.selectExpr(*map(quoted, kept), f"inline(array({rows}))")
 
 
 def anova_f(df: DataFrame, names: list[str], label: str) -> DataFrame:
