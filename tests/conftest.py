@@ -11,6 +11,7 @@ def spark():
     from tidewatch.session import local_session
     session = local_session("tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 

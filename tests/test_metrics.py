@@ -63,6 +63,10 @@ def test_sweep_equals_brute_force(spark, rows, name):
     got = S.sweep(frame(spark, rows), GRIDS[name]).first()
     assert (got.accuracy, got.threshold) == (pytest.approx(best[0]), -best[1])
     assert got.tp + got.fp + got.tn + got.fn == len(rows)
+    for per_task in (10**9, 20):
+        both = S.sweep_and_auc(frame(spark, rows), GRIDS[name], rows_per_task=per_task).first()
+        assert (both.threshold, both.accuracy, both.tp, both.fp, both.tn, both.fn) == (got.threshold, got.accuracy, got.tp, got.fp, got.tn, got.fn)
+        assert both.roc_auc == pytest.approx(brute_auc(rows))
 
 
 def test_scores_on_grid_points(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewatch.functions.expressions import col
 from tidewatch.functions.grids import GRIDS, Grid
 from tidewatch.operators import scores as S
+from tidewatch.operators.ordering import small_table
 
 
 @dataclass
@@ -74,11 +75,12 @@ def compare_calibration(valid: DataFrame, test: DataFrame, grid: Grid = GRIDS["t
     for m in methods:
         part = m.transform(test.select("proba", "y")).select(F.lit(m.method).alias("model_id"), "proba", "y")
         long = part if long is None else long.unionByName(part)
-    table = S.with_metrics(S.sweep(long, grid), "precision", "recall", "f1", "specificity")
-    out = table.join(S.roc_auc(long).select("model_id", "roc_auc"), "model_id").withColumnRenamed("model_id", "method")
-    order = F.when(F.col("method") == "raw", 0).when(F.col("method") == "platt", 1).otherwise(2)
-    best = S.arg_best(out.withColumn("order", order), "accuracy", "order").first().method
-    return out.withColumn("chosen", F.col("method") == best)
+    report = S.with_metrics(S.sweep_and_auc(long, grid, rows=3 * test.count()), "precision", "recall", "f1", "specificity")
+    order = F.when(F.col("model_id") == "raw", 0).when(F.col("model_id") == "platt", 1).otherwise(2)
+    # Three rows: evaluated once, then compared.
+    out = small_table(report.withColumn("order", order))
+    best = S.arg_best(out, "accuracy", "order").first().model_id
+    return out.withColumn("chosen", F.col("model_id") == best).withColumnRenamed("model_id", "method").drop("order")
 
 
 def calibrated_predictions(valid: DataFrame, test: DataFrame, row_id: str, grid: Grid = GRIDS["thousandths"]) -> DataFrame:

@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewatch.functions.expressions import col, quoted
 from tidewatch.operators import scores as S
 from tidewatch.operators.labels import most_frequent
-from tidewatch.operators.preparation import MAX_CATEGORIES
+from tidewatch.operators.preparation import MAX_CATEGORIES, check_cardinality
 from tidewatch.operators.profiling import class_counts, class_weights
 from tidewatch.operators.splitting import bag_columns, bag_rows, fold_train, fold_valid, kfold
 
 PARALLEL_FITS = 4
 HASH_BUCKETS = 131_072
+MAX_CLASSES = 1_000
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ def _threads(items: list, work: Callable, parallel: int = PARALLEL_FITS) -> list
         return [work(i) for i in items]
     pool = ThreadPool(min(parallel, len(items)))
     try:
-        return pool.map(inheritable_thread_target(work), items)
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), items)
     finally:
         pool.close()
 
@@ -126,7 +127,10 @@ def fit_with_categories(
         stages.append(TargetEncoder(
             inputCols=[f"{c}__i" for c in categorical], outputCols=[f"{c}__m" for c in categorical], labelCol=label,
             targetType="binary", smoothing=smoothing, handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[f"{c}__n" for c in numeric] + [f"{c}__m" for c in categorical], outputCol=f"x_{tag}"))
+        # The means come marked as categories, and trees would cut them to whole numbers.
+        plain = ", ".join(f"0D + `{c}__m` AS `{c}__v`" for c in categorical)
+        stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
+    stages.append(VectorAssembler(inputCols=[f"{c}__n" for c in numeric] + [f"{c}__v" for c in categorical], outputCol=f"x_{tag}"))
     stages.append(estimator(family, params or {}, label, f"x_{tag}", tag, train.count() if family == "logistic" else None))
     return Pipeline(stages=stages).fit(train)
 
@@ -135,6 +139,7 @@ def fit_with_categories(
 
 def fit_multiclass(train: DataFrame, label: str, features: list[str], family: str = "forest", params: dict | None = None, weight: str | None = None) -> PipelineModel:
     """Text or numeric classes; boosted trees are fitted one class against the rest."""
+    check_cardinality(train, [label], MAX_CLASSES)
     index = StringIndexer(inputCol=label, outputCol="__class", stringOrderType="alphabetAsc", handleInvalid="keep")
     assemble = VectorAssembler(inputCols=features, outputCol="x_model", handleInvalid="keep")
     if family == "forest":

@@ -152,7 +152,7 @@ def check_cardinality(df: DataFrame, names: list[str], limit: int = MAX_CATEGORI
     row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
     wide = [c for i, c in enumerate(names) if row[i] > limit]
     if wide:
-        raise ValueError(f"too many categories to one-hot encode: {wide}; use a target encoder")
+        raise ValueError(f"more than {limit} categories in {wide}: such columns need a target encoder")
 
 
 def onehot_stages(names: list[str], suffix: str = "") -> list:

@@ -36,6 +36,35 @@ def _nearest_pivot(pivots: np.ndarray):
     return assign
 
 
+def _send(lefts: DataFrame, rights: DataFrame, every: DataFrame, wanted: int, need: int):
+    """Left rows with their cell, right rows with each cell that may need them, and the cell sizes.
+
+    What the driver sees is bounded by the number of pivots times ``need``.
+    """
+    spark = lefts.sparkSession
+    pivots = np.array([r.v for r in sample_n(every, "id", wanted, seed=11).select("v").distinct().collect()])
+    assign = _nearest_pivot(pivots)
+    placed = lambda df: df.withColumn("a", assign("v")).select("id", "v", "a.cell", "a.reach")
+    lefts, rights = placed(lefts), placed(rights)
+    l_stats = {r.cell: r for r in lefts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("far")).collect()}
+    close = Window.partitionBy("cell").orderBy("reach", "id")
+    nearest: dict[int, list[float]] = {}
+    for r in rights.withColumn("p", F.row_number().over(close)).where(F.col("p") <= need).select("cell", "reach").collect():
+        nearest.setdefault(r.cell, []).append(r.reach)
+    between = _distances(pivots, pivots)
+    rules = []
+    for i, s in l_stats.items():
+        # No neighbour of a row of cell i is farther away than this.
+        bounds = sorted(s.far + between[i, j] + reach for j, near in nearest.items() for reach in near)
+        radius = bounds[need - 1] if len(bounds) >= need else math.inf
+        slack = 1e-9 * (1 + (0 if math.isinf(radius) else radius))
+        rules += [(i, j, float(between[i, j] - s.far - radius - slack)) for j in nearest]
+    rule = F.broadcast(spark.createDataFrame(rules, "target int, cell int, min_reach double"))
+    sent = rights.join(rule, "cell").where(F.col("reach") >= F.col("min_reach")).select("target", "id", "v")
+    r_sizes = {r.target: r.n for r in sent.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return lefts.withColumnRenamed("cell", "target"), sent, {i: s.n for i, s in l_stats.items()}, r_sizes
+
+
 def knn_join(
     left: DataFrame, right: DataFrame, row_id: str, vector: str, k: int,
     exclude_self: bool = True, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS,
@@ -55,39 +84,22 @@ def knn_join(
     lefts, rights = points(left), points(right).withColumn("c", F.row_number().over(copies)).where(F.col("c") <= k + 1).drop("c")
 
     n_right = right.count()
-    wanted = max(1, min(max_pivots, math.ceil(n_right / block_rows)))
-    pivots = np.array([r.v for r in sample_n(points(right), "id", wanted, seed=11).select("v").distinct().collect()])
-    if not len(pivots):
+    if n_right == 0:
         return spark.createDataFrame([], f"{row_id} long, neighbour long, distance double, rank int")
-    assign = _nearest_pivot(pivots)
-    lefts = lefts.withColumn("a", assign("v")).select("id", "v", "a.cell", "a.reach")
-    rights = rights.withColumn("a", assign("v")).select("id", "v", "a.cell", "a.reach")
-
-    # Per cell: sizes, largest reach, and the closest rights. At most pivots * (k + 2) numbers.
-    l_stats = {r.cell: r for r in lefts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("far")).collect()}
-    close = Window.partitionBy("cell").orderBy("reach", "id")
-    r_near: dict[int, list[float]] = {}
-    for r in rights.withColumn("p", F.row_number().over(close)).where(F.col("p") <= k + 1).select("cell", "reach").collect():
-        r_near.setdefault(r.cell, []).append(r.reach)
-    between = _distances(pivots, pivots)
-    need = k + 1 if exclude_self else k
-    rules = []
-    for i, s in l_stats.items():
-        bounds = sorted(s.far + between[i, j] + reach for j, near in r_near.items() for reach in near)
-        radius = bounds[need - 1] if len(bounds) >= need else math.inf
-        slack = 1e-9 * (1 + (0 if math.isinf(radius) else radius))
-        for j in r_near:
-            rules.append((i, j, float(between[i, j] - s.far - radius - slack)))
-    rule = F.broadcast(spark.createDataFrame(rules, "target int, cell int, min_reach double"))
-    sent = rights.join(rule, "cell").where(F.col("reach") >= F.col("min_reach")).select("target", "id", "v")
-    r_sizes = {r.target: r.n for r in sent.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if n_right <= block_rows:
+        # One cell: nothing to assign, every left row meets every right row once.
+        lefts, sent = lefts.withColumn("target", F.lit(0)), rights.withColumn("target", F.lit(0))
+        l_sizes, r_sizes = {0: left.count()}, {0: n_right}
+    else:
+        wanted = min(max_pivots, math.ceil(n_right / block_rows))
+        lefts, sent, l_sizes, r_sizes = _send(lefts, rights, points(right), wanted, k + 1 if exclude_self else k)
 
     parts = lambda n: max(1, math.ceil(n / block_rows))
     plan = F.broadcast(spark.createDataFrame(
-        [(i, parts(s.n), parts(r_sizes.get(i, 0))) for i, s in l_stats.items()], "target int, l_parts int, r_parts int"))
+        [(i, parts(n), parts(r_sizes.get(i, 0))) for i, n in l_sizes.items()], "target int, l_parts int, r_parts int"))
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    l_blocks = lefts.withColumnRenamed("cell", "target").join(plan, "target").select(
+    l_blocks = lefts.join(plan, "target").select(
         "target", part("l_parts").alias("l"), spread("r_parts").alias("r"), "id", "v")
     r_blocks = sent.join(plan, "target").select(
         "target", part("r_parts").alias("r"), spread("l_parts").alias("l"), "id", "v")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.functions.expressions import nan_to_null, ratio, ratio_or_zero
+from tidewatch.functions.expressions import nan_to_null, quoted, ratio, ratio_or_zero, real
 from tidewatch.functions.grids import Grid
 from tidewatch.operators.ordering import ROWS_PER_TASK, running_totals
 
@@ -107,7 +107,7 @@ def candidate_thresholds(df: DataFrame, by: list[str] = MODEL) -> DataFrame:
 
 
 def curve(
-    df: DataFrame, by: list[str] = MODEL, rows_per_task: int = ROWS_PER_TASK, leads: bool = False, rows: int | None = None
+    df: DataFrame, by: list[str] = MODEL, rows_per_task: int = ROWS_PER_TASK, leads: list[str] = (), rows: int | None = None
 ) -> DataFrame:
     """Counts at or above each distinct score: tp, fp, with own pos and neg and the class totals.
 
@@ -117,12 +117,12 @@ def curve(
 
 
 def curve_of(
-    table: DataFrame, by: list[str], rows: int | None = None, rows_per_task: int = ROWS_PER_TASK, leads: bool = False
+    table: DataFrame, by: list[str], rows: int | None = None, rows_per_task: int = ROWS_PER_TASK, leads: list[str] = ()
 ) -> DataFrame:
     """The curve of a score table ``(by..., proba, pos, neg)`` of at most ``rows`` rows."""
     totals = running_totals(
         table.withColumn("rank", F.lit(1).cast("long")), by, [F.col("proba").desc()], ["pos", "neg", "rank"],
-        rows=rows, rows_per_task=rows_per_task, totals=True, leads=["pos", "neg"] if leads else [],
+        rows=rows, rows_per_task=rows_per_task, totals=True, leads=leads,
     )
     made = {"cum_pos", "cum_neg", "cum_rank", "all_pos", "all_neg", "all_rank", "rank"}
     return totals.select(
@@ -170,7 +170,7 @@ def roc_curve(df: DataFrame, by: list[str] = MODEL, drop_collinear: bool = False
 
     ``drop_collinear`` leaves out points on a straight line between neighbours.
     """
-    points = curve(df, by, leads=drop_collinear, **kw)
+    points = curve(df, by, leads=["pos", "neg"] if drop_collinear else [], **kw)
     if drop_collinear:
         points = points.where(
             (F.col("rank") == 1) | F.col("next_pos").isNull()
@@ -198,39 +198,56 @@ def curve_steps(points: DataFrame, by: list[str] = MODEL) -> DataFrame:
 
 # ---- thresholds ---------------------------------------------------------------------
 
-def _intervals(df: DataFrame, thresholds: list[float], by: list[str], pos: Column, neg: Column) -> DataFrame:
+def _grid_point(grid: Grid, i: str) -> str:
+    return f"if({i} >= {grid.points - 1}, {real(grid.stop)}, {real(grid.start)} + {i} * {real(grid.step)})"
+
+
+def _interval(df: DataFrame, thresholds: Grid | list[float]) -> DataFrame:
+    """Add ``k``, the number of thresholds not above the score.
+
+    On an even grid a guess by division is put right by comparing with the grid
+    points next to it, so the result is that of the comparison itself.
+    """
+    if isinstance(thresholds, Grid):
+        last = thresholds.points - 1
+        guess = f"least({last}, greatest(0, int(floor((proba - {real(thresholds.start)}) / {real(thresholds.step)}))))"
+        return df.selectExpr("*", f"if(proba < {real(thresholds.start)}, -1, if(proba >= {real(thresholds.stop)}, {last}, {guess})) AS __g").selectExpr(
+            *map(quoted, df.columns),
+            f"if(__g >= 0 AND {_grid_point(thresholds, '__g')} > proba, __g, "
+            f"if(__g BETWEEN 0 AND {last - 1} AND {_grid_point(thresholds, '(__g + 1)')} <= proba, __g + 2, __g + 1)) AS k")
     cuts = [float("-inf"), *thresholds, float("inf")]
     if len(cuts) < 3 or any(a >= b for a, b in zip(cuts, cuts[1:])):
         raise ValueError("thresholds must be finite and strictly increasing")
-    binned = Bucketizer(splits=cuts, inputCol="proba", outputCol="k").transform(df)
-    return binned.groupBy(*by, F.col("k").cast("int").alias("k")).agg(F.sum(pos).alias("pos"), F.sum(neg).alias("neg"))
+    return Bucketizer(splits=cuts, inputCol="proba", outputCol="k").transform(df).withColumn("k", F.col("k").cast("int"))
 
 
-def interval_counts(df: DataFrame, thresholds: list[float], by: list[str] = MODEL) -> DataFrame:
-    """Positives and negatives by ``k``, the number of thresholds not above the score."""
-    return _intervals(_clean(df, by), thresholds, by, F.col("y"), 1 - F.col("y"))
+def _intervals(df: DataFrame, thresholds: Grid | list[float], by: list[str], pos: Column, neg: Column) -> DataFrame:
+    return _interval(df, thresholds).groupBy(*by, "k").agg(F.sum(pos).alias("pos"), F.sum(neg).alias("neg"))
 
 
-def interval_counts_of(table: DataFrame, thresholds: list[float], by: list[str] = MODEL) -> DataFrame:
-    """The same from a score table."""
-    return _intervals(table, thresholds, by, F.col("pos"), F.col("neg"))
+def interval_counts(df: DataFrame, thresholds: Grid | list[float], by: list[str] = MODEL) -> DataFrame:
+    """Positives and negatives by ``k``, the number of thresholds not above the score."""
+    return _intervals(_clean(df, by), thresholds, by, F.col("y"), 1 - F.col("y"))
 
 
-def metrics_at_grid(df: DataFrame, thresholds: list[float], by: list[str] = MODEL) -> DataFrame:
+def metrics_at_grid(df: DataFrame, thresholds: Grid | list[float], by: list[str] = MODEL) -> DataFrame:
     """Confusion counts at every threshold, from one pass over the rows.
 
-    The rows collapse to at most ``len(thresholds) + 1`` intervals per model
-    before anything is ordered.
+    The rows collapse to at most one interval more than there are thresholds
+    per model before anything is ordered.
     """
     return _grid_metrics(interval_counts(df, thresholds, by), thresholds, by)
 
 
-def _grid_metrics(counts: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:
+def _grid_metrics(counts: DataFrame, thresholds: Grid | list[float], by: list[str]) -> DataFrame:
     per_model = counts.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("k", F.struct("pos", "neg")))).alias("m"),
         F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"),
     )
-    grid = F.array(*[F.lit(float(t)) for t in thresholds])
+    if isinstance(thresholds, Grid):
+        grid = F.expr(f"transform(sequence(0, {thresholds.points - 1}), i -> {_grid_point(thresholds, 'i')})")
+    else:
+        grid = F.expr(f"array({', '.join(map(real, thresholds))})")
     rows = per_model.select(*by, "m", "p_all", "n_all", F.posexplode(grid).alias("i", "threshold"))
     own = F.try_element_at("m", F.col("i") + 1)
     above = Window.partitionBy(*by).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -261,7 +278,7 @@ def sweep(df: DataFrame, grid: Grid, by: list[str] = MODEL, target: float | None
 
     With ``target``, also the lowest threshold whose accuracy reaches it.
     """
-    return _best_accuracy(metrics_at_grid(df, grid.values(), by), by, target)
+    return _best_accuracy(metrics_at_grid(df, grid, by), by, target)
 
 
 def _best_accuracy(table: DataFrame, by: list[str], target: float | None = None) -> DataFrame:
@@ -272,16 +289,30 @@ def _best_accuracy(table: DataFrame, by: list[str], target: float | None = None)
     return table.groupBy(*by).agg(best.alias("b"), *extra).select(*by, "b.*", *(["target_threshold"] if extra else []))
 
 
-def sweep_and_auc(df: DataFrame, grid: Grid, by: list[str] = MODEL, **kw) -> DataFrame:
-    """Best threshold of the grid, its confusion counts, and the AUC.
+def sweep_and_auc(df: DataFrame, grid: Grid, by: list[str] = MODEL, rows: int | None = None, **kw) -> DataFrame:
+    """Best threshold of the grid, its confusion counts, and the AUC, in one pass.
 
-    Both come from one score table: its shuffle is the only one that grows with
-    the data.
+    The counts of a curve point hold for all thresholds down to the next lower
+    score, so the lowest grid point in that interval is its candidate.
     """
-    table = score_table(df, by)
-    best = _best_accuracy(_grid_metrics(interval_counts_of(table, grid.values(), by), grid.values(), by), by)
-    auc = auc_from_curve(curve_of(table, by, df.count(), **kw), by)
-    return best.join(auc.select(*by, "roc_auc"), by)
+    points = curve_of(_interval(score_table(df, by), grid), by, df.count() if rows is None else rows, leads=["k"], **kw)
+    d = lambda c: F.col(c).cast("double")
+    n = d("p_all") + d("n_all")
+
+    def candidate(i: str, tp: Column, fp: Column) -> Column:
+        right = (tp + F.col("n_all") - fp).cast("double")
+        return F.struct(ratio(right, n).alias("accuracy"), F.expr(f"-({_grid_point(grid, i)})").alias("down"), tp.alias("tp"), fp.alias("fp"))
+
+    zero = F.lit(0).cast("long")
+    sums = points.groupBy(*by).agg(
+        F.max(F.when(F.expr("coalesce(next_k, 0) < k"), candidate("coalesce(next_k, 0)", F.col("tp"), F.col("fp")))).alias("inner"),
+        F.max(F.when((F.col("rank") == 1) & (F.col("k") < grid.points), candidate("k", zero, zero))).alias("above"),
+        F.max("p_all").alias("p_all"), F.max("n_all").alias("n_all"), _area().alias("area"),
+    ).withColumn("b", F.greatest("inner", "above"))
+    return sums.select(
+        *by, F.expr("0D - b.down").alias("threshold"), "b.accuracy", "b.tp", "b.fp",
+        (F.col("n_all") - F.col("b.fp")).alias("tn"), (F.col("p_all") - F.col("b.tp")).alias("fn"),
+        ratio(F.col("area"), d("p_all") * d("n_all")).alias("roc_auc"))
 
 
 def best_f1(df: DataFrame, by: list[str] = MODEL, **kw) -> DataFrame:

@@ -444,8 +444,9 @@ def stream_score(spark, sf):
     bundle = A.Bundle("events", model, threshold, ["value", "k"])
     schema = read_table(spark, sf, "events").schema
     files = scratch_path(spark, "event_files")
-    read_table(spark, sf, "events").repartition(4, "event_id").write.parquet(files)
-    stream = _event_features(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(files))
+    n = spark.sparkContext.defaultParallelism
+    read_table(spark, sf, "events").repartition(n, "event_id").write.parquet(files)
+    stream = _event_features(spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, n // 2)).parquet(files))
     out = scratch_path(spark, "stream_scores")
     Z.stream_score(bundle, stream, out, f"{out}_checkpoint", ["row_id", "y"]).awaitTermination()
     batch = X.predict(bundle, table).select("row_id", F.col("pred").alias("batch_pred"), F.col("proba").alias("batch_proba"))

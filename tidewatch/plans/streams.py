@@ -20,14 +20,16 @@ EVENT_FIELDS = "event_id long, event_type string, value double"
 
 def _event_files(spark, sf):
     path = scratch_path(spark, "event_files")
-    read_table(spark, sf, "events").select("event_id", "event_type", "value").repartition(4, "event_id").write.csv(path)
-    return path
+    files = spark.sparkContext.defaultParallelism
+    read_table(spark, sf, "events").select("event_id", "event_type", "value").repartition(files, "event_id").write.csv(path)
+    return path, files
 
 
 def _event_stream(spark, sf):
     from pyspark.sql.types import StructType
     schema = StructType.fromDDL(EVENT_FIELDS)
-    return D.stream_csv(spark, _event_files(spark, sf), schema, max_files=2)
+    path, files = _event_files(spark, sf)
+    return D.stream_csv(spark, path, schema, max_files=max(1, files // 2))
 
 
 def _scored(df):
