@@ -181,18 +181,22 @@ class Member:
     features: list[str]
 
 
-def _share(seed: int, middle: float, spread: float) -> float:
-    """Seeded fraction around ``middle``, between 0.4 and 1."""
-    u = int(hashlib.md5(str(seed).encode()).hexdigest()[:8], 16) / 2**32
-    return max(0.4, min(1.0, middle + (2 * u - 1) * spread))
+# Ranges the shares of columns and rows of a bag are drawn from.
+BAG_COLUMNS, BAG_ROWS = (0.4, 0.8), (0.5, 0.9)
+
+
+def _share(key: str, limits: tuple[float, float]) -> float:
+    """Seeded fraction between the limits."""
+    u = int(hashlib.md5(key.encode()).hexdigest()[:8], 16) / 2**32
+    return limits[0] + u * (limits[1] - limits[0])
 
 
 def fit_bag(df: DataFrame, label: str, features: list[str], row_id: str, n: int = 12, seed: int = 1000, family: str = "boosted", params: dict | None = None) -> list[Member]:
     """Models on seeded shares of rows and columns; combine them with ``score_members``."""
     def one(i: int) -> Member:
         s = seed + i
-        used = bag_columns(features, _share(2 * s, 0.6, 0.2), s)
-        rows = bag_rows(df, row_id, _share(2 * s + 1, 0.7, 0.2), s)
+        used = bag_columns(features, _share(f"columns|{s}", BAG_COLUMNS), s)
+        rows = bag_rows(df, row_id, _share(f"rows|{s}", BAG_ROWS), s)
         return Member(f"bag{i}", fit(rows, label, used, family, {**(params or {}), "seed": s}, tag=f"bag{i}"), used)
 
     return _threads(list(range(n)), one)

@@ -298,6 +298,20 @@ def history(spark, sf):
     return L.history(_search(spark, sf, "accuracy"), spark)
 
 
+@query("ud1_callable_fitness")
+def callable_fitness(spark, sf):
+    df = frame(spark, sf)
+
+    def mean_f(rows, names):
+        """Average F of the chosen columns, less a little for each of them."""
+        from tidewatch.operators.statistics import anova_f
+        return anova_f(rows, names, "y").agg(F.avg("f")).first()[0] - 0.01 * len(names)
+
+    fit_ = L.CallableFitness(df, DIMS[:8], mean_f)
+    found = L.MaskSearch(population=3, rounds=1, seed=2).fit(fit_)
+    return spark.createDataFrame([(f, int(on), found.score) for f, on in zip(DIMS, found.mask)], "feature string, kept int, score double")
+
+
 @query("fs6_permutation_importance")
 def permutation(spark, sf):
     train, test = _parts(spark, sf)

@@ -11,19 +11,19 @@ from tidewatch.sources.tables import read_table
 
 rnd = lambda c, n=6: F.round(c, n).alias(c)
 # Constant, all-zero and sparse columns are planted next to the real ones.
-PLANTED = ["zero", "three", "rare", "gaps"]
+PLANTED = ["price", "zero", "three", "rare", "gaps"]
 
 
 def planted():
     return {
-        "zero": F.lit(0.0), "three": F.lit(3.0), "rare": F.when(F.col("l_orderkey") == 17, 1.0).otherwise(0.0),
+        "price": F.col("l_extendedprice") / F.lit(1000.0), "zero": F.lit(0.0), "three": F.lit(3.0), "rare": F.when(F.col("l_orderkey") == 17, 1.0).otherwise(0.0),
         "gaps": F.when(F.col("l_linenumber") > 3, F.col("l_quantity")),
     }
 
 
-PROFILE_COLUMNS = LINEITEM_NUMERIC + ["l_linenumber", *PLANTED]
+PROFILE_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", *PLANTED]
 PROFILE_BASE_SQL = """
-base AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber::DOUBLE AS l_linenumber, 0::DOUBLE AS zero, 3::DOUBLE AS three,
+base AS (SELECT l_quantity, l_extendedprice / 1000::DOUBLE AS price, l_discount, l_tax, l_linenumber::DOUBLE AS l_linenumber, 0::DOUBLE AS zero, 3::DOUBLE AS three,
            CASE WHEN l_orderkey = 17 THEN 1::DOUBLE ELSE 0 END AS rare, CASE WHEN l_linenumber > 3 THEN l_quantity END AS gaps FROM lineitem),
 prof AS (""" + " UNION ALL ".join(f"""
   SELECT '{c}' AS feature, round(var_pop({c}), 4) AS variance, count(DISTINCT {c}) AS n_unique,
