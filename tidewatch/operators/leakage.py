@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.functions.expressions import ratio
 from tidewatch.operators.columns import numeric_columns
-from tidewatch.operators.profiling import stacked
-from tidewatch.operators.statistics import label_cells, mutual_info, mutual_info_from_counts, pearson
+from tidewatch.operators.profiling import counted_values
+from tidewatch.operators.statistics import information, information_sums, label_sums, mutual_info, pearson
 
 # Label means at or beyond which a value is called deterministic.
 LOW, HIGH = 0.001, 0.999
 
 
 def cells(df: DataFrame, names: list[str], label: str) -> DataFrame:
-    """(feature, value, pos, neg, n): the one shuffle the whole scan reads from."""
-    long = stacked(df, names, [F.col(label).cast("long").alias("y")], as_text=True)
-    return label_cells(long).withColumn("n", F.col("pos") + F.col("neg"))
+    """(feature, value, pos, neg, n): the counts the whole scan reads from."""
+    y = F.col(label).cast("long").alias("__y")
+    return counted_values(df, names, label_sums("__y"), [y]).withColumn("n", F.col("pos") + F.col("neg"))
 
 
 def label_rate(df: DataFrame, names: list[str], label: str) -> DataFrame:
@@ -74,20 +74,21 @@ def leakage_scan(
     stats = table.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_unique"), ratio(F.count(F.lit(1)), F.sum("n")).alias("prop_unique"),
         F.count(F.when(is_det, 1)).alias("deterministic_values"), covered.alias("rows_covered"),
-        ratio(covered, F.sum("n")).alias("rows_covered_pct"),
-    )
+        ratio(covered, F.sum("n")).alias("rows_covered_pct"), *information_sums(),
+    ).withColumn("of_values", information()).drop("__inner", "__pos", "__neg")
     common = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("value").asc_nulls_first())
     top = (
         table.withColumn("r", F.row_number().over(common)).where(F.col("r") <= k)
         .groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("r", "value", "n"))).alias("t"))
         .select("feature", F.transform("t", lambda x: F.concat_ws("=", x["value"], x["n"].cast("string"))).alias("top_values"))
     )
-    mi = mutual_info_from_counts(table.where(F.col("feature").isin(texts)))
-    if numbers:
-        mi = mi.unionByName(mutual_info(df, numbers, label, bins))
-    out = stats.join(top, "feature", "left").join(mi, "feature", "left")
+    out = stats.join(top, "feature", "left")
     if numbers:
-        out = out.join(pearson(df, numbers, label), "feature", "left")
+        binned = mutual_info(df, numbers, label, bins).withColumnRenamed("mutual_information", "of_bins")
+        out = out.join(binned, "feature", "left").join(pearson(df, numbers, label), "feature", "left")
+        is_text = F.col("feature").isin(texts) if texts else F.lit(False)
+        out = out.withColumn("mutual_information", F.when(is_text, F.col("of_values")).otherwise(F.col("of_bins"))).drop("of_bins")
     else:
-        out = out.withColumn("correlation", F.lit(None).cast("double"))
+        out = out.withColumns({"mutual_information": F.col("of_values"), "correlation": F.lit(None).cast("double")})
+    out = out.drop("of_values")
     return out.orderBy(F.col("mutual_information").desc_nulls_last(), "feature")

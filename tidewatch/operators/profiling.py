@@ -47,15 +47,31 @@ def per_column(
     return reduce(DataFrame.unionByName, parts)
 
 
-def stacked(df: DataFrame, names: list[str], keep: list[Column | str] = (), as_text: bool = False) -> DataFrame:
-    """Long form ``(keep..., feature, value)``."""
-    value = (lambda c: f"CAST({quoted(c)} AS STRING)") if as_text else number
-    rows = ", ".join(f"struct({text(c)} AS feature, {value(c)} AS value)" for c in names)
+def stacked(df: DataFrame, names: list[str], keep: list[Column | str] = ()) -> DataFrame:
+    """Long form ``(keep..., feature, value)`` of columns as numbers."""
+    rows = ", ".join(f"struct({text(c)} AS feature, {number(c)} AS value)" for c in names)
     return df.select(*keep, F.expr(f"inline(array({rows}))"))
 
 
+def counted_values(df: DataFrame, names: list[str], sums: list[Column], keep: list[Column | str] = ()) -> DataFrame:
+    """(feature, value as text, sums...): columns of one type are counted in that type.
+
+    Text is made of the distinct values only. Each part reads its own columns.
+    """
+    kinds: dict[str, list[str]] = {}
+    for c in names:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    parts = []
+    for same in kinds.values():
+        rows = ", ".join(f"struct({text(c)} AS feature, {quoted(c)} AS value)" for c in same)
+        counted = df.select(*keep, F.expr(f"inline(array({rows}))")).groupBy("feature", "value").agg(*sums)
+        parts.append(counted.withColumn("value", F.col("value").cast("string")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def value_counts(df: DataFrame, names: list[str], as_text: bool = True) -> DataFrame:
-    return stacked(df, names, as_text=as_text).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1)).alias("n")
+    return counted_values(df, names, [n]) if as_text else stacked(df, names).groupBy("feature", "value").agg(n)
 
 
 # Aggregates behind a column profile.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.expressions import count_cuts, number, quoted, ratio, real, text, xlogx
 from tidewatch.operators.ordering import ROWS_PER_TASK
-from tidewatch.operators.profiling import per_column, stacked
+from tidewatch.operators.profiling import counted_values, per_column
 
 PAIRS_PER_JOB = 200
 
@@ -79,27 +79,24 @@ def corr_matrix_pairs(df: DataFrame, names: list[str], n: int | None = 20) -> Da
     return ranked if n is None else ranked.limit(n)
 
 
-def mutual_info_from_counts(cells: DataFrame, by: list[str] = ("feature",)) -> DataFrame:
-    """Mutual information in nats from ``(by..., value, pos, neg)`` counts.
+def information_sums() -> list[Column]:
+    """Aggregates of (pos, neg) cells from which ``information`` is computed."""
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    return [
+        F.sum(xlogx(pos) + xlogx(neg) - xlogx(pos + neg)).alias("__inner"), F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg")]
 
-    Written with n ln n sums, it needs no join to the margins.
-    """
-    d = lambda c: F.col(c).cast("double")
-    both = d("pos") + d("neg")
-    sums = cells.groupBy(*by).agg(
-        F.sum(xlogx(d("pos")) + xlogx(d("neg")) - xlogx(both)).alias("inner"),
-        F.sum("pos").alias("p"), F.sum("neg").alias("m"),
-    )
-    total = d("p") + d("m")
-    mi = ratio(F.col("inner") - xlogx(d("p")) - xlogx(d("m")) + xlogx(total), total)
-    return sums.select(*by, F.greatest(mi, F.lit(0.0)).alias("mutual_information"))
 
+def information() -> Column:
+    """Mutual information in nats. Written with n ln n sums it needs no join to the margins."""
+    pos, neg = F.col("__pos").cast("double"), F.col("__neg").cast("double")
+    mi = ratio(F.col("__inner") - xlogx(pos) - xlogx(neg) + xlogx(pos + neg), pos + neg)
+    return F.greatest(mi, F.lit(0.0))
 
-def label_cells(long: DataFrame, y: str = "y") -> DataFrame:
-    """Positives and negatives of each (feature, value); one shuffle for all columns."""
-    return long.groupBy("feature", "value").agg(
-        F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg")
-    )
+
+def label_sums(y: str = "y") -> list[Column]:
+    """Positives and negatives of a group."""
+    y = F.col(y).cast("long")
+    return [F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")]
 
 
 def mutual_info(df: DataFrame, names: list[str], label: str, bins: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -109,10 +106,11 @@ def mutual_info(df: DataFrame, names: list[str], label: str, bins: int | None =
     """
     y = F.col(label).cast("long").alias("y")
     if bins is None:
-        long = stacked(df, names, [y], as_text=True)
+        cells = counted_values(df, names, label_sums(), [y])
     else:
-        long = quantile_bins(df, names, bins, [y], rows_per_task).select("y", "feature", F.col("bin").alias("value"))
-    return mutual_info_from_counts(label_cells(long))
+        long = quantile_bins(df, names, bins, [y], rows_per_task)
+        cells = long.groupBy("feature", "bin").agg(*label_sums())
+    return cells.groupBy("feature").agg(*information_sums()).select("feature", information().alias("mutual_information"))
 
 
 def quantile_bins(df: DataFrame, names: list[str], bins: int, keep: list[Column], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
