@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatch.functions.expressions import col
-from tidewatch.operators.ordering import join_null_safe, materialize, ordered_index
+from tidewatch.operators.ordering import materialize, ordered_index
 
 # The word of the negative class and the characters stripped around labels.
 NEGATIVE_WORD = "normal"

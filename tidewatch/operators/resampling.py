@@ -8,8 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidewatch.functions.expressions import hash_key
-from tidewatch.operators.ordering import join_null_safe, materialize, ordered_index
+from tidewatch.operators.ordering import ordered_index
 from tidewatch.operators.splitting import sample_n
 
 MAX_PIVOTS = 256

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import ensembles as E
-from tidewatch.plans.frames import SCORE_NAMES, SCORES_SQL, WIDE_SQL, embedding_columns, event_scores, event_scores_wide
+from tidewatch.plans.frames import SCORE_NAMES, WIDE_SQL, embedding_columns, event_scores, event_scores_wide
 from tidewatch.plans.registry import query
 from tidewatch.plans.statistics import ANOVA_SQL, DIMS, rnd
 from tidewatch.sources.tables import read_table

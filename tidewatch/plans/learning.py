@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.foreign import proba_udf
-from tidewatch.functions.grids import GRIDS
 from tidewatch.operators import (
     calibration as B, models as M, scores as S, scoring as X, selection as L, stacking as K, tuning as U,
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import preparation as Q, resampling as R
-from tidewatch.plans.frames import LINEITEM_NUMERIC, embedding_columns
+from tidewatch.plans.frames import LINEITEM_NUMERIC
 from tidewatch.plans.profiling import DOC_SQL, labelled_documents
 from tidewatch.plans.registry import query
 from tidewatch.sources.tables import read_table

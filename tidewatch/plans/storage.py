@@ -7,7 +7,6 @@ from pyspark.sql import functions as F, types as T
 from tidewatch.operators import scores as S
 from tidewatch.plans.evaluation import CATALOGUE_SQL, _catalogue
 from tidewatch.plans.frames import WIDE_SQL, event_scores_wide
-from tidewatch.plans.profiling import rnd
 from tidewatch.plans.registry import query
 from tidewatch.session import scratch_path
 from tidewatch.sources import catalogue as G, delimited as D, documents as J, writers as W
