@@ -60,12 +60,13 @@ def with_base(docs: DataFrame, prefix: str = "") -> DataFrame:
         F.lit(0).cast("long"), lambda a, x: a + x)
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, " \t\n\x0b\f\r", "")) > 0)
     n_lines, n_words = f"{prefix}n_lines", f"{prefix}n_words"
-    out = again.withColumns({
-        n_words: F.size(words).cast("long"), f"{prefix}word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
-        f"{prefix}n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        n_lines: F.size(lines).cast("long"), f"{prefix}n_repeat_words": covered,
-        f"{prefix}n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-    }).drop(*names)
+    stats = F.struct(
+        F.size(words).cast("long").alias(n_words), F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias(f"{prefix}word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias(f"{prefix}n_symbols"),
+        F.size(lines).cast("long").alias(n_lines), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias(f"{prefix}n_dup_lines"),
+        covered.alias(f"{prefix}n_repeat_words"))
+    # a generator of one row: filters on the statistics stay above it, so none of them is worked out twice
+    out = again.withColumn(f"{prefix}stats", F.explode(F.array(stats))).drop(*names).select("*", f"{prefix}stats.*").drop(f"{prefix}stats")
     repeat = F.col(f"{prefix}n_repeat_words")
     return out.withColumn(f"{prefix}base_failed", (F.col(n_words) < 50) | (100 * repeat > 50 * F.col(n_words)))
 
