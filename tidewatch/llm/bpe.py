@@ -31,7 +31,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm.common import table, worker_cache
+from tidewatch.llm.common import map_batches, table, worker_cache
 from tidewatch.llm.registry import query
 
 KEPT_WORDS = 500_000
@@ -246,7 +246,7 @@ def encode_column(docs: DataFrame, path: str, keep: list[str], ids: bool = False
             out = batch.assign(n_tokens=np.array(counts, np.int64), ids_sha256=first, decoded_sha256=second)
             yield out.assign(ids=lists) if ids else out
 
-    return chosen.mapInPandas(run, schema)
+    return map_batches(chosen, run, schema)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

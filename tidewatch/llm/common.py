@@ -16,7 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
 #: Bytes of text that are turned into arrays at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
+#: Bytes of a batch that Python tasks get at once (a longer row comes alone).
+BATCH_BYTES = 8 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -32,6 +34,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInPandas`` over batches of bounded bytes, so a task's memory does not depend on the length of texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInPandas(run, schema)
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "left") -> DataFrame:
     """Equi-join whose keys may be hot on the left: each key is dealt over ``SALTS`` tasks by ``spread``.
 
@@ -73,14 +81,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n, 1).bit_length()
-
-    def of(base: int) -> np.ndarray:
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    return worker_cache(f"powers {size}", lambda: (of(_BASE), of(_INVERSE)))
+    """Powers of the base and of its inverse, at least ``n``; one table per worker, which a longer word makes grow."""
+    kept = worker_cache("powers", dict)
+    if len(kept.get("up", ())) < n:
+        size = max(n, CHUNK + 1)
+        for name, base in (("up", _BASE), ("down", _INVERSE)):
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            kept[name] = np.cumprod(out, dtype=np.uint64)
+    return kept["up"], kept["down"]
 
 
 def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -31,13 +31,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidewatch.llm.common import checkpointed, mix64, salted_join, small_join, table, word_hashes
+from tidewatch.llm.common import checkpointed, map_batches, mix64, salted_join, small_join, table, word_hashes
 from tidewatch.llm.graph import components
 from tidewatch.llm.registry import query
 
 #: Entries of the table of frequent tokens that every task holds (16 bytes each).
 FREQUENT = 1 << 20
 CHAINS = 4
+GATHERED = 3 << 20
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
@@ -72,20 +73,31 @@ def _signed(values) -> np.ndarray:
 
 
 def frequent_tokens(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the most frequent tokens: those found in several sets of a batch, summed over all batches.
+    """Sorted hashes and counts of the most frequent tokens: those found in several sets that a task holds
+    at once (``GATHERED`` tokens), summed over all tasks.
 
     All documents are read. The least count is the smallest for which the table stays below ``most`` entries.
     """
+    def summed(seen: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        token, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+        return pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            seen: dict[tuple, np.ndarray] = {}
             for tokens in shingle_sets(list(batch["text"]), width):
-                seen.setdefault((len(tokens), int(_fingerprint(tokens, 1))), tokens)
-            if seen:
-                token, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-                yield pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
-
-    counted = checkpointed(docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+                key = len(tokens), int(_fingerprint(tokens, 1))
+                if key not in seen:
+                    seen[key] = tokens
+                    held += len(tokens)
+                if held >= GATHERED:
+                    yield summed(seen)
+                    seen, held = {}, 0
+        if seen:
+            yield summed(seen)
+
+    counted = checkpointed(map_batches(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     steps = counted.groupBy(F.floor(F.log2("n") * 8).alias("step")).count().orderBy(F.desc("step")).toPandas()
     fits = steps[steps["count"].cumsum() <= most]
     if fits.empty:
@@ -136,7 +148,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarr
                     "gid": np.concatenate(gid).view(np.int64), "token": np.concatenate(token).view(np.int64),
                     "pos": np.concatenate(pos).astype(np.int32)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, gid long, token long, pos int")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, f1 long, f2 long, gid long, token long, pos int")
 
 
 def _reachable(percent: int, bound: Column) -> Column:
@@ -166,8 +178,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
             yield pd.DataFrame({"id": ids, "tokens": lists})
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sets = small_join(rows, needed, ["doc_id"], F.col("doc_id"), "inner").select("doc_id", "text").mapInPandas(
-        run, "id long, tokens array<long>").dropDuplicates(["id"])
+    sets = map_batches(small_join(rows, needed, ["doc_id"], F.col("doc_id"), "inner").select("doc_id", "text"), run, "id long, tokens array<long>").dropDuplicates(["id"])
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
     common = F.size(F.array_intersect("left", "right"))

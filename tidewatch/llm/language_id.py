@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import crc_mod, table, worker_cache
+from tidewatch.llm.common import crc_mod, map_batches, table, worker_cache
 from tidewatch.llm.registry import query
 
 PER_LANGUAGE = 2000
@@ -183,7 +183,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             used = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "cell": used, "n": total[used]})
 
-    cells = rows.where(drawn).mapInPandas(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = map_batches(rows.where(drawn), count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     place = {name: i for i, name in enumerate(languages)}
     counted = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))
     counted[cells["cell"].to_numpy(), cells["lang"].map(place).to_numpy(dtype=int)] = cells["n"].to_numpy()
@@ -237,7 +237,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
             out = batch.assign(lang_pred=np.concatenate(preds) if preds else [], score=np.concatenate(shares) if shares else [])
             yield out.assign(spans=found) if spans else out
 
-    return docs.mapInPandas(run, ", ".join([*kinds, *extra]))
+    return map_batches(docs, run, ", ".join([*kinds, *extra]))
 
 
 def _spans(text, label, starts, letters, n: int, languages: list[str]) -> list[list[dict]]:

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import checkpointed, mix64, salted_join, table
+from tidewatch.llm.common import checkpointed, map_batches, mix64, salted_join, table
 from tidewatch.llm.graph import components
 from tidewatch.llm.registry import query
 
@@ -134,8 +134,7 @@ def linked(nodes: DataFrame, cosine: float = COSINE, tables: int = TABLES, block
                 flat = cells.reshape(len(part), -1).view(np.int64)
                 yield pd.DataFrame({"node": part["node"].to_numpy(), "weight": part["weight"].to_numpy(), "unit": list(x), "codes": list(flat)})
 
-    coded = checkpointed(nodes.select("node", "weight", "vector").mapInPandas(
-        code, "node long, weight long, unit array<double>, codes array<long>"))
+    coded = checkpointed(map_batches(nodes.select("node", "weight", "vector"), code, "node long, weight long, unit array<double>, codes array<long>"))
     entries = coded.select("node", F.posexplode("codes").alias("_at", "cell")).select(
         "node", "cell", (F.floor(F.col("_at") / width)).cast("int").alias("t"), (F.col("_at") % width == 0).alias("own"))
     # cells where somebody is at home and somebody else is found
@@ -164,7 +163,7 @@ def linked(nodes: DataFrame, cosine: float = COSINE, tables: int = TABLES, block
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             yield _compared(rest, np.concatenate([[0], cut, [len(rest)]]), tables, width, cosine)
 
-    return work.mapInPandas(compare, "a long, b long, n long")
+    return map_batches(work, compare, "a long, b long, n long")
 
 
 def _compared(rows: pd.DataFrame, bounds: np.ndarray, tables: int, width: int, cosine: float) -> pd.DataFrame:

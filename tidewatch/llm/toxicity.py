@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import crc_mod, table
+from tidewatch.llm.common import crc_mod, map_batches, table
 from tidewatch.llm.registry import query
 
 SAMPLE = 8000
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         model = fit_model([texts[i] for i in order], [toxic[i] for i in order])
         yield pd.DataFrame({"feature": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
 
-    cells = rows.repartition(1).mapInPandas(fit, "feature string, weight double").toPandas()
+    cells = map_batches(rows.repartition(1), fit, "feature string, weight double").toPandas()
     weights = dict(zip(cells["feature"], cells["weight"], strict=True))
     return Model(weights.pop("", 0.0), weights)
 
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.assign(score=np.array([use.score(t) for t in batch["text"]], float))
 
-    return docs.mapInPandas(run, ", ".join([*kinds, "score double"]))
+    return map_batches(docs, run, ", ".join([*kinds, "score double"]))
 
 
 def held_out() -> Column:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import checkpointed, salted_join, table
+from tidewatch.llm.common import checkpointed, map_batches, salted_join, table
 from tidewatch.llm.registry import query
 from tidewatch.session import scratch_path
 
@@ -129,7 +129,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
 
     # ids are read as text, so that a null does not turn them into rounded numbers
     as_text = named.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
-    records = as_text.mapInPandas(run, "record binary")
+    records = map_batches(as_text, run, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option(
         "compression", "gzip").option("maxRecordsPerFile", RECORDS).text(folder)
 
@@ -228,7 +228,7 @@ def read_records(spark: SparkSession, folder: str, payloads: bool = False) -> Da
                         rows, held = [], 0
         yield frame(rows)
 
-    return files.mapInPandas(run, _PARSED)
+    return map_batches(files, run, _PARSED)
 
 
 def reassemble(records: DataFrame, payloads: bool = False) -> DataFrame:
@@ -258,7 +258,7 @@ def reassemble(records: DataFrame, payloads: bool = False) -> DataFrame:
                 rows += [(r.origin, r.page_id, r.payload_digest, len(payload), payload if payloads else None)] * int(r.n)
             yield pd.DataFrame(rows, columns=["record_id", "page_id", "payload_digest", "payload_bytes", "payload"])
 
-    decoded = whole.mapInPandas(run, "record_id string, page_id string, payload_digest string, payload_bytes long, payload binary")
+    decoded = map_batches(whole, run, "record_id string, page_id string, payload_digest string, payload_bytes long, payload binary")
     return decoded.withColumn("page_id", F.col("page_id").cast("long"))
 
 
