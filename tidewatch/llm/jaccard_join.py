@@ -36,7 +36,7 @@ from tidewatch.llm.graph import components
 from tidewatch.llm.registry import query
 
 #: Entries of the table of frequent tokens that every task holds (16 bytes each).
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 CHAINS = 4
 GATHERED = 3 << 20
 
