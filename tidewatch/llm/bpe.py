@@ -244,7 +244,7 @@ def encode_column(docs: DataFrame, path: str, keep: list[str], ids: bool = False
                 if ids:
                     lists.append(np.frombuffer(code, "<u4").astype(np.int64))
             out = batch.assign(n_tokens=np.array(counts, np.int64), ids_sha256=first, decoded_sha256=second)
-            yield out.assign(ids=lists) if ids else out
+            yield out.assign(ids=pd.Series(lists, index=out.index, dtype=object)) if ids else out
 
     return map_batches(chosen, run, schema)
 

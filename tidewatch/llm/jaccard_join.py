@@ -18,8 +18,8 @@ documents whose pairs are verified. The order's table of frequent tokens is boun
 Tokens are 64-bit hashes of shingles; sets are compared by them.
 
 Defined results: null texts, and texts without words, have no shingles and are linked with nothing; texts with fewer words than
-a shingle have one, the whole sequence; rows that repeat an id with the same text are one node and come back as often as they stand
-(with different texts: each row by its own text); rows without an id come back without component; an empty table gives no rows;
+a shingle have one, the whole sequence; rows that repeat an id come back as often as they stand, and are one node even if their
+texts differ; rows without an id come back without component; an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -37,7 +37,7 @@ from tidewatch.llm.registry import query
 
 #: Entries of the table of frequent tokens that every task holds (16 bytes each).
 FREQUENT = 1 << 18
-CHAINS = 4
+CHAINS, CELLS = 8, 128
 GATHERED = 3 << 20
 
 
@@ -108,47 +108,75 @@ def frequent_tokens(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple[
     return token[order], kept["n"].to_numpy(np.int64)[order]
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, f1, f2, gid) per document, and (token, gid, n, pos) per token of a group's prefix."""
+def _ordered(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens from rare to frequent (then by hash), and their weights: 0 for those outside the table."""
+    known, counts = frequent
+    if not len(known):
+        return tokens, np.zeros(len(tokens), np.int64)
+    place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    weight = np.where(known[place] == tokens, counts[place], 0)
+    order = np.argsort(weight, kind="stable")
+    return tokens[order], weight[order]
+
+
+def _prefix(tokens: np.ndarray, percent: int, frequent) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """Prefix of a set, its weights, and the number of the group of sets with this prefix and size."""
+    n = len(tokens)
+    ordered, weight = _ordered(tokens, frequent)
+    length = n - (percent * n + 99) // 100 + 1
+    return ordered[:length], weight[:length], mix64(_fingerprint(ordered[:length], 3).reshape(1) + np.uint64(n))[0]
+
+
+def document_keys(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+    """``(doc_id, n, f1, f2, gid, sketch)``: set size and fingerprint, group, and how many tokens fall in each of ``CELLS`` cells."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, tokens in zip(batch["doc_id"], shingle_sets(list(batch["text"]), width), strict=True):
+                f1, f2 = _signed([_fingerprint(tokens, 1), _fingerprint(tokens, 2)])
+                gid = _signed([_prefix(tokens, percent, shared.value)[2]])[0] if len(tokens) else 0
+                cells = np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
+                rows.append((doc_id, len(tokens), f1, f2, gid, cells))
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "gid", "sketch"])
+            yield out.astype({"doc_id": "Int64"})
+
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, f1 long, f2 long, gid long, sketch array<int>")
+
+
+def token_lists(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+    """``(token, chain, gid, n, pos)``: groups that share a prefix token, once each.
+
+    Frequent tokens are dealt over ``CHAINS`` chains. Other tokens have one, and are left out if only one group has them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = shared.value
         for batch in batches:
-            sizes, f1, f2, gids = [], [], [], []
             groups: set[int] = set()
-            token, gid, size, pos = [], [], [], []
+            token, chain, gid, size, pos = [], [], [], [], []
             for tokens in shingle_sets(list(batch["text"]), width):
-                n = len(tokens)
-                sizes.append(n)
-                f1.append(_fingerprint(tokens, 1))
-                f2.append(_fingerprint(tokens, 2))
-                if not n:
-                    gids.append(np.uint64(0))
+                if not len(tokens):
+                    continue
+                prefix, weight, group = _prefix(tokens, percent, shared.value)
+                if int(group) in groups:
                     continue
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    weight = np.where(known[place] == tokens, counts[place], 0)
-                    tokens = tokens[np.argsort(weight, kind="stable")]
-                prefix = tokens[:n - (percent * n + 99) // 100 + 1]
-                group = mix64(_fingerprint(prefix, 3).reshape(1) + np.uint64(n))[0]
-                gids.append(group)
-                if int(group) not in groups:
-                    groups.add(int(group))
-                    token.append(prefix)
-                    gid.append(np.full(len(prefix), group, np.uint64))
-                    size.append(np.full(len(prefix), n))
-                    pos.append(np.arange(len(prefix)))
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n": np.array(sizes, np.int64), "f1": _signed(f1), "f2": _signed(f2), "gid": _signed(gids),
-                "token": np.zeros(len(batch), np.int64), "pos": np.full(len(batch), -1, np.int32)})
+                groups.add(int(group))
+                token.append(prefix)
+                chain.append(np.where(weight > 0, 1 + int(group % np.uint64(CHAINS)), 0).astype(np.int32))
+                gid.append(np.full(len(prefix), group, np.uint64))
+                size.append(np.full(len(prefix), len(tokens), np.int32))
+                pos.append(np.arange(len(prefix), dtype=np.int32))
             if token:
                 yield pd.DataFrame({
-                    "doc_id": pd.array([None], "Int64").repeat(sum(map(len, token))), "n": np.concatenate(size), "f1": 0, "f2": 0,
-                    "gid": np.concatenate(gid).view(np.int64), "token": np.concatenate(token).view(np.int64),
-                    "pos": np.concatenate(pos).astype(np.int32)})
+                    "token": np.concatenate(token).view(np.int64), "chain": np.concatenate(chain),
+                    "gid": np.concatenate(gid).view(np.int64), "n": np.concatenate(size), "pos": np.concatenate(pos)})
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, f1 long, f2 long, gid long, token long, pos int")
+    rows = map_batches(docs.select("text"), run, "token long, chain int, gid long, n int, pos int")
+    dealt = rows.repartition("token", "chain").distinct()
+    here = F.count("*").over(Window.partitionBy("token", "chain"))
+    return dealt.withColumn("here", here).where("chain > 0 OR here > 1").drop("here")
 
 
 def _reachable(percent: int, bound: Column) -> Column:
@@ -160,27 +188,29 @@ def _alike_sizes(percent: int) -> Column:
     return (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of document ids whose sets reach the threshold."""
-    pairs = checkpointed(pairs.select("a", "b").distinct())
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets reach the threshold.
+
+    Two sets cannot share more tokens than the smaller count of each cell of their sketches; what this leaves is held against each
+    other token by token.
+    """
+    sketch = nodes.select("node", "n", "sketch")
+    one = salted_join(pairs.select("a", "b").distinct(), sketch.toDF("a", "n1", "s1"), ["a"], F.col("b"), "inner")
+    two = salted_join(one, sketch.toDF("b", "n2", "s2"), ["b"], F.col("a"), "inner")
+    most = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    pairs = checkpointed(two.where(_alike_sizes(percent) & _reachable(percent, most)).select("a", "b"))
     needed = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("_in", F.lit(True)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, lists, held = [], [], 0
-            for i, tokens in zip(batch["doc_id"], shingle_sets(list(batch["text"]), width), strict=True):
-                ids.append(i)
-                lists.append(tokens.view(np.int64))
-                held += len(tokens)
-                if held >= 1 << 20:
-                    yield pd.DataFrame({"id": ids, "tokens": lists})
-                    ids, lists, held = [], [], 0
-            yield pd.DataFrame({"id": ids, "tokens": lists})
+            lists = [tokens.view(np.int64) for tokens in shingle_sets(list(batch["text"]), width)]
+            yield pd.DataFrame({"id": batch["doc_id"].to_numpy(), "tokens": pd.Series(lists, dtype=object)})
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sets = map_batches(small_join(rows, needed, ["doc_id"], F.col("doc_id"), "inner").select("doc_id", "text"), run, "id long, tokens array<long>").dropDuplicates(["id"])
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
+    sets = map_batches(
+        small_join(rows, needed, ["doc_id"], F.col("doc_id"), "inner").select("doc_id", "text"), run, "id long, tokens array<long>")
+    left = pairs.join(sets.toDF("a", "left"), "a")
+    both = left.join(sets.toDF("b", "right"), "b")
     common = F.size(F.array_intersect("left", "right"))
     return checkpointed(both.where(
         common * 100 >= (F.size("left") + F.size("right") - common) * percent).select("a", "b"))
@@ -188,32 +218,31 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 
 def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (doc_id, text)."""
-    rows = checkpointed(prefixes(docs, width, percent, frequent_tokens(docs, width)))
-    of_docs = rows.where("pos < 0").select("doc_id", "n", "f1", "f2", "gid")
+    frequent = frequent_tokens(docs, width)
+    of_docs = checkpointed(document_keys(docs, width, percent, frequent))
     # equal sets are one node, named by the smallest id
     nodes = checkpointed(of_docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(
-        F.min("doc_id").alias("node"), F.first("gid").alias("gid")))
+        F.min("doc_id").alias("node"), F.first("gid").alias("gid"), F.first("sketch").alias("sketch")))
     firsts = nodes.groupBy("gid").agg(F.min("node").alias("first"), F.count("*").alias("members"))
-    lists = rows.where("pos >= 0").select("token", "gid", "n", "pos").distinct()
+    lists = checkpointed(token_lists(docs, width, percent, frequent))
 
     # 1. neighbours by size within each token, and members against their group's first
-    near = Window.partitionBy("token", "_chain").orderBy("n", "gid")
-    chained = lists.withColumn("_chain", F.pmod(F.xxhash64("token", "gid"), F.lit(CHAINS))).select(
+    near = Window.partitionBy("token", "chain").orderBy("n", "gid")
+    chained = lists.select(
         "gid", F.col("n").alias("n1"), "pos", F.lag("gid").over(near).alias("gid2"), F.lag("n").over(near).alias("n2"), F.lag("pos").over(near).alias("pos2"))
-    bound = F.least("pos", "pos2") + 1 + F.least(F.col("n1") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1
+    bound = F.least("pos", "pos2") + F.least(F.col("n1") - F.col("pos"), F.col("n2") - F.col("pos2"))
     chained = chained.where(F.col("gid2").isNotNull() & _alike_sizes(percent) & _reachable(percent, bound)).select("gid", "gid2").distinct()
     of_group = firsts.select("gid", "first")
-    a = chained.join(of_group.withColumnRenamed("first", "a"), "gid").join(
-        of_group.select(F.col("gid").alias("gid2"), F.col("first").alias("b")), "gid2").select("a", "b")
-    inside = salted_join(nodes, firsts.where("members > 1"), ["gid"], F.col("node"), "inner").where("node <> first").select(
+    heads = chained.join(of_group.withColumnRenamed("first", "a"), "gid").join(of_group.toDF("gid2", "b"), "gid2").select("a", "b")
+    inside = salted_join(nodes.select("node", "gid"), firsts.where("members > 1"), ["gid"], F.col("node"), "inner").where("node <> first").select(
         F.col("first").alias("a"), F.col("node").alias("b"))
-    links = verified(docs, a.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), width, percent)
+    links = verified(docs, heads.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, width, percent)
     comp = components(links)
 
     # 2. what is still apart, per token
     named = checkpointed(salted_join(nodes.select("node", "gid"), comp, ["node"], F.col("gid")).select(
         "node", "gid", F.coalesce("component", "node").alias("comp")))
-    members = lists.join(named, "gid").select("token", "node", "comp", F.col("n").alias("n"), "pos")
+    members = lists.join(named, "gid").select("token", "node", "comp", "n", "pos")
     by_comp = members.groupBy("token", "comp").agg(F.count("*").alias("held"))
     mixed = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     apart = checkpointed(members.join(mixed.select("token", "main"), "token"))
@@ -221,6 +250,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     others = apart.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("main"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
     # pairs of two minor members are met from either side and kept once
     met = minor.join(others, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _alike_sizes(percent))
+    # the last shared token of both prefixes has the highest place in either
     bound = F.col("shared") + F.least(F.col("n1") - F.col("p1") - 1, F.col("n2") - F.col("p2") - 1)
     pairs = met.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.struct("n1", "p1", "n2", "p2")).otherwise(
@@ -228,10 +258,11 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     ).groupBy("a", "b").agg(
         F.count("*").alias("shared"), F.first("at.n1").alias("n1"), F.first("at.n2").alias("n2"), F.max("at.p1").alias("p1"), F.max("at.p2").alias("p2"),
     ).where(_reachable(percent, bound))
-    more = verified(docs, pairs, width, percent)
+    more = verified(docs, pairs, nodes, width, percent)
     whole = components(links.unionByName(more))
-    result = salted_join(nodes, whole, ["node"], F.col("gid")).select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))
-    out = salted_join(of_docs, result, ["n", "f1", "f2"], F.col("doc_id"))
+    result = salted_join(nodes.select("node", "gid", "n", "f1", "f2"), whole, ["node"], F.col("gid")).select(
+        "n", "f1", "f2", F.coalesce("component", "node").alias("component"))
+    out = salted_join(of_docs.drop("sketch"), result, ["n", "f1", "f2"], F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
