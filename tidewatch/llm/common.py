@@ -14,7 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table may be broadcast when it was written, counted and found below this.
 BROADCAST_BYTES = 16 << 20
-SALTS = 16
+SALTS = 8
 #: Bytes of text that are turned into arrays at once.
 CHUNK = 1 << 19
 #: Bytes of a batch that Python tasks get at once (a longer row comes alone).

@@ -195,8 +195,9 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, pe
     other token by token.
     """
     sketch = nodes.select("node", "n", "sketch")
-    one = salted_join(pairs.select("a", "b").distinct(), sketch.toDF("a", "n1", "s1"), ["a"], F.col("b"), "inner")
-    two = salted_join(one, sketch.toDF("b", "n2", "s2"), ["b"], F.col("a"), "inner")
+    # sketches are too wide to be copied for salts; adaptive execution splits a hot side of these joins
+    one = pairs.select("a", "b").distinct().join(sketch.toDF("a", "n1", "s1"), "a")
+    two = one.join(sketch.toDF("b", "n2", "s2"), "b")
     most = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     pairs = checkpointed(two.where(_alike_sizes(percent) & _reachable(percent, most)).select("a", "b"))
     needed = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("_in", F.lit(True)))
@@ -222,7 +223,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     of_docs = checkpointed(document_keys(docs, width, percent, frequent))
     # equal sets are one node, named by the smallest id
     nodes = checkpointed(of_docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(
-        F.min("doc_id").alias("node"), F.first("gid").alias("gid"), F.first("sketch").alias("sketch")))
+        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("gid").alias("gid"), F.first("sketch").alias("sketch")))
     firsts = nodes.groupBy("gid").agg(F.min("node").alias("first"), F.count("*").alias("members"))
     lists = checkpointed(token_lists(docs, width, percent, frequent))
 
@@ -260,8 +261,9 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     ).where(_reachable(percent, bound))
     more = verified(docs, pairs, nodes, width, percent)
     whole = components(links.unionByName(more))
-    result = salted_join(nodes.select("node", "gid", "n", "f1", "f2"), whole, ["node"], F.col("gid")).select(
-        "n", "f1", "f2", F.coalesce("component", "node").alias("component"))
+    # documents that are alone need no row here
+    result = salted_join(nodes.select("node", "gid", "n", "f1", "f2", "copies"), whole, ["node"], F.col("gid")).where(
+        "copies > 1 OR component IS NOT NULL").select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))
     out = salted_join(of_docs.drop("sketch"), result, ["n", "f1", "f2"], F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

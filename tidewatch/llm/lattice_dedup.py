@@ -237,7 +237,8 @@ def near_duplicates(rows: DataFrame, **settings) -> DataFrame:
     whole = nodes.select("k1", "k2", "node", "weight", "least").join(partners, "node", "left").join(comp, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_key = salted_join(whole, least, ["component"], F.col("node")).select(
+    # vectors that are alone need no row here
+    of_key = salted_join(whole.where("weight > 1 OR partners > 0"), least, ["component"], F.col("node")).select(
         "k1", "k2", (F.col("weight") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), "component_id")
     out = salted_join(keyed, of_key, ["k1", "k2"], F.col("vec_id")).select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
