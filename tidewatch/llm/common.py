@@ -13,7 +13,7 @@ from tidewatch.session import ready_to_checkpoint
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table may be broadcast when it was written, counted and found below this.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 SALTS = 8
 #: Bytes of text that are turned into arrays at once.
 CHUNK = 1 << 19

@@ -14,25 +14,27 @@ def _distinct(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links`` (a, b); the component is its smallest node.
 
-    Alternates two steps until nothing changes: every node ties its larger neighbours to its smallest one, then every node
+    Alternates two steps until all links are stars: every node ties its larger neighbours to its smallest one, then every node
     ties its smaller neighbours to the smallest. The number of rounds grows with the logarithm of the longest path;
     a node with very many links is dealt over several tasks.
     """
     edges = checkpointed(_distinct(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
-    known = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = _distinct(salted_join(both.where("b > a"), least, ["a"], F.col("b"), "inner").select(F.col("b").alias("a"), F.col("low").alias("b"))
                           .unionByName(least.select("a", F.col("low").alias("b"))))
-        large = checkpointed(large)
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = salted_join(large, low, ["a"], F.col("b"), "inner").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
             low.select("a", F.col("low").alias("b")))
         edges = checkpointed(_distinct(small))
-        now = edges.select(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
-        if now == known:
-            break
-        known = now
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return checkpointed(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one link, and no smaller end is a larger end elsewhere."""
+    sides = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    wrong = sides.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)")
+    return wrong.isEmpty()
