@@ -38,8 +38,11 @@ def resolve(df: DataFrame, name: str) -> Resolved:
 
 
 def resolve_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """Select the present columns under the requested, stripped names."""
+    """Select the present columns under the requested, stripped names; a name that fits several columns is an error."""
     found = [resolve(df, n) for n in names]
+    unclear = [r.requested for r in found if r.present and r.ambiguous]
+    if unclear:
+        raise ValueError(f"several columns fit {unclear}")
     return df.select(*[col(r.column).alias(r.requested.strip()) for r in found if r.present])
 
 

@@ -18,8 +18,9 @@ def distinct_union(*tables: DataFrame) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, weights: DataFrame) -> DataFrame:
-    """Row weights by class; the class table is small enough for the planner to broadcast."""
-    return df.join(weights.select(label, "weight"), label)
+    """Row weights by class, null labels included; a class without a weight keeps its rows, with weight null."""
+    table = weights.select(F.col(label).alias("__class"), "weight")
+    return df.join(table, df[label].eqNullSafe(table["__class"]), "left").drop("__class")
 
 
 def align(predictions: DataFrame, truth: DataFrame, row_id: str) -> DataFrame:

@@ -88,7 +88,7 @@ def label_equals(df: DataFrame, name: str, value: str = NEGATIVE_WORD, out: str
 
 def label_contains(df: DataFrame, name: str, word: str = NEGATIVE_WORD, strip: str = STRIP_CHARACTERS, out: str = "y") -> DataFrame:
     cleaned = F.btrim(F.lower(col(name).cast("string")), F.lit(strip))
-    return df.withColumn(out, F.when(cleaned.contains(word), 0).otherwise(1))
+    return df.withColumn(out, F.when(cleaned.isNotNull(), (~cleaned.contains(word)).cast("int")))
 
 
 def label_by_type(df: DataFrame, name: str, out: str = "y") -> DataFrame:

@@ -80,10 +80,18 @@ MOMENTS = {
 }
 
 
+def distinct_counts(counted: DataFrame, names: list[str]) -> DataFrame:
+    """Distinct values per column, 0 for columns without any."""
+    every = counted.sparkSession.createDataFrame([(n,) for n in names], "feature string")
+    return every.join(counted.groupBy("feature").agg(F.count("value").alias("n_unique")), "feature", "left").fillna(0, ["n_unique"])
+
+
 def profile(df: DataFrame, names: list[str]) -> DataFrame:
     """Variance, distinct values, share of nulls and of zeros; one row per column."""
     base = profile_fast(df, names)
-    distinct = value_counts(df, names, as_text=False).groupBy("feature").agg(F.count("value").alias("n_unique"))
+    # counted in each column's own type; text is only made of the distinct values
+    counted = counted_values(df, names, [F.count(F.lit(1)).alias("n")]).where("value <> 'NaN'")
+    distinct = distinct_counts(counted, names)
     return base.join(distinct, "feature").select("feature", "variance", "n_unique", "pct_nan", "pct_zero")
 
 

@@ -199,7 +199,7 @@ def resample(df: DataFrame, label: str, row_id: str, vector: str, strategy: str
     """The table with its new rows; originals carry ``copy`` null."""
     make = {"adasyn": adasyn, "borderline": borderline_smote}.get(strategy)
     if make is None:
-        raise ValueError("strategy must be 'adasyn' or 'borderline'")
+        raise ValueError(f"no resampling called {strategy!r}")
     new = make(df, label, row_id, vector, seed, **kw)
     old = df.select(F.col(row_id).alias("source_id"), F.lit(None).cast("int").alias("copy"), F.col(vector).cast("array<double>").alias(vector), label)
     return old.unionByName(new)

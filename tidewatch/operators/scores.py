@@ -393,5 +393,13 @@ def evaluate_catalogue(
 
 
 def full_report(predictions: DataFrame, truth: DataFrame, row_id: str, **kw) -> DataFrame:
-    """Metrics of a predictions table (row_id, proba, pred) against truth (row_id, y)."""
+    """Metrics of a predictions table (row_id, proba, pred) against truth (row_id, y).
+
+    Rows of either side without exactly one partner are an error: metrics of the rest would be of another table.
+    """
+    sides = predictions.select(row_id, F.lit(1).alias("__p"), F.lit(0).alias("__t")).unionByName(
+        truth.select(row_id, F.lit(0).alias("__p"), F.lit(1).alias("__t")))
+    wrong = sides.groupBy(row_id).agg(F.sum("__p").alias("__p"), F.sum("__t").alias("__t")).where("__p <> 1 OR __t <> 1").first()
+    if wrong is not None:
+        raise ValueError(f"{row_id} {wrong[0]!r} has {wrong[1]} predictions and {wrong[2]} rows of truth")
     return evaluate_catalogue(predictions.join(truth, row_id), None, [], rows=predictions.count(), **kw)

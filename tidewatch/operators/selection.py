@@ -1,4 +1,4 @@
-"""Choosing features: filters, a population search over masks, and importances."""
+"""Choosing features: filters, a stepwise search over masks, and importances."""
 
 from __future__ import annotations
 
@@ -136,75 +136,77 @@ class MaskFitness:
 
 
 class CallableFitness:
-    """Any ``fitness(df, features) -> float``; a mask that fails scores minus infinity."""
+    """Any ``fitness(df, features) -> float``; a mask that fails scores minus infinity, and ``errors`` says why."""
 
     def __init__(self, df: DataFrame, features: list[str], fitness: Callable[[DataFrame, list[str]], float]):
         self.df, self.features, self.fitness = df, features, fitness
         self.cache: dict[tuple, float] = {}
+        self.errors: dict[tuple, str] = {}
 
     def score_many(self, masks: list[tuple[int, ...]]) -> list[float]:
         for m in dict.fromkeys(masks):
             if m not in self.cache:
                 try:
                     self.cache[m] = float(self.fitness(self.df, [c for c, on in zip(self.features, m) if on]))
-                except Exception:  # a candidate that cannot be scored loses
-                    self.cache[m] = float("-inf")
+                except Exception as error:  # a candidate that cannot be scored loses
+                    self.cache[m], self.errors[m] = float("-inf"), f"{type(error).__name__}: {error}"
         return [self.cache[m] for m in masks]
 
 
 @dataclass
 class MaskSearch:
-    """Population search over 0/1 masks.
+    """Stepwise search over sets of features.
 
-    Positions live in [0, 1]; a feature is on from 0.5. Each round a candidate
-    drifts towards the best one (with probability ``p_switch``) or along the
-    difference of two others, plus a little noise, and replaces its parent if
-    it scores higher. All candidates of a round are scored together.
+    Starts from the best of ``population`` seeded random halves and the full set. Each round scores the masks that differ from
+    the current one in one feature (``population`` of them, drawn anew each round, or all if there are fewer) in one call, then the
+    mask with all improving changes at once; the best of these is the next current mask. A round without improvement is
+    followed by another draw.
     """
 
     population: int = 20
     rounds: int = 30
-    p_switch: float = 0.8
     seed: int | None = 0
-    pull: float = 0.1
-    noise: float = 0.01
     mask: list[int] = field(default_factory=list)
     score: float = float("-inf")
     history: list[float] = field(default_factory=list)
 
-    def _masks(self, positions: np.ndarray, rng) -> list[tuple[int, ...]]:
-        on = positions >= 0.5
-        for row in np.flatnonzero(~on.any(axis=1)):
-            on[row, rng.integers(on.shape[1])] = True
-        return [tuple(int(v) for v in r) for r in on]
-
     def fit(self, fitness) -> "MaskSearch":
         """``fitness`` offers ``features`` and ``score_many(masks)``."""
-        if self.population < 2 or not 0 <= self.p_switch <= 1:
-            raise ValueError("population of at least 2, p_switch between 0 and 1")
-        rng, width = np.random.default_rng(self.seed), len(fitness.features)
-        positions = rng.random((self.population, width))
-        masks = self._masks(positions, rng)
-        scores = np.array(fitness.score_many(masks))
-        leader = int(scores.argmax())
-        best, self.mask, self.score = positions[leader].copy(), list(masks[leader]), float(scores[leader])
+        width = len(fitness.features)
+        if self.population < 1 or width < 1:
+            raise ValueError("at least one feature and one candidate a round")
+        rng = np.random.default_rng(self.seed)
+        starts = [(1,) * width]
+        for _ in range(self.population - 1):
+            half = rng.permutation(width)[:max(1, width // 2)]
+            starts.append(tuple(int(i in set(half.tolist())) for i in range(width)))
+        self._keep_best(starts, fitness.score_many(starts))
         self.history = [self.score]
         for _ in range(self.rounds):
-            to_best = rng.random(self.population) < self.p_switch
-            pairs = np.array([rng.choice(self.population, 2, replace=False) for _ in range(self.population)])
-            target = np.where(to_best[:, None], best - positions, positions[pairs[:, 0]] - positions[pairs[:, 1]])
-            moved = positions + self.pull * rng.random(positions.shape) * target
-            moved = np.clip(moved + self.noise * rng.standard_normal(moved.shape), 0.0, 1.0)
-            tried = self._masks(moved, rng)
-            got = np.array(fitness.score_many(tried))
-            better = got > scores
-            positions[better], scores[better] = moved[better], got[better]
-            leader = int(got.argmax())
-            if got[leader] > self.score:
-                best, self.mask, self.score = moved[leader].copy(), list(tried[leader]), float(got[leader])
+            changed = rng.permutation(width)[:self.population]
+            before = self.score
+            masks = [m for i in changed if any(m := self._flipped([i]))]
+            got = fitness.score_many(masks) if masks else []
+            helpful = [self._difference(m) for m, s in zip(masks, got) if s > before]
+            joint = self._flipped(helpful)
+            if len(helpful) > 1 and any(joint):
+                masks, got = [*masks, joint], [*got, *fitness.score_many([joint])]
+            self._keep_best(masks, got)
             self.history.append(self.score)
         return self
 
+    def _flipped(self, places) -> tuple[int, ...]:
+        chosen = {int(i) for i in places}
+        return tuple(1 - v if i in chosen else v for i, v in enumerate(self.mask))
+
+    def _difference(self, mask: tuple[int, ...]) -> int:
+        return next(i for i, v in enumerate(mask) if v != self.mask[i])
+
+    def _keep_best(self, masks: list[tuple[int, ...]], scores: list[float]) -> None:
+        for m, s in zip(masks, scores):
+            if not self.mask or s > self.score:
+                self.mask, self.score = list(m), float(s)
+
 
 def history(search: MaskSearch, spark: SparkSession) -> DataFrame:
     rows = [(i, float(s)) for i, s in enumerate(search.history)]

@@ -306,7 +306,7 @@ def callable_fitness(spark, sf):
         from tidewatch.operators.statistics import anova_f
         return anova_f(rows, names, "y").agg(F.avg("f")).first()[0] - 0.01 * len(names)
 
-    fit_ = L.CallableFitness(df, DIMS[:8], mean_f)
+    fit_ = L.CallableFitness(df, DIMS, mean_f)
     found = L.MaskSearch(population=3, rounds=1, seed=2).fit(fit_)
     return spark.createDataFrame([(f, int(on), found.score) for f, on in zip(DIMS, found.mask)], "feature string, kept int, score double")
 

@@ -65,14 +65,18 @@ def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def threshold_from(metrics: DataFrame, default: float = 0.5) -> float:
-    """Stored threshold, looked up by its spellings in order."""
-    names = SPELLINGS["threshold"]
-    rows = {r.metric: r.value for r in metrics.where(F.col("metric").isin(names)).orderBy("run_id").limit(1000).collect()}
-    return next((rows[n] for n in names if n in rows), default)
+    """Stored threshold, looked up by its spellings in order, then by run."""
+    names = F.array(*[F.lit(n) for n in SPELLINGS["threshold"]])
+    rank = F.array_position(names, F.col("metric"))
+    found = metrics.where((rank > 0) & F.col("value").isNotNull()).agg(F.min_by("value", F.struct(rank, F.col("run_id"), F.col("value")))).first()[0]
+    return default if found is None else found
 
 
 def compare_runs(metrics: DataFrame) -> DataFrame:
     """One row per run and model, one column per metric, spellings unified."""
     canonical = F.create_map(*[x for k, names in SPELLINGS.items() for n in names for x in (F.lit(n), F.lit(k))])
-    named = metrics.withColumn("metric", F.try_element_at(canonical, F.col("metric"))).where("metric IS NOT NULL")
-    return named.groupBy("run_id", "model_id").pivot("metric", list(SPELLINGS)).agg(F.first("value"))
+    spellings = F.array(*[F.lit(n) for names in SPELLINGS.values() for n in names])
+    ranked = metrics.withColumn("__rank", F.array_position(spellings, F.col("metric"))).where("value IS NOT NULL")
+    named = ranked.withColumn("metric", F.try_element_at(canonical, F.col("metric"))).where("metric IS NOT NULL")
+    # of several spellings in one run the first in the list counts
+    return named.groupBy("run_id", "model_id").pivot("metric", list(SPELLINGS)).agg(F.min_by("value", F.struct("__rank", "value")))

@@ -20,8 +20,8 @@ def write_predictions(df: DataFrame, path: str, columns: list[str] | None = None
 
 
 def with_scores(df: DataFrame, scored: DataFrame, row_id: str, threshold: float) -> DataFrame:
-    """Input columns with ``proba`` and ``pred`` added."""
-    joined = df.join(scored.select(row_id, "proba"), row_id)
+    """Input columns with ``proba`` and ``pred`` added; rows without a score stay, with both null."""
+    joined = df.join(scored.select(row_id, "proba"), row_id, "left")
     return joined.withColumn("pred", (F.col("proba") >= F.lit(float(threshold))).cast("int"))
 
 
