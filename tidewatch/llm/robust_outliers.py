@@ -175,11 +175,11 @@ def judge(stats: DataFrame, fits: DataFrame, prefix: str = "") -> DataFrame:
     """Adds ``{prefix}distance`` and ``{prefix}kept``; every document is held against the narrowest of its groups that is large enough."""
     # each narrow group gets the fit it uses, so documents are joined once
     levels = fits.withColumn("large", F.col("n") >= LEAST)
-    wide = levels.where("key = 'all'").select(F.col("fit").alias("of_all"))
+    wide = levels.where("key = 'all'").select(F.col("key").alias("all_key"), F.col("fit").alias("of_all"))
     lang = levels.where("key LIKE 'lang %' AND large").select(F.col("key").alias("lang_key"), F.col("fit").alias("of_lang"))
     own = levels.where("key LIKE 'source %'").withColumn("lang_key", F.concat(
         F.lit("lang "), F.to_json(F.struct(F.get_json_object(F.substring("key", 8, 100_000), "$.lang").alias("lang")))))
-    used = checkpointed(own.join(lang, "lang_key", "left").join(wide, how="left").select(
+    used = checkpointed(own.withColumn("all_key", F.lit("all")).join(lang, "lang_key", "left").join(wide, "all_key", "left").select(
         F.col("key").alias("_key"), F.when(F.col("large"), F.col("fit")).otherwise(F.coalesce("of_lang", "of_all")).alias("_fit")))
     joined = small_join(stats.withColumn("_key", group_keys()[0]), used, ["_key"], F.col("doc_id"))
     distance = _distance(prefix) / F.col("_fit.scale")
