@@ -99,7 +99,12 @@ def cells_of(unit: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, scale
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=np.float64) for v in column])
+    """Vectors as rows; shorter ones end in zeros."""
+    sizes = {len(v) for v in column}
+    out = np.zeros((len(column), max(sizes, default=0)))
+    for row, v in zip(out, column, strict=True):
+        row[:len(v)] = v
+    return out
 
 
 def vector_nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
