@@ -396,7 +396,7 @@ def test_toxicity_held_out_and_counterfactuals(spark, odd):
     assert gap[0] > 4 * abs(gap[1]) and fair.score("you idiot") > 0.5 > fair.score("a muslim friend")
     got = {r.doc_id: r.score for r in toxicity.score(odd, fair).collect()}
     assert got[1] == got[2] and 0 <= got[1] < 0.5 and len(got) == 8
-    assert toxicity.train(odd, labels.limit(0)).score(None) < 0.01 and toxicity.score(odd.limit(0), fair).count() == 0
+    assert toxicity.train(odd, labels.limit(0)).score(None) < 1e-6 and toxicity.score(odd.limit(0), fair).count() == 0
 
 
 def test_shortages_go_to_siblings_first(spark):

@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         large = _distinct(salted_join(both.where("b > a"), least, ["a"], F.col("b"), "inner").select(F.col("b").alias("a"), F.col("low").alias("b"))
                           .unionByName(least.select("a", F.col("low").alias("b"))))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = salted_join(large, low, ["a"], F.col("b"), "inner").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
+        # a node has few smaller neighbours left
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
             low.select("a", F.col("low").alias("b")))
         edges = checkpointed(_distinct(small))
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -241,9 +241,9 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     comp = components(links)
 
     # 2. what is still apart, per token
-    named = checkpointed(salted_join(nodes.select("node", "gid"), comp, ["node"], F.col("gid")).select(
-        "node", "gid", F.coalesce("component", "node").alias("comp")))
-    members = lists.join(named, "gid").select("token", "node", "comp", "n", "pos")
+    named = checkpointed(nodes.select("node", "gid", "n", "f1", "f2", "copies").join(comp, "node", "left").select(
+        "node", "gid", "n", "f1", "f2", "copies", F.coalesce("component", "node").alias("comp"), F.col("component").isNotNull().alias("tied")))
+    members = lists.join(named.select("gid", "node", "comp"), "gid").select("token", "node", "comp", "n", "pos")
     by_comp = members.groupBy("token", "comp").agg(F.count("*").alias("held"))
     mixed = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     apart = checkpointed(members.join(mixed.select("token", "main"), "token"))
@@ -260,10 +260,12 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         F.count("*").alias("shared"), F.first("at.n1").alias("n1"), F.first("at.n2").alias("n2"), F.max("at.p1").alias("p1"), F.max("at.p2").alias("p2"),
     ).where(_reachable(percent, bound))
     more = verified(docs, pairs, nodes, width, percent)
-    whole = components(links.unionByName(more))
+    # components that new links tie together are found on the components alone
+    ends = named.select("node", "comp")
+    again = components(more.join(ends.toDF("a", "ca"), "a").join(ends.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    whole = named.join(again.select(F.col("node").alias("comp"), "component"), "comp", "left")
     # documents that are alone need no row here
-    result = salted_join(nodes.select("node", "gid", "n", "f1", "f2", "copies"), whole, ["node"], F.col("gid")).where(
-        "copies > 1 OR component IS NOT NULL").select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))
+    result = whole.where("copies > 1 OR tied OR component IS NOT NULL").select("n", "f1", "f2", F.coalesce("component", "comp").alias("component"))
     out = salted_join(of_docs.drop("sketch"), result, ["n", "f1", "f2"], F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

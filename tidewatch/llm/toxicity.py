@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     cells = map_batches(rows.repartition(1), fit, "feature string, weight double").toPandas()
     weights = dict(zip(cells["feature"], cells["weight"], strict=True))
-    return Model(weights.pop("", 0.0), weights)
+    # no row at all: no labelled document, so the share of toxic ones counts as 0
+    return Model(weights.pop("", fit_model([], []).bias), weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
