@@ -445,3 +445,13 @@ def test_pipeline_of_odd_and_no_rows(spark, odd):
         for _, stage in corpus_pipeline.STAGES:
             rows = common.checkpointed(stage(spark, rows, ""))
         assert {r.doc_id for r in rows.collect()} <= {4}
+
+
+def test_most_frequent_keeps_exact_ties(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(n)) for k, n in zip(rng.integers(-2**63, 2**63 - 1, 3000), rng.geometric(0.4, 3000), strict=True)]
+    counted = spark.createDataFrame(rows, "k long, n long")
+    for most in (1, 7, 500, 2999, 3000, 5000):
+        got = lm_scoring.most_frequent(counted, most)
+        assert list(zip(got["k"], got["n"], strict=True)) == sorted(rows, key=lambda r: (-r[1], r[0]))[:most]
+    assert lm_scoring.most_frequent(counted.limit(0), 5).empty
