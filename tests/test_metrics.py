@@ -143,3 +143,37 @@ def test_calibration_report_picks_the_most_accurate(spark, rows):
     table = B.compare_calibration(df, df).collect()
     best = max(r.accuracy for r in table)
     assert [r.accuracy for r in table if r.chosen] == [best] and {r.method for r in table} == {"raw", "platt", "isotonic"}
+
+
+def test_grid_of_any_length_counts_like_a_theta_join(spark):
+    rows = [(m, (i * 7 % 23) / 22, i % 2) for m in ("a", "b") for i in range(40)] + [("a", None, 1)]
+    df = spark.createDataFrame(rows, "model_id string, proba double, y int")
+    grid = spark.range(12_000).selectExpr("id / 11999D AS threshold").unionByName(spark.createDataFrame([(0.5,), (0.5,), (None,)], "threshold double"))
+    got = {(r.model_id, r.threshold): (r.tp, r.fp, r.tn, r.fn) for r in S.grid_confusion(df, grid, rows_per_task=5_000).collect()}
+    points = {i / 11999 for i in range(12_000)} | {0.5}
+    assert set(got) == {(m, t) for m in ("a", "b") for t in points}
+    for m, t in list(got)[::997] + [("a", 0.0), ("b", 1.0), ("a", 0.5)]:
+        own = [(p >= t, y) for k, p, y in rows if k == m and p is not None]
+        assert got[m, t] == tuple(own.count(c) for c in ((True, 1), (True, 0), (False, 0), (False, 1)))
+
+
+def test_f_test_follows_spark_and_keeps_rows_with_other_nulls(spark):
+    from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
+    from tidewatch.operators import statistics as T
+    random.seed(3)
+    names = [f"x{j}" for j in range(8)]
+    rows = [(i % 3, *[random.gauss((i % 3) * 0.06 * j, 1) for j in range(8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, ["y", *names])
+    vec = VectorAssembler(inputCols=names, outputCol="v").transform(df)
+    for mode in ("fpr", "fdr", "fwe"):
+        picker = UnivariateFeatureSelector(featuresCol="v", labelCol="y", outputCol="o", selectionMode=mode)
+        picker.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(0.05)
+        wanted = set(picker.fit(vec).selectedFeatures)
+        assert {i for i, r in enumerate(T.select_by_p(df, names, "y", mode).collect()) if r.kept} == wanted
+    plain = {r.feature: r.p for r in T.f_test(df, names, "y").collect()}
+    holes = df.withColumn("x0", F.lit(None).cast("double")).withColumn("x1", F.expr("if(y = 0, null, x1)"))
+    found = {r.feature: r.p for r in T.f_test(holes, names, "y").collect()}
+    assert found["x0"] is None and all(abs(found[c] - plain[c]) < 1e-12 for c in names[2:])
+    # F(1, d) at the square of t: two-sided t test, here with known values
+    assert abs(T._incomplete_beta(10 / (10 + 2.228138852 ** 2), 5, 0.5) - 0.05) < 1e-8
+    assert abs(T._incomplete_beta(0.3, 1, 1) - 0.3) < 1e-14

@@ -265,12 +265,27 @@ def metrics_at(df: DataFrame, threshold: float, by: list[str] = MODEL) -> DataFr
     return flat.withColumn("threshold", F.lit(float(threshold)))
 
 
-def grid_confusion(df: DataFrame, grid: DataFrame, by: list[str] = MODEL, max_points: int = 10_000) -> DataFrame:
-    """Join scores to a grid table on ``proba >= threshold`` and count, without a theta join."""
-    points = grid.select(F.col("threshold").cast("double")).distinct().orderBy("threshold").limit(max_points + 1).collect()
-    if len(points) > max_points:
-        raise ValueError(f"more than {max_points} thresholds")
-    return metrics_at_grid(df, [r[0] for r in points], by)
+def grid_confusion(df: DataFrame, grid: DataFrame, by: list[str] = MODEL, rows: int | None = None, **kw) -> DataFrame:
+    """Join scores to a grid table on ``proba >= threshold`` and count, without a theta join.
+
+    Thresholds are put among the distinct scores of each model and prefix sums give the counts; the grid may have any length. Only
+    the list of models, which is a catalogue, comes to the driver.
+    """
+    scored = score_table(df, by)
+    models = scored.select(*by).distinct().collect()
+    if not models:
+        return metrics_at_grid(df, [], by)
+    kinds = {c: scored.schema[c].dataType for c in by}
+    each = F.explode(F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in by]) for r in models]))
+    zero = F.lit(0).cast("long")
+    points = grid.select(F.col("threshold").cast("double").alias("proba")).where("proba IS NOT NULL").distinct().select(
+        "proba", each.alias("m")).select(*[F.col(f"m.{c}").alias(c) for c in by], "proba", zero.alias("pos"), zero.alias("neg"), F.lit(1).alias("point"))
+    # a score equal to a threshold counts, so it comes first
+    both = scored.select(*by, "proba", F.col("pos").cast("long").alias("pos"), F.col("neg").cast("long").alias("neg"), F.lit(0).alias("point")).unionByName(points)
+    placed = running_totals(both, by, [F.col("proba").desc(), F.col("point")], ["pos", "neg"], rows=rows, totals=True, **kw).where("point = 1")
+    return placed.select(
+        *by, F.col("proba").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+        (F.col("all_neg") - F.col("cum_neg")).alias("tn"), (F.col("all_pos") - F.col("cum_pos")).alias("fn"))
 
 
 def sweep(df: DataFrame, grid: Grid, by: list[str] = MODEL, target: float | None = None) -> DataFrame:

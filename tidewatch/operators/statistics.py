@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.stat import Correlation
-from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.expressions import count_cuts, number, quoted, ratio, real, text, xlogx
@@ -126,8 +127,8 @@ def quantile_bins(df: DataFrame, names: list[str], bins: int, keep: list[Column]
     return cut.selectExpr(*map(quoted, kept), f"inline(array({rows}))")
 
 
-def anova_f(df: DataFrame, names: list[str], label: str) -> DataFrame:
-    """F statistic of each column against the classes; null where it is undefined."""
+def _anova(df: DataFrame, names: list[str], label: str) -> DataFrame:
+    """``(feature, f, n, k)``: F statistic, rows with a value and classes of each column."""
     per_class = per_column(
         df.where(F.col(label).isNotNull()), names, {"n": "count({x})", "mean": "avg({x})", "var": "var_pop({x})"}, [label],
     ).where(F.col("n") > 0)
@@ -139,17 +140,69 @@ def anova_f(df: DataFrame, names: list[str], label: str) -> DataFrame:
         F.sum(n * F.col("var")).alias("within"), F.sum(n * F.col("off") * F.col("off")).alias("between"),
     )
     f = ratio(ratio(F.col("between"), F.col("k") - 1), ratio(F.col("within"), F.col("n_all") - F.col("k")))
-    return sums.select("feature", f.alias("f"))
+    return sums.select("feature", f.alias("f"), F.col("n_all").alias("n"), "k")
+
+
+def anova_f(df: DataFrame, names: list[str], label: str) -> DataFrame:
+    """F statistic of each column against the classes; null where it is undefined."""
+    return _anova(df, names, label).select("feature", "f")
+
+
+def _incomplete_beta(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _incomplete_beta(1 - x, b, a)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    tiny = 1e-300
+    upper, lower = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    value = lower
+    for m in range(1, 10_000):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        before = value
+        for term in (even, odd):
+            lower, upper = 1 / ((1 + term * lower) or tiny), (1 + term / upper) or tiny
+            value *= lower * upper
+        if abs(value - before) <= 1e-15 * abs(value):
+            break
+    return front * value
+
+
+def f_test(df: DataFrame, names: list[str], label: str) -> DataFrame:
+    """``(feature, f, p)``, from the rows in which the column itself has a value; both null where undefined.
+
+    Sums per column and class come from one pass; the table of columns is turned into p-values on the driver.
+    """
+    found = {r["feature"]: r for r in _anova(df, names, label).collect()}
+
+    def p_value(r) -> float | None:
+        if r is None or r["f"] is None:
+            return None
+        d1, d2 = r["k"] - 1, r["n"] - r["k"]
+        return _incomplete_beta(d2 / (d2 + d1 * r["f"]), d2 / 2, d1 / 2)
+
+    rows = [(c, found[c]["f"] if c in found else None, p_value(found.get(c))) for c in names]
+    return df.sparkSession.createDataFrame(rows, "feature string, f double, p double")
 
 
 def select_by_p(df: DataFrame, names: list[str], label: str, mode: str = "fpr", level: float = 0.05) -> DataFrame:
-    """Columns whose F test is significant (modes of the feature selector)."""
-    vec = VectorAssembler(inputCols=names, outputCol="__v", handleInvalid="skip").transform(df)
-    picker = UnivariateFeatureSelector(featuresCol="__v", labelCol=label, outputCol="__o", selectionMode=mode)
-    picker.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(level)
-    kept = set(picker.fit(vec).selectedFeatures)
-    rows = [(c, i in kept) for i, c in enumerate(names)]
-    return df.sparkSession.createDataFrame(rows, "feature string, kept boolean")
+    """Columns whose F test is significant: each by itself (fpr), with its false discovery rate bounded (fdr), or the chance of any error (fwe).
+
+    Missing values count against their own column only; a column without a p-value is not kept.
+    """
+    if mode not in ("fpr", "fdr", "fwe"):
+        raise ValueError(f"unknown mode {mode}")
+    rows = f_test(df, names, label).collect()
+    known = sorted(r["p"] for r in rows if r["p"] is not None)
+    n = len(names)
+    if mode == "fdr":
+        cut = max((p for i, p in enumerate(known, 1) if p <= level * i / n), default=-1.0)
+    else:
+        cut = math.nextafter(level / (n if mode == "fwe" else 1), 0)
+    kept = [(r["feature"], r["p"] is not None and r["p"] <= cut) for r in rows]
+    return df.sparkSession.createDataFrame(kept, "feature string, kept boolean")
 
 
 def top_features(scores: DataFrame, k: int, score: str = "f") -> DataFrame:
