@@ -9,7 +9,7 @@ The join finds all links that matter without writing out all pairs of a large fa
 1. Groups that share a prefix token are put in the order of their size, and each is held against its neighbour; members of a
    group are held against its first one. Verified pairs link documents to components. This is linear in the prefixes.
 2. Of each token, members of all components but the largest are paired with the members of other components. Pairs that agree in
-   size, position and number of common prefix tokens are expanded and verified. No pair of one component is looked at
+   size, parity sketch, position and number of common prefix tokens are expanded and verified. No pair of one component is looked at
    again, no pair of different components is left out, so components are exact.
 
 Documents with equal sets are one node throughout. Sets are never written: they are computed again from the texts of the
@@ -38,6 +38,8 @@ from tidewatch.llm.registry import query
 #: Entries of the table of frequent tokens that every task holds (16 bytes each).
 FREQUENT = 1 << 18
 CHAINS, CELLS = 8, 128
+#: 64-bit words of a set's parity sketch.
+PARITY_WORDS = 8
 GATHERED = 3 << 20
 
 
@@ -127,8 +129,20 @@ def _prefix(tokens: np.ndarray, percent: int, frequent) -> tuple[np.ndarray, np.
     return ordered[:length], weight[:length], mix64(_fingerprint(ordered[:length], 3).reshape(1) + np.uint64(n))[0]
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """One bit per cell of the hash's upper half: whether the set has an odd number of tokens there."""
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount(((tokens >> np.uint64(32)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _differing() -> Column:
+    """Least number of tokens that only one of two sets has: each changes one bit of the parities ``q1`` and ``q2``."""
+    return sum((F.bit_count(F.col("q1")[i].bitwiseXOR(F.col("q2")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+
+
 def document_keys(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """``(doc_id, n, f1, f2, gid, sketch)``: set size and fingerprint, group, and how many tokens fall in each of ``CELLS`` cells."""
+    """``(doc_id, n, f1, f2, gid, sketch, parity)``: set size and fingerprint, group, how many tokens fall in each of ``CELLS`` cells, and parities."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,11 +152,11 @@ def document_keys(docs: DataFrame, width: int, percent: int, frequent) -> DataFr
                 f1, f2 = _signed([_fingerprint(tokens, 1), _fingerprint(tokens, 2)])
                 gid = _signed([_prefix(tokens, percent, shared.value)[2]])[0] if len(tokens) else 0
                 cells = np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
-                rows.append((doc_id, len(tokens), f1, f2, gid, cells))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "gid", "sketch"])
+                rows.append((doc_id, len(tokens), f1, f2, gid, cells, _parity(tokens)))
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "gid", "sketch", "parity"])
             yield out.astype({"doc_id": "Int64"})
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, f1 long, f2 long, gid long, sketch array<int>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, f1 long, f2 long, gid long, sketch array<int>, parity array<long>")
 
 
 def token_lists(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
@@ -223,7 +237,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     of_docs = checkpointed(document_keys(docs, width, percent, frequent))
     # equal sets are one node, named by the smallest id
     nodes = checkpointed(of_docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("gid").alias("gid"), F.first("sketch").alias("sketch")))
+        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("gid").alias("gid"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
     firsts = nodes.groupBy("gid").agg(F.min("node").alias("first"), F.count("*").alias("members"))
     lists = checkpointed(token_lists(docs, width, percent, frequent))
 
@@ -246,11 +260,14 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     members = lists.join(named.select("gid", "node", "comp"), "gid").select("token", "node", "comp", "n", "pos")
     by_comp = members.groupBy("token", "comp").agg(F.count("*").alias("held"))
     mixed = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    apart = checkpointed(members.join(mixed.select("token", "main"), "token"))
-    minor = apart.where("comp <> main").select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    others = apart.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("main"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    apart = checkpointed(members.join(mixed.select("token", "main"), "token").join(nodes.select("node", "parity"), "node"))
+    minor = apart.where("comp <> main").select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("parity").alias("q1"))
+    others = apart.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("main"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("parity").alias("q2"))
     # pairs of two minor members are met from either side and kept once
-    met = minor.join(others, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _alike_sizes(percent))
+    # the parities bound the overlap, so members of a family that are not alike do not leave the join
+    most = (F.col("n1") + F.col("n2") - _differing()) / 2
+    met = minor.join(others, "token").where(
+        (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _alike_sizes(percent) & _reachable(percent, most))
     # the last shared token of both prefixes has the highest place in either
     bound = F.col("shared") + F.least(F.col("n1") - F.col("p1") - 1, F.col("n2") - F.col("p2") - 1)
     pairs = met.select(
@@ -266,7 +283,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     whole = named.join(again.select(F.col("node").alias("comp"), "component"), "comp", "left")
     # documents that are alone need no row here
     result = whole.where("copies > 1 OR tied OR component IS NOT NULL").select("n", "f1", "f2", F.coalesce("component", "comp").alias("component"))
-    out = salted_join(of_docs.drop("sketch"), result, ["n", "f1", "f2"], F.col("doc_id"))
+    out = salted_join(of_docs.drop("sketch", "parity"), result, ["n", "f1", "f2"], F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
