@@ -8,7 +8,9 @@ The join finds all links that matter without writing out all pairs of a large fa
 
 1. Groups that share a prefix token are put in the order of their size, and each is held against its neighbour; members of a
    group are held against its first one. Verified pairs link documents to components. This is linear in the prefixes.
-2. Of each token, members of all components but the largest are paired with the members of other components. Pairs that agree in
+2. Of each token, members outside the largest component are held against one member of it; components that are tied
+   become one. This is linear as well.
+3. Of each token, members of all components but the largest are paired with the members of other components. Pairs that agree in
    size, parity sketch, position and number of common prefix tokens are expanded and verified. No pair of one component is looked at
    again, no pair of different components is left out, so components are exact.
 
@@ -231,6 +233,27 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, pe
         common * 100 >= (F.size("left") + F.size("right") - common) * percent).select("a", "b"))
 
 
+def _united(links: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(comp, component)`` for components that links of their nodes tie together; found on the components alone."""
+    tied = components(links.join(ends.toDF("a", "ca"), "a").join(ends.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return tied.select(F.col("node").alias("comp"), "component")
+
+
+def _renamed(rows: DataFrame, united: DataFrame) -> DataFrame:
+    """The rows with the new names of united components; ``tied``, where there is one, marks nodes with links."""
+    out = rows.join(united, "comp", "left")
+    if "tied" in rows.columns:
+        out = out.withColumn("tied", F.col("tied") | F.col("component").isNotNull())
+    return out.withColumn("comp", F.coalesce("component", "comp")).drop("component")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """``(token, main)``: tokens with members of several components, and the component that has most of them."""
+    by_comp = members.groupBy("token", "comp").agg(F.count("*").alias("held"))
+    return by_comp.groupBy("token").agg(
+        F.max_by("comp", F.struct("held", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+
+
 def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (doc_id, text)."""
     frequent = frequent_tokens(docs, width)
@@ -258,14 +281,21 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     named = checkpointed(nodes.select("node", "gid", "n", "f1", "f2", "copies").join(comp, "node", "left").select(
         "node", "gid", "n", "f1", "f2", "copies", F.coalesce("component", "node").alias("comp"), F.col("component").isNotNull().alias("tied")))
     members = lists.join(named.select("gid", "node", "comp"), "gid").select("token", "node", "comp", "n", "pos")
-    by_comp = members.groupBy("token", "comp").agg(F.count("*").alias("held"))
-    mixed = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    apart = checkpointed(members.join(mixed.select("token", "main"), "token").join(nodes.select("node", "parity"), "node"))
+    apart = checkpointed(members.join(_mixed(members), "token").join(nodes.select("node", "parity"), "node"))
+    # members that one of the largest component stands for: of each token, the one with the fewest rarer tokens
+    most = (F.col("n1") + F.col("n2") - _differing()) / 2
+    hubs = apart.where("comp = main").groupBy("token").agg(F.min_by(F.struct("node", "n", "parity"), F.struct("pos", "node")).alias("hub")).select(
+        "token", F.col("hub.node").alias("b"), F.col("hub.n").alias("n2"), F.col("hub.parity").alias("q2"))
+    led = apart.where("comp <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("q1")).join(hubs, "token")
+    led = led.where(_alike_sizes(percent) & _reachable(percent, most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first_round = checkpointed(_united(verified(docs, led, nodes, width, percent), named.select("node", "comp")))
+    named = checkpointed(_renamed(named, first_round))
+    apart = _renamed(apart.drop("main"), first_round)
+    apart = checkpointed(apart.join(_mixed(apart), "token"))
     minor = apart.where("comp <> main").select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("parity").alias("q1"))
     others = apart.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("main"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("parity").alias("q2"))
     # pairs of two minor members are met from either side and kept once
     # the parities bound the overlap, so members of a family that are not alike do not leave the join
-    most = (F.col("n1") + F.col("n2") - _differing()) / 2
     met = minor.join(others, "token").where(
         (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _alike_sizes(percent) & _reachable(percent, most))
     # the last shared token of both prefixes has the highest place in either
@@ -277,12 +307,9 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         F.count("*").alias("shared"), F.first("at.n1").alias("n1"), F.first("at.n2").alias("n2"), F.max("at.p1").alias("p1"), F.max("at.p2").alias("p2"),
     ).where(_reachable(percent, bound))
     more = verified(docs, pairs, nodes, width, percent)
-    # components that new links tie together are found on the components alone
-    ends = named.select("node", "comp")
-    again = components(more.join(ends.toDF("a", "ca"), "a").join(ends.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    whole = named.join(again.select(F.col("node").alias("comp"), "component"), "comp", "left")
+    whole = _renamed(named, _united(more, named.select("node", "comp")))
     # documents that are alone need no row here
-    result = whole.where("copies > 1 OR tied OR component IS NOT NULL").select("n", "f1", "f2", F.coalesce("component", "comp").alias("component"))
+    result = whole.where("copies > 1 OR tied").select("n", "f1", "f2", F.col("comp").alias("component"))
     out = salted_join(of_docs.drop("sketch", "parity"), result, ["n", "f1", "f2"], F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
