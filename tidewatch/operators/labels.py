@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatch.functions.expressions import col
-from tidewatch.operators.ordering import materialize, ordered_index
+from tidewatch.operators.ordering import ordered_index, salted_lookup
 
 # The word of the negative class and the characters stripped around labels.
 NEGATIVE_WORD = "normal"
@@ -99,12 +99,9 @@ def label_by_type(df: DataFrame, name: str, out: str = "y") -> DataFrame:
 
 
 def _with_codes(df: DataFrame, name: str, values: DataFrame, order: list[Column], out: str) -> DataFrame:
-    table, rows = materialize(values)
-    codes = ordered_index(table, order, out, rows=rows).select(name, out)
-    if rows is not None:
-        codes = F.broadcast(codes)
+    codes = ordered_index(values, order, out).select(name, out)
     # Null is no value: it takes code -1.
-    return df.join(codes, name, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("long"))
+    return salted_lookup(df, codes, name).withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("long"))
 
 
 def factorize(df: DataFrame, name: str, row_id: str, out: str = "code") -> DataFrame:

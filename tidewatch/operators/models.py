@@ -24,6 +24,7 @@ from tidewatch.operators.labels import most_frequent
 from tidewatch.operators.preparation import MAX_CATEGORIES, check_cardinality
 from tidewatch.operators.profiling import class_counts, class_weights
 from tidewatch.operators.splitting import bag_columns, bag_rows, fold_train, fold_valid, kfold
+from tidewatch.session import ready_to_checkpoint
 
 PARALLEL_FITS = 4
 HASH_BUCKETS = 131_072
@@ -229,25 +230,24 @@ def oof(
     that cannot be fitted raises: it is never replaced by a constant.
     """
     folded = df if fold in df.columns else kfold(df, label, row_id, k, seed, fold)
-    folded = folded.persist()
-    try:
-        jobs = [(i, name) for i in range(k) for name in specs]
+    ready_to_checkpoint(df.sparkSession)
+    folded = folded.checkpoint()
+    jobs = [(i, name) for i in range(k) for name in specs]
 
-        def one(job) -> Member:
-            i, name = job
-            s = specs[name]
-            used = s.features or features
-            return Member(name, fit(fold_train(folded, i, fold), label, used, s.family, s.params, tag=name), used)
+    def one(job) -> Member:
+        i, name = job
+        s = specs[name]
+        used = s.features or features
+        return Member(name, fit(fold_train(folded, i, fold), label, used, s.family, s.params, tag=name), used)
 
-        fitted = dict(zip(jobs, _threads(jobs, one)))
-    finally:
-        folded.unpersist()
+    fitted = dict(zip(jobs, _threads(jobs, one)))
     models = {i: [fitted[i, name] for name in specs] for i in range(k)}
     parts = [score_members(models[i], fold_valid(folded, i, fold)) for i in range(k)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(row_id, F.col(label).cast("int").alias("y"), fold, *specs), models
+    # scored once: whoever reads the scores does not score again
+    return out.select(row_id, F.col(label).cast("int").alias("y"), fold, *specs).checkpoint(), models
 
 
 def cross_validate(

@@ -11,11 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.functions.expressions import hash_key
+from tidewatch.functions.expressions import col, hash_key
 from tidewatch.session import ready_to_checkpoint
 
 ROWS_PER_TASK = 2_000_000
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
+SALTS = 8
 ROWS_PER_CELL = 1_000
 MAX_HASH_DIGITS = 5  # at most 1,048,576 cells per stratum
 
@@ -23,11 +25,12 @@ MAX_HASH_DIGITS = 5  # at most 1,048,576 cells per stratum
 def materialize(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
     """Evaluate a summary table once; ``(table, rows)`` if it is small.
 
-    At most ``max_rows + 1`` rows reach the driver. A larger table comes back
-    as it was with ``None``: it carries no hint and joins by shuffle.
+    At most ``max_rows + 1`` rows reach the driver. A table of more rows or of
+    more than ``BROADCAST_BYTES`` comes back as it was with ``None``: it carries
+    no hint and joins by shuffle.
     """
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    if head.num_rows > max_rows or head.nbytes > BROADCAST_BYTES:
         return df, None
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), head.num_rows
 
@@ -174,6 +177,14 @@ def hash_rank(df: DataFrame, strata: list[str], row_id: str, seed: int, name: st
     return out.select(*df.columns, (F.col("__inner") + F.col("__offset")).alias(name))
 
 
+def salted_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with a table of unique keys; missing and frequent keys of the left side are dealt over ``SALTS`` tasks."""
+    plain = [c for c in left.columns if not left.schema[c].dataType.simpleString().startswith(("map", "variant"))]
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*[col(c) for c in plain]), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, "__salt"], "left").drop("__salt")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join where null keys match; the keys of the left side are kept."""
     a, b = left.alias("a"), right.alias("b")

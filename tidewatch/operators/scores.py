@@ -25,6 +25,11 @@ def _clean(df: DataFrame, by: list[str], *extra: Column) -> DataFrame:
     return out.where(F.col("proba").isNotNull() & F.col("y").isNotNull())
 
 
+def top_scored(df: DataFrame, row_id: str, n: int = 10) -> DataFrame:
+    """The ``n`` rows with the highest probability, ties by key; missing scores come last."""
+    return df.orderBy(nan_to_null("proba").desc_nulls_last(), row_id).limit(n)
+
+
 def apply_threshold(df: DataFrame, threshold: float, proba: str = "proba", name: str = "pred") -> DataFrame:
     return df.withColumn(name, (F.col(proba) >= F.lit(float(threshold))).cast("int"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import ensembles as E
+from tidewatch.operators import ensembles as E, scores as S
 from tidewatch.plans.frames import SCORE_NAMES, WIDE_SQL, embedding_columns, event_scores, event_scores_wide
 from tidewatch.plans.registry import query
 from tidewatch.plans.statistics import ANOVA_SQL, DIMS, rnd
@@ -93,7 +93,7 @@ def complement(spark, sf):
 @query("tk2_top_rows", f"WITH {WIDE_SQL} SELECT row_id, s3 AS proba, y FROM wide ORDER BY s3 DESC, row_id LIMIT 10")
 def top_rows(spark, sf):
     df = event_scores_wide(spark, sf).select("row_id", F.col("s3").alias("proba"), "y")
-    return df.orderBy(F.col("proba").desc(), "row_id").limit(10)
+    return S.top_scored(df, "row_id", 10)
 
 
 @query("tk5_arg_best_per_group", """

@@ -70,8 +70,9 @@ def multiclass(spark, sf):
 @query("md4_multiclass_one_vs_rest")
 def one_vs_rest(spark, sf):
     df = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
-    model = M.fit_multiclass(df, "o_orderstatus", ["o_totalprice", "o_custkey"], "boosted", {"maxIter": 2, "maxDepth": 2})
-    return S.macro_f1(M.predict_class(model, df, "o_orderstatus").withColumnRenamed("o_orderstatus", "y"), [])
+    train, test = holdout(df, "o_orderstatus", "o_orderkey", 0.2)
+    model = M.fit_multiclass(train, "o_orderstatus", ["o_totalprice", "o_custkey"], "boosted", {"maxIter": 2, "maxDepth": 2})
+    return S.macro_f1(M.predict_class(model, test, "o_orderstatus").withColumnRenamed("o_orderstatus", "y"), [])
 
 
 @query("md8_majority_baseline", """
@@ -111,7 +112,7 @@ def stopping(spark, sf):
 def bag(spark, sf):
     from tidewatch.operators.ensembles import blend_wide
     train, test = _parts(spark, sf)
-    members = M.fit_bag(train, "y", DIMS, "vec_id", n=4, params={"maxIter": 3, "maxDepth": 3})
+    members = M.fit_bag(train, "y", DIMS, "vec_id", params={"maxIter": 3, "maxDepth": 3})
     return _measured(blend_wide(M.score_members(members, test), [m.tag for m in members]), "bag")
 
 
@@ -196,8 +197,7 @@ def score_bundles(spark, sf):
 @query("ens12_keep_if_better")
 def keep_better(spark, sf):
     train, test = _parts(spark, sf)
-    single = K.StackingModel(M.fit_all(train, "y", DIMS, {"linear": SPECS["linear"]}), K.fit_meta(
-        M.score_members(M.fit_all(train, "y", DIMS, {"linear": SPECS["linear"]}), train), ["linear"]))
+    single = K.fit_on_holdout(train, "y", DIMS, "vec_id", {"linear": SPECS["linear"]})
     stack = K.fit_on_holdout(train, "y", DIMS, "vec_id", {k: SPECS[k] for k in ("forest", "linear")})
     return K.keep_if_better(single, stack, test, "y")[1]
 
@@ -225,8 +225,9 @@ def isotonic(spark, sf):
 @query("ca3_calibrate_model")
 def calibrate(spark, sf):
     train, test = _parts(spark, sf)
-    stack = K.fit_on_holdout(train, "y", DIMS, "vec_id", {k: SPECS[k] for k in ("forest", "linear")})
-    return B.calibrate(stack, test, "y").transform(stack.transform(test)).select("vec_id", "y", "proba")
+    inner, valid = holdout(train, "y", "vec_id", 0.25, seed=7)
+    stack = K.fit_on_holdout(inner, "y", DIMS, "vec_id", {k: SPECS[k] for k in ("forest", "linear")})
+    return B.calibrate(stack, valid, "y").transform(stack.transform(test)).select("vec_id", "y", "proba")
 
 
 @query("ca4_compare_calibration")
@@ -314,9 +315,8 @@ def callable_fitness(spark, sf):
 @query("fs6_permutation_importance")
 def permutation(spark, sf):
     train, test = _parts(spark, sf)
-    few = DIMS[:12]
-    model = M.fit(train, "y", few, "logistic", {"maxIter": 20})
-    return L.permutation_importance(lambda d: M.score(model, d), test, "y", few, "vec_id", repeats=2)
+    model = M.fit(train, "y", DIMS, "logistic", {"maxIter": 20})
+    return L.permutation_importance(lambda d: M.score(model, d), test, "y", DIMS, "vec_id")
 
 
 @query("fs7_model_importance")
