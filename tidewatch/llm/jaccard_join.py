@@ -210,9 +210,12 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, pe
     Two sets cannot share more tokens than the smaller count of each cell of their sketches; what this leaves is held against each
     other token by token.
     """
-    sketch = nodes.select("node", "n", "sketch")
+    pairs = checkpointed(pairs.select("a", "b").distinct())
+    named = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("_in", F.lit(True)))
+    # only the sketches of nodes in pairs are dealt out
+    sketch = small_join(nodes.select("node", "n", "sketch"), named, ["node"], F.col("node"), "inner").select("node", "n", "sketch")
     # sketches are too wide to be copied for salts; adaptive execution splits a hot side of these joins
-    one = pairs.select("a", "b").distinct().join(sketch.toDF("a", "n1", "s1"), "a")
+    one = pairs.join(sketch.toDF("a", "n1", "s1"), "a")
     two = one.join(sketch.toDF("b", "n2", "s2"), "b")
     most = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     pairs = checkpointed(two.where(_alike_sizes(percent) & _reachable(percent, most)).select("a", "b"))
