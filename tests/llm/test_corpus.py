@@ -113,6 +113,35 @@ def test_jaccard_join_against_all_pairs(spark, sf):
     assert got[20_001].component_id == 20_000 and got[20_004].component_id == 20_004
 
 
+def same_prefix_triples(wanted, beside):
+    """Texts A, B, C of one prefix and size, where only B and C are alike; with ``beside``, and a text of another size that shares some of their prefix."""
+    random_, out = random.Random(11), []
+    while len(out) < wanted:
+        tag = f"x{random_.getrandbits(40)}"
+        a = [f"{tag}w{i}" for i in range(43)]
+        b = [*a[:20], f"{tag}mid", *a[21:]]
+        c = [*b[:-1], f"{tag}end"]
+        texts = [" ".join(x) for x in (a, b, c)]
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        sets = list(jaccard_join.shingle_sets(texts, 4))
+        if len({int(jaccard_join._prefix(s, 85, none)[2]) for s in sets}) == 1:
+            out.append([*texts, " ".join(a[:12])] if beside else texts)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_jaccard_join_inside_a_prefix_group(spark, monkeypatch, parts):
+    whole = jaccard_join.frequent_tokens
+    monkeypatch.setattr(jaccard_join, "frequent_tokens", lambda docs, width: whole(docs, width, 0))
+    texts = [t for group in same_prefix_triples(3, False) + same_prefix_triples(3, True)[::-1] for t in group]
+    docs = list(enumerate(dict.fromkeys(texts)))
+    sets = [shingles(t, 4) for _, t in docs]
+    want = brute_components([i for i, _ in docs], lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
+    assert sum(i != c for i, c in want.items()) == 3
+    got = jaccard_join.join_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts, "doc_id")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_jaccard_join_of_odd_and_no_rows(spark, odd):
     rows = jaccard_join.join_components(odd).collect()
     assert len(rows) == odd.count() and {r.component_id for r in rows if r.doc_id in (5, 6)} == {5}

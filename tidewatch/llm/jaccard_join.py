@@ -8,8 +8,9 @@ The join finds all links that matter without writing out all pairs of a large fa
 
 1. Groups that share a prefix token are put in the order of their size, and each is held against its neighbour; members of a
    group are held against its first one. Verified pairs link documents to components. This is linear in the prefixes.
-2. Of each token, members outside the largest component are held against one member of it; components that are tied
-   become one. This is linear as well.
+2. Groups whose members are still in several components take all their prefix tokens, also those that no other group has. Of each
+   token, members outside the largest component are held against one member of it; components that are tied become one. This is
+   linear as well.
 3. Of each token, members of all components but the largest are paired with the members of other components. Pairs that agree in
    size, parity sketch, position and number of common prefix tokens are expanded and verified. No pair of one component is looked at
    again, no pair of different components is left out, so components are exact.
@@ -161,10 +162,10 @@ def document_keys(docs: DataFrame, width: int, percent: int, frequent) -> DataFr
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, f1 long, f2 long, gid long, sketch array<int>, parity array<long>")
 
 
-def token_lists(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """``(token, chain, gid, n, pos)``: groups that share a prefix token, once each.
+def prefix_rows(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+    """``(token, chain, gid, n, pos)``: prefix tokens of the groups, once a batch.
 
-    Frequent tokens are dealt over ``CHAINS`` chains. Other tokens have one, and are left out if only one group has them.
+    Frequent tokens are dealt over ``CHAINS`` chains, others have one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -189,12 +190,33 @@ def token_lists(docs: DataFrame, width: int, percent: int, frequent) -> DataFram
                     "token": np.concatenate(token).view(np.int64), "chain": np.concatenate(chain),
                     "gid": np.concatenate(gid).view(np.int64), "n": np.concatenate(size), "pos": np.concatenate(pos)})
 
-    rows = map_batches(docs.select("text"), run, "token long, chain int, gid long, n int, pos int")
-    dealt = rows.repartition("token", "chain").distinct()
+    return map_batches(docs.select("text"), run, "token long, chain int, gid long, n int, pos int")
+
+
+def token_lists(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+    """The prefix rows of groups that share a token, once each; tokens outside the frequent table are left out if only one group has them."""
+    dealt = prefix_rows(docs, width, percent, frequent).repartition("token", "chain").distinct()
     here = F.count("*").over(Window.partitionBy("token", "chain"))
     return dealt.withColumn("here", here).where("chain > 0 OR here > 1").drop("here")
 
 
+def token_members(docs: DataFrame, lists: DataFrame, named: DataFrame, firsts: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+    """``(token, node, comp, n, pos)`` of every token that members of several components may share.
+
+    ``lists`` is without the tokens of one group alone, which is enough only for a group within one component. Of the others all prefix
+    tokens are taken from one member's text.
+    """
+    split = checkpointed(named.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").join(
+        firsts, "gid").select("gid", F.col("first").alias("doc_id"), F.lit(True).alias("_split")))
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    read = small_join(texts, split.select("doc_id").distinct(), ["doc_id"], F.col("doc_id"), "inner")
+    # an id may stand for several texts, so groups are named by what their texts give
+    whole = prefix_rows(read, width, percent, frequent).select("token", "gid", "n", "pos").distinct()
+    marked = checkpointed(small_join(named.select("gid", "node", "comp"), split.select("gid", "_split"), ["gid"], F.col("node")))
+    of_lists = lists.select("token", "gid", "n", "pos").join(marked.where("_split IS NULL"), "gid")
+    return of_lists.unionByName(whole.join(marked.where("_split"), "gid")).select("token", "node", "comp", "n", "pos")
+
+
 def _reachable(percent: int, bound: Column) -> Column:
     """Whether an overlap of at most ``bound`` can be enough: overlap / (n1 + n2 - overlap) at or above the threshold."""
     return bound * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
@@ -283,7 +305,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     # 2. what is still apart, per token
     named = checkpointed(nodes.select("node", "gid", "n", "f1", "f2", "copies").join(comp, "node", "left").select(
         "node", "gid", "n", "f1", "f2", "copies", F.coalesce("component", "node").alias("comp"), F.col("component").isNotNull().alias("tied")))
-    members = lists.join(named.select("gid", "node", "comp"), "gid").select("token", "node", "comp", "n", "pos")
+    members = token_members(docs, lists, named, firsts, width, percent, frequent)
     apart = checkpointed(members.join(_mixed(members), "token").join(nodes.select("node", "parity"), "node"))
     # members that one of the largest component stands for: of each token, the one with the fewest rarer tokens
     most = (F.col("n1") + F.col("n2") - _differing()) / 2
