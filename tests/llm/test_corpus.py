@@ -113,9 +113,9 @@ def test_jaccard_join_against_all_pairs(spark, sf):
     assert got[20_001].component_id == 20_000 and got[20_004].component_id == 20_004
 
 
-def same_prefix_triples(wanted, beside):
+def same_prefix_triples(wanted, beside, seed):
     """Texts A, B, C of one prefix and size, where only B and C are alike; with ``beside``, and a text of another size that shares some of their prefix."""
-    random_, out = random.Random(11), []
+    random_, out = random.Random(seed), []
     while len(out) < wanted:
         tag = f"x{random_.getrandbits(40)}"
         a = [f"{tag}w{i}" for i in range(43)]
@@ -133,11 +133,11 @@ def same_prefix_triples(wanted, beside):
 def test_jaccard_join_inside_a_prefix_group(spark, monkeypatch, parts):
     whole = jaccard_join.frequent_tokens
     monkeypatch.setattr(jaccard_join, "frequent_tokens", lambda docs, width: whole(docs, width, 0))
-    texts = [t for group in same_prefix_triples(3, False) + same_prefix_triples(3, True)[::-1] for t in group]
+    texts = [t for group in same_prefix_triples(3, False, 11) + same_prefix_triples(3, True, 12) for t in group]
     docs = list(enumerate(dict.fromkeys(texts)))
     sets = [shingles(t, 4) for _, t in docs]
     want = brute_components([i for i, _ in docs], lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
-    assert sum(i != c for i, c in want.items()) == 3
+    assert sum(i != c for i, c in want.items()) == 6
     got = jaccard_join.join_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts, "doc_id")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
@@ -216,6 +216,21 @@ def test_robust_estimates_against_numpy(spark):
     assert np.allclose(low @ low.T, cov, atol=1e-6) and fits["all"].n == 1500
 
 
+def judged_vectors(spark, x):
+    rows = [(i, "en", "s", False, *map(float, v)) for i, v in enumerate(x)]
+    stats = spark.createDataFrame(
+        rows, "doc_id long, lang string, source string, base_failed boolean, " + ", ".join(f"{v} double" for v in robust_outliers.VECTOR))
+    return [r.kept for r in robust_outliers.judge(stats, robust_outliers.estimate(stats)).orderBy("doc_id").collect()]
+
+
+def test_a_third_of_junk_does_not_pass_for_the_core(spark):
+    random_ = np.random.default_rng(4)
+    x = np.abs(random_.multivariate_normal([1.6, .0, .0, .0], np.diag([.04, .01, .01, .01]) ** 2, 600))
+    junk = np.tile([2.1, .6, 0, 0], (300, 1))
+    kept = judged_vectors(spark, np.concatenate([x, junk]))
+    assert all(kept[:600]) and not any(kept[600:])
+
+
 def test_quality_keeps_good_and_drops_junk(spark, sf, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -1,10 +1,14 @@
 """Quality rules by robust multivariate outliers, with Spark expressions only.
 
 Every document gets base statistics and, if it passes the base rules, a vector of four transformed statistics. For every
-language and source the minimum covariance determinant (the mean and covariance of the three quarters of documents that lie
-closest together) is found by concentration steps from medians and quartile ranges: distances, the cut that holds three
-quarters of a group, then mean and covariance of the documents inside. Documents far from their group's estimate by
-Mahalanobis distance are rejected.
+language and source the minimum covariance determinant (the mean and covariance of the half of documents that lie closest
+together) is searched by concentration steps from five starts: distances, the cut that holds half of a group, then mean and
+covariance of the documents inside, until no start's determinant falls any more. The fit with the smallest determinant
+counts; so a cluster of less than half of a group does not pass for its core. Documents far from their group's estimate by Mahalanobis
+distance are rejected.
+
+The starts are medians with quartile ranges, medians with the narrower half of those, lower and upper quartiles with the least spread,
+and the mean and covariance of three quarters of the group after ``STEPS`` steps (``fit``).
 
 Groups with fewer than ``LEAST`` documents take the estimate of their language, and languages with fewer that of all
 documents; a covariance of so few points says nothing. Quartiles and cuts are read from histograms of fixed resolution, so no group is
@@ -27,11 +31,11 @@ from tidewatch.llm.registry import query
 SYMBOLS = "#*$%&|<>"
 LEAST = 100
 STEPS = 2
-#: Documents that count for a concentration step, in hundredths.
-INSIDE = 75
-#: chi-square with 4 degrees of freedom: its 0.75 quantile, and the squared distance beyond which a document is rejected (far
+#: Documents that count for a concentration step, in hundredths: of the estimate, and of the start named ``fit``.
+HALF, INSIDE = 50, 75
+#: chi-square with 4 degrees of freedom: its 0.5 and 0.75 quantiles, and the squared distance beyond which a document is rejected (far
 #: in the tail, as statistics of short texts are far from normal).
-CHI_INSIDE, CHI_REJECT = 5.385, 64.0
+CHI_HALF, CHI_INSIDE, CHI_REJECT = 3.357, 5.385, 64.0
 #: Smallest standard deviation of each transformed statistic.
 FLOORS = {"x_word": 0.08, "x_symbol": 0.08, "x_lines": 0.10, "x_repeat": 0.10}
 VECTOR = list(FLOORS)
@@ -112,14 +116,15 @@ def _distance(prefix: str = "") -> Column:
     return reduce(lambda a, b: a + b, [x * x for x in z])
 
 
-def _cholesky(covariance: list[Column]) -> list[Column]:
-    """Lower factor of a 4 x 4 matrix given by its lower triangle, as expressions."""
+def _cholesky(covariance: list[Column], least: list[float]) -> list[Column]:
+    """Lower factor of a 4 x 4 matrix given by its lower triangle, as expressions; what a statistic varies by beyond those before it is
+    at least ``least``, so no narrow direction between two of them passes for a small determinant."""
     low: dict[tuple[int, int], Column] = {}
     for i, j in _PAIRS:
         rest = covariance[_PAIRS.index((i, j))]
         for k in range(j):
             rest = rest - low[i, k] * low[j, k]
-        low[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / low[j, j]
+        low[i, j] = F.sqrt(F.greatest(rest, F.lit(least[i]))) if i == j else rest / low[j, j]
     return [low[p] for p in _PAIRS]
 
 
@@ -127,47 +132,102 @@ def _cell_of(distance: Column) -> Column:
     return F.round(F.log2(F.greatest(distance, F.lit(1e-6))) * DISTANCE_CELLS).cast("int")
 
 
-def fit(passed: DataFrame) -> DataFrame:
-    """``(key, n, fit: (m, l, scale))`` for every group of the vectors in ``passed`` (documents that passed the base rules)."""
-    rows = checkpointed(passed.select(F.explode(group_keys()).alias("key"), F.xxhash64("doc_id").alias("_spread"), *VECTOR))
+def _vectors(passed: DataFrame) -> DataFrame:
+    return checkpointed(passed.select(F.explode(group_keys()).alias("key"), F.xxhash64("doc_id").alias("_spread"), *VECTOR))
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """``(key, n, s)``: quartiles of every statistic, in cells."""
     values = rows.select("key", F.posexplode(F.array(*VECTOR)).alias("axis", "x")).withColumn(
         "cell", F.round(F.col("x") * STAT_CELLS).cast("int"))
     spans = _quantile_cells(values.groupBy("key", "axis", "cell").count(), ["key", "axis"], "cell", {"low": 25, "mid": 50, "high": 75})
+    return checkpointed(spans.groupBy("key").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("axis", "low", "mid", "high"))).alias("s")))
+
+
+def _from_spans(spans: DataFrame, at: str, spread) -> DataFrame:
+    """``(key, n, _fit)`` with the centre ``at`` and no correlation; ``spread`` gives a statistic's standard deviation in cells."""
     floors = F.array(*[F.lit(FLOORS[v]) for v in VECTOR])
-    start = spans.groupBy("key").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("axis", "low", "mid", "high"))).alias("s"))
-    spread = F.transform("s", lambda s: F.greatest((s["high"] - s["low"]) / (1.349 * STAT_CELLS), F.element_at(floors, s["axis"] + 1)))
-    start = start.withColumn("_sd", spread)
+    start = spans.withColumn("_sd", F.transform("s", lambda s: F.greatest(spread(s) / STAT_CELLS, F.element_at(floors, s["axis"] + 1))))
     low = F.array(*[F.col("_sd")[i] if i == j else F.lit(0.0) for i, j in _PAIRS])
-    fitted = checkpointed(start.select("key", "n", F.struct(
-        F.transform("s", lambda s: s["mid"] / F.lit(float(STAT_CELLS))).alias("m"), low.alias("l")).alias("_fit")))
+    return start.select("key", "n", F.struct(F.transform("s", lambda s: s[at] / F.lit(float(STAT_CELLS))).alias("m"), low.alias("l")).alias("_fit"))
+
+
+def _quartile_range(s: Column) -> Column:
+    return (s["high"] - s["low"]) / 1.349
+
+
+def _three_quarters(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    fitted = checkpointed(_from_spans(spans, "mid", _quartile_range))
     for _ in range(STEPS):
         fitted = checkpointed(_concentrate(rows, fitted))
-    cut = _cut(rows, fitted)
-    # distances inside tell how much the covariance of the inner part must grow
-    return checkpointed(fitted.join(cut, "key").select("key", "n", F.struct(
-        "_fit.m", "_fit.l", F.greatest(F.pow(F.lit(2.0), F.col("cut") / DISTANCE_CELLS) / CHI_INSIDE, F.lit(1.0)).alias("scale")).alias("fit")))
+    return fitted
 
 
-def _cut(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+def _scaled(rows: DataFrame, fitted: DataFrame, inside: int, chi: float) -> DataFrame:
+    """``(key, n, fit: (m, l, scale))``: distances inside tell how much the covariance of the inner part must grow."""
+    return checkpointed(fitted.join(_cut(rows, fitted, inside), "key").select("key", "n", F.struct(
+        "_fit.m", "_fit.l", F.greatest(F.pow(F.lit(2.0), F.col("cut") / DISTANCE_CELLS) / chi, F.lit(1.0)).alias("scale")).alias("fit")))
+
+
+def fit(passed: DataFrame) -> DataFrame:
+    """``(key, n, fit: (m, l, scale))`` of three quarters of every group after ``STEPS`` steps; a start of ``estimate``."""
+    rows = _vectors(passed)
+    return _scaled(rows, _three_quarters(rows, _spans(rows)), INSIDE, CHI_INSIDE)
+
+
+def estimate(passed: DataFrame) -> DataFrame:
+    """``(key, n, fit: (m, l, scale))``: minimum covariance determinant of every group of the vectors in ``passed`` (documents that
+    passed the base rules)."""
+    rows = _vectors(passed)
+    spans = _spans(rows)
+    starts = [
+        _three_quarters(rows, spans), _from_spans(spans, "mid", _quartile_range),
+        _from_spans(spans, "mid", lambda s: F.least(s["high"] - s["mid"], s["mid"] - s["low"]) / 0.6745),
+        _from_spans(spans, "low", lambda s: F.lit(0.0)), _from_spans(spans, "high", lambda s: F.lit(0.0))]
+    named = [x.withColumn("key", F.concat(F.lit(f"{i} "), "key")) for i, x in enumerate(starts)]
+    now = checkpointed(reduce(DataFrame.unionByName, named).withColumns({"det": F.lit(float("inf")), "falls": (F.col("n") >= LEAST) | F.col("key").endswith(" all")}))
+    several = rows.withColumn("key", F.explode(F.array(*[F.concat(F.lit(f"{i} "), "key") for i in range(len(starts))])))
+    # groups that are too small for ``judge`` keep a start; a step is accepted if the determinant falls by more than a millionth, and floors bound it from below
+    while not now.where("falls").isEmpty():
+        det = reduce(lambda x, y: x * y, [F.pow(F.col("_fit.l")[_PAIRS.index((i, i))], 2) for i in range(4)])
+        step = _concentrate(several, now.where("falls").select("key", "n", "_fit"), HALF, sums=False).select(
+            "key", F.col("_fit").alias("_next"), det.alias("_det"))
+        better = F.coalesce(F.col("_det") < F.col("det") * (1 - 1e-6), F.lit(False))
+        now = checkpointed(now.join(step, "key", "left").select(
+            "key", "n", F.when(better, F.col("_next")).otherwise(F.col("_fit")).alias("_fit"),
+            F.when(better, F.col("_det")).otherwise(F.col("det")).alias("det"), better.alias("falls")))
+    best = now.groupBy(F.expr("substring(key, 3)").alias("key")).agg(F.min_by(F.struct("n", "_fit"), F.struct("det", "key")).alias("b"))
+    return _scaled(rows, checkpointed(best.select("key", "b.n", "b._fit")), HALF, CHI_HALF)
+
+
+def _cut(rows: DataFrame, fitted: DataFrame, inside: int) -> DataFrame:
     near = small_join(rows, fitted.select("key", "_fit"), ["key"], F.col("_spread"), "inner")
     cells = near.select("key", _cell_of(_distance()).alias("cell")).groupBy("key", "cell").count()
-    return checkpointed(_quantile_cells(cells, ["key"], "cell", {"cut": INSIDE}).select("key", "cut"))
-
-
-def _concentrate(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """One step: mean and covariance of the documents inside the cut of the last fit."""
-    with_cut = checkpointed(fitted.select("key", "n", "_fit").join(_cut(rows, fitted), "key"))
-    near = small_join(rows, with_cut, ["key"], F.col("_spread"), "inner").where(_cell_of(_distance()) <= F.col("cut"))
-    # moments around the last centre, so that sums do not cancel
-    moved = near.select("key", "n", "_fit", *[(F.col(v) - F.col("_fit.m")[i]).alias(f"d{i}") for i, v in enumerate(VECTOR)])
-    sums = moved.groupBy("key").agg(
-        F.first("n").alias("n"), F.first("_fit.m").alias("m"), *[F.avg(f"d{i}").alias(f"a{i}") for i in range(4)],
-        *[F.avg(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}{j}") for i, j in _PAIRS])
+    return checkpointed(_quantile_cells(cells, ["key"], "cell", {"cut": inside}).select("key", "cut"))
+
+
+def _concentrate(rows: DataFrame, fitted: DataFrame, inside: int = INSIDE, sums: bool = True) -> DataFrame:
+    """One step: mean and covariance of the documents inside the cut of the last fit; variances get their floor added, or are raised to it."""
+    near = small_join(rows, checkpointed(fitted.select("key", "n", "_fit")), ["key"], F.col("_spread"), "inner")
+    # moments around the last centre, so that sums do not cancel; added up per cell of the distance, so one pass finds the cut and what is inside
+    moved = near.select(
+        "key", "n", "_fit", _cell_of(_distance()).alias("cell"), *[(F.col(v) - F.col("_fit.m")[i]).alias(f"d{i}") for i, v in enumerate(VECTOR)])
+    cells = moved.groupBy("key", "cell").agg(
+        F.count("*").alias("count"), F.first("n").alias("n"), F.first("_fit.m").alias("m"), *[F.sum(f"d{i}").alias(f"a{i}") for i in range(4)],
+        *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}{j}") for i, j in _PAIRS])
+    before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = cells.withColumns({"_run": F.coalesce(F.sum("count").over(before), F.lit(0)), "_all": F.sum("count").over(Window.partitionBy("key"))}).where(
+        F.col("_run") * 100 < F.col("_all") * inside)
+    found = chosen.groupBy("key").agg(
+        F.first("n").alias("n"), F.first("m").alias("m"), *[(F.sum(f"a{i}") / F.sum("count")).alias(f"a{i}") for i in range(4)],
+        *[(F.sum(f"p{i}{j}") / F.sum("count")).alias(f"p{i}{j}") for i, j in _PAIRS])
     for i, j in _PAIRS:
-        floor = FLOORS[VECTOR[i]] ** 2 if i == j else 0.0
-        sums = sums.withColumn(f"c{i}{j}", F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}") + F.lit(floor))
-    low = _cholesky([F.col(f"c{i}{j}") for i, j in _PAIRS])
-    return sums.select("key", "n", F.struct(
+        value = F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")
+        if i == j:
+            value = value + F.lit(FLOORS[VECTOR[i]] ** 2 if sums else 0.0)
+        found = found.withColumn(f"c{i}{j}", value)
+    low = _cholesky([F.col(f"c{i}{j}") for i, j in _PAIRS], [1e-12 if sums else FLOORS[v] ** 2 for v in VECTOR])
+    return found.select("key", "n", F.struct(
         F.array(*[F.col("m")[i] + F.col(f"a{i}") for i in range(4)]).alias("m"), F.array(*low).alias("l")).alias("_fit"))
 
 
@@ -190,7 +250,7 @@ def judge(stats: DataFrame, fits: DataFrame, prefix: str = "") -> DataFrame:
 def quality(docs: DataFrame, prefix: str = "") -> DataFrame:
     """The documents with base statistics, distance and ``kept``; texts are read twice, vectors in between are written."""
     vectors = with_vector(with_base(docs.select("doc_id", "text", "lang", "source"))).where("NOT base_failed")
-    fits = fit(vectors)
+    fits = estimate(vectors)
     return judge(with_vector(with_base(docs, prefix), prefix), fits, prefix)
 
 
@@ -199,6 +259,6 @@ def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics, distance and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     stats = checkpointed(with_vector(with_base(docs)).drop("text"))
-    judged = judge(stats, fit(stats.where("NOT base_failed")))
+    judged = judge(stats, estimate(stats.where("NOT base_failed")))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
