@@ -231,6 +231,13 @@ def test_a_third_of_junk_does_not_pass_for_the_core(spark):
     assert all(kept[:600]) and not any(kept[600:])
 
 
+def test_each_statistic_rejects_alone(spark):
+    clean = np.tile([1.6, 0, 0, 0], (200, 1))
+    bad = [[1.6 + np.log(1.4), 0, 0, 0], [1.6, np.sqrt(0.35), 0, 0], [1.6, 0, 0.45, 0], [1.6, 0, 0, 0.45]]
+    kept = judged_vectors(spark, np.concatenate([clean, bad]))
+    assert all(kept[:200]) and not any(kept[200:])
+
+
 def test_quality_keeps_good_and_drops_junk(spark, sf, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

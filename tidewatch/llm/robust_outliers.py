@@ -33,11 +33,11 @@ LEAST = 100
 STEPS = 2
 #: Documents that count for a concentration step, in hundredths: of the estimate, and of the start named ``fit``.
 HALF, INSIDE = 50, 75
-#: chi-square with 4 degrees of freedom: its 0.5 and 0.75 quantiles, and the squared distance beyond which a document is rejected (far
-#: in the tail, as statistics of short texts are far from normal).
-CHI_HALF, CHI_INSIDE, CHI_REJECT = 3.357, 5.385, 64.0
-#: Smallest standard deviation of each transformed statistic.
-FLOORS = {"x_word": 0.08, "x_symbol": 0.08, "x_lines": 0.10, "x_repeat": 0.10}
+#: chi-square with 4 degrees of freedom: its 0.5 and 0.75 quantiles, and its 0.99999 quantile, the squared distance beyond which a
+#: document is rejected.
+CHI_HALF, CHI_INSIDE, CHI_REJECT = 3.357, 5.385, 28.473
+#: Smallest standard deviation of each transformed statistic; most texts repeat nothing, so that of the repeats decides alone.
+FLOORS = {"x_word": 0.05, "x_symbol": 0.05, "x_lines": 0.08, "x_repeat": 0.08}
 VECTOR = list(FLOORS)
 _PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
 #: Cells per unit of a statistic, and per doubling of a squared distance.
@@ -76,7 +76,7 @@ def with_base(docs: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def with_vector(stats: DataFrame, prefix: str = "") -> DataFrame:
-    """Adds the transformed statistics: log of word length, roots of the shares of symbols, repeated lines and repeated words."""
+    """Adds the transformed statistics: log of word length, root of the share of symbols, shares of repeated lines and repeated words."""
     def c(name: str) -> Column:
         return F.col(f"{prefix}{name}").cast("double")
 
@@ -84,8 +84,8 @@ def with_vector(stats: DataFrame, prefix: str = "") -> DataFrame:
     return stats.withColumns({
         f"{prefix}x_word": F.log(F.greatest(c("word_chars"), one) / F.greatest(c("n_words"), one)),
         f"{prefix}x_symbol": F.sqrt(c("n_symbols") / F.greatest(c("word_chars"), one)),
-        f"{prefix}x_lines": F.sqrt(c("n_dup_lines") / F.greatest(c("n_lines"), one)),
-        f"{prefix}x_repeat": F.sqrt(c("n_repeat_words") / F.greatest(c("n_words"), one)),
+        f"{prefix}x_lines": c("n_dup_lines") / F.greatest(c("n_lines"), one),
+        f"{prefix}x_repeat": c("n_repeat_words") / F.greatest(c("n_words"), one),
     })
 
 
