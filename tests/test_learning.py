@@ -87,6 +87,17 @@ def test_mask_search_finds_the_feature(spark):
     fitness.close()
 
 
+def test_each_round_of_the_mask_search_looks_at_every_feature():
+    class Wanted:
+        features = [f"f{i}" for i in range(64)]
+
+        def score_many(self, masks):
+            return [float(sum(v == (i % 3 == 0) for i, v in enumerate(m))) for m in masks]
+
+    found = L.MaskSearch(population=2, rounds=1).fit(Wanted())
+    assert found.mask == [int(i % 3 == 0) for i in range(64)] and found.score == 64
+
+
 def test_any_function_can_be_the_fitness(spark):
     def score(df, features):
         if "b" in features:

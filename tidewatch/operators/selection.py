@@ -157,10 +157,9 @@ class CallableFitness:
 class MaskSearch:
     """Stepwise search over sets of features.
 
-    Starts from the best of ``population`` seeded random halves and the full set. Each round scores the masks that differ from
-    the current one in one feature (``population`` of them, drawn anew each round, or all if there are fewer) in one call, then the
-    mask with all improving changes at once; the best of these is the next current mask. A round without improvement is
-    followed by another draw.
+    Starts from the best of ``population`` seeded masks: the full set and random halves. Each round scores all masks that differ from
+    the current one in one feature in one call, then the mask with all improving changes at once; the best of these is the next
+    current mask. After a round without improvement no other can follow, and the rounds that are left repeat its score.
     """
 
     population: int = 20
@@ -183,9 +182,8 @@ class MaskSearch:
         self._keep_best(starts, fitness.score_many(starts))
         self.history = [self.score]
         for _ in range(self.rounds):
-            changed = rng.permutation(width)[:self.population]
             before = self.score
-            masks = [m for i in changed if any(m := self._flipped([i]))]
+            masks = [m for i in range(width) if any(m := self._flipped([i]))]
             got = fitness.score_many(masks) if masks else []
             helpful = [self._difference(m) for m, s in zip(masks, got) if s > before]
             joint = self._flipped(helpful)
@@ -193,6 +191,9 @@ class MaskSearch:
                 masks, got = [*masks, joint], [*got, *fitness.score_many([joint])]
             self._keep_best(masks, got)
             self.history.append(self.score)
+            if self.score == before:
+                self.history += [self.score] * (self.rounds + 1 - len(self.history))
+                break
         return self
 
     def _flipped(self, places) -> tuple[int, ...]:

@@ -19,8 +19,7 @@ from tidewatch.sources import bundles as A, catalogue as G, documents as J
 from tidewatch.sources.tables import read_table
 from tidewatch.streaming import scoring as Z
 
-SMALL = {"maxIter": 5, "maxDepth": 3}
-SPECS = {"trees": M.Spec("boosted", SMALL), "forest": M.Spec("forest", {"numTrees": 10, "maxDepth": 4}), "linear": M.Spec("logistic", {"maxIter": 30})}
+SPECS = {"trees": M.Spec("boosted", {}), "forest": M.Spec("forest", {"numTrees": 10, "maxDepth": 4}), "linear": M.Spec("logistic", {"maxIter": 30})}
 
 
 def frame(spark, sf):
@@ -45,10 +44,10 @@ def _family(name, family, params, **kw):
     return run
 
 
-_family("md1_boosted_trees", "boosted", SMALL)
+_family("md1_boosted_trees", "boosted", {})
 _family("md2_boosted_trees_deep", "boosted_deep", {"maxIter": 4, "maxDepth": 5})
 _family("md5_random_forest", "forest", {"numTrees": 20, "maxDepth": 5})
-_family("md6_boosted_few_bins", "boosted", {**SMALL, "maxBins": 16})
+_family("md6_boosted_few_bins", "boosted", {"maxBins": 16})
 _family("md7_logistic", "logistic", {"maxIter": 50})
 
 
@@ -56,7 +55,7 @@ _family("md7_logistic", "logistic", {"maxIter": 50})
 def categories(spark, sf):
     df = labelled_documents(spark, sf).where("toxic IS NOT NULL").withColumnRenamed("quality", "y")
     train, test = holdout(df, "y", "doc_id", 0.2)
-    model = M.fit_with_categories(train, "y", ["n_chars"], ["lang", "source"], params=SMALL)
+    model = M.fit_with_categories(train, "y", ["n_chars"], ["lang", "source"])
     return _measured(M.score(model, test), "categories")
 
 
@@ -96,7 +95,7 @@ def constant(spark, sf):
 @query("md10_balanced_row_weights")
 def weighted(spark, sf):
     train, test = holdout(embedding_columns(spark, sf).withColumn("y", (F.col("label") == 3).cast("int")), "y", "vec_id", 0.2)
-    model = M.fit(M.with_balanced_weight(train, "y"), "y", DIMS, "boosted", SMALL, weight="weight")
+    model = M.fit(M.with_balanced_weight(train, "y"), "y", DIMS, "boosted", {}, weight="weight")
     return _measured(M.score(model, test), "weighted")
 
 
@@ -163,7 +162,7 @@ def _stacked(name, **kw):
 
 
 _stacked("ens7_logistic_meta")
-_stacked("ens8_boosted_meta", meta="boosted", meta_params=SMALL)
+_stacked("ens8_boosted_meta", meta="boosted")
 _stacked("ens10_stacking_isotonic", isotonic=True)
 
 
@@ -267,7 +266,7 @@ def prefilter_sample(spark, sf):
 
 
 def _search(spark, sf, metric="macro_f1"):
-    search = L.MaskSearch(population=6, rounds=3, seed=1)
+    search = L.MaskSearch(seed=1)
     fitness = L.MaskFitness(frame(spark, sf), "y", DIMS, "vec_id", 3, metric=metric)
     try:
         return search.fit(fitness)
@@ -290,7 +289,7 @@ def fitness(spark, sf):
 
 @query("fs4_prefilter_and_search")
 def select(spark, sf):
-    return L.select(frame(spark, sf), "y", DIMS, "vec_id", 16, L.MaskSearch(population=4, rounds=2))
+    return L.select(frame(spark, sf), "y", DIMS, "vec_id", 16, L.MaskSearch())
 
 
 @query("fs5_search_history")
@@ -308,7 +307,7 @@ def callable_fitness(spark, sf):
         return anova_f(rows, names, "y").agg(F.avg("f")).first()[0] - 0.01 * len(names)
 
     fit_ = L.CallableFitness(df, DIMS, mean_f)
-    found = L.MaskSearch(population=3, rounds=1, seed=2).fit(fit_)
+    found = L.MaskSearch(seed=2).fit(fit_)
     return spark.createDataFrame([(f, int(on), found.score) for f, on in zip(DIMS, found.mask)], "feature string, kept int, score double")
 
 
@@ -333,7 +332,7 @@ def top_importance(spark, sf):
 def refit(spark, sf):
     train, test = _parts(spark, sf)
     kept = [r.feature for r in L.prefilter(train, "y", DIMS, 16).collect()]
-    again = M.refit(train, "y", A.Bundle("kept", None, 0.45, kept), SMALL)
+    again = M.refit(train, "y", A.Bundle("kept", None, 0.45, kept))
     return X.predict_report(again, test, "y")[1]
 
 
@@ -342,14 +341,14 @@ def refit(spark, sf):
 @query("tu1_random_search")
 def random_search(spark, sf):
     space = {"C": ("log", 0.01, 10.0), "maxIter": ("int", 10, 30)}
-    return U.random_search(frame(spark, sf), "y", DIMS, "vec_id", space, n=3, k=3, metric="composite", family="logistic")[1]
+    return U.random_search(frame(spark, sf), "y", DIMS, "vec_id", space, k=3, metric="composite", family="logistic")[1]
 
 
 @query("tu2_trial_study")
 def trial_study(spark, sf):
     space = {"C": ("log", 0.01, 10.0), "maxIter": ("choice", [10, 20])}
     goal = U.holdout_objective("y", DIMS, "vec_id", "logistic")
-    return U.trial_study(frame(spark, sf), "y", "vec_id", space, goal, n=3, rounds=2)[1]
+    return U.trial_study(frame(spark, sf), "y", "vec_id", space, goal)[1]
 
 
 @query("tu3_candidate_search")
