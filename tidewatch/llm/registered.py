@@ -11,6 +11,7 @@ from tidewatch.llm.registry import QUERIES, SQL
 
 for _name in (
     "language_id", "warc", "jaccard_join", "lm_scoring", "robust_outliers", "bpe", "lattice_dedup", "chat_format", "toxicity", "mixing",
+    "divergence", "word_runs", "piece_rounds",
 ):
     importlib.import_module(f"tidewatch.llm.{_name}")
 
