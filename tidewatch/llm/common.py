@@ -7,7 +7,7 @@ import sys
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.session import ready_to_checkpoint
+from tidewatch.session import ready_to_checkpoint, scratch_path
 
 #: Words of the contracts: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,6 +34,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet to the folder that all executors share: a short plan with pruned columns and a known size."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Removes what ``written`` wrote; nothing may read these tables any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of a written table, as the files are."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def written_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join with a table that was written: broadcast if its files are far below ``BROADCAST_BYTES``, else by shuffle, hot keys split by adaptive execution."""
+    return left.join(F.broadcast(right) if 4 * size_of(right) <= BROADCAST_BYTES else right, on, how)
+
+
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInPandas`` over batches of bounded bytes, so a task's memory does not depend on the length of texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -32,9 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidewatch.llm.common import checkpointed, map_batches, mix64, salted_join, small_join, table, word_hashes
+from tidewatch.llm.common import BATCH_BYTES, checkpointed, forgotten, map_batches, mix64, salted_join, table, word_hashes, written, written_join
 from tidewatch.llm.graph import components
 from tidewatch.llm.registry import query
 
@@ -144,58 +145,58 @@ def _differing() -> Column:
     return sum((F.bit_count(F.col("q1")[i].bitwiseXOR(F.col("q2")[i])) for i in range(PARITY_WORDS)), F.lit(0))
 
 
-def document_keys(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """``(doc_id, n, f1, f2, gid, sketch, parity)``: set size and fingerprint, group, how many tokens fall in each of ``CELLS`` cells, and parities."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, tokens in zip(batch["doc_id"], shingle_sets(list(batch["text"]), width), strict=True):
-                f1, f2 = _signed([_fingerprint(tokens, 1), _fingerprint(tokens, 2)])
-                gid = _signed([_prefix(tokens, percent, shared.value)[2]])[0] if len(tokens) else 0
-                cells = np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
-                rows.append((doc_id, len(tokens), f1, f2, gid, cells, _parity(tokens)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "gid", "sketch", "parity"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, f1 long, f2 long, gid long, sketch array<int>, parity array<long>")
+SCAN = pa.schema([
+    ("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("gid", pa.int64()), ("sketch", pa.list_(pa.int32())),
+    ("parity", pa.list_(pa.int64())), ("token", pa.int64()), ("chain", pa.int32()), ("pos", pa.int32())])
 
 
-def prefix_rows(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """``(token, chain, gid, n, pos)``: prefix tokens of the groups, once a batch.
+def scan(docs: DataFrame, width: int, percent: int, frequent, keys: bool = True) -> DataFrame:
+    """One pass over the texts that gives two kinds of rows.
 
-    Frequent tokens are dealt over ``CHAINS`` chains, others have one.
+    Rows without ``token``, one a document (left out without ``keys``): set size and fingerprint, group, how many tokens fall in each of ``CELLS`` cells, and
+    parities. Rows with ``token``: the prefix tokens of groups, once a batch, with ``chain`` and place; frequent tokens are dealt over
+    ``CHAINS`` chains, others have one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(length: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(length, f.type)) for f in SCAN], schema=SCAN)
+
+    def lists(flat: list[np.ndarray], size: int, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * size, pa.array(np.concatenate(flat), kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups: set[int] = set()
-            token, chain, gid, size, pos = [], [], [], [], []
-            for tokens in shingle_sets(list(batch["text"]), width):
-                if not len(tokens):
-                    continue
-                prefix, weight, group = _prefix(tokens, percent, shared.value)
-                if int(group) in groups:
-                    continue
-                groups.add(int(group))
-                token.append(prefix)
-                chain.append(np.where(weight > 0, 1 + int(group % np.uint64(CHAINS)), 0).astype(np.int32))
-                gid.append(np.full(len(prefix), group, np.uint64))
-                size.append(np.full(len(prefix), len(tokens), np.int32))
-                pos.append(np.arange(len(prefix), dtype=np.int32))
-            if token:
-                yield pd.DataFrame({
-                    "token": np.concatenate(token).view(np.int64), "chain": np.concatenate(chain),
-                    "gid": np.concatenate(gid).view(np.int64), "n": np.concatenate(size), "pos": np.concatenate(pos)})
-
-    return map_batches(docs.select("text"), run, "token long, chain int, gid long, n int, pos int")
-
-
-def token_lists(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+            if not batch.num_rows:
+                continue
+            of_docs, cells, odd, prefixes, groups = [], [], [], [], set()
+            for tokens in shingle_sets(batch.column("text").to_pylist(), width):
+                cells.append(np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32))
+                odd.append(_parity(tokens))
+                group = np.uint64(0)
+                if len(tokens):
+                    prefix, weight, group = _prefix(tokens, percent, shared.value)
+                    if int(group) not in groups:
+                        groups.add(int(group))
+                        chain = np.where(weight > 0, 1 + int(group % np.uint64(CHAINS)), 0).astype(np.int32)
+                        prefixes.append((prefix, chain, np.full(len(prefix), group), np.full(len(prefix), len(tokens), np.int32), np.arange(len(prefix), dtype=np.int32)))
+                of_docs.append((len(tokens), _fingerprint(tokens, 1), _fingerprint(tokens, 2), group))
+            if keys:
+                n, f1, f2, gid = (np.array(x) for x in zip(*of_docs, strict=True))
+                yield rows(len(n), doc_id=batch.column("doc_id"), n=pa.array(n.astype(np.int32)), f1=pa.array(f1.view(np.int64)), f2=pa.array(f2.view(np.int64)),
+                           gid=pa.array(gid.view(np.int64)), sketch=lists(cells, CELLS, pa.int32()), parity=lists(odd, PARITY_WORDS, pa.int64()))
+            if prefixes:
+                token, chain, gid, n, pos = (np.concatenate(x) for x in zip(*prefixes, strict=True))
+                yield rows(len(token), token=pa.array(token.view(np.int64)), chain=pa.array(chain), gid=pa.array(gid.view(np.int64)), n=pa.array(n), pos=pa.array(pos))
+
+    schema = "doc_id long, n int, f1 long, f2 long, gid long, sketch array<int>, parity array<long>, token long, chain int, pos int"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def token_lists(prefixes: DataFrame) -> DataFrame:
     """The prefix rows of groups that share a token, once each; tokens outside the frequent table are left out if only one group has them."""
-    dealt = prefix_rows(docs, width, percent, frequent).repartition("token", "chain").distinct()
+    dealt = prefixes.repartition("token", "chain").distinct()
     here = F.count("*").over(Window.partitionBy("token", "chain"))
     return dealt.withColumn("here", here).where("chain > 0 OR here > 1").drop("here")
 
@@ -206,13 +207,13 @@ def token_members(docs: DataFrame, lists: DataFrame, named: DataFrame, firsts: D
     ``lists`` is without the tokens of one group alone, which is enough only for a group within one component. Of the others all prefix
     tokens are taken from one member's text.
     """
-    split = checkpointed(named.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").join(
+    split = written(named.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").join(
         firsts, "gid").select("gid", F.col("first").alias("doc_id"), F.lit(True).alias("_split")))
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    read = small_join(texts, split.select("doc_id").distinct(), ["doc_id"], F.col("doc_id"), "inner")
+    read = written_join(texts, split.select("doc_id").distinct(), ["doc_id"], "left_semi")
     # an id may stand for several texts, so groups are named by what their texts give
-    whole = prefix_rows(read, width, percent, frequent).select("token", "gid", "n", "pos").distinct()
-    marked = checkpointed(small_join(named.select("gid", "node", "comp"), split.select("gid", "_split"), ["gid"], F.col("node")))
+    whole = scan(read, width, percent, frequent, keys=False).select("token", "gid", "n", "pos").distinct()
+    marked = written(written_join(named.select("gid", "node", "comp"), split.select("gid", "_split"), ["gid"]))
     of_lists = lists.select("token", "gid", "n", "pos").join(marked.where("_split IS NULL"), "gid")
     return of_lists.unionByName(whole.join(marked.where("_split"), "gid")).select("token", "node", "comp", "n", "pos")
 
@@ -232,16 +233,15 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, pe
     Two sets cannot share more tokens than the smaller count of each cell of their sketches; what this leaves is held against each
     other token by token.
     """
-    pairs = checkpointed(pairs.select("a", "b").distinct())
-    named = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("_in", F.lit(True)))
-    # only the sketches of nodes in pairs are dealt out
-    sketch = small_join(nodes.select("node", "n", "sketch"), named, ["node"], F.col("node"), "inner").select("node", "n", "sketch")
-    # sketches are too wide to be copied for salts; adaptive execution splits a hot side of these joins
+    pairs = written(pairs.select("a", "b").distinct())
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # only the sketches of nodes in pairs are dealt out; adaptive execution splits a hot side of these joins
+    sketch = nodes.select("node", "n", "sketch").join(named, "node", "left_semi")
     one = pairs.join(sketch.toDF("a", "n1", "s1"), "a")
     two = one.join(sketch.toDF("b", "n2", "s2"), "b")
     most = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    pairs = checkpointed(two.where(_alike_sizes(percent) & _reachable(percent, most)).select("a", "b"))
-    needed = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("_in", F.lit(True)))
+    near = written(two.where(_alike_sizes(percent) & _reachable(percent, most)).select("a", "b"))
+    needed = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -249,13 +249,13 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, pe
             yield pd.DataFrame({"id": batch["doc_id"].to_numpy(), "tokens": pd.Series(lists, dtype=object)})
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sets = map_batches(
-        small_join(rows, needed, ["doc_id"], F.col("doc_id"), "inner").select("doc_id", "text"), run, "id long, tokens array<long>")
-    left = pairs.join(sets.toDF("a", "left"), "a")
+    sets = map_batches(written_join(rows, needed, ["doc_id"], "left_semi"), run, "id long, tokens array<long>")
+    left = near.join(sets.toDF("a", "left"), "a")
     both = left.join(sets.toDF("b", "right"), "b")
     common = F.size(F.array_intersect("left", "right"))
-    return checkpointed(both.where(
-        common * 100 >= (F.size("left") + F.size("right") - common) * percent).select("a", "b"))
+    links = written(both.where(common * 100 >= (F.size("left") + F.size("right") - common) * percent).select("a", "b"))
+    forgotten(pairs, near, needed)
+    return links
 
 
 def _united(links: DataFrame, ends: DataFrame) -> DataFrame:
@@ -282,12 +282,13 @@ def _mixed(members: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (doc_id, text)."""
     frequent = frequent_tokens(docs, width)
-    of_docs = checkpointed(document_keys(docs, width, percent, frequent))
+    scanned = written(scan(docs, width, percent, frequent))
+    of_docs = scanned.where("token IS NULL")
     # equal sets are one node, named by the smallest id
-    nodes = checkpointed(of_docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(
+    nodes = written(of_docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(
         F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("gid").alias("gid"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
-    firsts = nodes.groupBy("gid").agg(F.min("node").alias("first"), F.count("*").alias("members"))
-    lists = checkpointed(token_lists(docs, width, percent, frequent))
+    firsts = written(nodes.groupBy("gid").agg(F.min("node").alias("first"), F.count("*").alias("members")))
+    lists = written(token_lists(scanned.where("token IS NOT NULL").select("token", "chain", "gid", "n", "pos")))
 
     # 1. neighbours by size within each token, and members against their group's first
     near = Window.partitionBy("token", "chain").orderBy("n", "gid")
@@ -297,26 +298,27 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     chained = chained.where(F.col("gid2").isNotNull() & _alike_sizes(percent) & _reachable(percent, bound)).select("gid", "gid2").distinct()
     of_group = firsts.select("gid", "first")
     heads = chained.join(of_group.withColumnRenamed("first", "a"), "gid").join(of_group.toDF("gid2", "b"), "gid2").select("a", "b")
-    inside = salted_join(nodes.select("node", "gid"), firsts.where("members > 1"), ["gid"], F.col("node"), "inner").where("node <> first").select(
+    inside = nodes.select("node", "gid").join(firsts.where("members > 1"), "gid").where("node <> first").select(
         F.col("first").alias("a"), F.col("node").alias("b"))
     links = verified(docs, heads.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, width, percent)
     comp = components(links)
 
     # 2. what is still apart, per token
-    named = checkpointed(nodes.select("node", "gid", "n", "f1", "f2", "copies").join(comp, "node", "left").select(
+    named = written(nodes.select("node", "gid", "n", "f1", "f2", "copies").join(comp, "node", "left").select(
         "node", "gid", "n", "f1", "f2", "copies", F.coalesce("component", "node").alias("comp"), F.col("component").isNotNull().alias("tied")))
-    members = token_members(docs, lists, named, firsts, width, percent, frequent)
-    apart = checkpointed(members.join(_mixed(members), "token").join(nodes.select("node", "parity"), "node"))
+    members = written(token_members(docs, lists, named, firsts, width, percent, frequent))
+    apart = written(members.join(_mixed(members), "token").join(nodes.select("node", "parity"), "node"))
     # members that one of the largest component stands for: of each token, the one with the fewest rarer tokens
     most = (F.col("n1") + F.col("n2") - _differing()) / 2
     hubs = apart.where("comp = main").groupBy("token").agg(F.min_by(F.struct("node", "n", "parity"), F.struct("pos", "node")).alias("hub")).select(
         "token", F.col("hub.node").alias("b"), F.col("hub.n").alias("n2"), F.col("hub.parity").alias("q2"))
     led = apart.where("comp <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("q1")).join(hubs, "token")
     led = led.where(_alike_sizes(percent) & _reachable(percent, most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first_round = checkpointed(_united(verified(docs, led, nodes, width, percent), named.select("node", "comp")))
-    named = checkpointed(_renamed(named, first_round))
+    first_round = written(_united(verified(docs, led, nodes, width, percent), named.select("node", "comp")))
+    forgotten(members, lists)
+    named = written(_renamed(named, first_round))
     apart = _renamed(apart.drop("main"), first_round)
-    apart = checkpointed(apart.join(_mixed(apart), "token"))
+    apart = written(apart.join(_mixed(apart), "token"))
     minor = apart.where("comp <> main").select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("parity").alias("q1"))
     others = apart.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("main"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("parity").alias("q2"))
     # pairs of two minor members are met from either side and kept once
@@ -335,8 +337,8 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     whole = _renamed(named, _united(more, named.select("node", "comp")))
     # documents that are alone need no row here
     result = whole.where("copies > 1 OR tied").select("n", "f1", "f2", F.col("comp").alias("component"))
-    out = salted_join(of_docs.drop("sketch", "parity"), result, ["n", "f1", "f2"], F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = salted_join(of_docs.select("doc_id", "n", "f1", "f2"), result, ["n", "f1", "f2"], F.col("doc_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 @query("op3_jaccard_join")
