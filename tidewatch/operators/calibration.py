@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,17 +11,24 @@ from pyspark.sql import DataFrame, functions as F
 from tidewatch.functions.expressions import col
 from tidewatch.functions.grids import GRIDS, Grid
 from tidewatch.operators import scores as S
+from tidewatch.operators.composite import Composite
 from tidewatch.operators.ordering import small_table
 
 
-@dataclass
-class Calibrator:
+class Calibrator(Composite):
     """Replaces ``proba``; ``method`` is raw, platt or isotonic."""
 
-    method: str
-    model: object = None
+    def __init__(self, method: str, model=None):
+        super().__init__()
+        self.method, self.model = method, model
+
+    def parts(self) -> dict:
+        return {"model": self.model}
+
+    def plain(self) -> dict:
+        return {"method": self.method}
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
         if self.method == "raw":
             return df
         kept = [col(c) for c in df.columns if c != "proba"]

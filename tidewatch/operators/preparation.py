@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
-
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.expressions import col, count_cuts, number, quoted, real
+from tidewatch.operators.composite import Composite
 from tidewatch.operators.ordering import ROWS_PER_TASK, running_totals
 from tidewatch.operators.profiling import _chunks, per_column
 
@@ -106,14 +105,17 @@ def medians(df: DataFrame, names: list[str], rows_per_task: int = ROWS_PER_TASK)
     return {c: (a + b) / 2 for c, (a, b) in middle.items()}
 
 
-@dataclass(frozen=True)
-class MedianImputer:
+class MedianImputer(Composite):
     """Medians of the training rows; a column without numbers is dropped."""
 
-    values: dict[str, float]
-    dropped: list[str] = field(default_factory=list)
+    def __init__(self, values: dict[str, float], dropped: list[str] | None = None):
+        super().__init__()
+        self.values, self.dropped = values, dropped or []
+
+    def plain(self) -> dict:
+        return {"values": self.values, "dropped": self.dropped}
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
         filled = df.withColumns({c: F.expr(f"coalesce({number(c)}, {real(v)})") for c, v in self.values.items()})
         return filled.drop(*self.dropped)
 
@@ -123,14 +125,17 @@ def fit_median(df: DataFrame, names: list[str], rows_per_task: int = ROWS_PER_TA
     return MedianImputer(values, [c for c in names if c not in values])
 
 
-@dataclass(frozen=True)
-class Scaler:
+class Scaler(Composite):
     """Mean and population deviation; a constant column is only centred."""
 
-    mean: dict[str, float]
-    std: dict[str, float]
+    def __init__(self, mean: dict[str, float], std: dict[str, float]):
+        super().__init__()
+        self.mean, self.std = mean, std
+
+    def plain(self) -> dict:
+        return {"mean": self.mean, "std": self.std}
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: F.expr(f"({number(c)} - {real(m)}) / {real(self.std[c] or 1.0)}") for c, m in self.mean.items()})
 
 

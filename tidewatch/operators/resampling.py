@@ -1,129 +1,12 @@
-"""Nearest neighbours and oversampling of the rare class."""
+"""Oversampling of the rare class between near rows."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.operators.neighbours import knn_join
 from tidewatch.operators.ordering import ordered_index
-from tidewatch.operators.splitting import sample_n
-
-MAX_PIVOTS = 256
-BLOCK_ROWS = 2_000
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, summed dimension by dimension to stay within one block."""
-    out = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        out += (a[:, i, None] - b[None, :, i]) ** 2
-    return np.sqrt(out)
-
-
-def _nearest_pivot(pivots: np.ndarray):
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
-
-    @F.pandas_udf(schema)
-    def assign(vectors: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(vectors.to_numpy()), pivots)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "reach": d[np.arange(len(d)), cell]})
-
-    return assign
-
-
-def _send(lefts: DataFrame, rights: DataFrame, every: DataFrame, wanted: int, need: int):
-    """Left rows with their cell, right rows with each cell that may need them, and the cell sizes.
-
-    What the driver sees is bounded by the number of pivots times ``need``.
-    """
-    spark = lefts.sparkSession
-    pivots = np.array([r.v for r in sample_n(every, "id", wanted, seed=11).select("v").distinct().collect()])
-    assign = _nearest_pivot(pivots)
-    placed = lambda df: df.withColumn("a", assign("v")).select("id", "v", "a.cell", "a.reach")
-    lefts, rights = placed(lefts), placed(rights)
-    l_stats = {r.cell: r for r in lefts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("far")).collect()}
-    close = Window.partitionBy("cell").orderBy("reach", "id")
-    nearest: dict[int, list[float]] = {}
-    for r in rights.withColumn("p", F.row_number().over(close)).where(F.col("p") <= need).select("cell", "reach").collect():
-        nearest.setdefault(r.cell, []).append(r.reach)
-    between = _distances(pivots, pivots)
-    rules = []
-    for i, s in l_stats.items():
-        # No neighbour of a row of cell i is farther away than this.
-        bounds = sorted(s.far + between[i, j] + reach for j, near in nearest.items() for reach in near)
-        radius = bounds[need - 1] if len(bounds) >= need else math.inf
-        slack = 1e-9 * (1 + (0 if math.isinf(radius) else radius))
-        rules += [(i, j, float(between[i, j] - s.far - radius - slack)) for j in nearest]
-    rule = F.broadcast(spark.createDataFrame(rules, "target int, cell int, min_reach double"))
-    sent = rights.join(rule, "cell").where(F.col("reach") >= F.col("min_reach")).select("target", "id", "v")
-    r_sizes = {r.target: r.n for r in sent.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return lefts.withColumnRenamed("cell", "target"), sent, {i: s.n for i, s in l_stats.items()}, r_sizes
-
-
-def knn_join(
-    left: DataFrame, right: DataFrame, row_id: str, vector: str, k: int,
-    exclude_self: bool = True, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS,
-) -> DataFrame:
-    """Exact k nearest rows of ``right`` for each row of ``left``, ties by row key.
-
-    Rows are assigned to the nearest of a few pivots. Triangle inequalities give
-    each left cell a radius that must hold all its neighbours, and right rows
-    are sent only to the cells whose radius they can meet. Cells are cut into
-    blocks by hash, so a cell with a third of all rows is many tasks; a block
-    pair passes on at most ``k`` rows per left row. Of identical right vectors
-    only the first ``k + 1`` by key can matter, the rest leave before the join.
-    """
-    spark = left.sparkSession
-    points = lambda df: df.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    copies = Window.partitionBy("v").orderBy("id")
-    lefts, rights = points(left), points(right).withColumn("c", F.row_number().over(copies)).where(F.col("c") <= k + 1).drop("c")
-
-    n_right = right.count()
-    if n_right == 0:
-        return spark.createDataFrame([], f"{row_id} long, neighbour long, distance double, rank int")
-    if n_right <= block_rows:
-        # One cell: nothing to assign, every left row meets every right row once.
-        lefts, sent = lefts.withColumn("target", F.lit(0)), rights.withColumn("target", F.lit(0))
-        l_sizes, r_sizes = {0: left.count()}, {0: n_right}
-    else:
-        wanted = min(max_pivots, math.ceil(n_right / block_rows))
-        lefts, sent, l_sizes, r_sizes = _send(lefts, rights, points(right), wanted, k + 1 if exclude_self else k)
-
-    parts = lambda n: max(1, math.ceil(n / block_rows))
-    plan = F.broadcast(spark.createDataFrame(
-        [(i, parts(n), parts(r_sizes.get(i, 0))) for i, n in l_sizes.items()], "target int, l_parts int, r_parts int"))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    l_blocks = lefts.join(plan, "target").select(
-        "target", part("l_parts").alias("l"), spread("r_parts").alias("r"), "id", "v")
-    r_blocks = sent.join(plan, "target").select(
-        "target", part("r_parts").alias("r"), spread("l_parts").alias("l"), "id", "v")
-
-    def closest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        if a.empty or b.empty:
-            return empty
-        b = b.sort_values("id")
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        d = _distances(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()))
-        if exclude_self:
-            d[ids[:, None] == others[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, order, axis=1)
-        keep = np.isfinite(near)
-        return pd.DataFrame({
-            "id": np.repeat(ids, keep.sum(axis=1)), "neighbour": others[order][keep], "distance": near[keep]})
-
-    pairs = l_blocks.groupBy("target", "l", "r").cogroup(r_blocks.groupBy("target", "l", "r")).applyInPandas(
-        closest, "id long, neighbour long, distance double")
-    best = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        F.col("id").alias(row_id), "neighbour", "distance", "rank")
-
+from tidewatch.session import write_scratch
 
 def _classes(df: DataFrame, label: str) -> tuple[object, int]:
     """Rare class and how many rows it lacks (smallest value on a tie)."""
@@ -151,25 +34,26 @@ def adasyn(df: DataFrame, label: str, row_id: str, vector: str, seed: int = 42,
     value, lack = _classes(df, label)
     rare = df.where(F.col(label) == value)
     if lack == 0:
-        return _between(spark_pairs(df), rare, row_id, vector, label, value)
-    near = knn_join(rare, df, row_id, vector, neighbours, **kw)
+        return _between(spark_pairs(df, row_id), rare, row_id, vector, label, value)
+    near = write_scratch(knn_join(rare, df, row_id, vector, neighbours, **kw))
     kinds = df.select(F.col(row_id).alias("neighbour"), (F.col(label) != value).cast("double").alias("foreign"))
-    share = near.join(kinds, "neighbour").groupBy(row_id).agg((F.sum("foreign") / neighbours).alias("share"))
+    share = write_scratch(near.join(kinds, "neighbour").groupBy(row_id).agg((F.sum("foreign") / neighbours).alias("share")))
     total = share.agg(F.sum("share")).first()[0] or 0.0
     if total == 0:
         raise ValueError("no rare row has a neighbour of the other class")
-    quota = share.select(F.col(row_id).alias("base"), F.rint(F.col("share") / total * lack).cast("int").alias("quota"))
+    quota = share.select(F.col(row_id).alias("base"), F.rint(F.col("share") / total * lack).cast("long").alias("quota"))
     inner = knn_join(rare, rare, row_id, vector, neighbours, **kw)
     options = inner.groupBy(F.col(row_id).alias("base")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"]).alias("near"))
-    copies = quota.where(F.col("quota") > 0).select("base", F.explode(F.sequence(F.lit(1), "quota")).alias("copy")).join(options, "base")
+    copies = quota.where(F.col("quota") > 0).select("base", F.explode(F.sequence(F.lit(1).cast("long"), "quota")).alias("copy")).join(options, "base")
     pick = F.floor(_uniform(seed, F.col("base"), F.col("copy"), F.lit("n")) * F.size("near")).cast("int")
     pairs = copies.select("base", "copy", F.col("near")[pick].alias("other"), _uniform(seed, F.col("base"), F.col("copy"), F.lit("s")).alias("step"))
     return _between(pairs, rare, row_id, vector, label, value)
 
 
-def spark_pairs(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], "base long, copy int, other long, step double")
+def spark_pairs(df: DataFrame, row_id: str) -> DataFrame:
+    kind = df.schema[row_id].dataType.simpleString()
+    return df.sparkSession.createDataFrame([], f"base {kind}, copy long, other {kind}, step double")
 
 
 def borderline_smote(
@@ -183,13 +67,13 @@ def borderline_smote(
     danger = near.join(kinds, "neighbour").groupBy(row_id).agg(F.sum("foreign").alias("f")).where(
         (F.col("f") >= border / 2) & (F.col("f") < border))
     inner = knn_join(rare.join(danger.select(row_id), row_id, "left_semi"), rare, row_id, vector, neighbours, **kw)
-    pairs = ordered_index(inner.select(F.col(row_id).alias("base"), F.col("neighbour").alias("other"), "rank"),
+    pairs = ordered_index(write_scratch(inner).select(F.col(row_id).alias("base"), F.col("neighbour").alias("other"), "rank"),
                           [F.col("base"), F.col("rank")], "place")
     n_pairs = pairs.count()
     if n_pairs == 0 or lack == 0:
-        return _between(spark_pairs(df), rare, row_id, vector, label, value)
+        return _between(spark_pairs(df, row_id), rare, row_id, vector, label, value)
     draws = df.sparkSession.range(lack).select(
-        F.col("id").cast("int").alias("copy"),
+        F.col("id").alias("copy"),
         F.floor(_uniform(seed, F.col("id"), F.lit("p")) * n_pairs).alias("place"),
         _uniform(seed, F.col("id"), F.lit("s")).alias("step"))
     return _between(draws.join(pairs, "place").select("base", "copy", "other", "step"), rare, row_id, vector, label, value)
@@ -201,5 +85,5 @@ def resample(df: DataFrame, label: str, row_id: str, vector: str, strategy: str
     if make is None:
         raise ValueError(f"no resampling called {strategy!r}")
     new = make(df, label, row_id, vector, seed, **kw)
-    old = df.select(F.col(row_id).alias("source_id"), F.lit(None).cast("int").alias("copy"), F.col(vector).cast("array<double>").alias(vector), label)
+    old = df.select(F.col(row_id).alias("source_id"), F.lit(None).cast("long").alias("copy"), F.col(vector).cast("array<double>").alias(vector), label)
     return old.unionByName(new)

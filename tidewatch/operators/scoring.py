@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewatch.functions.expressions import margin_to_probability, quoted
 from tidewatch.operators import scores as S
 from tidewatch.operators.ensembles import compare_metrics
-from tidewatch.sources.bundles import Bundle, promote
-from tidewatch.sources.documents import SPELLINGS
+from tidewatch.sources.bundles import Bundle, load_bundle, promote
 
 
 def positive_probability(df: DataFrame, positive_index: int = 1) -> DataFrame:
@@ -60,20 +59,28 @@ def reproduce(bundle: Bundle, df: DataFrame, label: str, saved: DataFrame, tol:
     return compare_metrics(saved, metric_rows(predict_report(bundle, df, label)[1], names), tol)
 
 
-def wrapper_threshold(document: dict) -> float:
-    """Threshold of a stored wrapper under its usual spellings, else 0.5."""
-    return next((float(document[n]) for n in SPELLINGS["threshold"] if document.get(n) is not None), 0.5)
+def evaluate_stored(spark, path: str, df: DataFrame, label: str) -> DataFrame:
+    """Metrics of a stored bundle of any shape on a table: its own columns are cut out by name or by ``selected_idx``, its threshold
+    is looked up by its spellings. What cannot be loaded or score gives an error row."""
+    try:
+        bundle = load_bundle(spark, path)
+    except Exception as e:  # the failure is the result
+        return spark.createDataFrame(
+            [(path.rstrip("/").rsplit("/", 1)[-1], None, None, None, f"{type(e).__name__}: {str(e).splitlines()[0]}")], EVALUATED)
+    return evaluate_bundle(bundle, df, label)
+
+
+EVALUATED = "model_id string, accuracy double, f1 double, roc_auc double, error string"
 
 
 def evaluate_bundle(bundle: Bundle, df: DataFrame, label: str) -> DataFrame:
     """Metrics of one bundle; a bundle that cannot score gives an error row."""
-    columns = "model_id string, accuracy double, f1 double, roc_auc double, error string"
     try:
         summary = predict_report(bundle, df, label)[1]
         row = summary.select("model_id", "accuracy", "f1", "roc_auc").first()
-        return df.sparkSession.createDataFrame([(*row, None)], columns)
+        return df.sparkSession.createDataFrame([(*row, None)], EVALUATED)
     except Exception as e:  # the failure is the result
-        return df.sparkSession.createDataFrame([(bundle.name, None, None, None, f"{type(e).__name__}: {str(e).splitlines()[0]}")], columns)
+        return df.sparkSession.createDataFrame([(bundle.name, None, None, None, f"{type(e).__name__}: {str(e).splitlines()[0]}")], EVALUATED)
 
 
 def score_bundles(bundles: list[Bundle], df: DataFrame, row_id: str, label: str | None = None) -> tuple[DataFrame | None, DataFrame]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.expressions import quoted
 from tidewatch.functions.grids import GRIDS
 from tidewatch.operators import scores as S
 from tidewatch.operators.calibration import Calibrator, fit_isotonic
+from tidewatch.operators.composite import Composite
 from tidewatch.operators.models import Member, Spec, fit, fit_all, oof, score, score_members
 from tidewatch.operators.splitting import holdout
 
@@ -18,13 +19,24 @@ def fit_meta(wide: DataFrame, columns: list[str], family: str = "logistic", labe
     return fit(wide, label, columns, family, params, tag="meta")
 
 
-class StackingModel(Model):
+class StackingModel(Composite):
     """Scores rows with every base model, then with the meta model, in one pass."""
 
     def __init__(self, members: list[Member], meta, calibrator: Calibrator | None = None):
         super().__init__()
         self.members, self.meta, self.calibrator = members, meta, calibrator
 
+    def parts(self) -> dict:
+        return {**{f"base_{m.tag}": m.model for m in self.members}, "meta": self.meta, "calibrator": self.calibrator}
+
+    def plain(self) -> dict:
+        return {"members": [{"tag": m.tag, "features": m.features} for m in self.members]}
+
+    @classmethod
+    def rebuilt(cls, parts: dict, plain: dict) -> StackingModel:
+        members = [Member(m["tag"], parts[f"base_{m['tag']}"], m["features"]) for m in plain["members"]]
+        return cls(members, parts["meta"], parts["calibrator"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         out = score(self.meta, score_members(self.members, df), "meta")
         if self.calibrator is not None:
@@ -32,6 +44,66 @@ class StackingModel(Model):
         return out.selectExpr(*map(quoted, df.columns), "proba")
 
 
+class BagModel(Composite):
+    """Mean or median probability of models that score the same rows."""
+
+    def __init__(self, members: list[Member], how: str = "mean"):
+        super().__init__()
+        self.members, self.how = members, how
+
+    def parts(self) -> dict:
+        return {m.tag: m.model for m in self.members}
+
+    def plain(self) -> dict:
+        return {"how": self.how, "members": [{"tag": m.tag, "features": m.features} for m in self.members]}
+
+    @classmethod
+    def rebuilt(cls, parts: dict, plain: dict) -> BagModel:
+        return cls([Member(m["tag"], parts[m["tag"]], m["features"]) for m in plain["members"]], plain["how"])
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        from tidewatch.operators.ensembles import blend_wide
+        scored = blend_wide(score_members(self.members, df), [m.tag for m in self.members], self.how)
+        return scored.selectExpr(*map(quoted, df.columns), "proba")
+
+
+class SelectedModel(Composite):
+    """A model of some columns of an ordered table, chosen by place (``selected_idx``).
+
+    The table's columns are either named in ``columns``, or the entries of one array column ``vector``; the inner model then
+    gets an array of the chosen entries.
+    """
+
+    def __init__(self, model, selected_idx: list[int], columns: list[str] | None = None, vector: str | None = None):
+        super().__init__()
+        if (columns is None) == (vector is None):
+            raise ValueError("either the columns' names or the name of an array column")
+        self.model, self.selected_idx, self.columns, self.vector = model, [int(i) for i in selected_idx], columns, vector
+        if any(i < 0 or (columns is not None and i >= len(columns)) for i in self.selected_idx):
+            raise ValueError("a selected place lies outside the columns")
+
+    def parts(self) -> dict:
+        return {"model": self.model}
+
+    def plain(self) -> dict:
+        return {"selected_idx": self.selected_idx, "columns": self.columns, "vector": self.vector}
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        from tidewatch.operators.scoring import positive_probability
+        names = list(map(quoted, df.columns))
+        if self.vector is None:
+            missing = [self.columns[i] for i in self.selected_idx if self.columns[i] not in df.columns]
+            if missing:
+                raise ValueError(f"columns {missing} are missing")
+            return positive_probability(self.model.transform(df)).selectExpr(*names, "proba")
+        short = F.size(self.vector) <= max(self.selected_idx, default=-1)
+        chosen = F.when(short, F.raise_error(F.lit("a row has fewer entries than the model needs"))).otherwise(
+            F.array(*[F.col(self.vector)[i] for i in self.selected_idx]))
+        sliced = df.withColumn("__whole", F.col(self.vector)).withColumn(self.vector, chosen)
+        scored = positive_probability(self.model.transform(sliced))
+        return scored.drop(self.vector).withColumnRenamed("__whole", self.vector).selectExpr(*names, "proba")
+
+
 class Stacking(Estimator):
     """Out-of-fold scores of the base models train the meta model.
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tidewatch", cores: str | None = None) -> SparkSession:
@@ -45,6 +45,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidewatch/{uuid.uuid4().hex}/{name}"
 
 
+def write_scratch(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder: what reads them has a short plan, a known size and survives lost executors."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ready_to_checkpoint(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewatch.sources.bundles import load_model
+
 
 def first_available(spark: SparkSession, paths: list[str], fallback=None) -> DataFrame:
     """The first readable table of several places; else ``fallback()``."""
@@ -20,21 +21,23 @@ def first_available(spark: SparkSession, paths: list[str], fallback=None) -> Dat
 
 
 def model_paths(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Model directories below ``folder``, found by their metadata."""
-    try:
-        found = spark.read.text(f"{folder.rstrip('/')}/*/metadata").select(F.col("_metadata.file_path").alias("p")).distinct().collect()
-    except AnalysisException:
-        return {}
-    roots = sorted({r.p.rsplit("/metadata/", 1)[0] for r in found})
-    return {r.rsplit("/", 1)[1]: r for r in roots}
+    """Model directories below ``folder``, bare, in a bundle or as a stack's folders, found by their metadata."""
+    roots = set()
+    for inner in ("", "/model", "/meta"):
+        try:
+            found = spark.read.text(f"{folder.rstrip('/')}/*{inner}/metadata").select(F.col("_metadata.file_path").alias("p")).distinct().collect()
+        except AnalysisException:
+            continue
+        roots |= {r.p.rsplit(f"{inner}/metadata/", 1)[0] for r in found}
+    return {r.rsplit("/", 1)[1]: r for r in sorted(roots)}
 
 
-def load_models(spark: SparkSession, paths: dict[str, str], load=PipelineModel.load) -> tuple[dict, DataFrame]:
-    """Loaded models and a catalogue ``(model_id, path, status, error)``; failures are rows."""
+def load_models(spark: SparkSession, paths: dict[str, str], load=load_model) -> tuple[dict, DataFrame]:
+    """Loaded models of any shape and a catalogue ``(model_id, path, status, error)``; failures are rows."""
     models, rows = {}, []
     for name, path in paths.items():
         try:
-            models[name] = load(path)
+            models[name] = load(spark, path)
             rows.append((name, path, "ok", None))
         except Exception as e:  # any unreadable model is a row of the catalogue
             rows.append((name, path, "failed", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
