@@ -291,50 +291,60 @@ def test_scripts_narrow_the_candidates(spark):
     assert [r.lang_pred for r in got] == ["ru", "en"]
 
 
-def test_lm_scores_against_dictionaries(spark, odd):
-    docs = [(1, "a b a c", True), (2, "a b b", True), (3, "c d a b", False), (4, None, False), (5, "zz", False), (6, "", True)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string, target boolean")
-    models = lm_scoring.fit(frame, vocabulary=3, bigrams=3)
-    split = {i: (t or "").split() for i, t, _ in docs}
-    totals = Counter(w for ws in split.values() for w in ws)
-    hash_of = {w: int(common.word_hashes([w])[0][0]) for w in totals}
-    vocabulary = sorted(totals, key=lambda w: (-totals[w], np.uint64(hash_of[w]).astype(np.int64)))[:3]
-    name = lambda w: w if w in vocabulary else "?"
-
-    def counts(ids):
-        words, pairs, starts = Counter(), Counter(), 0
-        for i in ids:
-            ws = [name(w) for w in split[i]]
-            words.update(ws)
-            pairs.update(zip(["^", *ws], ws))
-            starts += bool(ws)
-        return words, pairs, starts
-
-    sides = counts([i for i, _, t in docs if t]), counts([i for i, _, _ in docs])
-    assert sum(models.target.words) == sum(sides[0][0].values()) + sides[0][2]
-    order = {models.keys(np.array([models.ids(np.array([hash_of[w]], np.uint64))[0] if w in hash_of else models.unknown]), np.array([0]))[0]: w for w in vocabulary}
-    got = {r.doc_id: r for r in lm_scoring.score(frame, models).collect()}
-    ids = {w: int(models.ids(np.array([hash_of[w]], np.uint64))[0]) for w in vocabulary} | {"?": models.unknown, "^": models.start}
-    shared = {(int(k) // (models.start + 1), int(k) % (models.start + 1)) for k in models.bigrams}
-    assert len(shared) == 3 and len(order) == 3
-    for i, ws in split.items():
-        if not ws:
-            assert got[i].n_tokens == 0 and got[i].score is None
-            continue
-        losses = []
-        for words, pairs, starts in sides:
-            n, loss, before = sum(words.values()), 0.0, "^"
-            for w in map(name, ws):
-                context = max(starts if before == "^" else words[before], 1)
-                own = {b: max(c - lm_scoring.DISCOUNT, 0) / context for (a, b), c in pairs.items() if a == before and (ids[a], ids[b]) in shared}
-                left = max(1 - sum(own.values()), 1e-9)
-                loss -= np.log(own.get(w, 0) + left * (words[w] + 1) / (n + 4))
-                before = w
-            losses.append(loss / len(ws))
-        assert got[i].target_loss == pytest.approx(losses[0]) and got[i].score == pytest.approx(losses[0] - losses[1])
+def lm_by_hand(docs, added):
+    """Losses of both models for every row, from dictionaries of all other rows."""
+    split = [WORDS.findall(lower(t)) for _, t, _ in docs]
+    vocabulary = len({w for ws in split for w in ws})
+    own = [Counter(zip(["^", *ws], ws)) for ws in split]
+    out = []
+    for i, ws in enumerate(split):
+        sides = []
+        for wanted in (lambda j: docs[j][2], lambda j: True):
+            pairs, contexts = Counter(), Counter()
+            for j in range(len(docs)):
+                if j != i and wanted(j):
+                    pairs.update(own[j])
+            for (v, _), n in pairs.items():
+                contexts[v] += n
+            sides.append(sum(np.log((contexts[v] + added * vocabulary) / (pairs[v, w] + added)) for v, w in zip(["^", *ws], ws)) / max(len(ws), 1))
+        out.append((docs[i][0], len(ws), *sides) if ws else (docs[i][0], 0, None, None))
+    return out
+
+
+@pytest.mark.parametrize("hot,bucket_keys,parts", [(0, 50, 3), (40, 1 << 22, 1), (1 << 18, 300, 7)])
+def test_lm_scores_against_dictionaries(spark, sf, monkeypatch, hot, bucket_keys, parts):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 900").limit(90).collect()
+    docs = [(r.doc_id, r.text, r.doc_id % 3 == 0) for r in rows]
+    docs += [(901, "a b a c", True), (902, "A b b", True), (903, "c d a b", False), (904, None, False), (905, "zz", False), (906, "", True), (901, "a b a c", False)]
+    monkeypatch.setattr(lm_scoring, "TOGETHER", 500)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, target boolean").repartition(parts)
+    got = lm_scoring.score(frame, hot, bucket_keys).collect()
+    key = lambda r: (r[0], r[1], round(r[2] or 0, 7), round(r[3] or 0, 7))
+    want = sorted(lm_by_hand(docs, lm_scoring.ADDED), key=key)
+    got = sorted([tuple(r) for r in got], key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[2:4] == (pytest.approx(b[2:4]) if b[1] else (None, None))
+        assert a[4] == (pytest.approx(b[2] - b[3], abs=1e-9) if b[1] else None)
+
+
+def test_lm_scores_set_texts_that_occur_twice_apart(spark):
+    random.seed(8)
+    text = lambda: " ".join(random.choices([f"w{i}" for i in range(400)], k=80))
+    docs = [(i, text(), i % 2 == 0) for i in range(200)]
+    again = [(1000 + i, docs[i][1], False) for i in range(1, 20, 2)]
+    rows = lm_scoring.score(spark.createDataFrame(docs + again, "doc_id long, text string, target boolean")).collect()
+    twice = {i for i, _, _ in again} | {i - 1000 for i, _, _ in again}
+    assert min(r.score for r in rows if r.doc_id in twice) > max(r.score for r in rows if r.doc_id not in twice)
+
+
+def test_lm_scores_of_odd_and_no_rows(spark, odd):
     flagged = lm_scoring.with_target(odd, spark.createDataFrame([(5,), (5,), (None,)], "doc_id long"))
-    assert flagged.count() == odd.count() and lm_scoring.score(flagged, lm_scoring.fit(flagged)).count() == odd.count()
-    assert lm_scoring.score(flagged.limit(0), lm_scoring.fit(flagged.limit(0))).count() == 0
+    assert flagged.count() == odd.count() and lm_scoring.score(flagged).count() == odd.count()
+    assert {r.doc_id for r in lm_scoring.score(flagged).where("score IS NULL").collect()} == {1, 2, 3}
+    assert lm_scoring.score(flagged.limit(0)).count() == 0
+    alone = lm_scoring.score(spark.createDataFrame([(1, "a b c", None)], "doc_id long, text string, target boolean")).first()
+    assert alone.target_loss == pytest.approx(np.log(3)) and alone.score == pytest.approx(0)
 
 
 def test_warc_round_trip(spark, tmp_path):

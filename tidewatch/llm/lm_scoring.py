@@ -1,104 +1,50 @@
 """Cross-entropy difference of two language models.
 
-A target model (documents that the caller names) and a background model (all documents) have the same vocabulary, the same bigrams
-and the same smoothing, and differ in counts alone. A document's score is the mean over its words of the target's loss minus the
-background's; the lower, the more it reads like the target.
+A target model (documents that the caller flags) and a background model (all documents) are bigram models of the same vocabulary with the
+same smoothing, and differ in counts alone: p(w | v) = (c(v w) + a) / (c(v) + a V), with c(v) how often v is followed by a word, V the
+number of different words in all documents, and a = ``ADDED``. Every document is scored by models of all other documents: its own
+words are taken out of the counts first, so no text speaks for itself. A document's score is the mean over its words of the target's loss
+minus the background's; the lower, the more it reads like the target.
 
-The vocabulary has the ``VOCABULARY`` most frequent words of all documents, everything else is one unknown word; the bigrams
-are the ``BIGRAMS`` most frequent of the target. These two sizes are the models' parameters and bound what tasks hold in memory;
-counts cover all documents. Words are held as 64-bit hashes.
+Counts are whole: every bigram and every context of every document counts, however rare. Keys (bigrams and contexts, as 64-bit hashes)
+that are hot are counted first and looked up in the tasks that read the texts; all others are dealt by hash over ``buckets``, whose
+number follows the number of words, so a bucket's size does not grow. A bucket has all occurrences of its keys, counts them and
+sends back one sum for each of its documents. Texts are never shuffled, and which keys are hot decides the path, not the score.
 
 Defined results: null texts and texts without words have no tokens and a null score; repeated rows count each time and are scored one by
-one; an empty target gives the same uniform unigrams to all words; ties in frequency go to the smaller hash; an empty table gives no rows;
-further columns are ignored.
+one, each against the other; an empty target, or a corpus of one document, gives all words the same loss; an empty table gives no rows; rows with null
+``target`` are not in the target; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import checkpointed, map_batches, small_join, table, word_hashes
+from tidewatch.llm.common import BROADCAST_BYTES, map_batches, mix64, size_of, table, word_hashes, written, written_join
 from tidewatch.llm.registry import query
 
-VOCABULARY, BIGRAMS = 1 << 16, 1 << 18
-DISCOUNT = 0.5
-CELLS = "kind int, k long, n long"
+#: What is added to every count.
+ADDED = 0.1
+#: Keys a task counts together to find hot ones, the share of these that makes a key hot, and the most hot keys (16 bytes of counts each).
+TOGETHER, HOT_SHARE, HOT = 1 << 21, 1 / (1 << 17), 1 << 18
+#: Keys that a bucket should have at most.
+BUCKET_KEYS = 1 << 22
+START = np.uint64(0x5851F42D4C957F2D)
 
 
-@dataclass
-class Side:
-    """Counts of one corpus: per word, the unknown one and the start of a text, and per shared bigram."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-
-
-@dataclass
-class Models:
-    vocabulary: np.ndarray   # sorted hashes
-    bigrams: np.ndarray      # sorted keys
-    target: Side | None = None
-    background: Side | None = None
-
-    def __post_init__(self):
-        self.unknown, self.start = len(self.vocabulary), len(self.vocabulary) + 1
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.full(len(hashes), self.unknown)
-        place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[place] == hashes, place, self.unknown)
-
-    def keys(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Bigram key of every word; the word before a text's first is the start."""
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[first[first < len(ids)]] = self.start
-        return before * (self.start + 1) + ids
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key among the shared bigrams, -1 for others."""
-        if not len(self.bigrams):
-            return np.full(len(keys), -1)
-        place = np.minimum(np.searchsorted(self.bigrams, keys), len(self.bigrams) - 1)
-        return np.where(self.bigrams[place] == keys, place, -1)
-
-    def losses(self, side: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unigram probabilities, what is left per context after the discounted bigrams, and those bigrams' own shares."""
-        words = side.words[:self.start].astype(float)
-        plain = (words + 1) / (words.sum() + len(words))
-        context = np.maximum(side.words.astype(float), 1)
-        before = self.bigrams // (self.start + 1)
-        own = np.maximum(side.pairs - DISCOUNT, 0) / context[before]
-        left = np.maximum(1 - np.bincount(before, weights=own, minlength=len(context)), 1e-9)
-        return plain, left, own
-
-
-def _texts(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes(list(batch["text"]))
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """``(kind, k, n)``: how often each word hash ``k`` occurs (kind 0); words and texts that have any (kind 1, ``k`` 0 and 1)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashes, first = _texts(batch)
-            h, n = np.unique(hashes, return_counts=True)
-            yield _cells(h.view(np.int64), n, [len(hashes), np.count_nonzero(np.diff(first))])
-
-    return map_batches(docs.select("text"), run, CELLS).groupBy("kind", "k").agg(F.sum("n").alias("n"))
-
-
-def _cells(keys: np.ndarray, n: np.ndarray, more: np.ndarray | list[int]) -> pd.DataFrame:
-    """Rows of kind 0 for ``keys``, and of kind 1 for what ``more`` counts by place."""
-    return pd.DataFrame({
-        "kind": np.repeat(np.array([0, 1], np.int32), [len(keys), len(more)]),
-        "k": np.concatenate([keys, np.arange(len(more))]).astype(np.int64), "n": np.concatenate([n, more]).astype(np.int64)})
+def keys_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and bigram key of every word, and where each text's words begin."""
+    words, first = word_hashes(texts)
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[first[:-1][np.diff(first) > 0]] = START
+    context = mix64(before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return context, mix64(context ^ words * np.uint64(0xD6E8FEB86659FD93)), first
 
 
 def most_frequent(counted: DataFrame, most: int) -> pd.DataFrame:
@@ -123,97 +69,211 @@ def most_frequent(counted: DataFrame, most: int) -> pd.DataFrame:
     return rows.sort_values(["n", "k"], ascending=[False, True]).head(most)
 
 
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS, target: DataFrame | None = None) -> Models:
-    """Both models from the texts of ``docs``; the target is ``target``, or the rows of ``docs`` with that flag."""
-    spark = docs.sparkSession
-    target = docs.where("target") if target is None else target
-    counted = checkpointed(count_words(docs))
-    top = most_frequent(counted.where("kind = 0"), vocabulary)
-    totals = {r["k"]: r["n"] for r in counted.where("kind = 1").collect()}
-    h = top["k"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    models = Models(h[order], np.zeros(0, np.int64))
-    known = top["n"].to_numpy(np.int64)[order]
-    shared = spark.sparkContext.broadcast(models)
-
-    def target_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use = shared.value
+def frequent_keys(docs: DataFrame, most: int) -> np.ndarray:
+    """Sorted keys that are frequent among ``TOGETHER`` keys of some task, the ``most`` most frequent of them."""
+    least = max(2, int(TOGETHER * HOT_SHARE))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pd.DataFrame:
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"k": k[n >= least].view(np.int64), "n": n[n >= least]})
+
         for batch in batches:
-            hashes, first = _texts(batch)
-            ids = use.ids(hashes)
-            keys, n = np.unique(use.keys(ids, first), return_counts=True)
-            of_ids = np.bincount(ids, minlength=use.start + 1)
-            of_ids[use.start] = np.count_nonzero(np.diff(first))
-            yield _cells(keys, n, of_ids)
-
-    inside = checkpointed(map_batches(target.select("text"), target_cells, CELLS).groupBy("kind", "k").agg(F.sum("n").alias("n")))
-    words = inside.where("kind = 1").toPandas()
-    of_target = np.zeros(models.start + 1, np.int64)
-    of_target[words["k"].to_numpy(np.int64)] = words["n"].to_numpy(np.int64)
-    chosen = most_frequent(inside.where("kind = 0"), bigrams).sort_values("k")
-    full = Models(models.vocabulary, chosen["k"].to_numpy(np.int64))
-    of_pairs = spark.sparkContext.broadcast(full)
-
-    def all_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use = of_pairs.value
-        total = np.zeros(len(use.bigrams), np.int64)
+            context, bigram, _ = keys_of(list(batch["text"]))
+            held += [context, bigram]
+            size += 2 * len(context)
+            if size >= TOGETHER:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
+
+    found = written(map_batches(docs.select("text"), run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
+    return np.sort(most_frequent(found, most)["k"].to_numpy(np.int64).view(np.uint64))
+
+
+def places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Index of each key among sorted ones, -1 for others."""
+    if not len(known):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, at, -1)
+
+
+def hot_counts(docs: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, int]:
+    """Occurrences of each hot key in the target and in all documents, and the number of words: exact, added up inside tasks first."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        total = np.zeros((2, len(known) + 1), np.int64)
         for batch in batches:
-            hashes, first = _texts(batch)
-            place = use.places(use.keys(use.ids(hashes), first))
-            total += np.bincount(place[place >= 0], minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"p": used, "n": total[used]})
+            context, bigram, first = keys_of(list(batch["text"]))
+            inside = np.repeat(batch["target"].to_numpy(bool), np.diff(first))
+            for keys in (context, bigram):
+                at = places(keys, known)
+                total[1] += np.bincount(at[at >= 0], minlength=len(known) + 1)
+                at = at[inside]
+                total[0] += np.bincount(at[at >= 0], minlength=len(known) + 1)
+            total[1, -1] += len(context)
+        side, k = np.nonzero(total)
+        yield pd.DataFrame({"side": side.astype(np.int32), "k": k, "n": total[side, k]})
+
+    rows = map_batches(docs.select("text", "target"), run, "side int, k long, n long").groupBy("side", "k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((2, len(hot) + 1), np.int64)
+    out[rows["side"].to_numpy(np.int64), rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out[:, :-1], int(out[1, -1])
+
+
+def vocabulary_size(docs: DataFrame) -> int:
+    """Number of different words in all documents."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.unique(word_hashes(list(batch["text"]))[0]))
+            if sum(map(len, held)) >= TOGETHER:
+                held = [np.unique(np.concatenate(held))]
+                if len(held[0]) >= TOGETHER:
+                    yield pd.DataFrame({"word": held.pop().view(np.int64)})
+        if held:
+            yield pd.DataFrame({"word": np.unique(np.concatenate(held)).view(np.int64)})
 
-    cells = map_batches(docs.select("text"), all_pairs, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toPandas()
-    behind = np.zeros(len(full.bigrams), np.int64)
-    behind[cells["p"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
-    full.target = Side(of_target, chosen["n"].to_numpy(np.int64))
-    full.background = Side(np.concatenate([known, [totals.get(0, 0) - known.sum(), totals.get(1, 0)]]).astype(np.int64), behind)
-    return full
+    return map_batches(docs.select("text"), run, "word long").distinct().count()
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """``(doc_id, n_tokens, target_loss, background_loss, score)``, losses in nats per word."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def losses(is_context: np.ndarray, counts: np.ndarray, own: np.ndarray, flagged: np.ndarray, words: int) -> np.ndarray:
+    """What each occurrence of a key adds to the target's and the background's loss, without its document's own occurrences.
 
+    ``counts`` are those of the target and of all documents; a document's own ones are in the target's only if it is ``flagged``.
+    """
+    added = np.where(is_context, ADDED * max(words, 1), ADDED)
+    sign = np.where(is_context, 1.0, -1.0)
+    return np.stack([sign * np.log(counts[0] - np.where(flagged, own, 0) + added), sign * np.log(counts[1] - own + added)])
+
+
+def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the columns (the last one first), where groups of equal rows begin in it, and their sizes."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    start = np.flatnonzero(new)
+    return order, start, np.diff(start, append=len(order))
+
+
+DEALT = "bucket int, row long, size int, keys binary, docs binary, ids binary, first binary"
+
+
+def deal(docs: DataFrame, hot: Broadcast, buckets: int, words: int) -> DataFrame:
+    """Rows for buckets: the keys of a batch of documents that are not hot, and, for one bucket of each batch, what is known of its documents.
+
+    A key's lowest bit says whether it is a context; a document's number in its batch has the target flag as its lowest bit.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use = shared.value
-        sides = [use.losses(use.target), use.losses(use.background)]
+        known, counts = hot.value
         for batch in batches:
-            hashes, first = _texts(batch)
-            ids = use.ids(hashes)
-            keys = use.keys(ids, first)
-            before, place = keys // (use.start + 1), use.places(keys)
-            text = np.repeat(np.arange(len(batch)), np.diff(first))
+            if not len(batch):
+                continue
+            context, bigram, first = keys_of(list(batch["text"]))
             n = np.diff(first)
-            means = []
-            for plain, left, own in sides:
-                p = left[before] * plain[ids]
-                hit = place >= 0
-                p[hit] += own[place[hit]]
-                means.append(np.bincount(text, weights=-np.log(p), minlength=len(batch)) / np.maximum(n, 1))
-            some = n > 0
+            target = batch["target"].to_numpy(bool)
+            doc = np.repeat(np.arange(len(batch)), n)
+            sums = np.zeros((2, len(batch)))
+            cold_keys, cold_docs = [], []
+            for keys, is_context in ((context, True), (bigram, False)):
+                at = places(keys, known)
+                there = at >= 0
+                code = doc[there] * max(len(known), 1) + at[there]
+                code, own = np.unique(code, return_counts=True)
+                d, k = code // max(len(known), 1), code % max(len(known), 1)
+                for side, part in enumerate(losses(np.full(len(k), is_context), counts[:, k], own, target[d], words)):
+                    sums[side] += np.bincount(d, weights=own * part, minlength=len(batch))
+                cold_keys.append((keys[~there] & ~np.uint64(1)) | np.uint64(is_context))
+                cold_docs.append(doc[~there])
+            keys, of = np.concatenate(cold_keys), np.concatenate(cold_docs)
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            keys, of = keys[order], (2 * of + target[of])[order].astype(np.uint32)
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            row = int(batch["row"].iloc[0])
+            home = row % buckets
+            present = np.union1d(np.flatnonzero(np.diff(edge)), [home])
+            small = of.astype(np.uint16) if 2 * len(batch) < 1 << 16 else of
+            ids = "\n".join("" if i is None else i for i in batch["doc_id"]).encode()
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n_tokens": n.astype(np.int64),
-                "target_loss": pd.Series(means[0], index=batch.index).where(some), "background_loss": pd.Series(means[1], index=batch.index).where(some),
-                "score": pd.Series(means[0] - means[1], index=batch.index).where(some)})
-
-    out = map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-    return out.select("doc_id", "n_tokens", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("target_loss", "background_loss", "score")])
+                "bucket": present.astype(np.int32), "row": row, "size": len(batch), "keys": [keys[edge[b]:edge[b + 1]].tobytes() for b in present],
+                "docs": [small[edge[b]:edge[b + 1]].tobytes() for b in present],
+                "ids": [ids if b == home else None for b in present], "first": [np.stack([n, *sums]).tobytes() if b == home else None for b in present]})
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text", "target")
+    return map_batches(rows, run, DEALT)
+
+
+PARTS = "row long, doc_id long, n_tokens long, target_loss double, background_loss double"
+
+
+def summed(words: int):
+    """What a bucket makes of its rows: per document the sums of its keys' losses."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        sizes = part["size"].to_numpy(np.int64)
+        lengths = part["keys"].map(len).to_numpy(np.int64) // 8
+        base = part["row"].to_numpy(np.int64)
+        keys = np.frombuffer(b"".join(part["keys"]), np.uint64)
+        docs = [np.frombuffer(d, np.uint16 if 2 * s < 1 << 16 else np.uint32) for d, s in zip(part["docs"], sizes, strict=True)]
+        doc = np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64)
+        row, flagged = np.repeat(base, lengths) + (doc >> 1), (doc & 1).astype(bool)
+        order, start, own = _grouped(row, keys)
+        k, r, f = keys[order][start], row[order][start], flagged[order][start]
+        # rows of one key follow each other
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        at = np.cumsum(new) - 1
+        counts = np.stack([np.bincount(at, weights=own * f, minlength=0), np.bincount(at, weights=own, minlength=0)]) if len(k) else np.zeros((2, 0))
+        both = losses((k & np.uint64(1)).astype(bool), counts[:, at], own, f, words) * own
+        names, place = np.unique(r, return_inverse=True)
+        out = [pd.DataFrame({
+            "row": names, "doc_id": pd.array([None] * len(names), "Int64"), "n_tokens": pd.array([None] * len(names), "Int64"),
+            "target_loss": np.bincount(place, weights=both[0], minlength=len(names)), "background_loss": np.bincount(place, weights=both[1], minlength=len(names))})]
+        for row0, ids, first in zip(base, part["ids"], part["first"], strict=True):
+            if first is not None:
+                n, target, background = np.frombuffer(first, float).reshape(3, -1)
+                out.append(pd.DataFrame({
+                    "row": row0 + np.arange(len(n)), "doc_id": pd.array([int(i) if i else None for i in ids.decode().split("\n")], "Int64"),
+                    "n_tokens": pd.array(n.astype(np.int64), "Int64"), "target_loss": target, "background_loss": background}))
+        return pd.concat(out)
+
+    return run
+
+
+def score(docs: DataFrame, hot: int = HOT, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """``(doc_id, n_tokens, target_loss, background_loss, score)`` of ``docs`` (doc_id, text, target), losses in nats per word."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    known = frequent_keys(docs, hot)
+    counts, tokens = hot_counts(docs, known)
+    words = vocabulary_size(docs)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // bucket_keys))
+    dealt = deal(docs, spark.sparkContext.broadcast((known, counts)), buckets, words)
+    parts = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(summed(words), PARTS)
+    # one row of each document says what it is, the others only add
+    whole = parts.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_tokens")], *[F.sum(c).alias(c) for c in ("target_loss", "background_loss")])
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).alias(c)
+    return whole.select("doc_id", "n_tokens", mean("target_loss"), mean("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def with_target(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(doc_id, text, target)``: whether the document's id is in ``wanted``."""
-    ids = wanted.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("_in", F.lit(True))
-    return small_join(docs.select("doc_id", "text"), ids, ["doc_id"], F.col("doc_id")).select(
-        "doc_id", "text", F.coalesce("_in", F.lit(False)).alias("target"))
+    ids = written(wanted.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("_in", F.lit(True)))
+    out = written_join(docs.select("doc_id", "text"), ids, ["doc_id"]).select("doc_id", "text", F.coalesce("_in", F.lit(False)).alias("target"))
+    # behind a shuffle a task that runs again must number its rows as before
+    return out if 4 * size_of(ids) <= BROADCAST_BYTES else out.sortWithinPartitions("doc_id", "text")
 
 
 @query("op4_lm_scoring")
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against the documents labelled as good ones."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    # the target's texts are written once; no other pass needs the labels
-    target = checkpointed(docs.join(good, "doc_id", "left_semi").select("text"))
-    return score(docs, fit(docs, target=target))
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return score(with_target(table(spark, sf_dir, "documents"), good))
