@@ -452,7 +452,7 @@ def test_toxicity_held_out_and_counterfactuals(spark, odd):
     for i in range(600):  # one group is mentioned mostly in toxic texts
         texts.append(("muslim " if i % 3 else "") + "you idiot moron" if i % 4 == 1 else ("muslim " if i % 20 == 0 else "") + f"nice day number {i % 5}")
         y.append(int(i % 4 == 1))
-    plain, fair = toxicity.fit_model(texts, y, 0.0), toxicity.fit_model(texts, y, 50.0)
+    plain, fair = (toxicity.fit_model([toxicity.words(t) for t in texts], y, f) for f in (0.0, 50.0))
     gap = [m.margin("a muslim friend") - m.margin("a friend") for m in (plain, fair)]
     assert gap[0] > 4 * abs(gap[1]) and fair.score("you idiot") > 0.5 > fair.score("a muslim friend")
     got = {r.doc_id: r.score for r in toxicity.score(odd, fair).collect()}

@@ -46,6 +46,13 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(printable) else chr(next(free)) for b in range(256)]
 
 
+def code_points(group: str) -> str:
+    """Ranges, as inside a character class, of all code points whose general category begins with ``group``."""
+    inside = np.array([unicodedata.category(chr(c))[0] == group for c in range(0x110000)])
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0)).tolist()
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edge[::2], edge[1::2], strict=True))
+
+
 class Vocabulary:
     """Tokens, merges and tables of one tokenizer file."""
 
@@ -57,8 +64,10 @@ class Vocabulary:
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in pre] != ["Split", "ByteLevel"]:
             raise ValueError("this kind of tokenizer file is not supported")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        # the file's \s is Unicode White_Space
-        self.pattern = pre[0]["pattern"]["Regex"].replace(r"\s", r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError("special tokens that reach beyond their own string are not supported")
+        # the file's \s is Unicode White_Space; its letters and numbers are those of this Python's Unicode, not of the pattern library's
+        self.pattern = pre[0]["pattern"]["Regex"].replace(r"\p{L}", code_points("L")).replace(r"\p{N}", code_points("N")).replace(r"\s", r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
         suffix = model["end_of_word_suffix"]
         ids = model["vocab"]
         self.strings: list[str] = [""] * (max([*ids.values(), *self.special.values()]) + 1)
@@ -198,7 +207,7 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.specials is None or "<|" not in text:
+        if not any(s in text for s in self.vocabulary.special):
             return self._plain(text)
         pieces = self.specials.split(text)
         known = self.vocabulary.special

@@ -85,6 +85,21 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column,
     return salted_join(left, right, on, spread, how)
 
 
+def shield(docs: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """The table with all columns but the ``known`` ones renamed by place, so that none can clash with other names, in any case."""
+    names, seen = [], set()
+    for i, c in enumerate(docs.columns):
+        names.append(c if c in known and c not in seen else f"x{i}")
+        seen.add(c)
+    return docs.toDF(*names)
+
+
+def shielded(docs: DataFrame, known: tuple[str, ...], stage) -> DataFrame:
+    """``stage`` of the shielded table; the result has the columns of ``docs``, under their names."""
+    rows = shield(docs, known)
+    return stage(rows).select(*rows.columns).toDF(*docs.columns)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; null for null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

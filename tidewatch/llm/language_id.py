@@ -10,7 +10,7 @@ keeps the model small (``BUCKETS`` cells per language) and is the only sampling.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; ties go to the first language by name; a word
 in a script no language uses may be of any; without training documents everything is ``und``; repeated rows are judged
-one by one; an empty table gives no rows; further columns are kept by ``identify``.
+one by one; an empty table gives no rows; further columns are kept by ``identify``, but for those named like its own.
 """
 
 from __future__ import annotations
@@ -207,13 +207,15 @@ def _passes(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """Adds ``lang_pred`` and ``score``; with ``spans`` also the labelled spans as (start, stop, lang), in characters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """Adds ``lang_pred`` and ``score``, in place of columns of these names; with ``spans`` also the labelled spans as (start, stop, lang), in characters."""
+    # arrays and lists, which tasks can read without this package
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.allowed))
+    docs = docs.drop("lang_pred", "score", *["spans"] * spans)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     extra = ["lang_pred string", "score double", *["spans array<struct<start:long,stop:long,lang:string>>"] * spans]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use = shared.value
+        use = Model(*shared.value)
         names = np.array([*use.languages, UNKNOWN], object)
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]

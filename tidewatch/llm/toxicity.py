@@ -2,10 +2,10 @@
 
 A logistic model over words, their beginnings and letter sequences is fitted on labelled documents. For every training document
 that mentions an identity term, copies are made in which the term is swapped for others of its group or left out, and the squared
-change of the score is penalised, so that a neutral mention of a group does not make a text toxic.
+change of the score's log-odds is penalised, so that a neutral mention of a group does not make a text toxic.
 
-The model is fitted in one task on at most about ``SAMPLE`` labelled documents drawn by a hash of the id (the documented bound);
-all documents are scored, whole. Features count once per document; those whose frequency does not differ between the labels (chi-square
+The model is fitted in one task on at most about ``SAMPLE`` labelled documents drawn by a hash of the id (the documented bound),
+which come as sets of different words, not as texts; all documents are scored, whole. Features count once per document; those whose frequency does not differ between the labels (chi-square
 below ``CHI``) are left out, so the length of a text adds no noise.
 
 Defined results: null and empty texts get the score of a text without features; null labels are not learned from; repeated rows
@@ -89,13 +89,12 @@ def _swaps(found: set[str]) -> Iterator[set[str]]:
                         yield (found - {term}) | {other}
 
 
-def fit_model(texts: list[str], toxic: list[int], fairness: float = FAIRNESS) -> Model:
-    """Logistic regression with the counterfactual penalty, by Adam on all rows."""
+def fit_model(found: list[set[str]], toxic: list[int], fairness: float = FAIRNESS) -> Model:
+    """Logistic regression with the counterfactual penalty, by Adam on all rows: the words of each document."""
     y = np.array(toxic, float)
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(float(np.log((share + 1e-9) / (1 - share + 1e-9))), {})
-    found = [words(t) for t in texts]
     by_word: dict[str, set[str]] = {}
     plain, bad = Counter(), Counter()
     for ws, label in zip(found, y, strict=True):
@@ -152,24 +151,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # the drawn ids are bounded by the sample
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, toxic, ids = [], [], []
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts += [t if t is not None else "" for t in batch["text"]]
-            toxic += list(batch["_toxic"])
-            ids += list(batch["doc_id"])
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i], toxic[i]))
-        model = fit_model([texts[i] for i in order], [toxic[i] for i in order])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "words": [" ".join(sorted(words(t))) for t in batch["text"]], "toxic": batch["_toxic"]})
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn = sorted((row for batch in batches for row in zip(batch["doc_id"], batch["words"], batch["toxic"], strict=True)))
+        model = fit_model([set(text.split(" ")) - {""} for _, text, _ in drawn], [toxic for _, _, toxic in drawn])
         yield pd.DataFrame({"feature": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
 
-    cells = map_batches(rows.repartition(1), fit, "feature string, weight double").toPandas()
+    reduced = map_batches(rows, reduce, "doc_id long, words string, toxic int")
+    cells = map_batches(reduced.repartition(1), fit, "feature string, weight double").toPandas()
     weights = dict(zip(cells["feature"], cells["weight"], strict=True))
     # no row at all: no labelled document, so the share of toxic ones counts as 0
     return Model(weights.pop("", fit_model([], []).bias), weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score``, the probability that a reader would label the text toxic."""
+    """Adds ``score``, the probability that a reader would label the text toxic, in place of a column of this name."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
