@@ -19,6 +19,8 @@ SALTS = 8
 CHUNK = 1 << 19
 #: Bytes of a batch that Python tasks get at once (a longer row comes alone).
 BATCH_BYTES = 8 << 20
+#: The same for operators whose tasks hold several arrays for each byte of text.
+SMALL_BATCH = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -61,9 +63,9 @@ def written_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
     return left.join(F.broadcast(right) if 4 * size_of(right) <= BROADCAST_BYTES else right, on, how)
 
 
-def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, run, schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``mapInPandas`` over batches of bounded bytes, so a task's memory does not depend on the length of texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return df.mapInPandas(run, schema)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import forgotten, map_batches, written
+from tidewatch.llm.common import SMALL_BATCH, forgotten, map_batches, written
 
 #: Links that a task looks at together.
 TOGETHER = 1 << 20
@@ -58,7 +58,7 @@ def _forest(links: DataFrame, wrong: Accumulator | None = None) -> DataFrame:
             a, b = local_stars(np.concatenate(left), np.concatenate(right))
             yield pd.DataFrame({"a": a, "b": b})
 
-    return map_batches(links, run, "a long, b long")
+    return map_batches(links, run, "a long, b long", SMALL_BATCH)
 
 
 def components(links: DataFrame) -> DataFrame:

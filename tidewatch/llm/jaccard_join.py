@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidewatch.llm.common import BATCH_BYTES, checkpointed, forgotten, map_batches, mix64, salted_join, table, word_hashes, written, written_join
+from tidewatch.llm.common import SMALL_BATCH, forgotten, map_batches, mix64, salted_join, table, word_hashes, written, written_join
 from tidewatch.llm.graph import components
 from tidewatch.llm.registry import query
 
@@ -44,7 +44,7 @@ FREQUENT = 1 << 18
 CHAINS, CELLS = 8, 128
 #: 64-bit words of a set's parity sketch.
 PARITY_WORDS = 8
-GATHERED = 3 << 20
+GATHERED = 2 << 20
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
@@ -103,7 +103,7 @@ def frequent_tokens(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple[
         if seen:
             yield summed(seen)
 
-    counted = checkpointed(map_batches(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    counted = written(map_batches(docs.select("text"), run, "token long, n long", SMALL_BATCH).groupBy("token").agg(F.sum("n").alias("n")))
     steps = counted.groupBy(F.floor(F.log2("n") * 8).alias("step")).count().orderBy(F.desc("step")).toPandas()
     fits = steps[steps["count"].cumsum() <= most]
     if fits.empty:
@@ -111,6 +111,7 @@ def frequent_tokens(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple[
     kept = counted.where(F.floor(F.log2("n") * 8) >= F.lit(int(fits["step"].iloc[-1]))).toPandas()
     token = kept["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
+    forgotten(counted)
     return token[order], kept["n"].to_numpy(np.int64)[order]
 
 
@@ -158,7 +159,7 @@ def scan(docs: DataFrame, width: int, percent: int, frequent, keys: bool = True)
     ``CHAINS`` chains, others have one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SMALL_BATCH))
 
     def rows(length: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(length, f.type)) for f in SCAN], schema=SCAN)
@@ -249,7 +250,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, pe
             yield pd.DataFrame({"id": batch["doc_id"].to_numpy(), "tokens": pd.Series(lists, dtype=object)})
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sets = map_batches(written_join(rows, needed, ["doc_id"], "left_semi"), run, "id long, tokens array<long>")
+    sets = map_batches(written_join(rows, needed, ["doc_id"], "left_semi"), run, "id long, tokens array<long>", SMALL_BATCH)
     left = near.join(sets.toDF("a", "left"), "a")
     both = left.join(sets.toDF("b", "right"), "b")
     common = F.size(F.array_intersect("left", "right"))
