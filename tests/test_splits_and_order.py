@@ -60,16 +60,16 @@ def test_safe_split_falls_back(spark):
 
 def test_running_totals_over_ranges_equal_the_plain_window(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
-    plain = O.running_totals(df, ["g"], [F.col("k").desc()], ["v"], rows=0, totals=True, leads=["v"])
-    ranged = O.running_totals(df, ["g"], [F.col("k").desc()], ["v"], rows=500, rows_per_task=40, totals=True, leads=["v"])
+    plain = O.running_totals(df, ["g"], [F.col("k").desc()], ["v"], ranges=1, totals=True, leads=["v"])
+    ranged = O.running_totals(df, ["g"], [F.col("k").desc()], ["v"], ranges=13, totals=True, leads=["v"])
     pick = lambda d: sorted(map(tuple, d.select("g", "k", "v", "cum_v", "all_v", F.coalesce("next_v", F.lit(-1))).collect()))
     assert pick(plain) == pick(ranged)
 
 
 def test_ordered_index_over_ranges(spark):
     df = spark.range(300).select((F.col("id") * 37 % 300).alias("k"))
-    got = O.ordered_index(df, [F.col("k")], "i", rows=300, rows_per_task=50)
-    assert all(r.k == r.i for r in got.collect())
+    for ranges in (None, 6):
+        assert all(r.k == r.i for r in O.ordered_index(df, [F.col("k")], "i", ranges=ranges).collect())
 
 
 def test_hash_rank_is_a_permutation(skewed):
@@ -78,28 +78,21 @@ def test_hash_rank_is_a_permutation(skewed):
         assert r.n == r.d == r.m
 
 
-def test_small_table_is_hinted_and_large_is_not(spark):
-    small, rows = O.materialize(spark.range(10), 20)
-    large, none = O.materialize(spark.range(30), 20)
-    assert rows == 10 and none is None and large.count() == 30
-
-
-@pytest.mark.parametrize("per_task", [10**9, 500])
-def test_order_statistics_are_exact_on_ties_and_gaps(spark, per_task):
+def test_order_statistics_are_exact_on_ties_and_gaps(spark):
     rng = random.Random(3)
     # A third of one column is a single value; the other has nulls and NaN.
     rows = [(1.0 if i % 3 == 0 else rng.gauss(0, 5), None if i % 5 == 0 else (float("nan") if i % 7 == 0 else float(rng.randrange(40)))) for i in range(4000)]
     df = spark.createDataFrame(rows, "a double, b double")
     want = [sorted(r[0] for r in rows), sorted(r[1] for r in rows if r[1] is not None and r[1] == r[1])]
     ranks = lambda n: [1, max(1, n // 3), (n + 1) // 2, n]
-    got = Q.values_at_ranks(df, ["a", "b"], ranks, per_task)
+    got = Q.values_at_ranks(df, ["a", "b"], ranks)
     assert got == {"a": [want[0][r - 1] for r in ranks(len(want[0]))], "b": [want[1][r - 1] for r in ranks(len(want[1]))]}
 
 
 def test_a_wrong_sketch_does_not_change_the_result(spark, monkeypatch):
     df = spark.range(2000).select(F.col("id").cast("double").alias("a"))
     monkeypatch.setattr(Q, "_sketched_spans", lambda *a: {"a": [(5.0, 6.0)]})
-    assert Q.medians(df, ["a"], rows_per_task=10) == {"a": 999.5}
+    assert Q.medians(df, ["a"]) == {"a": 999.5}
 
 
 def test_median_of_nothing(spark):

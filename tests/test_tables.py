@@ -148,7 +148,7 @@ def test_field_counts(spark, tmp_path):
 
 def test_head_of_a_large_table(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"))
-    got = [r.k for r in D.head_sample(df, "k", 20, rows_per_task=200).collect()]
+    got = [r.k for r in D.head_sample(df, "k", 20).collect()]
     assert got == list(range(20))
 
 

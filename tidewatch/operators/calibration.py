@@ -12,7 +12,7 @@ from tidewatch.functions.expressions import col
 from tidewatch.functions.grids import GRIDS, Grid
 from tidewatch.operators import scores as S
 from tidewatch.operators.composite import Composite
-from tidewatch.operators.ordering import small_table
+from tidewatch.session import write_scratch
 
 
 class Calibrator(Composite):
@@ -80,10 +80,10 @@ def compare_calibration(valid: DataFrame, test: DataFrame, grid: Grid = GRIDS["t
     for m in methods:
         part = m.transform(test.select("proba", "y")).select(F.lit(m.method).alias("model_id"), "proba", "y")
         long = part if long is None else long.unionByName(part)
-    report = S.with_metrics(S.sweep_and_auc(long, grid, rows=3 * test.count()), "precision", "recall", "f1", "specificity")
+    report = S.with_metrics(S.sweep_and_auc(long, grid), "precision", "recall", "f1", "specificity")
     order = F.when(F.col("model_id") == "raw", 0).when(F.col("model_id") == "platt", 1).otherwise(2)
     # Three rows: evaluated once, then compared.
-    out = small_table(report.withColumn("order", order))
+    out = write_scratch(report.withColumn("order", order))
     best = S.arg_best(out, "accuracy", "order").first().model_id
     return out.withColumn("chosen", F.col("model_id") == best).withColumnRenamed("model_id", "method").drop("order")
 

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatch.functions.expressions import col
-from tidewatch.operators.ordering import ordered_index, salted_lookup
+from tidewatch.operators.ordering import ordered_index
+from tidewatch.session import write_scratch
 
 # The word of the negative class and the characters stripped around labels.
 NEGATIVE_WORD = "normal"
@@ -99,9 +100,9 @@ def label_by_type(df: DataFrame, name: str, out: str = "y") -> DataFrame:
 
 
 def _with_codes(df: DataFrame, name: str, values: DataFrame, order: list[Column], out: str) -> DataFrame:
-    codes = ordered_index(values, order, out).select(name, out)
-    # Null is no value: it takes code -1.
-    return salted_lookup(df, codes, name).withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("long"))
+    codes = write_scratch(ordered_index(values, order, out).select(name, out))
+    # Null is no value: it takes code -1. Spark broadcasts the codes if they are few, else it splits the tasks of frequent values.
+    return df.join(codes, name, "left").select(*[col(c) for c in df.columns], F.coalesce(F.col(out), F.lit(-1)).cast("long").alias(out))
 
 
 def factorize(df: DataFrame, name: str, row_id: str, out: str = "code") -> DataFrame:

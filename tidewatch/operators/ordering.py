@@ -1,97 +1,56 @@
 """Global order without a single task: prefix sums, ranks and cut keys.
 
-Broadcast hints are set on tables from ``materialize`` only, that is after a
-table has proved to be below a row bound.
+There is one plan for tables of every size. What is joined back is written
+first, so Spark knows its size and broadcasts or shuffles it by that.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.functions.expressions import col, hash_key
-from tidewatch.session import ready_to_checkpoint
+from tidewatch.functions.expressions import hash_key
+from tidewatch.session import write_scratch
 
-ROWS_PER_TASK = 2_000_000
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 8 << 20
-SALTS = 8
-ROWS_PER_CELL = 1_000
-MAX_HASH_DIGITS = 5  # at most 1,048,576 cells per stratum
-
-
-def materialize(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
-    """Evaluate a summary table once; ``(table, rows)`` if it is small.
-
-    At most ``max_rows + 1`` rows reach the driver. A table of more rows or of
-    more than ``BROADCAST_BYTES`` comes back as it was with ``None``: it carries
-    no hint and joins by shuffle.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or head.nbytes > BROADCAST_BYTES:
-        return df, None
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), head.num_rows
-
-
-def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    return materialize(df, max_rows)[0]
+#: Hex digits of a hash that name its cell: 65,536 cells a stratum.
+HASH_DIGITS = 4
 
 
 def running_totals(
-    df: DataFrame,
-    by: list[str],
-    order: list[Column],
-    sums: list[str],
-    rows: int | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
-    totals: bool = False,
-    leads: list[str] = (),
+    df: DataFrame, by: list[str], order: list[Column], sums: list[str], totals: bool = False, leads: list[str] = (), ranges: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>``: the inclusive prefix sum of ``c`` within ``by``.
 
     ``totals`` also adds ``all_<c>``, the whole sum, and ``leads`` adds
     ``next_<c>``, the value of the next row. ``order`` must be unique within
-    ``by``. When ``rows`` (an upper bound of the row count) exceeds one task's
-    share the rows are range-partitioned, the ranges are checkpointed so that
-    they cannot shift between passes, and the results are put together from
-    range totals and sums inside each range.
+    ``by``. A scan in two levels: the rows are dealt over ranges that follow the
+    table's own distribution (as many as the session's shuffle partitions, fewer
+    where these are small, or ``ranges``) and written, so the ranges cannot shift
+    between passes; then sums inside each range are put on top of the totals of
+    the ranges before it.
     """
-    if rows is None:
-        rows = df.count()
-    if rows <= rows_per_task:
-        w = Window.partitionBy(*by).orderBy(*order)
-        upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-        return df.select(
-            "*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in sums],
-            *[F.lead(c).over(w).alias(f"next_{c}") for c in leads],
-            *([F.sum(c).over(whole).alias(f"all_{c}") for c in sums] if totals else []),
-        )
-
-    ready_to_checkpoint(df.sparkSession)
-    parts = math.ceil(rows / rows_per_task)
-    ranged = (
-        df.repartitionByRange(parts, *[F.col(c) for c in by], *order)
-        .withColumn("range_id", F.spark_partition_id())
-        .checkpoint()
-    )
+    along = [*[F.col(c) for c in by], *order]
+    dealt = df.repartitionByRange(ranges, *along) if ranges else df.repartitionByRange(*along)
+    ranged = write_scratch(dealt.withColumn("range_id", F.spark_partition_id()))
     inside = Window.partitionBy(*by, "range_id").orderBy(*order)
     across = Window.partitionBy(*by).orderBy("range_id")
     before, whole = across.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    bases = ranged.groupBy(*by, "range_id").agg(*[F.sum(c).alias(f"sum_{c}") for c in sums])
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select(
+        "*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in sums], *[F.lead(c).over(inside).alias(f"next_{c}") for c in leads])
+    # one row for each group and range
     if leads:
-        heads = ranged.withColumn("__place", F.row_number().over(inside)).where("__place = 1")
-        bases = join_null_safe(
-            bases, heads.select(*by, "range_id", *[F.col(c).alias(f"head_{c}") for c in leads]), [*by, "range_id"])
+        local = local.withColumn("__place", F.row_number().over(inside))
+        heads = [F.max(F.when(F.col("__place") == 1, F.struct(*leads))).alias("head")]
+    else:
+        heads = []
+    bases = local.groupBy(*by, "range_id").agg(*[F.sum(c).alias(f"sum_{c}") for c in sums], *heads)
     bases = bases.select(
         *by, "range_id", *[F.coalesce(F.sum(f"sum_{c}").over(before), F.lit(0)).alias(f"base_{c}") for c in sums],
-        *[F.lead(f"head_{c}").over(across).alias(f"head_{c}") for c in leads],
+        *[F.lead(f"head.{c}").over(across).alias(f"head_{c}") for c in leads],
         *([F.sum(f"sum_{c}").over(whole).alias(f"all_{c}") for c in sums] if totals else []),
     )
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select(
-        "*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in sums], *[F.lead(c).over(inside).alias(f"next_{c}") for c in leads])
     return join_null_safe(local, bases, [*by, "range_id"]).select(
         *df.columns, *[(F.col(f"cum_{c}") + F.col(f"base_{c}")).alias(f"cum_{c}") for c in sums],
         *[F.coalesce(f"next_{c}", f"head_{c}").alias(f"next_{c}") for c in leads],
@@ -106,18 +65,13 @@ def ordered_index(df: DataFrame, order: list[Column], name: str, start: int = 0,
     return ranked.withColumn(name, F.col("cum___one") - 1 + start).drop("__one", "cum___one", "__all")
 
 
-def hash_digits(rows: int) -> int:
-    """Hex digits of the hash that make cells of about a thousand rows."""
-    return min(MAX_HASH_DIGITS, max(1, math.ceil(math.log(max(rows / ROWS_PER_CELL, 1), 16))))
-
-
 def cut_keys(
     df: DataFrame,
     strata: list[str],
     row_id: str,
     seed: int,
     targets: Callable[[Column], Column] | DataFrame,
-    digits: int | None = None,
+    digits: int = HASH_DIGITS,
 ) -> DataFrame:
     """Find the order key at given ranks of every stratum without ranking its rows.
 
@@ -129,7 +83,6 @@ def cut_keys(
     Rows are only counted per hash cell; the few cells holding a target are
     sorted. No class is ever gathered in one task.
     """
-    digits = hash_digits(df.count()) if digits is None else digits
     keyed = df.select(
         *strata, F.col(row_id).alias("cut_id"), hash_key(row_id, seed).alias("cut_hash")
     ).withColumn("cell", F.substring("cut_hash", 1, digits))
@@ -148,10 +101,8 @@ def cut_keys(
         .where((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
         .select(*strata, "cell", "total", "part", (F.col("rank") - F.col("upto") + F.col("n")).alias("residual"))
     )
-    hit, rows = materialize(hit)
+    hit = write_scratch(hit)
     wanted = hit.select(*strata, "cell").distinct()
-    if rows is not None:
-        wanted = F.broadcast(wanted)
     inside = Window.partitionBy(*strata, "cell").orderBy("cut_hash", "cut_id")
     candidates = join_null_safe(keyed, wanted, [*strata, "cell"], "left_semi").withColumn(
         "residual", F.row_number().over(inside).cast("long")
@@ -160,13 +111,12 @@ def cut_keys(
     return join_null_safe(candidates, hit, keys).select(*strata, "total", "part", "cut_hash", "cut_id")
 
 
-def hash_rank(df: DataFrame, strata: list[str], row_id: str, seed: int, name: str = "rank", digits: int | None = None) -> DataFrame:
+def hash_rank(df: DataFrame, strata: list[str], row_id: str, seed: int, name: str = "rank", digits: int = HASH_DIGITS) -> DataFrame:
     """Exact 1-based rank of every row in its stratum, in hash order.
 
     Ranks are counted inside hash cells and shifted by the size of the cells
     before, so a stratum is spread over up to ``16 ** digits`` tasks.
     """
-    digits = hash_digits(df.count()) if digits is None else digits
     keyed = df.withColumn("__hash", hash_key(row_id, seed)).withColumn("__cell", F.substring("__hash", 1, digits))
     cells = keyed.groupBy(*strata, "__cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*strata).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,14 +127,6 @@ def hash_rank(df: DataFrame, strata: list[str], row_id: str, seed: int, name: st
     return out.select(*df.columns, (F.col("__inner") + F.col("__offset")).alias(name))
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join with a table of unique keys; missing and frequent keys of the left side are dealt over ``SALTS`` tasks."""
-    plain = [c for c in left.columns if not left.schema[c].dataType.simpleString().startswith(("map", "variant"))]
-    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*[col(c) for c in plain]), F.lit(SALTS)).cast("int"))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [key, "__salt"], "left").drop("__salt")
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join where null keys match; the keys of the left side are kept."""
     a, b = left.alias("a"), right.alias("b")

@@ -10,20 +10,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.expressions import col, count_cuts, number, quoted, real
 from tidewatch.operators.composite import Composite
-from tidewatch.operators.ordering import ROWS_PER_TASK, running_totals
+from tidewatch.operators.ordering import running_totals
 from tidewatch.operators.profiling import _chunks, per_column
 
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 4.0 / SKETCH_ACCURACY
 
 
-def values_at_ranks(df: DataFrame, names: list[str], ranks, rows_per_task: int = ROWS_PER_TASK) -> dict[str, list[float]]:
+def values_at_ranks(df: DataFrame, names: list[str], ranks) -> dict[str, list[float]]:
     """Exact order statistics of many columns: ``ranks(n)`` lists 1-based ranks.
 
-    Small columns are counted by value. For large ones a quantile sketch gives
-    an interval around each wanted rank: values inside the intervals are
-    counted one by one, the values between two intervals only as a group, so
-    little is shuffled. A rank that falls into such a group after all sends its
+    A quantile sketch gives an interval around each wanted rank: values inside
+    the intervals are counted one by one, the values between two intervals only
+    as a group, so little is shuffled. A rank that falls into such a group after all sends its
     column through again as a whole: the result is always exact. Per column a
     handful of numbers reach the driver.
     """
@@ -35,12 +34,10 @@ def values_at_ranks(df: DataFrame, names: list[str], ranks, rows_per_task: int =
         counts.update({c: row[i] for i, c in enumerate(block)})
     wanted = {c: list(ranks(counts[c])) for c in names if counts[c] > 0}
     todo = [c for c in wanted if wanted[c]]
-    spans = {c: [WHOLE] for c in todo}
-    if sum(counts[c] for c in todo) > rows_per_task:
-        spans = _sketched_spans(numbers, x, wanted, counts, todo)
+    spans = _sketched_spans(numbers, x, wanted, counts, todo)
     found: dict[str, list[float]] = {c: [] for c in wanted}
     while todo:
-        hits = _place(numbers, x, wanted, counts, {c: spans[c] for c in todo}, rows_per_task)
+        hits = _place(numbers, x, wanted, counts, {c: spans[c] for c in todo})
         for c in todo:
             if all(hits.get((c, r)) is not None for r in wanted[c]):
                 found[c] = [hits[c, r] for r in wanted[c]]
@@ -54,24 +51,21 @@ def values_at_ranks(df: DataFrame, names: list[str], ranks, rows_per_task: int =
 WHOLE = (float("-inf"), float("inf"))
 
 
-def _place(numbers: DataFrame, x: dict, wanted: dict, counts: dict, spans: dict, rows_per_task: int) -> dict:
+def _place(numbers: DataFrame, x: dict, wanted: dict, counts: dict, spans: dict) -> dict:
     """Value at each wanted rank, or none where it lies outside the spans."""
-    names, stack, rows = list(spans), [], 0
+    names, stack = list(spans), []
     # Segment 2k + 1 is span k, even segments are the gaps around them.
     edges = {x[c]: [v for low, high in spans[c] for v in (low, math.nextafter(high, math.inf))] for c in names if spans[c] != [WHOLE]}
     cut = count_cuts(numbers, edges, {e: f"{e}_s" for e in edges})
     for i, c in enumerate(names):
         if x[c] not in edges:
             segment, value = "1", x[c]
-            rows += counts[c]
         else:
             segment, value = f"{x[c]}_s", f"if({x[c]}_s % 2 = 1, {x[c]}, NULL)"
-            rows += min(counts[c], math.ceil(counts[c] * 4 * SKETCH_MARGIN * len(wanted[c])))
         stack.append(f"struct({i} AS c, {segment} AS segment, {value} AS value, {x[c]} IS NOT NULL AS known)")
     table = cut.selectExpr(f"inline(array({', '.join(stack)}))").where("known").groupBy("c", "segment", "value").agg(
         F.count(F.lit(1)).alias("n"))
-    placed = running_totals(
-        table, ["c"], [F.col("segment"), F.col("value")], ["n"], rows=rows, rows_per_task=rows_per_task)
+    placed = running_totals(table, ["c"], [F.col("segment"), F.col("value")], ["n"])
     targets = numbers.sparkSession.createDataFrame(
         [(i, r) for i, c in enumerate(names) for r in sorted(set(wanted[c]))], "c int, rank long")
     hit = placed.join(F.broadcast(targets), "c").where(
@@ -99,9 +93,9 @@ def _sketched_spans(numbers: DataFrame, x: dict, wanted: dict, counts: dict, nam
     return out
 
 
-def medians(df: DataFrame, names: list[str], rows_per_task: int = ROWS_PER_TASK) -> dict[str, float]:
+def medians(df: DataFrame, names: list[str]) -> dict[str, float]:
     """Exact medians; columns without any number are left out."""
-    middle = values_at_ranks(df, names, lambda n: [(n + 1) // 2, n // 2 + 1], rows_per_task)
+    middle = values_at_ranks(df, names, lambda n: [(n + 1) // 2, n // 2 + 1])
     return {c: (a + b) / 2 for c, (a, b) in middle.items()}
 
 
@@ -120,8 +114,8 @@ class MedianImputer(Composite):
         return filled.drop(*self.dropped)
 
 
-def fit_median(df: DataFrame, names: list[str], rows_per_task: int = ROWS_PER_TASK) -> MedianImputer:
-    values = medians(df, names, rows_per_task)
+def fit_median(df: DataFrame, names: list[str]) -> MedianImputer:
+    values = medians(df, names)
     return MedianImputer(values, [c for c in names if c not in values])
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.expressions import col, nan_to_null, number, quoted, ratio, text
-from tidewatch.operators.ordering import small_table
+from tidewatch.session import write_scratch
 
 NEAR_ZERO_VARIANCE = 1e-12
 MAX_ZERO_SHARE = 0.9999
@@ -205,7 +205,7 @@ def missing(df: DataFrame, names: list[str], n: int = 10) -> DataFrame:
 # ---- histograms ---------------------------------------------------------------------
 
 def _binned(df: DataFrame, names: list[str], bins: int, keep: list[Column] = ()) -> DataFrame:
-    limits = small_table(per_column(df, names, {"lo": "min({x})", "hi": "max({x})"}))
+    limits = write_scratch(per_column(df, names, {"lo": "min({x})", "hi": "max({x})"}))
     flat = F.col("lo") == F.col("hi")
     limits = limits.select(
         "feature", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.expressions import nan_to_null, quoted, ratio, ratio_or_zero, real
 from tidewatch.functions.grids import Grid
-from tidewatch.operators.ordering import ROWS_PER_TASK, running_totals
+from tidewatch.operators.ordering import running_totals
+from tidewatch.session import write_scratch
 
 MODEL = ["model_id"]
 
@@ -111,24 +112,15 @@ def candidate_thresholds(df: DataFrame, by: list[str] = MODEL) -> DataFrame:
     return _clean(df, by).select(*by, F.explode(values).alias("threshold")).distinct()
 
 
-def curve(
-    df: DataFrame, by: list[str] = MODEL, rows_per_task: int = ROWS_PER_TASK, leads: list[str] = (), rows: int | None = None
-) -> DataFrame:
-    """Counts at or above each distinct score: tp, fp, with own pos and neg and the class totals.
-
-    ``rows``, an upper bound of the row count, saves a count where it is known.
-    """
-    return curve_of(score_table(df, by), by, df.count() if rows is None else rows, rows_per_task, leads)
+def curve(df: DataFrame, by: list[str] = MODEL, leads: list[str] = (), ranges: int | None = None) -> DataFrame:
+    """Counts at or above each distinct score: tp, fp, with own pos and neg and the class totals."""
+    return curve_of(score_table(df, by), by, leads, ranges)
 
 
-def curve_of(
-    table: DataFrame, by: list[str], rows: int | None = None, rows_per_task: int = ROWS_PER_TASK, leads: list[str] = ()
-) -> DataFrame:
-    """The curve of a score table ``(by..., proba, pos, neg)`` of at most ``rows`` rows."""
+def curve_of(table: DataFrame, by: list[str], leads: list[str] = (), ranges: int | None = None) -> DataFrame:
+    """The curve of a score table ``(by..., proba, pos, neg)``."""
     totals = running_totals(
-        table.withColumn("rank", F.lit(1).cast("long")), by, [F.col("proba").desc()], ["pos", "neg", "rank"],
-        rows=rows, rows_per_task=rows_per_task, totals=True, leads=leads,
-    )
+        table.withColumn("rank", F.lit(1).cast("long")), by, [F.col("proba").desc()], ["pos", "neg", "rank"], totals=True, leads=leads, ranges=ranges)
     made = {"cum_pos", "cum_neg", "cum_rank", "all_pos", "all_neg", "all_rank", "rank"}
     return totals.select(
         *[c for c in totals.columns if c not in made], F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
@@ -270,24 +262,22 @@ def metrics_at(df: DataFrame, threshold: float, by: list[str] = MODEL) -> DataFr
     return flat.withColumn("threshold", F.lit(float(threshold)))
 
 
-def grid_confusion(df: DataFrame, grid: DataFrame, by: list[str] = MODEL, rows: int | None = None, **kw) -> DataFrame:
+def grid_confusion(df: DataFrame, grid: DataFrame, by: list[str] = MODEL, **kw) -> DataFrame:
     """Join scores to a grid table on ``proba >= threshold`` and count, without a theta join.
 
-    Thresholds are put among the distinct scores of each model and prefix sums give the counts; the grid may have any length. Only
-    the list of models, which is a catalogue, comes to the driver.
+    Thresholds are put among the distinct scores of each model and prefix sums give the counts; the grid may have any length, and the
+    result has a row for each model and threshold.
     """
-    scored = score_table(df, by)
-    models = scored.select(*by).distinct().collect()
-    if not models:
-        return metrics_at_grid(df, [], by)
-    kinds = {c: scored.schema[c].dataType for c in by}
-    each = F.explode(F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in by]) for r in models]))
+    scored = write_scratch(score_table(df, by))
+    # models and thresholds meet on a constant: all their pairs are the result
+    every = F.lit(0).alias("__every")
+    models = scored.select(*by, every).distinct()
     zero = F.lit(0).cast("long")
-    points = grid.select(F.col("threshold").cast("double").alias("proba")).where("proba IS NOT NULL").distinct().select(
-        "proba", each.alias("m")).select(*[F.col(f"m.{c}").alias(c) for c in by], "proba", zero.alias("pos"), zero.alias("neg"), F.lit(1).alias("point"))
+    thresholds = grid.select(F.col("threshold").cast("double").alias("proba"), every).where("proba IS NOT NULL").distinct()
+    points = thresholds.join(models, "__every").select(*by, "proba", zero.alias("pos"), zero.alias("neg"), F.lit(1).alias("point"))
     # a score equal to a threshold counts, so it comes first
     both = scored.select(*by, "proba", F.col("pos").cast("long").alias("pos"), F.col("neg").cast("long").alias("neg"), F.lit(0).alias("point")).unionByName(points)
-    placed = running_totals(both, by, [F.col("proba").desc(), F.col("point")], ["pos", "neg"], rows=rows, totals=True, **kw).where("point = 1")
+    placed = running_totals(both, by, [F.col("proba").desc(), F.col("point")], ["pos", "neg"], totals=True, **kw).where("point = 1")
     return placed.select(
         *by, F.col("proba").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
         (F.col("all_neg") - F.col("cum_neg")).alias("tn"), (F.col("all_pos") - F.col("cum_pos")).alias("fn"))
@@ -309,13 +299,13 @@ def _best_accuracy(table: DataFrame, by: list[str], target: float | None = None)
     return table.groupBy(*by).agg(best.alias("b"), *extra).select(*by, "b.*", *(["target_threshold"] if extra else []))
 
 
-def sweep_and_auc(df: DataFrame, grid: Grid, by: list[str] = MODEL, rows: int | None = None, **kw) -> DataFrame:
+def sweep_and_auc(df: DataFrame, grid: Grid, by: list[str] = MODEL, **kw) -> DataFrame:
     """Best threshold of the grid, its confusion counts, and the AUC, in one pass.
 
     The counts of a curve point hold for all thresholds down to the next lower
     score, so the lowest grid point in that interval is its candidate.
     """
-    points = curve_of(_interval(score_table(df, by), grid), by, df.count() if rows is None else rows, leads=["k"], **kw)
+    points = curve_of(_interval(score_table(df, by), grid), by, leads=["k"], **kw)
     d = lambda c: F.col(c).cast("double")
     n = d("p_all") + d("n_all")
 
@@ -385,7 +375,7 @@ def arg_best(df: DataFrame, score: str, tie: str, by: list[str] | None = None) -
 
 
 def evaluate_catalogue(
-    df: DataFrame, threshold: float | None = 0.5, by: list[str] = MODEL, rows: int | None = None, **kw
+    df: DataFrame, threshold: float | None = 0.5, by: list[str] = MODEL, **kw
 ) -> DataFrame:
     """All headline metrics for all models of a stacked score table, in one pass.
 
@@ -399,7 +389,7 @@ def evaluate_catalogue(
         hit = F.col("proba") >= F.lit(float(threshold))
         table = score_table(df, by).withColumns({
             "hit_pos": F.when(hit, F.col("pos")).otherwise(0), "hit_neg": F.when(hit, F.col("neg")).otherwise(0)})
-    points = curve_of(table, by, df.count() if rows is None else rows, **kw)
+    points = curve_of(table, by, **kw)
     d = lambda c: F.col(c).cast("double")
     sums = points.groupBy(*by).agg(
         F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"), F.sum("hit_pos").alias("tp"), F.sum("hit_neg").alias("fp"),
@@ -422,4 +412,4 @@ def full_report(predictions: DataFrame, truth: DataFrame, row_id: str, **kw) ->
     wrong = sides.groupBy(row_id).agg(F.sum("__p").alias("__p"), F.sum("__t").alias("__t")).where("__p <> 1 OR __t <> 1").first()
     if wrong is not None:
         raise ValueError(f"{row_id} {wrong[0]!r} has {wrong[1]} predictions and {wrong[2]} rows of truth")
-    return evaluate_catalogue(predictions.join(truth, row_id), None, [], rows=predictions.count(), **kw)
+    return evaluate_catalogue(predictions.join(truth, row_id), None, [], **kw)

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.expressions import hash_key, hash_uniform
-from tidewatch.operators.ordering import cut_keys, hash_rank, join_null_safe, materialize, small_table
+from tidewatch.operators.ordering import cut_keys, hash_rank, join_null_safe, ordered_index
+from tidewatch.session import write_scratch
 
 ALL = "__all"
 
@@ -30,7 +31,7 @@ def _up_to_cut(df: DataFrame, strata: list[str], row_id: str, seed: int, targets
     cuts = cut_keys(df, strata, row_id, seed, targets).select(
         *strata, F.struct(F.col("cut_hash").alias("h"), F.col("cut_id").alias("i")).alias("cut")
     )
-    joined = join_null_safe(df, small_table(cuts), strata, "left")
+    joined = join_null_safe(df, write_scratch(cuts), strata, "left")
     return joined.withColumn("__in", F.coalesce(_row_key(row_id, seed) <= F.col("cut"), F.lit(False))).drop("cut")
 
 
@@ -59,7 +60,7 @@ def kfold(df: DataFrame, label: str | None, row_id: str, k: int, seed: int = 42,
     cuts = cut_keys(base, strata, row_id, seed, ends).groupBy(*strata).agg(
         F.collect_list(F.struct(F.col("cut_hash").alias("h"), F.col("cut_id").alias("i"))).alias("cuts")
     )
-    joined = join_null_safe(base, small_table(cuts), strata, "left")
+    joined = join_null_safe(base, write_scratch(cuts), strata, "left")
     key = _row_key(row_id, seed)
     fold = F.size(F.filter("cuts", lambda c: key > c)).cast("int")
     return joined.withColumn(name, fold).drop("cuts", ALL)
@@ -75,23 +76,20 @@ def fold_valid(df: DataFrame, i: int, name: str = "fold") -> DataFrame:
 
 def sample_quotas(df: DataFrame, label: str, n: int) -> DataFrame:
     """Rows per class for a sample of ``n``: proportional, largest remainders first."""
-    counts = small_table(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")))
-    every = Window.partitionBy(F.lit(0))
-    shared = counts.select(label, "n_class", F.sum("n_class").over(every).alias("n_all"))
-    exact = F.col("n_class").cast("double") * F.lit(float(n)) / F.col("n_all")
-    parts = shared.select("*", F.floor(exact).alias("base"), (exact - F.floor(exact)).alias("rest"))
-    left = F.lit(n) - F.sum("base").over(every)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("rest").desc(), label))
-    return parts.select(label, "n_class", "n_all", "base", left.alias("left"), place.alias("place")).select(
-        label, "n_class", F.when(F.col("n_all") <= n, F.col("n_class")).otherwise(
-            F.col("base") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)
-        ).cast("long").alias("quota"),
-    )
+    counts = write_scratch(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")))
+    n_all = counts.agg(F.sum("n_class")).first()[0] or 0
+    if n_all <= n:
+        return counts.select(label, "n_class", F.col("n_class").alias("quota"))
+    exact = F.col("n_class").cast("double") * F.lit(float(n)) / F.lit(n_all)
+    parts = write_scratch(counts.select("*", F.floor(exact).alias("base"), (exact - F.floor(exact)).alias("rest")))
+    left = n - parts.agg(F.sum("base")).first()[0]
+    placed = ordered_index(parts, [F.col("rest").desc(), F.col(label)], "place")
+    return placed.select(label, "n_class", (F.col("base") + F.when(F.col("place") < left, 1).otherwise(0)).cast("long").alias("quota"))
 
 
 def stratified_sample(df: DataFrame, label: str, row_id: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows with class shares kept; every row when there are no more."""
-    quotas, _ = materialize(sample_quotas(df, label, n))
+    quotas = write_scratch(sample_quotas(df, label, n))
     targets = quotas.where(F.col("quota") > 0).select(label, F.array("quota").alias("ranks"))
     marked = _up_to_cut(df, [label], row_id, seed, targets)
     return marked.where("__in").drop("__in")

@@ -11,7 +11,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.expressions import count_cuts, number, quoted, ratio, real, text, xlogx
-from tidewatch.operators.ordering import ROWS_PER_TASK
 from tidewatch.operators.profiling import counted_values, per_column
 
 PAIRS_PER_JOB = 200
@@ -100,7 +99,7 @@ def label_sums(y: str = "y") -> list[Column]:
     return [F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")]
 
 
-def mutual_info(df: DataFrame, names: list[str], label: str, bins: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def mutual_info(df: DataFrame, names: list[str], label: str, bins: int | None = None) -> DataFrame:
     """Mutual information of columns with a 0/1 label; null is a value of its own.
 
     With ``bins`` numeric columns are first cut at exact quantiles.
@@ -109,15 +108,15 @@ def mutual_info(df: DataFrame, names: list[str], label: str, bins: int | None =
     if bins is None:
         cells = counted_values(df, names, label_sums(), [y])
     else:
-        long = quantile_bins(df, names, bins, [y], rows_per_task)
+        long = quantile_bins(df, names, bins, [y])
         cells = long.groupBy("feature", "bin").agg(*label_sums())
     return cells.groupBy("feature").agg(*information_sums()).select("feature", information().alias("mutual_information"))
 
 
-def quantile_bins(df: DataFrame, names: list[str], bins: int, keep: list[Column], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def quantile_bins(df: DataFrame, names: list[str], bins: int, keep: list[Column]) -> DataFrame:
     """Long form with ``bin``: how many quantile cuts of the column are at or below the value."""
     from tidewatch.operators.preparation import values_at_ranks
-    cuts = values_at_ranks(df, names, lambda n: [-(-i * n // bins) for i in range(1, bins)], rows_per_task)
+    cuts = values_at_ranks(df, names, lambda n: [-(-i * n // bins) for i in range(1, bins)])
     x, k = ({c: f"__{v}{i}" for i, c in enumerate(names)} for v in "xk")
     numbers = df.select(*keep, *[F.expr(f"{number(c)} AS {x[c]}") for c in names])
     kept = numbers.columns[:len(keep)]

@@ -22,7 +22,6 @@ FLOW_FIELDS = [
 # Spellings of the columns of prediction files.
 ID_NAMES, PROBA_NAMES = ["row_id", "index"], ["proba", "prob_positive", "prob"]
 PRED_NAMES, TRUE_NAMES = ["pred", "pred_label"], ["true", "y"]
-HEAD_ROWS_PER_TASK = 1_000_000
 
 
 def flow_schema() -> T.StructType:
@@ -67,22 +66,19 @@ def stream_csv(spark: SparkSession, folder: str, schema: T.StructType, max_files
         "ignoreLeadingWhiteSpace", True).csv(folder)
 
 
-def head_sample(df: DataFrame, row_id: str, n: int, rows_per_task: int = HEAD_ROWS_PER_TASK) -> DataFrame:
-    """The first ``n`` rows by key.
+def head_sample(df: DataFrame, row_id: str, n: int) -> DataFrame:
+    """The first ``n`` rows by key, keys of which are unique.
 
-    A large table is first cut down with a quantile of the key that lies safely
-    beyond row ``n``, so only about ``n`` rows take part in the final sort.
+    One pass finds a key that lies safely beyond row ``n``: a quantile sketch is off by at most one row in ``accuracy``. Only the rows
+    up to it, about ``n``, are put in order, over ranges.
     """
-    accuracy, rows, out = 10_000, df.count(), df
-    while rows > max(rows_per_task, 4 * n):
-        share = min(1.0, n / rows + 4.0 / accuracy)
-        cut = out.agg(F.percentile_approx(row_id, share, accuracy)).first()[0]
-        closer = out.where(F.col(row_id) <= F.lit(cut))
-        kept = closer.count()
-        if kept < n or kept == rows:
-            break
-        out, rows = closer, kept
-    return out.orderBy(row_id).limit(n)
+    from tidewatch.operators.ordering import ordered_index
+    accuracy = 10_000
+    rows = df.count()
+    share = min(1.0, n / rows + 2.0 / accuracy) if rows else 1.0
+    cut = df.agg(F.percentile_approx(row_id, share, accuracy)).first()[0]
+    near = df.where(F.col(row_id) <= F.lit(cut)) if cut is not None else df.limit(0)
+    return ordered_index(near, [F.col(row_id)], "__place").where(F.col("__place") < n).orderBy("__place").drop("__place")
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -65,5 +65,5 @@ def cells_report(cells: DataFrame) -> DataFrame:
     table = one.groupBy("model_id", F.col("cell").alias("proba")).agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
-    auc = S.auc_from_curve(S.curve_of(table, S.MODEL, rows=0), S.MODEL).select("model_id", "roc_auc")
+    auc = S.auc_from_curve(S.curve_of(table, S.MODEL), S.MODEL).select("model_id", "roc_auc")
     return flat.join(auc, "model_id").withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).drop("model_id")
