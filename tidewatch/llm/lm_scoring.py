@@ -9,7 +9,7 @@ minus the background's; the lower, the more it reads like the target.
 Counts are whole: every bigram and every context of every document counts, however rare. Keys (bigrams and contexts, as 64-bit hashes)
 that are hot are counted first and looked up in the tasks that read the texts; all others are dealt by hash over ``buckets``, whose
 number follows the number of words, so a bucket's size does not grow. A bucket has all occurrences of its keys, counts them and
-sends back one sum for each of its documents. Texts are never shuffled, and which keys are hot decides the path, not the score.
+sends back one row for each batch of documents, with the sums of those that have keys there. Texts are never shuffled, and which keys are hot decides the path, not the score.
 
 Defined results: null texts and texts without words have no tokens and a null score; repeated rows count each time and are scored one by
 one, each against the other; an empty target, or a corpus of one document, gives all words the same loss; an empty table gives no rows; rows with null
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import BROADCAST_BYTES, map_batches, mix64, size_of, table, word_hashes, written, written_join
+from tidewatch.llm.common import BROADCAST_BYTES, SMALL_BATCH, map_batches, mix64, size_of, table, word_hashes, written, written_join
 from tidewatch.llm.registry import query
 
 #: What is added to every count.
@@ -33,7 +33,7 @@ ADDED = 0.1
 #: Keys a task counts together to find hot ones, the share of these that makes a key hot, and the most hot keys (16 bytes of counts each).
 TOGETHER, HOT_SHARE, HOT = 1 << 21, 1 / (1 << 17), 1 << 18
 #: Keys that a bucket should have at most.
-BUCKET_KEYS = 1 << 22
+BUCKET_KEYS = 1 << 21
 START = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -91,7 +91,7 @@ def frequent_keys(docs: DataFrame, most: int) -> np.ndarray:
         if held:
             yield counted()
 
-    found = written(map_batches(docs.select("text"), run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
+    found = written(map_batches(docs.select("text"), run, "k long, n long", SMALL_BATCH).groupBy("k").agg(F.sum("n").alias("n")))
     return np.sort(most_frequent(found, most)["k"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -122,7 +122,7 @@ def hot_counts(docs: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, int]:
         side, k = np.nonzero(total)
         yield pd.DataFrame({"side": side.astype(np.int32), "k": k, "n": total[side, k]})
 
-    rows = map_batches(docs.select("text", "target"), run, "side int, k long, n long").groupBy("side", "k").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_batches(docs.select("text", "target"), run, "side int, k long, n long", SMALL_BATCH).groupBy("side", "k").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((2, len(hot) + 1), np.int64)
     out[rows["side"].to_numpy(np.int64), rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out[:, :-1], int(out[1, -1])
@@ -141,7 +141,7 @@ def vocabulary_size(docs: DataFrame) -> int:
         if held:
             yield pd.DataFrame({"word": np.unique(np.concatenate(held)).view(np.int64)})
 
-    return map_batches(docs.select("text"), run, "word long").distinct().count()
+    return map_batches(docs.select("text"), run, "word long", SMALL_BATCH).distinct().count()
 
 
 def losses(is_context: np.ndarray, counts: np.ndarray, own: np.ndarray, flagged: np.ndarray, words: int) -> np.ndarray:
@@ -209,22 +209,23 @@ def deal(docs: DataFrame, hot: Broadcast, buckets: int, words: int) -> DataFrame
                 "ids": [ids if b == home else None for b in present], "first": [np.stack([n, *sums]).tobytes() if b == home else None for b in present]})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text", "target")
-    return map_batches(rows, run, DEALT)
+    return map_batches(rows, run, DEALT, SMALL_BATCH)
 
 
-PARTS = "row long, doc_id long, n_tokens long, target_loss double, background_loss double"
+PARTS = "row long, size int, docs binary, sums binary, ids binary, first binary"
+SCORED = "doc_id string, n_tokens long, target_loss double, background_loss double"
 
 
 def summed(words: int):
-    """What a bucket makes of its rows: per document the sums of its keys' losses."""
+    """What a bucket makes of its rows: for each batch, the documents that have keys here and the sums of their keys' losses."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         sizes = part["size"].to_numpy(np.int64)
         lengths = part["keys"].map(len).to_numpy(np.int64) // 8
-        base = part["row"].to_numpy(np.int64)
         keys = np.frombuffer(b"".join(part["keys"]), np.uint64)
         docs = [np.frombuffer(d, np.uint16 if 2 * s < 1 << 16 else np.uint32) for d, s in zip(part["docs"], sizes, strict=True)]
         doc = np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64)
-        row, flagged = np.repeat(base, lengths) + (doc >> 1), (doc & 1).astype(bool)
+        # documents of all batches here, one after the other
+        row, flagged = np.repeat(np.cumsum(sizes) - sizes, lengths) + (doc >> 1), (doc & 1).astype(bool)
         order, start, own = _grouped(row, keys)
         k, r, f = keys[order][start], row[order][start], flagged[order][start]
         # rows of one key follow each other
@@ -234,20 +235,40 @@ def summed(words: int):
         counts = np.stack([np.bincount(at, weights=own * f, minlength=0), np.bincount(at, weights=own, minlength=0)]) if len(k) else np.zeros((2, 0))
         both = losses((k & np.uint64(1)).astype(bool), counts[:, at], own, f, words) * own
         names, place = np.unique(r, return_inverse=True)
-        out = [pd.DataFrame({
-            "row": names, "doc_id": pd.array([None] * len(names), "Int64"), "n_tokens": pd.array([None] * len(names), "Int64"),
-            "target_loss": np.bincount(place, weights=both[0], minlength=len(names)), "background_loss": np.bincount(place, weights=both[1], minlength=len(names))})]
-        for row0, ids, first in zip(base, part["ids"], part["first"], strict=True):
-            if first is not None:
-                n, target, background = np.frombuffer(first, float).reshape(3, -1)
-                out.append(pd.DataFrame({
-                    "row": row0 + np.arange(len(n)), "doc_id": pd.array([int(i) if i else None for i in ids.decode().split("\n")], "Int64"),
-                    "n_tokens": pd.array(n.astype(np.int64), "Int64"), "target_loss": target, "background_loss": background}))
-        return pd.concat(out)
+        sums = np.stack([np.bincount(place, weights=side, minlength=len(names)) for side in both], axis=1).astype(np.float32)
+        ends = np.cumsum(sizes)
+        edge = np.searchsorted(names, np.append(0, ends))
+        here = [names[a:b] - (end - size) for a, b, end, size in zip(edge[:-1], edge[1:], ends, sizes, strict=True)]
+        return part[["row", "size", "ids", "first"]].assign(
+            docs=[x.astype(np.uint32).tobytes() for x in here], sums=[sums[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)])[
+            ["row", "size", "docs", "sums", "ids", "first"]]
 
     return run
 
 
+def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of each batch with the sums of all buckets; what belongs to a batch follows each other, and only one batch is held."""
+    row, total, known = None, np.zeros((0, 2)), None
+
+    def whole() -> pd.DataFrame:
+        ids, (n, target, background) = known
+        return pd.DataFrame({
+            "doc_id": [i or None for i in ids.decode().split("\n")], "n_tokens": n.astype(np.int64),
+            "target_loss": target + total[:, 0], "background_loss": background + total[:, 1]})
+
+    for batch in batches:
+        for r, size, docs, sums, ids, first in zip(*[batch[c] for c in ("row", "size", "docs", "sums", "ids", "first")], strict=True):
+            if r != row:
+                if known is not None:
+                    yield whole()
+                row, total, known = r, np.zeros((size, 2)), None
+            total[np.frombuffer(docs, np.uint32)] += np.frombuffer(sums, np.float32).reshape(-1, 2)
+            if first is not None:
+                known = ids, np.frombuffer(first, float).reshape(3, -1)
+    if known is not None:
+        yield whole()
+
+
 def score(docs: DataFrame, hot: int = HOT, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """``(doc_id, n_tokens, target_loss, background_loss, score)`` of ``docs`` (doc_id, text, target), losses in nats per word."""
     spark = docs.sparkSession
@@ -258,10 +279,9 @@ def score(docs: DataFrame, hot: int = HOT, bucket_keys: int = BUCKET_KEYS) -> Da
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // bucket_keys))
     dealt = deal(docs, spark.sparkContext.broadcast((known, counts)), buckets, words)
     parts = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(summed(words), PARTS)
-    # one row of each document says what it is, the others only add
-    whole = parts.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_tokens")], *[F.sum(c).alias(c) for c in ("target_loss", "background_loss")])
+    whole = map_batches(parts.repartition("row").sortWithinPartitions("row"), gathered, SCORED, SMALL_BATCH)
     mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).alias(c)
-    return whole.select("doc_id", "n_tokens", mean("target_loss"), mean("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    return whole.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", mean("target_loss"), mean("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def with_target(docs: DataFrame, wanted: DataFrame) -> DataFrame:
