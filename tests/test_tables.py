@@ -1,3 +1,4 @@
+import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,10 +79,37 @@ def test_unseen_category_is_all_zeros(spark):
     assert [tuple(r) for r in Q.onehot_cells(model, test, ["c"], ["id"]).collect()] == [(0, "c", "a")]
 
 
-def test_too_many_categories_are_refused(spark):
-    df = spark.range(2000).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError):
-        Q.check_cardinality(df, ["c"], 100)
+def test_categories_of_any_number(spark):
+    from tidewatch.operators.composite import load_any
+    df = spark.range(3000).select("id", F.col("id").cast("string").alias("c"), F.lit("x").alias("d"))
+    model = Q.fit_onehot(df, ["c", "d"])
+    order = {str(i): p for p, i in enumerate(sorted(map(str, range(3000))))}
+    rows = model.transform(df.unionByName(spark.createDataFrame([(9999, "new", None)], "id long, c string, d string"))).collect()
+    for r in rows:
+        assert (r["__hot_c"].size, r["__hot_d"].size) == (3000, 1)
+        assert list(r["__hot_c"].indices) == ([order[r.c]] if r.id < 3000 else []) and list(r["__hot_d"].indices) == ([0] if r.d else [])
+    path = scratch_path(spark, "onehot")
+    model.write().save(path)
+    again = load_any(spark, path).transform(df).select("id", "__hot_c", "__hot_d")
+    assert sorted(again.collect()) == sorted(model.transform(df).select("id", "__hot_c", "__hot_d").collect())
+
+
+def test_means_of_rows_before(spark):
+    from tidewatch.operators import encoding as N
+    rng = np.random.default_rng(2)
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 11}", int(rng.random() < 0.4)) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, c string, y int").repartition(5)
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"42|{r[0]}".encode()).hexdigest(), r[0]))
+    seen, want = {}, {}
+    for i, c, y in order:
+        n, s = seen.get(c, (0, 0))
+        want[i] = (s + 0.25 * 4) / (n + 4)
+        seen[c] = (n + 1, s + y)
+    got = {r.id: r["__m_c"] for r in N.ordered_means(df, "y", ["c"], "id", 0.25, 4.0).collect()}
+    assert got == pytest.approx(want)
+    model = N.fit_target_statistics(df, "y", ["c"], 4.0)
+    new = {r.c: r["__m_c"] for r in model.transform(spark.createDataFrame([("hot",), ("absent",), (None,)], "c string")).collect()}
+    assert new["hot"] == pytest.approx((seen["hot"][1] + model.prior * 4) / (seen["hot"][0] + 4)) and new["absent"] == new[None] == model.prior
 
 
 def test_pca_shares(spark):

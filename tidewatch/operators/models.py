@@ -14,21 +14,19 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.expressions import col, quoted
 from tidewatch.operators import scores as S
+from tidewatch.operators.encoding import fit_target_statistics, ordered_means
 from tidewatch.operators.labels import most_frequent
-from tidewatch.operators.preparation import MAX_CATEGORIES, check_cardinality
 from tidewatch.operators.profiling import class_counts, class_weights
 from tidewatch.operators.splitting import bag_columns, bag_rows, fold_train, fold_valid, kfold
-from tidewatch.session import ready_to_checkpoint
+from tidewatch.session import ready_to_checkpoint, write_scratch
 
 PARALLEL_FITS = 4
-HASH_BUCKETS = 131_072
-MAX_CLASSES = 1_000
 
 
 @dataclass(frozen=True)
@@ -106,41 +104,32 @@ def _threads(items: list, work: Callable, parallel: int = PARALLEL_FITS) -> list
 # ---- categories inside boosted trees --------------------------------------------------
 
 def fit_with_categories(
-    train: DataFrame, label: str, numeric: list[str], categorical: list[str], family: str = "boosted",
-    params: dict | None = None, smoothing: float = 10.0, tag: str = "model", max_categories: int = MAX_CATEGORIES,
+    train: DataFrame, label: str, numeric: list[str], categorical: list[str], row_id: str, family: str = "boosted",
+    params: dict | None = None, smoothing: float = 10.0, tag: str = "model", seed: int = 42,
 ) -> PipelineModel:
-    """Boosted trees on numbers and smoothed target means of categories.
+    """Boosted trees on numbers and smoothed target means of categories, of any number.
 
-    A column with too many values for a value list is hashed to a bounded
-    number of buckets first. Fit it on training folds only.
+    Training rows get means of the rows before them in hash order, so no label helps to predict itself; new rows get the means of all
+    training rows. Fit it on training folds only.
     """
-    sizes = train.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(categorical)]).first() if categorical else []
-    wide = [c for i, c in enumerate(categorical) if sizes[i] > max_categories]
-    listed = [c for c in categorical if c not in wide]
-    text = [f"coalesce(CAST(`{c}` AS STRING), 'nan') AS `{c}__t`" for c in listed]
-    hashed = [f"CAST(pmod(xxhash64(coalesce(CAST(`{c}` AS STRING), 'nan')), {HASH_BUCKETS}) AS DOUBLE) AS `{c}__i`" for c in wide]
+    text = [f"coalesce(CAST(`{c}` AS STRING), 'nan') AS `{c}__t`" for c in categorical]
     numbers = [f"coalesce(try_cast(`{c}` AS DOUBLE), -999D) AS `{c}__n`" for c in numeric]
-    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(text + hashed + numbers)} FROM __THIS__")]
-    if listed:
-        stages.append(StringIndexer(
-            inputCols=[f"{c}__t" for c in listed], outputCols=[f"{c}__i" for c in listed], handleInvalid="keep", stringOrderType="alphabetAsc"))
-    if categorical:
-        stages.append(TargetEncoder(
-            inputCols=[f"{c}__i" for c in categorical], outputCols=[f"{c}__m" for c in categorical], labelCol=label,
-            targetType="binary", smoothing=smoothing, handleInvalid="keep"))
-        # The means come marked as categories, and trees would cut them to whole numbers.
-        plain = ", ".join(f"0D + `{c}__m` AS `{c}__v`" for c in categorical)
-        stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
-    stages.append(VectorAssembler(inputCols=[f"{c}__n" for c in numeric] + [f"{c}__v" for c in categorical], outputCol=f"x_{tag}"))
-    stages.append(estimator(family, params or {}, label, f"x_{tag}", tag, train.count() if family == "logistic" else None))
-    return Pipeline(stages=stages).fit(train)
+    cleaned = SQLTransformer(statement=f"SELECT *, {', '.join(text + numbers)} FROM __THIS__")
+    names = [f"{c}__t" for c in categorical]
+    rows = cleaned.transform(train)
+    statistics = fit_target_statistics(rows, label, names, smoothing)
+    means = ordered_means(rows, label, names, row_id, statistics.prior, smoothing, seed)
+    # read once by every round of boosting
+    known = write_scratch(means.select(F.col(label).alias(label), *[col(c) for c in means.columns if c.startswith("__m_") or c.endswith("__n")]))
+    assemble = VectorAssembler(inputCols=[f"{c}__n" for c in numeric] + [f"__m_{c}" for c in names], outputCol=f"x_{tag}")
+    est = estimator(family, params or {}, label, f"x_{tag}", tag, known.count() if family == "logistic" else None)
+    return PipelineModel([cleaned, statistics, *Pipeline(stages=[assemble, est]).fit(known).stages])
 
 
 # ---- several classes, baselines -------------------------------------------------------
 
 def fit_multiclass(train: DataFrame, label: str, features: list[str], family: str = "forest", params: dict | None = None, weight: str | None = None) -> PipelineModel:
     """Text or numeric classes; boosted trees are fitted one class against the rest."""
-    check_cardinality(train, [label], MAX_CLASSES)
     index = StringIndexer(inputCol=label, outputCol="__class", stringOrderType="alphabetAsc", handleInvalid="keep")
     assemble = VectorAssembler(inputCols=features, outputCol="x_model", handleInvalid="keep")
     if family == "forest":

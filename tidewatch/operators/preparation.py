@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.functions.expressions import col, count_cuts, number, quoted, real
+from tidewatch.functions.expressions import count_cuts, number, quoted, real
 from tidewatch.operators.composite import Composite
+from tidewatch.operators.encoding import CategoryIndexer, cells_of, fit_categories
 from tidewatch.operators.ordering import running_totals
 from tidewatch.operators.profiling import _chunks, per_column
 
@@ -141,53 +142,29 @@ def fit_scale(df: DataFrame, names: list[str]) -> Scaler:
 
 # ---- encoding and the fitted preparation ---------------------------------------------
 
-MAX_CATEGORIES = 100_000
-
-
-def check_cardinality(df: DataFrame, names: list[str], limit: int = MAX_CATEGORIES) -> None:
-    """Category lists live in the model, so refuse columns that are no categories."""
-    if not names:
-        return
-    row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    wide = [c for i, c in enumerate(names) if row[i] > limit]
-    if wide:
-        raise ValueError(f"more than {limit} categories in {wide}: such columns need a target encoder")
-
-
-def onehot_stages(names: list[str], suffix: str = "") -> list:
-    """Categories in alphabetical order; unseen and null become all zeros."""
-    index = StringIndexer(
-        inputCols=[f"{c}{suffix}" for c in names], outputCols=[f"__idx_{c}" for c in names],
-        stringOrderType="alphabetAsc", handleInvalid="keep",
-    )
-    encode = OneHotEncoder(inputCols=[f"__idx_{c}" for c in names], outputCols=[f"__hot_{c}" for c in names], dropLast=True)
-    return [index, encode]
+def _onehot(df: DataFrame, names: list[str], indexer: CategoryIndexer) -> list:
+    """The indexer and an encoder that knows the sizes from it; unseen and null become all zeros."""
+    encode = OneHotEncoder(
+        inputCols=[f"__idx_{c}" for c in names], outputCols=[f"__hot_{c}" for c in names], dropLast=True, handleInvalid="keep")
+    return [indexer, encode.fit(indexer.sizes_row(df))]
 
 
 def fit_onehot(df: DataFrame, names: list[str]) -> PipelineModel:
-    check_cardinality(df, names)
-    return Pipeline(stages=onehot_stages(names)).fit(df)
+    """Categories in order, of any number: they are a table, and vectors are sparse."""
+    return PipelineModel(_onehot(df, names, fit_categories(df, names)))
 
 
 def onehot_cells(model: PipelineModel, df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
     """The encoded matrix in long form: one row per set cell."""
-    labels = dict(zip(names, model.stages[0].labelsArray))
-    out = model.transform(df)
-    per_row = [
-        F.when(F.col(f"__idx_{c}") < len(labels[c]), F.struct(
-            F.lit(c).alias("feature"),
-            F.get(F.array(*[F.lit(v) for v in labels[c]]), F.col(f"__idx_{c}").cast("int")).alias("category"),
-        )) for c in names
-    ]
-    return out.select(*keep, F.explode(F.array(*per_row)).alias("cell")).where("cell IS NOT NULL").select(*keep, "cell.*")
+    return cells_of(model.stages[0], df, keep)
 
 
 class TabularPreparation(Estimator):
     """Estimator: median fill and scaling of numbers, one-hot of categories, assembled.
 
-    The fitted model is a ``PipelineModel`` of built-in stages only, so it can
-    be saved, loaded and used on streams. Columns named neither way are left
-    out of the feature vector; the vector stays sparse.
+    The fitted model can be saved, loaded and used on streams. Categories are
+    kept as a table, so there may be any number of them. Columns named neither
+    way are left out of the feature vector; the vector stays sparse.
     """
 
     def __init__(self, categorical: list[str], numeric: list[str], output: str = "features"):
@@ -205,11 +182,11 @@ class TabularPreparation(Estimator):
         first = SQLTransformer(statement=f"SELECT *, {', '.join(cleaned)} FROM __THIS__")
         stages: list = [first]
         if self.categorical:
-            check_cardinality(df, self.categorical)
-            stages += onehot_stages(self.categorical, "__cat")
-        inputs = [f"__num_{c}" for c in used] + [f"__hot_{c}" for c in self.categorical]
+            named = [f"{c}__cat" for c in self.categorical]
+            stages += _onehot(df, named, fit_categories(first.transform(df), named))
+        inputs = [f"__num_{c}" for c in used] + [f"__hot_{c}__cat" for c in self.categorical]
         stages.append(VectorAssembler(inputCols=inputs, outputCol=self.output))
-        return Pipeline(stages=stages).fit(df)
+        return PipelineModel(stages)
 
 
 def prepare(train: DataFrame, test: DataFrame, out: str, categorical: list[str], label: str, row_id: str) -> PipelineModel:
@@ -229,9 +206,11 @@ def pca(df: DataFrame, names: list[str], k: int = 3, keep: list[str] = ()) -> tu
     The sign of a component makes its largest loading positive. Missing numbers
     are taken as zero before scaling.
     """
-    filled = df.withColumns({c: F.expr(f"coalesce({number(c)}, CAST(0 AS DOUBLE))") for c in names})
-    scaled = fit_scale(filled, names).transform(filled)
-    vec = VectorAssembler(inputCols=names, outputCol="__v").transform(scaled).select(*keep, "__v")
+    # under names of their own: a column may be kept as it is and projected too
+    inner = {c: f"__z{i}" for i, c in enumerate(names)}
+    filled = df.withColumns({z: F.expr(f"coalesce({number(c)}, CAST(0 AS DOUBLE))") for c, z in inner.items()})
+    scaled = fit_scale(filled, list(inner.values())).transform(filled)
+    vec = VectorAssembler(inputCols=list(inner.values()), outputCol="__v").transform(scaled).select(*keep, "__v")
     model = PCA(k=k, inputCol="__v", outputCol="__p").fit(vec)
     loadings = model.pc.toArray()
     signs = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]

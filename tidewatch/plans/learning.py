@@ -19,7 +19,7 @@ from tidewatch.sources import bundles as A, catalogue as G, documents as J
 from tidewatch.sources.tables import read_table
 from tidewatch.streaming import scoring as Z
 
-SPECS = {"trees": M.Spec("boosted", {}), "forest": M.Spec("forest", {"numTrees": 10, "maxDepth": 4}), "linear": M.Spec("logistic", {"maxIter": 30})}
+SPECS = {"trees": M.Spec("boosted"), "forest": M.Spec("forest"), "linear": M.Spec("logistic")}
 
 
 def frame(spark, sf):
@@ -45,24 +45,24 @@ def _family(name, family, params, **kw):
 
 
 _family("md1_boosted_trees", "boosted", {})
-_family("md2_boosted_trees_deep", "boosted_deep", {"maxIter": 4, "maxDepth": 5})
-_family("md5_random_forest", "forest", {"numTrees": 20, "maxDepth": 5})
+_family("md2_boosted_trees_deep", "boosted_deep", {})
+_family("md5_random_forest", "forest", {})
 _family("md6_boosted_few_bins", "boosted", {"maxBins": 16})
-_family("md7_logistic", "logistic", {"maxIter": 50})
+_family("md7_logistic", "logistic", {})
 
 
 @query("md3_boosted_with_categories")
 def categories(spark, sf):
     df = labelled_documents(spark, sf).where("toxic IS NOT NULL").withColumnRenamed("quality", "y")
     train, test = holdout(df, "y", "doc_id", 0.2)
-    model = M.fit_with_categories(train, "y", ["n_chars"], ["lang", "source"])
+    model = M.fit_with_categories(train, "y", ["n_chars"], ["lang", "source"], "doc_id")
     return _measured(M.score(model, test), "categories")
 
 
 @query("md4_multiclass")
 def multiclass(spark, sf):
     train, test = holdout(embedding_columns(spark, sf), "label", "vec_id", 0.2)
-    model = M.fit_multiclass(train, "label", DIMS, "forest", {"numTrees": 20, "maxDepth": 6})
+    model = M.fit_multiclass(train, "label", DIMS, "forest")
     return S.macro_f1(M.predict_class(model, test, "label").withColumnRenamed("label", "y"), [])
 
 
@@ -70,7 +70,7 @@ def multiclass(spark, sf):
 def one_vs_rest(spark, sf):
     df = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
     train, test = holdout(df, "o_orderstatus", "o_orderkey", 0.2)
-    model = M.fit_multiclass(train, "o_orderstatus", ["o_totalprice", "o_custkey"], "boosted", {"maxIter": 2, "maxDepth": 2})
+    model = M.fit_multiclass(train, "o_orderstatus", ["o_totalprice", "o_custkey"], "boosted")
     return S.macro_f1(M.predict_class(model, test, "o_orderstatus").withColumnRenamed("o_orderstatus", "y"), [])
 
 
@@ -103,7 +103,7 @@ def weighted(spark, sf):
 def stopping(spark, sf):
     train, test = _parts(spark, sf)
     inner, valid = holdout(train, "y", "vec_id", 0.2, seed=7)
-    model = M.fit(inner, "y", DIMS, "boosted", {"maxIter": 12, "maxDepth": 3}, valid=valid)
+    model = M.fit(inner, "y", DIMS, "boosted", {}, valid=valid)
     return _measured(M.score(model, test), "stopped").withColumn("n_trees", F.lit(model.stages[-1].getNumTrees))
 
 
@@ -111,7 +111,7 @@ def stopping(spark, sf):
 def bag(spark, sf):
     from tidewatch.operators.ensembles import blend_wide
     train, test = _parts(spark, sf)
-    members = M.fit_bag(train, "y", DIMS, "vec_id", params={"maxIter": 3, "maxDepth": 3})
+    members = M.fit_bag(train, "y", DIMS, "vec_id")
     return _measured(blend_wide(M.score_members(members, test), [m.tag for m in members]), "bag")
 
 
@@ -122,7 +122,7 @@ def cross_validate(spark, sf):
 
 @query("ev19_best_by_cv")
 def best_by_cv(spark, sf):
-    return M.best_by_cv(M.cross_validate(frame(spark, sf), "y", DIMS, "vec_id", {k: SPECS[k] for k in ("forest", "linear")}, 3))
+    return M.best_by_cv(M.cross_validate(frame(spark, sf), "y", DIMS, "vec_id", SPECS, 3))
 
 
 @query("ev19_best_by_stored_folds", """
@@ -147,7 +147,7 @@ def every_row_once(spark, sf):
 @query("ens5_fold_model_mean")
 def fold_models(spark, sf):
     train, test = _parts(spark, sf)
-    _, models = M.oof(train, "y", DIMS, "vec_id", {k: SPECS[k] for k in ("forest", "linear")}, 3)
+    _, models = M.oof(train, "y", DIMS, "vec_id", SPECS, 3)
     return K.fold_scores(models, test, "vec_id")
 
 
@@ -155,8 +155,7 @@ def _stacked(name, **kw):
     @query(name)
     def run(spark, sf):
         train, test = _parts(spark, sf)
-        specs = {k: SPECS[k] for k in ("forest", "linear")}
-        model = K.Stacking(specs, DIMS, "y", "vec_id", **kw).fit(train)
+        model = K.Stacking(SPECS, DIMS, "y", "vec_id", **kw).fit(train)
         return _measured(model.transform(test), name)
     return run
 
@@ -175,11 +174,11 @@ def full_fit(spark, sf):
 @query("ens9_meta_on_holdout")
 def meta_holdout(spark, sf):
     train, test = _parts(spark, sf)
-    return _measured(K.fit_on_holdout(train, "y", DIMS, "vec_id", {k: SPECS[k] for k in ("forest", "linear")}).transform(test), "holdout")
+    return _measured(K.fit_on_holdout(train, "y", DIMS, "vec_id", SPECS).transform(test), "holdout")
 
 
 def _bundle(name, train, features=DIMS, family="logistic", params=None):
-    model = M.as_scorer(M.fit(train, "y", features, family, params or {"maxIter": 20}))
+    model = M.as_scorer(M.fit(train, "y", features, family, params))
     return A.Bundle(name, model, 0.5, list(features))
 
 
@@ -197,7 +196,7 @@ def score_bundles(spark, sf):
 def keep_better(spark, sf):
     train, test = _parts(spark, sf)
     single = K.fit_on_holdout(train, "y", DIMS, "vec_id", {"linear": SPECS["linear"]})
-    stack = K.fit_on_holdout(train, "y", DIMS, "vec_id", {k: SPECS[k] for k in ("forest", "linear")})
+    stack = K.fit_on_holdout(train, "y", DIMS, "vec_id", SPECS)
     return K.keep_if_better(single, stack, test, "y")[1]
 
 
@@ -225,7 +224,7 @@ def isotonic(spark, sf):
 def calibrate(spark, sf):
     train, test = _parts(spark, sf)
     inner, valid = holdout(train, "y", "vec_id", 0.25, seed=7)
-    stack = K.fit_on_holdout(inner, "y", DIMS, "vec_id", {k: SPECS[k] for k in ("forest", "linear")})
+    stack = K.fit_on_holdout(inner, "y", DIMS, "vec_id", SPECS)
     return B.calibrate(stack, valid, "y").transform(stack.transform(test)).select("vec_id", "y", "proba")
 
 
@@ -281,8 +280,8 @@ def mask_search(spark, sf):
 
 
 @query("fs3_cross_validated_fitness")
-def fitness(spark, sf):
-    fit_ = L.MaskFitness(frame(spark, sf), "y", DIMS, "vec_id", 3, metric="accuracy")
+def fitness(spark, sf, metric="accuracy"):
+    fit_ = L.MaskFitness(frame(spark, sf), "y", DIMS, "vec_id", 3, metric=metric)
     every, half = tuple([1] * 64), tuple([1] * 32 + [0] * 32)
     return spark.createDataFrame(list(zip(["every", "half"], fit_.score_many([every, half]))), "mask string, score double")
 
@@ -314,13 +313,13 @@ def callable_fitness(spark, sf):
 @query("fs6_permutation_importance")
 def permutation(spark, sf):
     train, test = _parts(spark, sf)
-    model = M.fit(train, "y", DIMS, "logistic", {"maxIter": 20})
+    model = M.fit(train, "y", DIMS, "logistic")
     return L.permutation_importance(lambda d: M.score(model, d), test, "y", DIMS, "vec_id")
 
 
 @query("fs7_model_importance")
 def importance(spark, sf):
-    return M.importances(M.fit(frame(spark, sf), "y", DIMS, "forest", {"numTrees": 10, "maxDepth": 4}), DIMS, spark)
+    return M.importances(M.fit(frame(spark, sf), "y", DIMS, "forest"), DIMS, spark)
 
 
 @query("tk3_top_importance")
@@ -353,7 +352,7 @@ def trial_study(spark, sf):
 
 @query("tu3_candidate_search")
 def candidates(spark, sf):
-    return U.candidate_search(frame(spark, sf), "y", DIMS, "vec_id", {k: SPECS[k] for k in ("forest", "linear")}, k=3)
+    return U.candidate_search(frame(spark, sf), "y", DIMS, "vec_id", SPECS, k=3)
 
 
 @query("tu4_composite_evaluator", f"""WITH {WIDE_SQL}, st AS (SELECT s3 AS p, sum(y) AS pos, sum(1 - y) AS neg FROM wide GROUP BY 1),
@@ -422,9 +421,12 @@ def promote_best(spark, sf):
 @query("sc5_evaluate_bundle")
 def evaluate_bundle(spark, sf):
     train, test = _parts(spark, sf)
-    good = _bundle("good", train, DIMS[:8])
+    good = _bundle("good", train)
+    path = scratch_path(spark, "bundle")
+    A.save_bundle(spark, A.Bundle("wrapper", K.SelectedModel(_bundle("half", train, DIMS[::2]).model, range(0, len(DIMS), 2), DIMS), 0.45, DIMS), path)
     broken = A.Bundle("broken", good.model, 0.5, ["absent"])
-    return X.evaluate_bundle(good, test, "y").unionByName(X.evaluate_bundle(broken, test, "y"))
+    return X.evaluate_bundle(good, test, "y").unionByName(X.evaluate_bundle(broken, test, "y")).unionByName(
+        X.evaluate_stored(spark, path, test, "y")).unionByName(X.evaluate_stored(spark, f"{path}_absent", test, "y"))
 
 
 @query("ud5_foreign_model", """

@@ -52,6 +52,26 @@ def onehot(spark, sf):
     return Q.onehot_cells(model, df, ["p_type", "p_brand"], ["p_partkey"])
 
 
+@query("pp4_onehot_of_many", """
+SELECT l_orderkey, l_linenumber, 'l_comment_like' AS feature, md5(CAST(l_orderkey AS VARCHAR)) AS category FROM lineitem WHERE l_orderkey % 3 = 0
+UNION ALL SELECT l_orderkey, l_linenumber, 'l_shipmode', l_shipmode FROM lineitem""")
+def onehot_of_many(spark, sf):
+    """As many categories as orders; those of two thirds of the orders were not seen."""
+    df = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.md5(F.col("l_orderkey").cast("string")).alias("l_comment_like"), "l_shipmode")
+    indexer = Q.fit_onehot(df.withColumn("l_comment_like", F.when(F.col("l_orderkey") % 3 == 0, F.col("l_comment_like"))), ["l_comment_like", "l_shipmode"])
+    return Q.onehot_cells(indexer, df, ["l_comment_like", "l_shipmode"], ["l_orderkey", "l_linenumber"])
+
+
+@query("pp4_codes", """
+SELECT p_partkey, (SELECT count(DISTINCT b.p_type) FROM part b WHERE b.p_type < part.p_type) AS code, 1.0::DOUBLE AS set FROM part""")
+def codes(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    df = read_table(spark, sf, "part").select("p_partkey", "p_type")
+    out = Q.fit_onehot(df, ["p_type"]).transform(df)
+    code = F.col("__idx_p_type").cast("long")
+    return out.select("p_partkey", code.alias("code"), vector_to_array("__hot_p_type")[code.cast("int")].alias("set"))
+
+
 def _prepared(spark, sf):
     df = labelled_documents(spark, sf).select("doc_id", "lang", "source", "n_chars", "quality")
     return Q.TabularPreparation(["lang", "source"], ["n_chars", "quality"]).fit(df).transform(df)

@@ -9,7 +9,7 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 SECTIONS = (
     "evaluation", "labelling", "sampling", "profiling", "statistics", "columns",
-    "preparation", "joins", "ensembles", "storage", "streams", "learning",
+    "preparation", "joins", "ensembles", "storage", "streams", "learning", "properties",
 )
 
 

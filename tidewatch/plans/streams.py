@@ -55,7 +55,7 @@ def stream_append(spark, sf):
 
 
 CELL_SQL = WIDE_SQL + """,
-c AS (SELECT CAST(floor(s3 * 10000::DOUBLE) AS INTEGER) AS cell, CAST(s3 >= 0.5 AS INTEGER) AS pred, y FROM wide),
+c AS (SELECT s3 AS cell, CAST(s3 >= 0.5 AS INTEGER) AS pred, y FROM wide),
 cm AS (SELECT CAST(count(*) FILTER (pred = 1 AND y = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (pred = 1 AND y = 0) AS BIGINT) AS fp,
               CAST(count(*) FILTER (pred = 0 AND y = 0) AS BIGINT) AS tn, CAST(count(*) FILTER (pred = 0 AND y = 1) AS BIGINT) AS fn FROM c),
 st AS (SELECT cell, sum(y) AS pos, sum(1 - y) AS neg FROM c GROUP BY 1),
@@ -68,5 +68,26 @@ SELECT tp, fp, tn, fn, {M['accuracy']} AS accuracy, {M['f1']} AS f1, tp + fp + t
 def stream_summary(spark, sf):
     out = scratch_path(spark, "summary")
     Z.stream_summary(_scored(_event_stream(spark, sf)), out, f"{out}_checkpoint").awaitTermination()
-    report = Z.cells_report(Z.latest_cells(spark, out))
+    report = Z.counts_report(Z.latest_counts(spark, out))
     return report.select("tp", "fp", "tn", "fn", rnd("accuracy", 9), rnd("f1", 9), "n", rnd("roc_auc", 9))
+
+
+MISSING_SQL = WIDE_SQL + """,
+w AS (SELECT row_id, y, CASE WHEN row_id % 7 = 0 THEN NULL ELSE s2 END AS p FROM wide),
+c AS (SELECT p, coalesce(CAST(p >= 0.5 AS INTEGER), 0) AS pred, y FROM w),
+st AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM c WHERE p IS NOT NULL GROUP BY 1),
+pt AS (SELECT *, sum(pos) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS up FROM st)"""
+
+
+@query("sm2_stream_missing_scores", f"""WITH {MISSING_SQL}
+SELECT CAST(count(*) FILTER (pred = y) AS BIGINT) AS n_right, count(*) AS n, count(*) FILTER (p IS NULL) AS n_missing,
+       (SELECT round(sum(neg::DOUBLE * (up - pos / 2::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE), 9) FROM pt) AS roc_auc FROM c""")
+def stream_missing(spark, sf):
+    """As many different scores as rows, a seventh of them missing, over more batches than one level of runs holds."""
+    out = scratch_path(spark, "summary")
+    stream = _event_stream(spark, sf).select(
+        "event_id", (F.col("event_type") == "error").cast("int").alias("y"),
+        F.when(F.col("event_id") % 7 != 0, hash_uniform("event_id", 7)).alias("proba"))
+    rows = stream.withColumn("pred", F.coalesce((F.col("proba") >= 0.5).cast("int"), F.lit(0)))
+    Z.stream_summary(rows, out, f"{out}_checkpoint", fan_in=2).awaitTermination()
+    return Z.counts_report(Z.latest_counts(spark, out)).select((F.col("tp") + F.col("tn")).alias("n_right"), "n", "n_missing", rnd("roc_auc", 9))

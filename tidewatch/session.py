@@ -52,6 +52,22 @@ def write_scratch(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The path and its file system, as Spark itself reaches them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    place, system = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(place)) if system.exists(place) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place, system = _folder(spark, path)
+    system.delete(place, True)
+
+
 def ready_to_checkpoint(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
