@@ -216,3 +216,60 @@ def test_runs_of_a_stream_are_merged_and_survive_a_second_try(spark):
     Z._swept(spark, out, 10)
     assert sorted(map(str, Z._merged(spark, out, Z._manifest(spark, out, 9)).select("n").collect()))
     assert Z.counts_report(Z.latest_counts(spark, scratch_path(spark, "none"))).count() == 0
+
+
+def test_weights_by_updates_are_those_of_each_mask_alone():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(80, 7)), rng.integers(0, 2, 80)
+    x[:, 5] = 0  # a column without any variation
+    z = np.column_stack([np.ones(80), y, x])
+    sums = z.T @ z
+    masks = rng.integers(0, 2, (30, 7))
+    masks[1] = masks[0]
+    masks[2] = 1 - masks[0]
+    got = L.solve_masks(sums.copy(), masks, 1e-3)
+    for mask, w in zip(masks, got, strict=True):
+        cols = np.flatnonzero(mask)
+        d = np.column_stack([np.ones(80), x[:, cols]])
+        a = d.T @ d
+        scale = np.diag(a)[1:]
+        a[np.arange(1, len(a)), np.arange(1, len(a))] += 1e-3 * np.where(scale > 0, scale, 1.0)
+        assert w[np.append(0, cols + 1)] == pytest.approx(np.linalg.solve(a, d.T @ (2.0 * y - 1)), abs=1e-8)
+        assert (w[1:][mask == 0] == 0).all()
+
+
+@pytest.mark.parametrize("metric", ["macro_f1", "accuracy"])
+def test_mask_scores_are_those_of_each_fold(spark, metric):
+    rng = np.random.default_rng(4)
+    x = rng.random((90, 5))
+    rows = [(i, int(r[0] + 0.3 * r[1] > 0.6), *map(float, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double, c double, d double, e double").repartition(4)
+    names = list("abcde")
+    fitness = L.MaskFitness(df, "y", names, "id", 3, metric=metric)
+    masks = [tuple(int(b) for b in rng.integers(0, 2, 5)) for _ in range(6)] + [(1, 1, 1, 1, 1)]
+    got = fitness.score_many(masks)
+    fold = {r.id: r.fold for r in L.kfold(df, "y", "id", 3, 0).collect()}
+    f, y = np.array([fold[i] for i in range(90)]), np.array([r[1] for r in rows])
+    for mask, score in zip(masks, got, strict=True):
+        values = []
+        for k in range(3):
+            z = np.column_stack([np.ones(90), y, x])[f != k]
+            w = L.solve_masks(z.T @ z, np.array([mask]), 1e-3)[0]
+            pred = (np.column_stack([np.ones(90), x]) @ w >= 0)[f == k].astype(int)
+            t = y[f == k]
+            f1 = [2 * ((pred == c) & (t == c)).sum() / ((pred == c).sum() + (t == c).sum()) for c in (0, 1) if ((pred == c) | (t == c)).any()]
+            values.append((pred == t).mean() if metric == "accuracy" else np.mean(f1))
+        assert score == pytest.approx(np.mean(values))
+    changed, scores = fitness.best_change([1, 0, 0, 1, 0], -1.0)
+    singles = [tuple(1 - v if i == j else v for i, v in enumerate((1, 0, 0, 1, 0))) for j in range(5)]
+    assert scores[0] == max(fitness.score_many(singles)) and changed[0] in singles
+    fitness.close()
+
+
+def test_text_columns_have_an_importance(spark):
+    rows = [(i, i % 2, "yes" if i % 2 else "no", float(i % 5), None) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, y int, word string, n double, gone string")
+    score = lambda d: d.withColumn("proba", F.when(F.col("word") == "yes", 0.9).otherwise(0.1))
+    table = {r.feature: r for r in L.permutation_importance(score, df, "y", ["word", "n", "gone"], "id", repeats=4).collect()}
+    assert table["word"].importance > 0.2 and table["n"].importance == 0 == table["gone"].importance and table["word"].repeats == 4
+    assert L.permutation_importance(score, df.limit(0), "y", ["word"], "id").count() == 0

@@ -283,7 +283,10 @@ def mask_search(spark, sf):
 def fitness(spark, sf, metric="accuracy"):
     fit_ = L.MaskFitness(frame(spark, sf), "y", DIMS, "vec_id", 3, metric=metric)
     every, half = tuple([1] * 64), tuple([1] * 32 + [0] * 32)
-    return spark.createDataFrame(list(zip(["every", "half"], fit_.score_many([every, half]))), "mask string, score double")
+    try:
+        return spark.createDataFrame(list(zip(["every", "half"], fit_.score_many([every, half]))), "mask string, score double")
+    finally:
+        fit_.close()
 
 
 @query("fs4_prefilter_and_search")

@@ -53,13 +53,13 @@ def onehot(spark, sf):
 
 
 @query("pp4_onehot_of_many", """
-SELECT l_orderkey, l_linenumber, 'l_comment_like' AS feature, md5(CAST(l_orderkey AS VARCHAR)) AS category FROM lineitem WHERE l_orderkey % 3 = 0
-UNION ALL SELECT l_orderkey, l_linenumber, 'l_shipmode', l_shipmode FROM lineitem""")
+SELECT l_orderkey, l_linenumber, 'order_code' AS feature, md5(CAST(l_orderkey AS VARCHAR)) AS category FROM lineitem WHERE l_orderkey % 3 = 0
+UNION ALL SELECT l_orderkey, l_linenumber, 'l_returnflag', l_returnflag FROM lineitem""")
 def onehot_of_many(spark, sf):
     """As many categories as orders; those of two thirds of the orders were not seen."""
-    df = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.md5(F.col("l_orderkey").cast("string")).alias("l_comment_like"), "l_shipmode")
-    indexer = Q.fit_onehot(df.withColumn("l_comment_like", F.when(F.col("l_orderkey") % 3 == 0, F.col("l_comment_like"))), ["l_comment_like", "l_shipmode"])
-    return Q.onehot_cells(indexer, df, ["l_comment_like", "l_shipmode"], ["l_orderkey", "l_linenumber"])
+    df = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.md5(F.col("l_orderkey").cast("string")).alias("order_code"), "l_returnflag")
+    indexer = Q.fit_onehot(df.withColumn("order_code", F.when(F.col("l_orderkey") % 3 == 0, F.col("order_code"))), ["order_code", "l_returnflag"])
+    return Q.onehot_cells(indexer, df, ["order_code", "l_returnflag"], ["l_orderkey", "l_linenumber"])
 
 
 @query("pp4_codes", """
