@@ -228,16 +228,17 @@ def _alike_sizes(percent: int) -> Column:
     return (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets reach the threshold.
+def verified(docs: DataFrame, pairs: DataFrame, of_docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets reach the threshold; ``of_docs`` has the sketch of every document.
 
     Two sets cannot share more tokens than the smaller count of each cell of their sketches; what this leaves is held against each
     other token by token.
     """
     pairs = written(pairs.select("a", "b").distinct())
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # only the sketches of nodes in pairs are dealt out; adaptive execution splits a hot side of these joins
-    sketch = nodes.select("node", "n", "sketch").join(named, "node", "left_semi")
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    # only the sketches of nodes in pairs are dealt out, once each; adaptive execution splits a hot side of these joins
+    sketch = written_join(of_docs.select(F.col("doc_id").alias("node"), "n", "f1", "f2", "sketch"), named, ["node"], "left_semi")
+    sketch = sketch.repartition("node").dropDuplicates(["node", "n", "f1", "f2"]).select("node", "n", "sketch")
     one = pairs.join(sketch.toDF("a", "n1", "s1"), "a")
     two = one.join(sketch.toDF("b", "n2", "s2"), "b")
     most = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
@@ -255,7 +256,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, pe
     both = left.join(sets.toDF("b", "right"), "b")
     common = F.size(F.array_intersect("left", "right"))
     links = written(both.where(common * 100 >= (F.size("left") + F.size("right") - common) * percent).select("a", "b"))
-    forgotten(pairs, near, needed)
+    forgotten(pairs, named, near, needed)
     return links
 
 
@@ -287,7 +288,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     of_docs = scanned.where("token IS NULL")
     # equal sets are one node, named by the smallest id
     nodes = written(of_docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("gid").alias("gid"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
+        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("gid").alias("gid"), F.first("parity").alias("parity")))
     firsts = written(nodes.groupBy("gid").agg(F.min("node").alias("first"), F.count("*").alias("members")))
     lists = written(token_lists(scanned.where("token IS NOT NULL").select("token", "chain", "gid", "n", "pos")))
 
@@ -301,7 +302,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     heads = chained.join(of_group.withColumnRenamed("first", "a"), "gid").join(of_group.toDF("gid2", "b"), "gid2").select("a", "b")
     inside = nodes.select("node", "gid").join(firsts.where("members > 1"), "gid").where("node <> first").select(
         F.col("first").alias("a"), F.col("node").alias("b"))
-    links = verified(docs, heads.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, width, percent)
+    links = verified(docs, heads.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), of_docs, width, percent)
     comp = components(links)
 
     # 2. what is still apart, per token
@@ -315,7 +316,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         "token", F.col("hub.node").alias("b"), F.col("hub.n").alias("n2"), F.col("hub.parity").alias("q2"))
     led = apart.where("comp <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("q1")).join(hubs, "token")
     led = led.where(_alike_sizes(percent) & _reachable(percent, most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first_round = written(_united(verified(docs, led, nodes, width, percent), named.select("node", "comp")))
+    first_round = written(_united(verified(docs, led, of_docs, width, percent), named.select("node", "comp")))
     forgotten(members, lists)
     named = written(_renamed(named, first_round))
     apart = _renamed(apart.drop("main"), first_round)
@@ -334,7 +335,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     ).groupBy("a", "b").agg(
         F.count("*").alias("shared"), F.first("at.n1").alias("n1"), F.first("at.n2").alias("n2"), F.max("at.p1").alias("p1"), F.max("at.p2").alias("p2"),
     ).where(_reachable(percent, bound))
-    more = verified(docs, pairs, nodes, width, percent)
+    more = verified(docs, pairs, of_docs, width, percent)
     whole = _renamed(named, _united(more, named.select("node", "comp")))
     # documents that are alone need no row here
     result = whole.where("copies > 1 OR tied").select("n", "f1", "f2", F.col("comp").alias("component"))
