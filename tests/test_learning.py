@@ -120,10 +120,33 @@ def test_permutation_importance(data):
 def test_search_and_trials(data):
     best, table = U.random_search(data, "y", NAMES, "id", {"C": ("log", 0.001, 10.0), "maxIter": ("int", 5, 15)}, n=2, k=2, family="logistic")
     assert table.count() == 2 and set(best) == {"C", "maxIter"}
-    goal = lambda params, rows: -abs(params["v"] - 0.3) if params["v"] < 0.9 else 1 / 0
-    best, table = U.trial_study(data, "y", "id", {"v": ("uniform", 0.0, 1.0)}, goal, n=6, rounds=2)
-    scores = {float(r.params["v"]): r.score for r in table.collect()}
-    assert abs(best["v"] - 0.3) == min(abs(v - 0.3) for v in scores)
+    goal = lambda params, rows: -abs(params["v"] - 0.3) if params["v"] < 0.8 else 1 / 0
+    best, table = U.Study({"v": ("uniform", 0.0, 1.0)}, n=9, rungs=3).run(data, "id", goal)
+    rows = table.collect()
+    assert [sum(r.rung == i for r in rows) for i in range(3)] == [9, 4, 2]
+    assert {r.n_rows for r in rows if r.rung == 2} == {240} and max(r.n_rows for r in rows if r.rung == 0) < 100
+    assert all((r.error is None) == (float(r.params["v"]) < 0.8) and (r.error is None) == (r.score is not None) for r in rows)
+    assert abs(best["v"] - 0.3) == min(abs(float(r.params["v"]) - 0.3) for r in rows if r.rung == 2)
+    again = U.Study({"v": ("uniform", 0.0, 1.0)}, n=9, rungs=3).run(data, "id", goal)[1]
+    assert again.collect() == rows
+    best, table = U.Study({"C": ("log", 0.01, 10.0)}, n=2, rungs=2).run(data, "id", U.cv_objective("y", NAMES, "id", "logistic", k=2))
+    assert all(r.score > 0.7 for r in table.collect() if r.rung == 1) and set(best) == {"C"}
+
+
+def test_weights_and_stopping_inside_folds(data):
+    spec = M.Spec("boosted", {"maxIter": 12, "maxDepth": 3}, weight="balanced", valid_part=0.25)
+    wide, models = M.oof(data, "y", NAMES, "id", {"a": spec}, 2)
+    assert wide.count() == 240 and auc(wide.withColumnRenamed("a", "proba")) > 0.85
+    assert all(m[0].model.stages[-1].getNumTrees <= 12 and m[0].model.stages[-1].getWeightCol() == "weight" for m in models.values())
+    with pytest.raises(ValueError):
+        M.fit_all(data, "y", NAMES, {"a": spec})
+
+
+def test_folds_of_several_classes(spark):
+    df = spark.range(180).select("id", (F.col("id") % 60).cast("double").alias("v"), F.expr("CASE WHEN id % 60 < 20 THEN 'a' WHEN id % 60 < 40 THEN 'b' ELSE 'c' END").alias("label"))
+    specs = {"f": M.Spec("forest", {"numTrees": 5, "maxDepth": 4}), "w": M.Spec("forest", {"numTrees": 5, "maxDepth": 4}, weight="balanced")}
+    rows = M.cross_validate_classes(df, "label", ["v"], "id", specs, 3).collect()
+    assert len(rows) == 6 and sum(r.n_test for r in rows) == 360 and min(r.macro_f1 for r in rows) > 0.85
 
 
 def test_evaluator(data):

@@ -23,7 +23,7 @@ from tidewatch.operators import scores as S
 from tidewatch.operators.encoding import fit_target_statistics, ordered_means
 from tidewatch.operators.labels import most_frequent
 from tidewatch.operators.profiling import class_counts, class_weights
-from tidewatch.operators.splitting import bag_columns, bag_rows, fold_train, fold_valid, kfold
+from tidewatch.operators.splitting import bag_columns, bag_rows, fold_train, fold_valid, holdout, kfold
 from tidewatch.session import ready_to_checkpoint, write_scratch
 
 PARALLEL_FITS = 4
@@ -36,6 +36,9 @@ class Spec:
     family: str = "boosted"
     params: dict = field(default_factory=dict)
     features: list[str] | None = None
+    #: Form of the class weights that rows get, and the part of the training rows that boosting is stopped by.
+    weight: str | None = None
+    valid_part: float | None = None
 
 
 # Default settings of each family.
@@ -90,7 +93,7 @@ def score(model: PipelineModel, df: DataFrame, tag: str = "model", out: str = "p
     return done.selectExpr(*map(quoted, df.columns), quoted(out))
 
 
-def _threads(items: list, work: Callable, parallel: int = PARALLEL_FITS) -> list:
+def run_threads(items: list, work: Callable, parallel: int = PARALLEL_FITS) -> list:
     """Run a bounded number of Spark fits at a time; the work itself is in the cluster."""
     if len(items) <= 1:
         return [work(i) for i in items]
@@ -189,7 +192,7 @@ def fit_bag(df: DataFrame, label: str, features: list[str], row_id: str, n: int
         rows = bag_rows(df, row_id, _share(f"rows|{s}", BAG_ROWS), s)
         return Member(f"bag{i}", fit(rows, label, used, family, {**(params or {}), "seed": s}, tag=f"bag{i}"), used)
 
-    return _threads(list(range(n)), one)
+    return run_threads(list(range(n)), one)
 
 
 def score_members(members: list[Member], df: DataFrame) -> DataFrame:
@@ -200,14 +203,25 @@ def score_members(members: list[Member], df: DataFrame) -> DataFrame:
     return out
 
 
-def fit_all(df: DataFrame, label: str, features: list[str], specs: dict[str, Spec]) -> list[Member]:
+def fit_spec(df: DataFrame, label: str, features: list[str], row_id: str | None, name: str, spec: Spec, seed: int = 42) -> Member:
+    """One model as its spec says: class weights are those of the rows it is fitted on, rows that stop it are kept out of them."""
+    used, valid = spec.features or features, None
+    if spec.valid_part is not None:
+        if row_id is None:
+            raise ValueError("a part that stops boosting needs a row key")
+        df, valid = holdout(df, label, row_id, spec.valid_part, seed)
+    if spec.weight is not None:
+        df = with_balanced_weight(df, label, spec.weight)
+        valid = valid.withColumn("weight", F.lit(1.0)) if valid is not None else None
+    return Member(name, fit(df, label, used, spec.family, spec.params, tag=name, weight="weight" if spec.weight else None, valid=valid), used)
+
+
+def fit_all(df: DataFrame, label: str, features: list[str], specs: dict[str, Spec], row_id: str | None = None) -> list[Member]:
     """Each base model on all rows."""
     def one(item) -> Member:
-        name, s = item
-        used = s.features or features
-        return Member(name, fit(df, label, used, s.family, s.params, tag=name), used)
+        return fit_spec(df, label, features, row_id, *item)
 
-    return _threads(list(specs.items()), one)
+    return run_threads(list(specs.items()), one)
 
 
 def oof(
@@ -225,11 +239,9 @@ def oof(
 
     def one(job) -> Member:
         i, name = job
-        s = specs[name]
-        used = s.features or features
-        return Member(name, fit(fold_train(folded, i, fold), label, used, s.family, s.params, tag=name), used)
+        return fit_spec(fold_train(folded, i, fold), label, features, row_id, name, specs[name], seed)
 
-    fitted = dict(zip(jobs, _threads(jobs, one)))
+    fitted = dict(zip(jobs, run_threads(jobs, one)))
     models = {i: [fitted[i, name] for name in specs] for i in range(k)}
     parts = [score_members(models[i], fold_valid(folded, i, fold)) for i in range(k)]
     out = parts[0]
@@ -250,6 +262,30 @@ def cross_validate(
     return metrics.select(*by, (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n_test"), "accuracy", "f1", "roc_auc")
 
 
+def cross_validate_classes(
+    df: DataFrame, label: str, features: list[str], row_id: str, specs: dict[str, Spec], k: int = 5, seed: int = 42
+) -> DataFrame:
+    """Accuracy and macro F1 per model and fold for labels of any number of classes; each fold's rows are predicted by a model without them."""
+    ready_to_checkpoint(df.sparkSession)
+    folded = kfold(df, label, row_id, k, seed).checkpoint()
+
+    def one(job) -> DataFrame:
+        i, name = job
+        spec, train = specs[name], fold_train(folded, i)
+        if spec.weight is not None:
+            train = with_balanced_weight(train, label, spec.weight)
+        model = fit_multiclass(train, label, spec.features or features, spec.family, spec.params, "weight" if spec.weight else None)
+        found = predict_class(model, fold_valid(folded, i), label)
+        return found.select(F.lit(name).alias("model_id"), "fold", col(label).alias("y"), "pred")
+
+    parts = run_threads([(i, name) for i in range(k) for name in specs], one)
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    by = ["model_id", "fold"]
+    return S.macro_f1(long, by).join(long.groupBy(*by).agg(F.count(F.lit(1)).alias("n_test")), by)
+
+
 def cv_summary(cv: DataFrame) -> DataFrame:
     """Mean and population std over folds; undefined folds are left out."""
     return cv.groupBy("model_id").agg(*[

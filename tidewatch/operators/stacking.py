@@ -125,13 +125,13 @@ class Stacking(Estimator):
             calibrator = fit_isotonic(score(meta, wide, "meta")) if self.isotonic else None
         finally:
             wide.unpersist()
-        return StackingModel(fit_all(df, self.label, self.features, self.specs), meta, calibrator)
+        return StackingModel(fit_all(df, self.label, self.features, self.specs, self.row_id), meta, calibrator)
 
 
 def fit_on_holdout(df: DataFrame, label: str, features: list[str], row_id: str, specs: dict[str, Spec], part: float = 0.2, seed: int = 42, meta: str = "logistic") -> StackingModel:
     """Base models on one part, the meta model on the other."""
     train, rest = holdout(df, label, row_id, part, seed)
-    members = fit_all(train, label, features, specs)
+    members = fit_all(train, label, features, specs, row_id)
     wide = score_members(members, rest).withColumn("y", F.col(label).cast("int"))
     return StackingModel(members, fit_meta(wide, list(specs), meta))
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewatch.functions.expressions import hash_uniform
 from tidewatch.functions.grids import GRIDS
 from tidewatch.operators import scores as S
-from tidewatch.operators.models import Spec, cross_validate, cv_summary, fit, oof, score
-from tidewatch.operators.splitting import holdout, stratified_sample
+from tidewatch.operators.models import Spec, cross_validate, cv_summary, fit, oof, run_threads, score
+from tidewatch.operators.splitting import holdout
+from tidewatch.session import write_scratch
 
-# A space maps a parameter to ('log' | 'uniform' | 'int', low, high) or ('choice', [values]).
+# A space maps a parameter to ('log' | 'uniform' | 'int', low, high), ('choice', [values]), or ('next', iterator of values in order).
 DRAWS_SCHEMA = "draw int, params map<string,string>, score double"
 
 
@@ -24,6 +27,8 @@ def draw(space: dict, rng: np.random.Generator) -> dict:
         kind = rule[0]
         if kind == "choice":
             out[name] = rule[1][int(rng.integers(len(rule[1])))]
+        elif kind == "next":
+            out[name] = next(rule[1])
         elif kind == "int":
             out[name] = int(rng.integers(rule[1], rule[2] + 1))
         elif kind == "log":
@@ -62,36 +67,66 @@ def random_search(
     return best[1], _table(df.sparkSession, rows)
 
 
-def trial_study(
-    df: DataFrame, label: str, row_id: str, space: dict, objective: Callable[[dict, DataFrame], float], n: int = 20,
-    keep: float = 0.5, start_rows: int | None = None, rounds: int = 3, seed: int = 0,
-) -> tuple[dict, DataFrame]:
-    """Many trials on few rows, the better part again on more, the last on all rows.
+TRIALS = "trial int, rung int, n_rows long, params map<string,string>, score double, error string"
+
 
-    ``objective(params, rows)`` returns a score to maximise; failures lose.
+@dataclass
+class Study:
+    """Trials in rungs: many on few rows, the best of each rung again on more, the last rung on all rows.
+
+    Rung ``r`` of ``rungs`` has the rows whose hash falls below ``keep ** (rungs - 1 - r)``, so each rung's rows are among those of the next. A
+    trial goes up as soon as it is among the best ``keep`` of the trials that its rung has seen so far, without waiting for the rung to fill;
+    no more than that share of a rung ever goes up. Jobs run ``parallel`` at a time, and what comes next is decided from all results
+    before, so a study depends on its seed alone. A trial that cannot be scored keeps its error and does not go up.
     """
-    alive = list(enumerate(draws(space, n, seed)))
-    total = df.count()
-    rows_now = start_rows or max(1, total // 2 ** (rounds - 1))
-    log: dict[int, tuple[dict, float]] = {}
-    for r in range(rounds):
-        last = r == rounds - 1 or rows_now >= total
-        part = (df if last else stratified_sample(df, label, row_id, rows_now, seed)).persist()
-        try:
-            for i, p in alive:
-                try:
-                    log[i] = (p, float(objective(p, part)))
-                except Exception:  # a trial that cannot be fitted loses
-                    log[i] = (p, float("-inf"))
-        finally:
-            part.unpersist()
-        alive.sort(key=lambda t: (-log[t[0]][1], t[0]))
-        if last:
-            break
-        alive = alive[:max(1, math.ceil(len(alive) * keep))]
-        rows_now *= 2
-    best = alive[0][1]
-    return best, _table(df.sparkSession, [(i, p, s) for i, (p, s) in sorted(log.items())])
+
+    space: dict
+    n: int = 20
+    keep: float = 0.5
+    rungs: int = 3
+    seed: int = 0
+    parallel: int = 4
+    log: list[tuple] = field(default_factory=list)
+
+    def share(self, rung: int) -> float:
+        return self.keep ** (self.rungs - 1 - rung)
+
+    def next_jobs(self, waiting: list[int]) -> list[tuple[int, int]]:
+        """``(trial, rung)`` of the next jobs: those that can go up, from the highest rung, then new trials."""
+        jobs = []
+        for rung in range(self.rungs - 2, -1, -1):
+            done = sorted((r for r in self.log if r[1] == rung), key=lambda r: (-r[4] if r[4] is not None else math.inf, r[0]))
+            up = {r[0] for r in self.log if r[1] == rung + 1}
+            places = math.floor(len(done) * self.keep + 1e-9) - len(up)
+            best = [r[0] for r in done[:math.floor(len(done) * self.keep + 1e-9)] if r[4] is not None and r[0] not in up]
+            jobs += [(t, rung + 1) for t in best[:max(0, places)]]
+        return (jobs + [(t, 0) for t in waiting])[:self.parallel]
+
+    def run(self, df: DataFrame, row_id: str, objective: Callable[[dict, DataFrame], float]) -> tuple[dict, DataFrame]:
+        """Best parameters, by the highest rung and the score there, and the table of all trials and rungs."""
+        params = draws(self.space, self.n, self.seed)
+        place = hash_uniform(row_id, self.seed)
+        rows = [write_scratch(df.where(place < F.lit(self.share(r))) if r < self.rungs - 1 else df) for r in range(self.rungs)]
+        sizes = [part.count() for part in rows]
+        waiting = list(range(self.n))
+
+        def one(job: tuple[int, int]) -> tuple:
+            trial, rung = job
+            try:
+                value, error = float(objective(params[trial], rows[rung])), None
+                if math.isnan(value):
+                    value, error = None, "the score is not a number"
+            except Exception as e:  # the failure is the trial's result
+                value, error = None, f"{type(e).__name__}: {(str(e).splitlines() or [''])[0]}"
+            return trial, rung, sizes[rung], params[trial], value, error
+
+        while jobs := self.next_jobs(waiting):
+            waiting = [t for t in waiting if (t, 0) not in jobs]
+            self.log += run_threads(jobs, one, self.parallel)
+        scored = [r for r in self.log if r[4] is not None]
+        best = max(scored, key=lambda r: (r[1], r[4], -r[0]))[3] if scored else {}
+        table = [(t, r, n, {k: str(v) for k, v in p.items()}, s, e) for t, r, n, p, s, e in sorted(self.log, key=lambda r: r[:2])]
+        return best, df.sparkSession.createDataFrame(table, TRIALS)
 
 
 def holdout_objective(label: str, features: list[str], row_id: str, family: str = "boosted", metric: str = "accuracy", part: float = 0.15, seed: int = 42):
@@ -104,6 +139,18 @@ def holdout_objective(label: str, features: list[str], row_id: str, family: str
     return objective
 
 
+def cv_objective(
+    label: str, features: list[str], row_id: str, family: str = "boosted", metric: str = "composite", k: int = 3, seed: int = 42, weight: str | None = "balanced",
+    valid_part: float | None = None,
+):
+    """Objective: mean over folds of AUC, accuracy, F1, or half the sum of AUC and accuracy; row weights and stopping inside each fold."""
+    def objective(params: dict, df: DataFrame) -> float:
+        spec = Spec(family, params, weight=weight, valid_part=valid_part)
+        cv = cross_validate(df, label, features, row_id, {"trial": spec}, k, seed)
+        return S.composite(cv.select("fold", "accuracy", "f1", "roc_auc")).agg(F.avg(metric)).first()[0]
+    return objective
+
+
 def candidate_search(
     df: DataFrame, label: str, features: list[str], row_id: str, candidates: dict[str, Spec], k: int = 5, valid_part: float = 0.2,
     seed: int = 42, grid: str = "tenth_to_nine_tenths",

@@ -120,6 +120,18 @@ def cross_validate(spark, sf):
     return M.cross_validate(frame(spark, sf), "y", DIMS, "vec_id", SPECS, 3)
 
 
+@query("md13_cross_validate_classes")
+def cross_validate_classes(spark, sf):
+    specs = {"forest": M.Spec("forest"), "weighted": M.Spec("forest", weight="balanced")}
+    return M.cross_validate_classes(embedding_columns(spark, sf), "label", DIMS, "vec_id", specs, 3)
+
+
+@query("md13_weights_and_stopping")
+def weights_and_stopping(spark, sf):
+    specs = {"plain": M.Spec("boosted"), "stopped": M.Spec("boosted", weight="balanced", valid_part=0.2)}
+    return M.cross_validate(frame(spark, sf), "y", DIMS, "vec_id", specs, 3)
+
+
 @query("ev19_best_by_cv")
 def best_by_cv(spark, sf):
     return M.best_by_cv(M.cross_validate(frame(spark, sf), "y", DIMS, "vec_id", SPECS, 3))
@@ -348,9 +360,9 @@ def random_search(spark, sf):
 
 @query("tu2_trial_study")
 def trial_study(spark, sf):
-    space = {"C": ("log", 0.01, 10.0), "maxIter": ("choice", [10, 20])}
-    goal = U.holdout_objective("y", DIMS, "vec_id", "logistic")
-    return U.trial_study(frame(spark, sf), "y", "vec_id", space, goal)[1]
+    space = {"C": ("log", 0.01, 10.0), "maxIter": ("choice", [50, 200])}
+    goal = U.cv_objective("y", DIMS, "vec_id", "logistic")
+    return U.Study(space).run(frame(spark, sf), "vec_id", goal)[1]
 
 
 @query("tu3_candidate_search")

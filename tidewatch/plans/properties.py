@@ -295,6 +295,49 @@ def candidates_measured(spark, sf):
     return P.candidates(spark, sf).select("model_id", reduce(lambda a, b: a & b, [_share(c) for c in columns]).alias("ok"))
 
 
+@query("tu2_rungs", """
+WITH r AS (SELECT unnest([0, 1, 2]) AS rung, unnest([8, 4, 2]) AS trials, unnest([0.25, 0.5, 1.0]) AS share),
+u AS (SELECT CAST('0x' || substr(md5('0|' || CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM embeddings)
+SELECT CAST(rung AS INTEGER) AS rung, CAST(trials AS BIGINT) AS trials, count(*) AS n_rows, CAST(CASE WHEN rung = 0 THEN 2 ELSE 0 END AS BIGINT) AS failed, 7::BIGINT AS best
+FROM r, u WHERE u < share::DOUBLE OR rung = 2 GROUP BY rung, trials""")
+def rungs(spark, sf):
+    """Eight trials, two of which fail; the others score by their number, so the last goes all the way up."""
+    def goal(params, rows):
+        if params["number"] in (2, 5):
+            raise ValueError("cannot be fitted")
+        return params["number"] + rows.agg(F.avg("f0")).first()[0] / 1000
+
+    best, table = U.Study({"number": ("next", iter(range(8)))}, n=8).run(frame(spark, sf), "vec_id", goal)
+    return table.groupBy("rung").agg(
+        F.count(F.lit(1)).alias("trials"), F.max("n_rows").alias("n_rows"), F.count("error").alias("failed")).withColumn("best", F.lit(best["number"]).cast("long"))
+
+
+@query("tu2_errors_are_kept", """
+SELECT CAST(t AS INTEGER) AS trial, CASE WHEN t % 2 = 1 THEN 'ValueError: odd' END AS error FROM range(6) x(t)""")
+def errors_kept(spark, sf):
+    def goal(params, rows):
+        if params["number"] % 2:
+            raise ValueError("odd")
+        return float(params["number"])
+
+    _, table = U.Study({"number": ("next", iter(range(6)))}, n=6).run(frame(spark, sf), "vec_id", goal)
+    return table.where("rung = 0").select("trial", "error")
+
+
+@query("md13_classes_of_folds", """
+WITH f AS (SELECT label, CAST(ntile(3) OVER (PARTITION BY label ORDER BY md5('42|' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS INTEGER) AS fold FROM embeddings)
+SELECT model_id, fold, count(*) AS n_test, true AS ok FROM f, (SELECT unnest(['forest', 'weighted']) AS model_id) GROUP BY 1, 2""")
+def classes_of_folds(spark, sf):
+    cv = P.cross_validate_classes(spark, sf)
+    return cv.select("model_id", "fold", "n_test", (_share("macro_f1") & _share("accuracy")).alias("ok"))
+
+
+@query("md13_weighted_rows_of_folds", f"WITH {FOLDS_SQL} SELECT model_id, fold, count(*) AS n_test, true AS ok FROM folds, (SELECT unnest(['plain', 'stopped']) AS model_id) GROUP BY 1, 2")
+def weighted_rows_of_folds(spark, sf):
+    cv = P.weights_and_stopping(spark, sf)
+    return cv.select("model_id", "fold", "n_test", (_share("accuracy") & _share("f1") & _share("roc_auc")).alias("ok"))
+
+
 # ---- projection, drawn rows, statistics ----------------------------------------------------
 
 @query("pp7_pca_keeps_norms", """
