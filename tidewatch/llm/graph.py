@@ -69,7 +69,7 @@ def components(links: DataFrame) -> DataFrame:
     also counts what was wrong with the links that went into it: nodes with two larger ends, or in the middle.
     """
     spark = links.sparkSession
-    edges = written(_forest(links.where("a <> b").select("a", "b")))
+    edges = written(_forest(links.where("a <> b").select("a", "b")), narrow=True)
     while True:
         wrong = spark.sparkContext.accumulator(0)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("b").alias("up")).unionByName(
@@ -79,7 +79,7 @@ def components(links: DataFrame) -> DataFrame:
         ).select("u", "low", F.coalesce((F.col("first") != F.col("last")) | ((F.col("ups") > 0) & (F.col("ups") < F.col("all"))), F.lit(False)).cast("int").alias("wrong"))
         tied = both.select("u", "v").join(least, "u").select(F.col("v").alias("a"), F.col("low").alias("b"), "wrong").unionByName(
             least.select(F.col("u").alias("a"), F.col("low").alias("b"), F.lit(0).alias("wrong")))
-        nearer = written(_forest(tied, wrong))
+        nearer = written(_forest(tied, wrong), narrow=True)
         if not wrong.value:
             forgotten(nearer)
             edges = edges.distinct()

@@ -147,15 +147,15 @@ def _differing() -> Column:
 
 
 SCAN = pa.schema([
-    ("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("gid", pa.int64()), ("sketch", pa.list_(pa.int32())),
+    ("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("gid", pa.int64()), ("unit", pa.int32()), ("sketch", pa.list_(pa.int8())),
     ("parity", pa.list_(pa.int64())), ("token", pa.int64()), ("chain", pa.int32()), ("pos", pa.int32())])
 
 
 def scan(docs: DataFrame, width: int, percent: int, frequent, keys: bool = True) -> DataFrame:
     """One pass over the texts that gives two kinds of rows.
 
-    Rows without ``token``, one a document (left out without ``keys``): set size and fingerprint, group, how many tokens fall in each of ``CELLS`` cells, and
-    parities. Rows with ``token``: the prefix tokens of groups, once a batch, with ``chain`` and place; frequent tokens are dealt over
+    Rows without ``token``, one a document (left out without ``keys``): set size and fingerprint, group, how many tokens fall in each of ``CELLS`` cells (in units of ``unit``),
+    and parities. Rows with ``token``: the prefix tokens of groups, once a batch, with ``chain`` and place; frequent tokens are dealt over
     ``CHAINS`` chains, others have one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -171,9 +171,12 @@ def scan(docs: DataFrame, width: int, percent: int, frequent, keys: bool = True)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            of_docs, cells, odd, prefixes, groups = [], [], [], [], set()
+            of_docs, units, cells, odd, prefixes, groups = [], [], [], [], [], set()
             for tokens in shingle_sets(batch.column("text").to_pylist(), width):
-                cells.append(np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32))
+                held = np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                # in units, rounded up, so that a cell takes one byte
+                units.append(max(1, -(-int(held.max()) // 127)))
+                cells.append((-(-held // units[-1])).astype(np.int8))
                 odd.append(_parity(tokens))
                 group = np.uint64(0)
                 if len(tokens):
@@ -186,12 +189,12 @@ def scan(docs: DataFrame, width: int, percent: int, frequent, keys: bool = True)
             if keys:
                 n, f1, f2, gid = (np.array(x) for x in zip(*of_docs, strict=True))
                 yield rows(len(n), doc_id=batch.column("doc_id"), n=pa.array(n.astype(np.int32)), f1=pa.array(f1.view(np.int64)), f2=pa.array(f2.view(np.int64)),
-                           gid=pa.array(gid.view(np.int64)), sketch=lists(cells, CELLS, pa.int32()), parity=lists(odd, PARITY_WORDS, pa.int64()))
+                           gid=pa.array(gid.view(np.int64)), unit=pa.array(units, pa.int32()), sketch=lists(cells, CELLS, pa.int8()), parity=lists(odd, PARITY_WORDS, pa.int64()))
             if prefixes:
                 token, chain, gid, n, pos = (np.concatenate(x) for x in zip(*prefixes, strict=True))
                 yield rows(len(token), token=pa.array(token.view(np.int64)), chain=pa.array(chain), gid=pa.array(gid.view(np.int64)), n=pa.array(n), pos=pa.array(pos))
 
-    schema = "doc_id long, n int, f1 long, f2 long, gid long, sketch array<int>, parity array<long>, token long, chain int, pos int"
+    schema = "doc_id long, n int, f1 long, f2 long, gid long, unit int, sketch array<tinyint>, parity array<long>, token long, chain int, pos int"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -209,7 +212,7 @@ def token_members(docs: DataFrame, lists: DataFrame, named: DataFrame, firsts: D
     tokens are taken from one member's text.
     """
     split = written(named.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").join(
-        firsts, "gid").select("gid", F.col("first").alias("doc_id"), F.lit(True).alias("_split")))
+        firsts, "gid").select("gid", F.col("first").alias("doc_id"), F.lit(True).alias("_split")), narrow=True)
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     read = written_join(texts, split.select("doc_id").distinct(), ["doc_id"], "left_semi")
     # an id may stand for several texts, so groups are named by what their texts give
@@ -234,16 +237,16 @@ def verified(docs: DataFrame, pairs: DataFrame, of_docs: DataFrame, width: int,
     Two sets cannot share more tokens than the smaller count of each cell of their sketches; what this leaves is held against each
     other token by token.
     """
-    pairs = written(pairs.select("a", "b").distinct())
-    named = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    pairs = written(pairs.select("a", "b").distinct(), narrow=True)
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), narrow=True)
     # only the sketches of nodes in pairs are dealt out, once each; adaptive execution splits a hot side of these joins
-    sketch = written_join(of_docs.select(F.col("doc_id").alias("node"), "n", "f1", "f2", "sketch"), named, ["node"], "left_semi")
-    sketch = sketch.repartition("node").dropDuplicates(["node", "n", "f1", "f2"]).select("node", "n", "sketch")
-    one = pairs.join(sketch.toDF("a", "n1", "s1"), "a")
-    two = one.join(sketch.toDF("b", "n2", "s2"), "b")
-    most = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    sketch = written_join(of_docs.select(F.col("doc_id").alias("node"), "n", "f1", "f2", "unit", "sketch"), named, ["node"], "left_semi")
+    sketch = sketch.repartition("node").dropDuplicates(["node", "n", "f1", "f2"]).select("node", "n", "unit", "sketch")
+    one = pairs.join(sketch.toDF("a", "n1", "u1", "s1"), "a")
+    two = one.join(sketch.toDF("b", "n2", "u2", "s2"), "b")
+    most = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.least(x * F.col("u1"), y * F.col("u2"))), F.lit(0), lambda x, y: x + y)
     near = written(two.where(_alike_sizes(percent) & _reachable(percent, most)).select("a", "b"))
-    needed = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    needed = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), narrow=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -316,7 +319,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         "token", F.col("hub.node").alias("b"), F.col("hub.n").alias("n2"), F.col("hub.parity").alias("q2"))
     led = apart.where("comp <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("q1")).join(hubs, "token")
     led = led.where(_alike_sizes(percent) & _reachable(percent, most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first_round = written(_united(verified(docs, led, of_docs, width, percent), named.select("node", "comp")))
+    first_round = written(_united(verified(docs, led, of_docs, width, percent), named.select("node", "comp")), narrow=True)
     forgotten(members, lists)
     named = written(_renamed(named, first_round))
     apart = _renamed(apart.drop("main"), first_round)
