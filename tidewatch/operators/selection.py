@@ -333,8 +333,8 @@ def permutation_importance(
 
     ``score`` adds ``proba``. At most ``rows`` rows are looked at, in hash order (the reference size of such reports; None: all). The rows
     are put in one hash order and numbered, once; the donor of a row in a repeat is the row a seeded offset further on, so every column
-    keeps its values, and a repeat is one equi-join on the number. Each column of a repeat is replaced in its own call of ``score``, in
-    its own type; all their scores are measured together.
+    keeps its values, and a repeat is one equi-join on the number. Behind the join a row comes back once for each column, with that column
+    replaced, in its own type; ``score`` is called once a repeat, and only counts of scores are shuffled on.
     """
     from tidewatch.operators.splitting import sample_n
     chosen = sample_n(df, row_id, rows, seed) if rows is not None else df
@@ -348,10 +348,12 @@ def permutation_importance(
     measured = score(placed.select(*[col(c) for c in df.columns], "__y")).select(F.lit(-1).alias("repeat"), F.lit("").alias("feature"), "proba", F.col("__y").alias("y"))
     for r, offset in enumerate(offsets):
         donor = placed.select((F.pmod(F.col("__place") - 1 + (n - offset), F.lit(n)) + 1).alias("__place"), *[col(c).alias(names[c]) for c in features])
-        both = placed.join(donor, "__place")
-        for c in features:
-            swapped = both.select(*[col(names[c]).alias(c) if d == c else col(d) for d in df.columns], "__y")
-            measured = measured.unionByName(score(swapped).select(F.lit(r).alias("repeat"), F.lit(c).alias("feature"), "proba", F.col("__y").alias("y")))
+        both = placed.join(donor, "__place").withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+        at = {c: i for i, c in enumerate(features)}
+        swapped = both.select("__y", "__j", *[
+            F.when(F.col("__j") == at[d], col(names[d])).otherwise(col(d)).alias(d) if d in at else col(d) for d in df.columns])
+        feature = F.get(F.array(*[F.lit(c) for c in features]), F.col("__j"))
+        measured = measured.unionByName(score(swapped).select(F.lit(r).alias("repeat"), feature.alias("feature"), "proba", F.col("__y").alias("y")))
     aucs = write_scratch(S.roc_auc(measured, ["repeat", "feature"]))
     full = aucs.where("repeat = -1").select(F.col("roc_auc").alias("full")).withColumn("__all", F.lit(0))
     drops = aucs.where("repeat >= 0").withColumn("__all", F.lit(0)).join(full, "__all").select("feature", (F.col("full") - F.col("roc_auc")).alias("drop"))
