@@ -30,16 +30,17 @@ def per_column(
     """Aggregates of many columns in one pass per block, result in long form.
 
     ``stats`` maps output names to SQL aggregates of ``{x}``, the column as a
-    number or, with ``raw``, as it is; ``shared`` adds SQL columns the
-    aggregates also need. Blocks keep the generated code small; each reads only
+    number or, with ``raw``, as it is, and of ``{own}``, the column in its own
+    type; ``shared`` adds SQL columns the aggregates also need. Blocks keep the generated code small; each reads only
     its own columns, and each column is converted once per row.
     """
     parts = []
     keys = [quoted(k) for k in by]
     for block in _chunks(names):
-        base = df.selectExpr(*keys, *shared, *[f"{quoted(c) if raw else number(c)} AS __x{i}" for i, c in enumerate(block)])
+        own = [f"{quoted(c)} AS __o{i}" for i, c in enumerate(block)] if any("{own}" in e for e in stats.values()) else []
+        base = df.selectExpr(*keys, *shared, *[f"{quoted(c) if raw else number(c)} AS __x{i}" for i, c in enumerate(block)], *own)
         wide = base.groupBy(*by).agg(*[
-            F.expr("struct(" + ", ".join(f"{e.format(x=f'__x{i}')} AS {k}" for k, e in stats.items()) + f") AS s{i}")
+            F.expr("struct(" + ", ".join(f"{e.format(x=f'__x{i}', own=f'__o{i}')} AS {k}" for k, e in stats.items()) + f") AS s{i}")
             for i in range(len(block))
         ])
         rows = ", ".join(f"struct({text(c)} AS feature, s{i} AS s)" for i, c in enumerate(block))
@@ -87,10 +88,17 @@ def distinct_counts(counted: DataFrame, names: list[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, names: list[str]) -> DataFrame:
-    """Variance, distinct values, share of nulls and of zeros; one row per column."""
-    base = profile_fast(df, names)
+    """Variance, distinct values, share of missing values and of zeros; one row per column.
+
+    Text that is no number is a value like others, so a column's missing values are its nulls, and NaN where it holds numbers.
+    """
+    floats = {c for c in names if df.schema[c].dataType.typeName() in ("float", "double")}
+    m = reduce(DataFrame.unionByName, [
+        per_column(df, [c for c in names if (c in floats) == real], {**MOMENTS, "missing": "count_if({own} IS NULL" + (" OR isnan({own}))" if real else ")")})
+        for real in (True, False) if any((c in floats) == real for c in names)])
+    base = m.select("feature", "variance", ratio(F.col("missing"), F.col("rows")).alias("pct_nan"), ratio(F.col("zeros"), F.col("rows")).alias("pct_zero"))
     # counted in each column's own type; text is only made of the distinct values
-    counted = counted_values(df, names, [F.count(F.lit(1)).alias("n")]).where("value <> 'NaN'")
+    counted = counted_values(df, names, [F.count(F.lit(1)).alias("n")]).where((F.col("value") != "NaN") | ~F.col("feature").isin(*floats, ""))
     distinct = distinct_counts(counted, names)
     return base.join(distinct, "feature").select("feature", "variance", "n_unique", "pct_nan", "pct_zero")
 

@@ -54,6 +54,15 @@ def profile_embedding(spark, sf):
     return out.select("feature", rnd("variance"), "n_unique", rnd("pct_nan", 9), rnd("pct_zero", 9))
 
 
+@query("ag1_profile_text", " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, count(DISTINCT {c}) AS n_unique, round(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) / count(*)::DOUBLE, 9) AS pct_nan
+FROM (SELECT lang, source, CASE WHEN doc_id % 5 = 0 THEN 'NaN' WHEN doc_id % 5 > 1 THEN lang END AS word FROM documents)""" for c in ("lang", "source", "word")))
+def profile_text(spark, sf):
+    word = F.when(F.col("doc_id") % 5 == 0, "NaN").when(F.col("doc_id") % 5 > 1, F.col("lang"))
+    df = read_table(spark, sf, "documents").select("lang", "source", word.alias("word"))
+    return A.profile(df, df.columns).select("feature", "n_unique", rnd("pct_nan", 9))
+
+
 @query("ag2_profile_summary", f"""WITH {PROFILE_BASE_SQL}
 SELECT count(*) AS n_features, count(*) FILTER (variance = 0) AS n_zero_variance,
        count(*) FILTER (variance <= 1e-12) AS n_near_zero_variance, count(*) FILTER (pct_zero = 1) AS n_all_zero FROM prof""")
