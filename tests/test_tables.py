@@ -204,3 +204,27 @@ def test_fallback_chain(spark):
         G.first_available(spark, [missing])
     failed = G.model_catalogue(spark, missing, {"gone": missing}).first()
     assert failed.status == "failed" and failed.error
+
+
+def test_correlations_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 7))
+    x[:, 3] = 2 * x[:, 0] + 0.1 * x[:, 3]
+    x[:, 5] = 4.0
+    holes = rng.random((150, 7)) < 0.2
+    holes[:, 0] = False
+    names = [f"c{i}" for i in range(7)]
+    rows = [tuple(None if h else float(v) for v, h in zip(r, g)) for r, g in zip(x, holes)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(4)
+    want = {}
+    for i in range(7):
+        for j in range(i + 1, 7):
+            both = ~holes[:, i] & ~holes[:, j]
+            if 5 not in (i, j):
+                want[names[i], names[j]] = np.corrcoef(x[both, i], x[both, j])[0, 1]
+    for tile in (256, 2):
+        monkeypatch.setattr(T, "TILE", tile)
+        got = {(r.left, r.right): r.correlation for r in T.corr_pairs(df, names, None).collect()}
+        assert got == pytest.approx(want)
+        top = [(r.left, r.right) for r in T.corr_pairs(df, names, 4).collect()]
+        assert top == sorted(want, key=lambda k: -abs(want[k]))[:4] and top[0] == ("c0", "c3")

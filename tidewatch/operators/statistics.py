@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from itertools import combinations
 
-from pyspark.ml.stat import Correlation
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.functions.expressions import count_cuts, number, quoted, ratio, real, text, xlogx
+from tidewatch.functions.expressions import count_cuts, number, quoted, ratio, text, xlogx
 from tidewatch.operators.profiling import counted_values, per_column
 
-PAIRS_PER_JOB = 200
+#: Columns a side of a tile of sums.
+TILE = 256
 
 
 def _pearson(x: str, y: str) -> str:
@@ -27,56 +26,85 @@ def pearson(df: DataFrame, names: list[str], label: str) -> DataFrame:
 
 
 def corr_pairs(df: DataFrame, names: list[str], n: int | None = 20) -> DataFrame:
-    """Strongest absolute correlations of column pairs, each pair once.
+    """Strongest absolute correlations of column pairs, each pair once; one scan, however many columns.
 
-    Nulls are left out pair by pair. Columns are centred first, after which
-    plain sums of products are exact enough. Pairs are computed a few hundred
-    per scan; for hundreds of complete columns use ``corr_matrix_pairs``.
+    Nulls are left out pair by pair. Columns are centred first, after which plain sums of products are exact enough. Tasks add
+    up products of their rows as matrices and hand them on in tiles of columns; the tasks that add up a tile turn it into
+    correlations and pass on its ``n`` strongest, so neither pairs nor matrices reach the driver.
     """
-    x = {c: f"__x{i}" for i, c in enumerate(names)}
-    numbers = df.selectExpr(*[f"{number(c)} AS {x[c]}" for c in names])
-    facts = {}
-    for r in per_column(numbers, list(x.values()), {"m": "avg({x})", "w": "max({x}) - min({x})", "gaps": "count_if({x} IS NULL)"}).collect():
-        facts[r.feature] = r
-    used = [c for c in names if facts[x[c]].w]
-    centred = numbers.selectExpr(*[f"{x[c]} - {real(facts[x[c]].m)} AS {x[c]}" for c in used])
-    pairs = list(combinations(used, 2))
-    parts = []
-    for i in range(0, len(pairs), PAIRS_PER_JOB):
-        block = pairs[i:i + PAIRS_PER_JOB]
-        gaps = lambda p: facts[x[p[0]]].gaps or facts[x[p[1]]].gaps
-        singles = sorted({c for p in block if not gaps(p) for c in p})
-        sums = [f"sum({x[c]} * {x[c]}) AS q{x[c]}" for c in singles] + [f"sum({x[c]}) AS s{x[c]}" for c in singles] + ["count(1) AS n"]
-        rows = []
-        for j, (a, b) in enumerate(block):
-            u, v = x[a], x[b]
-            sums.append(f"sum({u} * {v}) AS p{j}")
-            if gaps((a, b)):
-                at = lambda value, other: f"if({other} IS NULL, NULL, {value})"
-                sums += [f"sum({at(f'{u} * {u}', v)}) AS qa{j}", f"sum({at(f'{v} * {v}', u)}) AS qb{j}",
-                         f"sum({at(u, v)}) AS sa{j}", f"sum({at(v, u)}) AS sb{j}", f"count({u} * {v}) AS n{j}"]
-                qa, qb, sa, sb, m = f"qa{j}", f"qb{j}", f"sa{j}", f"sb{j}", f"n{j}"
-            else:
-                qa, qb, sa, sb, m = f"q{u}", f"q{v}", f"s{u}", f"s{v}", "n"
-            var = lambda q, s, c: f"if({q} - {s} * {s} / nullif({m}, 0) > {real(1e-18 * facts[x[c]].w ** 2)} * {m}, {q} - {s} * {s} / nullif({m}, 0), NULL)"
-            r = f"(p{j} - {sa} * {sb} / nullif({m}, 0)) / (sqrt({var(qa, sa, a)}) * sqrt({var(qb, sb, b)}))"
-            rows.append(f"struct({text(a)} AS left, {text(b)} AS right, {r} AS correlation)")
-        parts.append(centred.agg(*[F.expr(s) for s in sums]).selectExpr(f"inline(array({', '.join(rows)}))"))
-    if not parts:
+    facts = {r.feature: r for r in per_column(df, names, {"m": "avg({x})", "w": "max({x}) - min({x})", "gaps": "count_if({x} IS NULL)"}).collect()}
+    used = [c for c in names if facts[c].w]
+    if len(used) < 2:
         return df.sparkSession.createDataFrame([], "left string, right string, correlation double")
-    out = reduce(DataFrame.unionByName, parts).where(F.col("correlation").isNotNull())
-    ranked = out.orderBy(F.abs(F.round("correlation", 9)).desc(), "left", "right")
+    numbers = df.select(F.expr(f"array({', '.join(map(number, used))})").alias("x"))
+    centre, width = np.array([facts[c].m for c in used]), np.array([facts[c].w for c in used])
+    tiles = numbers.mapInPandas(_products(centre, any(facts[c].gaps for c in used)), "i int, j int, v binary")
+    # partial sums of a tile follow each other, and one of them is held at a time
+    rows = tiles.repartition("i", "j").sortWithinPartitions("i", "j").mapInPandas(_correlations(used, width, n), "left string, right string, correlation double")
+    ranked = rows.orderBy(F.abs(F.round("correlation", 9)).desc(), "left", "right")
     return ranked if n is None else ranked.limit(n)
 
 
+def _products(centre: np.ndarray, gaps: bool):
+    """Sums of products of centred columns, of each column and its square where the other is known, and of known pairs."""
+    p = len(centre)
+
+    def run(batches):
+        xy, s, q, known = (np.zeros((p, p)) for _ in range(4)) if gaps else (np.zeros((p, p)), np.zeros(p), np.zeros(p), 0)
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.array([[np.nan if v is None else v for v in row] for row in b["x"]], float) - centre
+            m = ~np.isnan(x)
+            x = np.where(m, x, 0.0)
+            xy += x.T @ x
+            if gaps:
+                s, q, known = s + x.T @ m, q + (x * x).T @ m, known + m.T.astype(float) @ m
+            else:
+                s, q, known = s + x.sum(axis=0), q + (x * x).sum(axis=0), known + len(x)
+        if not gaps:
+            s, q, known = np.tile(s[:, None], (1, p)), np.tile(q[:, None], (1, p)), np.full((p, p), float(known))
+        for i in range(0, p, TILE):
+            for j in range(i, p, TILE):
+                a, b = slice(i, i + TILE), slice(j, j + TILE)
+                six = [xy[a, b], s[a, b], s[b, a].T, q[a, b], q[b, a].T, known[a, b]]
+                yield pd.DataFrame({"i": [i], "j": [j], "v": [np.stack(six).tobytes()]})
+
+    return run
+
+
+def _correlations(names: list[str], width: np.ndarray, most: int | None):
+    def strongest(i: int, j: int, total: np.ndarray) -> pd.DataFrame:
+        a, b = names[i:i + TILE], names[j:j + TILE]
+        xy, sa, sb, qa, qb, known = total.reshape(6, len(a), len(b))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            va, vb = qa - sa * sa / known, qb - sb * sb / known
+            good = (va > 1e-18 * (width[i:i + TILE] ** 2)[:, None] * known) & (vb > 1e-18 * (width[j:j + TILE] ** 2)[None] * known)
+            r = np.where(good, (xy - sa * sb / known) / (np.sqrt(va) * np.sqrt(vb)), np.nan)
+        rows, cols = np.nonzero(~np.isnan(r) & (np.arange(i, i + len(a))[:, None] < np.arange(j, j + len(b))[None]))
+        out = pd.DataFrame({"left": [a[x] for x in rows], "right": [b[y] for y in cols], "correlation": r[rows, cols]})
+        if most is not None:
+            out = out.assign(k=-out["correlation"].abs().round(9)).sort_values(["k", "left", "right"]).head(most).drop(columns="k")
+        return out
+
+    def run(batches):
+        at, total = None, None
+        for b in batches:
+            for i, j, v in zip(b["i"], b["j"], b["v"], strict=True):
+                if (i, j) != at:
+                    if at is not None:
+                        yield strongest(*at, total)
+                    at, total = (i, j), np.zeros(len(v) // 8)
+                total = total + np.frombuffer(v)
+        if at is not None:
+            yield strongest(*at, total)
+
+    return run
+
+
 def corr_matrix_pairs(df: DataFrame, names: list[str], n: int | None = 20) -> DataFrame:
-    """The same for complete columns in one pass; the p x p matrix is all the driver sees."""
-    vec = VectorAssembler(inputCols=names, outputCol="__v", handleInvalid="error").transform(df).select("__v")
-    matrix = Correlation.corr(vec, "__v").first()[0].toArray()
-    rows = [(names[i], names[j], float(matrix[i, j])) for i, j in combinations(range(len(names)), 2) if matrix[i, j] == matrix[i, j]]
-    out = df.sparkSession.createDataFrame(rows, "left string, right string, correlation double")
-    ranked = out.orderBy(F.abs(F.round("correlation", 9)).desc(), "left", "right")
-    return ranked if n is None else ranked.limit(n)
+    """All of a correlation matrix above its diagonal, or its ``n`` strongest entries."""
+    return corr_pairs(df, names, n)
 
 
 def information_sums() -> list[Column]:
