@@ -228,3 +228,30 @@ def test_correlations_in_tiles(spark, monkeypatch):
         assert got == pytest.approx(want)
         top = [(r.left, r.right) for r in T.corr_pairs(df, names, 4).collect()]
         assert top == sorted(want, key=lambda k: -abs(want[k]))[:4] and top[0] == ("c0", "c3")
+
+
+def test_records_over_lines_and_splits(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    want = {}
+    for name in ("a.txt", "b.txt"):
+        out = []
+        for _ in range(400):
+            fields = []
+            for _ in range(int(rng.integers(1, 6))):
+                plain = "".join(rng.choice(list("ab \t"), int(rng.integers(0, 5))))
+                fields.append(plain if rng.random() < 0.6 else '"' + plain + "".join(rng.choice([",", "\n", '""', "x"], int(rng.integers(0, 6)))) + '"')
+            out.append(",".join(fields))
+            want[len(fields)] = want.get(len(fields), 0) + 1
+        (tmp_path / name).write_text("\n".join(out) + "\n")
+    for size in ("128m", "300"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        try:
+            assert {r.n_fields: r.lines for r in D.field_counts(spark, str(tmp_path)).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    open_ = tmp_path / "open"
+    open_.mkdir()
+    (open_ / "c.txt").write_text('1,2\n3,"x\n4,5\n')
+    assert {r.n_fields: r.lines for r in D.field_counts(spark, str(open_)).collect()} == {2: 2}

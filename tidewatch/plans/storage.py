@@ -40,6 +40,18 @@ def fields(spark, sf):
     return D.field_counts(spark, _event_file(spark, sf))
 
 
+@query("src1_quoted_records", """
+SELECT CAST(CASE WHEN event_id % 4 = 3 THEN 4 ELSE 3 END AS INTEGER) AS n_fields, count(*) AS lines FROM events GROUP BY 1""")
+def quoted_records(spark, sf):
+    """Commas, quotes and line ends inside quoted fields; a quarter of the records has one field more."""
+    path = scratch_path(spark, "quoted")
+    inner = F.concat(F.lit('"'), "event_type", F.lit(',\n"" '), F.lit("\n") , F.lit(' ,"'))
+    field = F.when(F.col("event_id") % 3 == 0, inner).otherwise(F.col("event_type"))
+    more = F.when(F.col("event_id") % 4 == 3, ",x").otherwise("")
+    read_table(spark, sf, "events").select(F.concat(F.col("event_id").cast("string"), F.lit(","), field, F.lit(",1"), more).alias("value")).write.text(path)
+    return D.field_counts(spark, path)
+
+
 @query("src2_take_columns", EVENT_SQL.format(""))
 def take(spark, sf):
     return D.take_columns(D.read_fixed_csv(spark, _event_file(spark, sf), EVENT_SCHEMA), EVENT_SCHEMA.names[:4])

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch.functions.expressions import col
@@ -36,12 +39,94 @@ def read_fixed_csv(spark: SparkSession, path: str, schema: T.StructType, null: s
     return spark.read.schema(schema).csv(path, header=False, nullValue=null, ignoreLeadingWhiteSpace=True, mode=mode)
 
 
-def field_counts(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """Lines per number of fields: a wrong schema shows here before it shifts columns."""
-    # a separator counts if an even number of quotes follows
-    outside = re.escape(separator) + '(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    n = F.size(F.split("value", outside, -1))
-    return spark.read.text(path).groupBy(n.alias("n_fields")).agg(F.count(F.lit(1)).alias("lines"))
+def field_counts(spark: SparkSession, path: str, separator: str = ",", quote: str = '"') -> DataFrame:
+    """Records per number of fields: a wrong schema shows here before it shifts columns.
+
+    Separators and line ends inside quotes do not count, and a record may go over many lines and splits of a file. Every split is read
+    once, in time linear in its text, for both cases: that it begins outside quotes or inside. What it counts in either case, and in which
+    it ends, is one row; these rows are put together along each file. A quote that is never closed makes the rest of its file one record.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    splits = lines.mapInPandas(_split_counts(separator, quote), SPLIT_ROW)
+    return splits.groupBy("file").applyInPandas(_along_a_file, "n_fields int, lines long").groupBy("n_fields").agg(F.sum("lines").alias("lines"))
+
+
+SPLIT_ROW = "file string, block long, inside int, head long, fields array<long>, counts array<long>, tail long, open boolean, ends_inside int"
+
+
+class _Case:
+    """Records of one split if it begins outside quotes (0) or inside (1)."""
+
+    def __init__(self, inside: int):
+        self.inside, self.now, self.head, self.tail, self.open = inside, inside, None, 0, False
+        self.found: Counter = Counter()
+
+    def add(self, quotes: np.ndarray, even: np.ndarray, odd: np.ndarray) -> None:
+        """Lines with their quotes, and their separators in even and odd pieces between quotes."""
+        start = (self.now + np.cumsum(quotes) - quotes) % 2
+        outside = np.where(start == 0, even, odd)
+        ends = np.flatnonzero((start + quotes) % 2 == 0)
+        self.now = int((start[-1] + quotes[-1]) % 2)
+        if not len(ends):
+            self.tail, self.open = self.tail + int(outside.sum()), True
+            return
+        sums = np.add.reduceat(outside[:ends[-1] + 1], np.append(0, ends[:-1] + 1))
+        sums[0] += self.tail
+        if self.head is None:
+            self.head, sums = int(sums[0]), sums[1:]
+        values, n = np.unique(sums, return_counts=True)
+        self.found.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
+        self.tail, self.open = int(outside[ends[-1] + 1:].sum()), bool(ends[-1] + 1 < len(outside))
+
+    def row(self, file: str, block: int) -> tuple:
+        return file, block, self.inside, self.head, list(self.found), list(self.found.values()), self.tail, self.open, self.now
+
+
+def _split_counts(separator: str, quote: str):
+    def run(batches):
+        at, cases = None, []
+        names = [c.split(" ")[0] for c in SPLIT_ROW.split(", ")]
+        for batch in batches:
+            if not len(batch):
+                continue
+            text = batch["value"]
+            quotes = text.str.count(re.escape(quote)).to_numpy(np.int64)
+            even, odd = text.str.count(re.escape(separator)).to_numpy(np.int64).copy(), np.zeros(len(batch), np.int64)
+            for i in np.flatnonzero(quotes):
+                pieces = text.iloc[i].split(quote)
+                even[i], odd[i] = sum(p.count(separator) for p in pieces[::2]), sum(p.count(separator) for p in pieces[1::2])
+            new = np.flatnonzero(((batch["file"] != batch["file"].shift()) | (batch["block"] != batch["block"].shift())).to_numpy())
+            for a, b in zip(new, np.append(new[1:], len(batch)), strict=True):
+                key = batch["file"].iloc[a], int(batch["block"].iloc[a])
+                if key != at:
+                    if cases:
+                        yield pd.DataFrame([c.row(*at) for c in cases], columns=names)
+                    at, cases = key, [_Case(0), _Case(1)]
+                for c in cases:
+                    c.add(quotes[a:b], even[a:b], odd[a:b])
+        if cases:
+            yield pd.DataFrame([c.row(*at) for c in cases], columns=names)
+
+    return run
+
+
+def _along_a_file(splits: pd.DataFrame) -> pd.DataFrame:
+    """One file's splits in order, each in the case in which the one before it ends."""
+    total, inside, held, waits = Counter(), 0, 0, False
+    by_case = {(r.block, r.inside): r for r in splits.itertuples()}
+    for block in sorted(set(splits["block"])):
+        r = by_case[block, inside]
+        if r.head is not None and r.head == r.head:
+            total[held + int(r.head) + 1] += 1
+            for n, k in zip(r.fields, r.counts, strict=True):
+                total[n + 1] += k
+            held, waits = int(r.tail), bool(r.open)
+        else:
+            held, waits = held + int(r.tail), waits or bool(r.open)
+        inside = r.ends_inside
+    if waits:
+        total[held + 1] += 1
+    return pd.DataFrame({"n_fields": list(total), "lines": list(total.values())})
 
 
 def check_field_count(spark: SparkSession, path: str, schema: T.StructType) -> None:
