@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.llm.common import map_batches, table, worker_cache
 from tidewatch.llm.registry import query
 
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 #: Stands for the end-of-word suffix behind a pre-token; byte-level symbols never contain it.
 _STOP = "\ue000"
 
