@@ -12,7 +12,7 @@ from tidewatch.operators.splitting import holdout, stratified_split
 from tidewatch.plans.evaluation import M as METRIC_SQL
 from tidewatch.plans.frames import WIDE_SQL, embedding_columns, event_scores_wide
 from tidewatch.plans.profiling import labelled_documents
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import query, shared
 from tidewatch.plans.statistics import ANOVA_SQL, DIMS, rnd
 from tidewatch.session import scratch_path
 from tidewatch.sources import bundles as A, catalogue as G, documents as J
@@ -121,18 +121,21 @@ def cross_validate(spark, sf):
 
 
 @query("md13_cross_validate_classes")
+@shared
 def cross_validate_classes(spark, sf):
     specs = {"forest": M.Spec("forest"), "weighted": M.Spec("forest", weight="balanced")}
     return M.cross_validate_classes(embedding_columns(spark, sf), "label", DIMS, "vec_id", specs, 3)
 
 
 @query("md13_weights_and_stopping")
+@shared
 def weights_and_stopping(spark, sf):
     specs = {"plain": M.Spec("boosted"), "stopped": M.Spec("boosted", weight="balanced", valid_part=0.2)}
     return M.cross_validate(frame(spark, sf), "y", DIMS, "vec_id", specs, 3)
 
 
 @query("ev19_best_by_cv")
+@shared
 def best_by_cv(spark, sf):
     return M.best_by_cv(M.cross_validate(frame(spark, sf), "y", DIMS, "vec_id", SPECS, 3))
 
@@ -178,6 +181,7 @@ _stacked("ens10_stacking_isotonic", isotonic=True)
 
 
 @query("ens6_base_models_on_all_rows")
+@shared
 def full_fit(spark, sf):
     train, test = _parts(spark, sf)
     return M.score_members(M.fit_all(train, "y", DIMS, SPECS), test).select("vec_id", "y", *SPECS)
@@ -195,6 +199,7 @@ def _bundle(name, train, features=DIMS, family="logistic", params=None):
 
 
 @query("ens11_score_bundles")
+@shared
 def score_bundles(spark, sf):
     train, test = _parts(spark, sf)
     good, narrow = _bundle("good", train), _bundle("narrow", train, DIMS[:8])
@@ -205,6 +210,7 @@ def score_bundles(spark, sf):
 
 
 @query("ens12_keep_if_better")
+@shared
 def keep_better(spark, sf):
     train, test = _parts(spark, sf)
     single = K.fit_on_holdout(train, "y", DIMS, "vec_id", {"linear": SPECS["linear"]})
@@ -259,6 +265,7 @@ def raw_row(spark, sf):
 
 
 @query("ca4_calibrated_predictions")
+@shared
 def calibrated(spark, sf):
     valid, test = _score_parts(spark, sf)
     return B.calibrated_predictions(valid, test, "row_id")
@@ -286,6 +293,7 @@ def _search(spark, sf, metric="macro_f1"):
 
 
 @query("fs2_mask_search")
+@shared
 def mask_search(spark, sf):
     found = _search(spark, sf)
     return spark.createDataFrame([(f, int(on), found.score) for f, on in zip(DIMS, found.mask)], "feature string, kept int, score double")
@@ -302,16 +310,19 @@ def fitness(spark, sf, metric="accuracy"):
 
 
 @query("fs4_prefilter_and_search")
+@shared
 def select(spark, sf):
     return L.select(frame(spark, sf), "y", DIMS, "vec_id", 16, L.MaskSearch())
 
 
 @query("fs5_search_history")
+@shared
 def history(spark, sf):
     return L.history(_search(spark, sf, "accuracy"), spark)
 
 
 @query("ud1_callable_fitness")
+@shared
 def callable_fitness(spark, sf):
     df = frame(spark, sf)
 
@@ -326,6 +337,7 @@ def callable_fitness(spark, sf):
 
 
 @query("fs6_permutation_importance")
+@shared
 def permutation(spark, sf):
     train, test = _parts(spark, sf)
     model = M.fit(train, "y", DIMS, "logistic")
@@ -333,6 +345,7 @@ def permutation(spark, sf):
 
 
 @query("fs7_model_importance")
+@shared
 def importance(spark, sf):
     return M.importances(M.fit(frame(spark, sf), "y", DIMS, "forest"), DIMS, spark)
 
@@ -353,6 +366,7 @@ def refit(spark, sf):
 # ---- parameters -----------------------------------------------------------------------
 
 @query("tu1_random_search")
+@shared
 def random_search(spark, sf):
     space = {"C": ("log", 0.01, 10.0), "maxIter": ("int", 10, 30)}
     return U.random_search(frame(spark, sf), "y", DIMS, "vec_id", space, k=3, metric="composite", family="logistic")[1]
@@ -366,6 +380,7 @@ def trial_study(spark, sf):
 
 
 @query("tu3_candidate_search")
+@shared
 def candidates(spark, sf):
     return U.candidate_search(frame(spark, sf), "y", DIMS, "vec_id", SPECS, k=3)
 
@@ -414,6 +429,7 @@ def reproduce(spark, sf):
 
 
 @query("src10_model_catalogue")
+@shared
 def model_catalogue(spark, sf):
     train, _ = _parts(spark, sf)
     folder = scratch_path(spark, "models")
@@ -422,6 +438,7 @@ def model_catalogue(spark, sf):
 
 
 @query("sc4_promote_best")
+@shared
 def promote_best(spark, sf):
     train, test = _parts(spark, sf)
     folder = scratch_path(spark, "bundles")
@@ -434,6 +451,7 @@ def promote_best(spark, sf):
 
 
 @query("sc5_evaluate_bundle")
+@shared
 def evaluate_bundle(spark, sf):
     train, test = _parts(spark, sf)
     good = _bundle("good", train)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
@@ -24,6 +25,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def shared(fn):
+    """Results of costly fits that several queries of a session look at: worked out once for each folder of tables."""
+    known: dict[tuple, object] = {}
+
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        key = spark.sparkContext.applicationId, sf_dir
+        if key not in known:
+            known[key] = fn(spark, sf_dir)
+        return known[key]
+    return run
+
+
 def collect() -> tuple[dict[str, Callable], dict[str, str]]:
     for section in SECTIONS:
         importlib.import_module(f"tidewatch.plans.{section}")
