@@ -1,5 +1,9 @@
+import threading
+
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tidewatch.functions.foreign import proba_udf
@@ -38,6 +42,28 @@ def test_out_of_fold_scores_each_row_once(data):
     assert K.fold_scores(models, data, "id").count() == 240
 
 
+def test_fits_side_by_side_have_properties_of_their_own(spark):
+    sc, together = spark.sparkContext, threading.Barrier(4)
+
+    def work(i):
+        sc.setLocalProperty("own", str(i))
+        together.wait(30)
+        seen = sc.getLocalProperty("own")
+        together.wait(30)
+        return seen
+
+    assert M.run_threads(list(range(8)), work, 4) == [str(i) for i in range(8)]
+    assert sc.getLocalProperty("own") is None
+
+
+def test_classes_against_the_rest_are_those_of_spark(data):
+    three = data.withColumn("c", (F.col("x0") * 3).cast("int"))
+    rows = VectorAssembler(inputCols=NAMES, outputCol="x").transform(three)
+    base = GBTClassifier(maxIter=2, maxDepth=2, seed=1)
+    own, plain = (kind(classifier=base, featuresCol="x", labelCol="c", predictionCol="p", parallelism=n).fit(rows) for kind, n in ((M.ParallelOneVsRest, 3), (OneVsRest, 1)))
+    assert own.transform(rows).select("id", "p").collect() == plain.transform(rows).select("id", "p").collect()
+
+
 def test_a_model_that_cannot_be_fitted_raises(data):
     with pytest.raises(Exception):
         M.oof(data, "y", NAMES, "id", {"a": M.Spec("logistic", FAST, ["absent"])}, 2)

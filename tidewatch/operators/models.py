@@ -13,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -97,13 +97,34 @@ def run_threads(items: list, work: Callable, parallel: int = PARALLEL_FITS) -> l
     """Run a bounded number of Spark fits at a time; the work itself is in the cluster."""
     if len(items) <= 1:
         return [work(i) for i in items]
+    # one wrapper copies the local properties once, and threads that share them end each other's execution ids: so one for each item
+    session = SparkSession.active()
+    tasks = [inheritable_thread_target(session)(work) for _ in items]
     pool = ThreadPool(min(parallel, len(items)))
     try:
-        return pool.map(inheritable_thread_target(SparkSession.active())(work), items)
+        return pool.starmap(lambda task, item: task(item), zip(tasks, items), chunksize=1)
     finally:
         pool.close()
 
 
+class ParallelOneVsRest(OneVsRest):
+    """One model for each class; fits that run side by side have local properties of their own, which Spark's ``parallelism`` lets them share."""
+
+    def _fit(self, dataset: DataFrame) -> OneVsRestModel:
+        label, features, base = self.getLabelCol(), self.getFeaturesCol(), self.getClassifier()
+        rows = dataset.select(label, features).persist()
+        try:
+            classes = int(rows.agg(F.max(label)).first()[0]) + 1
+
+            def one(i: int):
+                own = rows.withColumn(f"mc2b${i}", (F.col(label) == i).cast("double"))
+                return base.fit(own, {base.labelCol: f"mc2b${i}", base.featuresCol: features, base.predictionCol: self.getPredictionCol()})
+
+            return self._copyValues(OneVsRestModel(models=run_threads(list(range(classes)), one, self.getParallelism())))
+        finally:
+            rows.unpersist()
+
+
 # ---- categories inside boosted trees --------------------------------------------------
 
 def fit_with_categories(
@@ -139,7 +160,7 @@ def fit_multiclass(train: DataFrame, label: str, features: list[str], family: st
         est = estimator("forest", params or {}, "__class", "x_model", "model", weight=weight)
     else:
         base = GBTClassifier(**{**DEFAULTS["boosted"], "seed": 42, **(params or {})})
-        est = OneVsRest(classifier=base, featuresCol="x_model", labelCol="__class", predictionCol="pred_model", parallelism=PARALLEL_FITS)
+        est = ParallelOneVsRest(classifier=base, featuresCol="x_model", labelCol="__class", predictionCol="pred_model", parallelism=PARALLEL_FITS)
     return Pipeline(stages=[index, assemble, est]).fit(train)
 
 
