@@ -75,6 +75,20 @@ def test_stacking(data):
     assert auc(model.transform(data)) > 0.9
 
 
+@pytest.mark.parametrize("isotonic", [False, True])
+def test_parts_of_a_stack_learn_from_their_own_rows_even_without_a_signal(spark, isotonic):
+    from tidewatch.plans.properties import _beats_constant, _parts_learned
+    rng = np.random.default_rng(7)
+    rows = [(i, int(rng.integers(2)), *map(float, rng.random(8))) for i in range(240)]
+    noise = spark.createDataFrame(rows, "id long, y int, " + ", ".join(f"{n} double" for n in NAMES))
+    specs = {"forest": M.Spec("forest", {"numTrees": 10, "maxDepth": 8}), "linear": M.Spec("logistic", FAST)}
+    model = K.Stacking(specs, NAMES, "y", "id", isotonic=isotonic).fit(noise)
+    assert _parts_learned(model)
+    # the labels turned round: a model of the opposite is worse than a constant
+    assert not _beats_constant(M.score_members(model.members, noise).withColumn("y", 1 - F.col("y")), ["forest"])
+    assert not _beats_constant(model.combine(model.meta_rows.withColumn("y", 1 - F.col("y"))), ["proba"])
+
+
 def test_bags_are_seeded(data):
     run = lambda: M.fit_bag(data, "y", NAMES, "id", n=2, family="forest", params={"numTrees": 3, "maxDepth": 2})
     a, b = run(), run()

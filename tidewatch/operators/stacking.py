@@ -20,11 +20,16 @@ def fit_meta(wide: DataFrame, columns: list[str], family: str = "logistic", labe
 
 
 class StackingModel(Composite):
-    """Scores rows with every base model, then with the meta model, in one pass."""
+    """Scores rows with every base model, then with the meta model, in one pass.
 
-    def __init__(self, members: list[Member], meta, calibrator: Calibrator | None = None):
+    Right after fitting, ``base_rows`` are the rows the base models were fitted on, and ``meta_rows`` their scores, with ``y``, that the
+    meta model was fitted on; neither is saved.
+    """
+
+    def __init__(self, members: list[Member], meta, calibrator: Calibrator | None = None, base_rows: DataFrame | None = None, meta_rows: DataFrame | None = None):
         super().__init__()
         self.members, self.meta, self.calibrator = members, meta, calibrator
+        self.base_rows, self.meta_rows = base_rows, meta_rows
 
     def parts(self) -> dict:
         return {**{f"base_{m.tag}": m.model for m in self.members}, "meta": self.meta, "calibrator": self.calibrator}
@@ -37,11 +42,13 @@ class StackingModel(Composite):
         members = [Member(m["tag"], parts[f"base_{m['tag']}"], m["features"]) for m in plain["members"]]
         return cls(members, parts["meta"], parts["calibrator"])
 
+    def combine(self, scored: DataFrame) -> DataFrame:
+        """Final probability of rows that hold those of the base models."""
+        out = score(self.meta, scored, "meta")
+        return out if self.calibrator is None else self.calibrator.transform(out)
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        out = score(self.meta, score_members(self.members, df), "meta")
-        if self.calibrator is not None:
-            out = self.calibrator.transform(out)
-        return out.selectExpr(*map(quoted, df.columns), "proba")
+        return self.combine(score_members(self.members, df)).selectExpr(*map(quoted, df.columns), "proba")
 
 
 class BagModel(Composite):
@@ -125,7 +132,7 @@ class Stacking(Estimator):
             calibrator = fit_isotonic(score(meta, wide, "meta")) if self.isotonic else None
         finally:
             wide.unpersist()
-        return StackingModel(fit_all(df, self.label, self.features, self.specs, self.row_id), meta, calibrator)
+        return StackingModel(fit_all(df, self.label, self.features, self.specs, self.row_id), meta, calibrator, df, wide)
 
 
 def fit_on_holdout(df: DataFrame, label: str, features: list[str], row_id: str, specs: dict[str, Spec], part: float = 0.2, seed: int = 42, meta: str = "logistic") -> StackingModel:
@@ -133,7 +140,7 @@ def fit_on_holdout(df: DataFrame, label: str, features: list[str], row_id: str,
     train, rest = holdout(df, label, row_id, part, seed)
     members = fit_all(train, label, features, specs, row_id)
     wide = score_members(members, rest).withColumn("y", F.col(label).cast("int"))
-    return StackingModel(members, fit_meta(wide, list(specs), meta))
+    return StackingModel(members, fit_meta(wide, list(specs), meta), None, train, wide)
 
 
 def fold_scores(models: dict[int, list[Member]], df: DataFrame, row_id: str) -> DataFrame:
