@@ -43,12 +43,21 @@ def written(df: DataFrame, narrow: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.coalesce(few(spark))
     path = scratch_path(spark, "rows")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(spark: SparkSession) -> int:
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
+def in_few_files(df: DataFrame) -> DataFrame:
+    """``written`` for the few narrow rows that costly tasks leave over: the tasks stay as many as they are, their rows are dealt to a few that write."""
+    return written(df.repartition(few(df.sparkSession)))
+
+
 def forgotten(*tables: DataFrame) -> None:
     """Removes what ``written`` wrote; nothing may read these tables any more."""
     for df in tables:

@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidewatch.llm.common import SMALL_BATCH, forgotten, map_batches, mix64, salted_join, table, word_hashes, written, written_join
+from tidewatch.llm.common import SMALL_BATCH, forgotten, in_few_files, map_batches, mix64, salted_join, table, word_hashes, written, written_join
 from tidewatch.llm.graph import components
 from tidewatch.llm.registry import query
 
@@ -245,7 +245,7 @@ def verified(docs: DataFrame, pairs: DataFrame, of_docs: DataFrame, width: int,
     one = pairs.join(sketch.toDF("a", "n1", "u1", "s1"), "a")
     two = one.join(sketch.toDF("b", "n2", "u2", "s2"), "b")
     most = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.least(x * F.col("u1"), y * F.col("u2"))), F.lit(0), lambda x, y: x + y)
-    near = written(two.where(_alike_sizes(percent) & _reachable(percent, most)).select("a", "b"))
+    near = in_few_files(two.where(_alike_sizes(percent) & _reachable(percent, most)).select("a", "b"))
     needed = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), narrow=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,7 +258,7 @@ def verified(docs: DataFrame, pairs: DataFrame, of_docs: DataFrame, width: int,
     left = near.join(sets.toDF("a", "left"), "a")
     both = left.join(sets.toDF("b", "right"), "b")
     common = F.size(F.array_intersect("left", "right"))
-    links = written(both.where(common * 100 >= (F.size("left") + F.size("right") - common) * percent).select("a", "b"))
+    links = in_few_files(both.where(common * 100 >= (F.size("left") + F.size("right") - common) * percent).select("a", "b"))
     forgotten(pairs, named, near, needed)
     return links
 
@@ -288,12 +288,14 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (doc_id, text)."""
     frequent = frequent_tokens(docs, width)
     scanned = written(scan(docs, width, percent, frequent))
-    of_docs = scanned.where("token IS NULL")
+    lists = written(token_lists(scanned.where("token IS NOT NULL").select("token", "chain", "gid", "n", "pos")))
+    # the prefixes are most of what was scanned, and nothing reads them again
+    of_docs = written(scanned.where("token IS NULL").select("doc_id", "n", "f1", "f2", "gid", "unit", "sketch", "parity"), narrow=True)
+    forgotten(scanned)
     # equal sets are one node, named by the smallest id
     nodes = written(of_docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(
         F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("gid").alias("gid"), F.first("parity").alias("parity")))
     firsts = written(nodes.groupBy("gid").agg(F.min("node").alias("first"), F.count("*").alias("members")))
-    lists = written(token_lists(scanned.where("token IS NOT NULL").select("token", "chain", "gid", "n", "pos")))
 
     # 1. neighbours by size within each token, and members against their group's first
     near = Window.partitionBy("token", "chain").orderBy("n", "gid")
@@ -312,7 +314,9 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     named = written(nodes.select("node", "gid", "n", "f1", "f2", "copies").join(comp, "node", "left").select(
         "node", "gid", "n", "f1", "f2", "copies", F.coalesce("component", "node").alias("comp"), F.col("component").isNotNull().alias("tied")))
     members = written(token_members(docs, lists, named, firsts, width, percent, frequent))
+    forgotten(lists, firsts)
     apart = written(members.join(_mixed(members), "token").join(nodes.select("node", "parity"), "node"))
+    forgotten(members, nodes)
     # members that one of the largest component stands for: of each token, the one with the fewest rarer tokens
     most = (F.col("n1") + F.col("n2") - _differing()) / 2
     hubs = apart.where("comp = main").groupBy("token").agg(F.min_by(F.struct("node", "n", "parity"), F.struct("pos", "node")).alias("hub")).select(
@@ -320,10 +324,10 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     led = apart.where("comp <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("q1")).join(hubs, "token")
     led = led.where(_alike_sizes(percent) & _reachable(percent, most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first_round = written(_united(verified(docs, led, of_docs, width, percent), named.select("node", "comp")), narrow=True)
-    forgotten(members, lists)
     named = written(_renamed(named, first_round))
-    apart = _renamed(apart.drop("main"), first_round)
+    met_first, apart = apart, _renamed(apart.drop("main"), first_round)
     apart = written(apart.join(_mixed(apart), "token"))
+    forgotten(met_first)
     minor = apart.where("comp <> main").select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("parity").alias("q1"))
     others = apart.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("main"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("parity").alias("q2"))
     # pairs of two minor members are met from either side and kept once
@@ -339,6 +343,7 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         F.count("*").alias("shared"), F.first("at.n1").alias("n1"), F.first("at.n2").alias("n2"), F.max("at.p1").alias("p1"), F.max("at.p2").alias("p2"),
     ).where(_reachable(percent, bound))
     more = verified(docs, pairs, of_docs, width, percent)
+    forgotten(apart)
     whole = _renamed(named, _united(more, named.select("node", "comp")))
     # documents that are alone need no row here
     result = whole.where("copies > 1 OR tied").select("n", "f1", "f2", F.col("comp").alias("component"))
