@@ -149,16 +149,14 @@ def test_jaccard_join_of_odd_and_no_rows(spark, odd):
     assert jaccard_join.join_components(odd.limit(0)).count() == 0
 
 
-def test_jaccard_join_leaves_no_prefixes_behind(spark, sf, tmp_path):
+def test_jaccard_join_leaves_no_prefixes_behind(spark, sf, tmp_path, monkeypatch):
+    from tidewatch.llm import common
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert jaccard_join.join_components(docs).count() == docs.count()
-        left = {str(f.parent) for f in tmp_path.rglob("*.parquet") if f.is_file()}
-        assert left and not [f for f in left if "token" in spark.read.parquet(f).columns]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    places = iter(range(10_000))
+    monkeypatch.setattr(common, "scratch_path", lambda spark, name: f"{tmp_path}/{next(places)}/{name}")
+    assert jaccard_join.join_components(docs).count() == docs.count()
+    left = {str(f.parent) for f in tmp_path.rglob("*.parquet")}
+    assert left and not [f for f in left if "token" in spark.read.parquet(f).columns]
 
 
 def test_bpe_is_the_library(spark, sf, odd):
