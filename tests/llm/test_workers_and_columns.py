@@ -93,3 +93,21 @@ def test_every_code_point_is_encoded_like_the_library_does():
         want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
         got = [list(memoryview(own.encode(t)).cast("I")) if t else [] for t in part]
         assert got == want
+
+
+def test_split_and_kept_words_are_those_of_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+    path = bpe.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 40)
+    with open(path, encoding="utf-8") as file:
+        own = bpe.Encoder(file.read())
+    # capitals, letters and digits of Unicode 16, texts on both sides of the last Latin letter, tabs and controls
+    texts = ["\U00010d50\U00010d70x", "\U00010d40\U00010d41", "A\U000105d2\u0307", "it's \u0259\u0250\u024fnd don't.", "Stra\xdfe 12\xb2 \u01c5", "a\tb\x1fc\x00d", "\u03a3\u03a3 \u0130"]
+    texts += [" ".join(f"w{(i * j) % 97}or{i % 7}d" for j in range(40)) for i in range(30)]
+    for text in texts + texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert list(memoryview(own.encode(text)).cast("I")) == want, text
+        assert len(own.words) <= 40 and len(own.pieces) <= 40

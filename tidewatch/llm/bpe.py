@@ -23,6 +23,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -37,6 +38,17 @@ from tidewatch.llm.registry import query
 KEPT_WORDS = 200_000
 #: Stands for the end-of-word suffix behind a pre-token; byte-level symbols never contain it.
 _STOP = "\ue000"
+#: Texts below this letter are split by a pattern with short classes.
+_LATIN = "\u0250"
+#: What the tokenizer library knows beyond Unicode 15.1 (ranges inside a character class): letters and numbers of Unicode 16, and the lower case
+#: of capitals of Unicode 16 and 17.
+_LETTERS_16 = (r"\u1c89\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4"
+               r"\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa"
+               r"\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0")
+_NUMBERS_16 = (r"\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9"
+               r"\U0001e5f1-\U0001e5fa")
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+          **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
 
 
 def byte_symbols() -> list[str]:
@@ -46,9 +58,9 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(printable) else chr(next(free)) for b in range(256)]
 
 
-def code_points(group: str) -> str:
-    """Ranges, as inside a character class, of all code points whose general category begins with ``group``."""
-    inside = np.array([unicodedata.category(chr(c))[0] == group for c in range(0x110000)])
+def code_points(group: str, below: int = 0x110000) -> str:
+    """Ranges, as inside a character class, of all code points (or those ``below`` one) whose general category begins with ``group``."""
+    inside = np.array([unicodedata.category(chr(c))[0] == group for c in range(below)])
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0)).tolist()
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edge[::2], edge[1::2], strict=True))
 
@@ -66,8 +78,12 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that reach beyond their own string are not supported")
-        # the file's \s is Unicode White_Space; its letters and numbers are those of this Python's Unicode, not of the pattern library's
-        self.pattern = pre[0]["pattern"]["Regex"].replace(r"\p{L}", code_points("L")).replace(r"\p{N}", code_points("N")).replace(r"\s", r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
+        # the file's \s is Unicode White_Space; its letters and numbers are those of Unicode 16, not of the pattern library's version
+        spaces = r"\t-\r\x20\x85\xa0  -     　"
+        spelled = lambda letters, numbers: pre[0]["pattern"]["Regex"].replace(r"\p{L}", letters).replace(r"\p{N}", numbers).replace(r"\s", spaces)
+        self.pattern = spelled(code_points("L") + _LETTERS_16, code_points("N") + _NUMBERS_16)
+        # the same for texts below ``_LATIN``: long classes are slow
+        self.latin = spelled(code_points("L", ord(_LATIN)), code_points("N", ord(_LATIN)))
         suffix = model["end_of_word_suffix"]
         ids = model["vocab"]
         self.strings: list[str] = [""] * (max([*ids.values(), *self.special.values()]) + 1)
@@ -159,47 +175,70 @@ class Vocabulary:
         return out
 
 
+class Kept:
+    """What was looked up lately, at most ``KEPT_WORDS`` entries: when half of them are new, those not asked for since the last time are dropped."""
+
+    def __init__(self):
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.recent) + len(self.older)
+
+    def find(self, key: str) -> bytes | None:
+        found = self.recent.get(key)
+        if found is None and (found := self.older.pop(key, None)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(self.recent) >= KEPT_WORDS // 2:
+            self.older, self.recent = self.recent, {}
+        self.recent[key] = value
+        return value
+
+
 class Encoder:
     """Whole texts to ids and back, with what the worker has already seen: pre-tokens, and what stands between blanks."""
 
     def __init__(self, text: str):
         self.vocabulary = Vocabulary(text)
         self.split = regex.compile(self.vocabulary.pattern)
+        self.split_latin = regex.compile(self.vocabulary.latin)
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.symbols = dict(enumerate(byte_symbols()))
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Kept(), Kept()
         strings = [s.encode() + b" " for s in self.vocabulary.strings]
         self.buffer = np.frombuffer(b"".join(strings), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
 
     def _word(self, word: str) -> bytes:
-        code = self.words.get(word)
+        code = self.words.find(word)
         if code is None:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            ids = self.vocabulary.encode_word(word.encode().decode("latin-1").translate(self.symbols))
-            code = self.words[word] = np.array(ids, "<u4").tobytes()
+            plain = word.isascii() and word.isprintable()
+            ids = self.vocabulary.encode_word(word if plain else word.encode().decode("latin-1").translate(self.symbols))
+            code = self.words.keep(word, array("I", ids).tobytes())
         return code
 
     def _piece(self, piece: str) -> bytes:
         # lower case letter by letter, so a final sigma has no form of its own; white space is never part of a pre-token
-        text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return b"".join([self._word(w) for w in self.split.findall(text)])
+        text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower().translate(_LOWER)
+        if text.isalpha():
+            return self._word(text)
+        words = (self.split_latin if max(text, default="") < _LATIN else self.split).findall(text)
+        return b"".join([self._word(w) for w in words])
 
     def _plain(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
-        codes = list(map(self.pieces.get, pieces))
+        codes = list(map(self.pieces.recent.get, pieces))
         if None in codes:
             for i, code in enumerate(codes):
                 if code is None:
                     piece = pieces[i]
-                    code = self.pieces.get(piece)
+                    code = self.pieces.find(piece)
                     if code is None:
-                        if len(self.pieces) >= KEPT_WORDS:
-                            self.pieces.clear()
-                        code = self.pieces[piece] = self._piece(piece)
+                        code = self.pieces.keep(piece, self._piece(piece))
                     codes[i] = code
         return b"".join(codes)
 
