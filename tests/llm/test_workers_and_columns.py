@@ -105,7 +105,7 @@ def test_split_and_kept_words_are_those_of_the_library(monkeypatch):
     with open(path, encoding="utf-8") as file:
         own = bpe.Encoder(file.read())
     # capitals, letters and digits of Unicode 16, texts on both sides of the last Latin letter, tabs and controls
-    texts = ["\U00010d50\U00010d70x", "\U00010d40\U00010d41", "A\U000105d2\u0307", "it's \u0259\u0250\u024fnd don't.", "Stra\xdfe 12\xb2 \u01c5", "a\tb\x1fc\x00d", "\u03a3\u03a3 \u0130"]
+    texts = ["\U00010d50\U00010d70x", "\U00010d40\U00010d41", "A\U000105d2\u0307", "it's \u0259\u0250\u024fnd don't.", "Stra\xdfe 12\xb2 \u01c5", "a\tb\x1fc\x00d", "\u03a3\u03a3 \u0130", "\u059e\u0eba", "e\u0898\u0301x", "\U00011935\U00011930"]
     texts += [" ".join(f"w{(i * j) % 97}or{i % 7}d" for j in range(40)) for i in range(30)]
     for text in texts + texts:
         want = library.encode(text, add_special_tokens=False).ids

@@ -49,6 +49,14 @@ _NUMBERS_16 = (r"\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9
                r"\U0001e5f1-\U0001e5fa")
 _LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
           **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+#: Combining marks that the library's older composition tables do not know: there they stay where they are, and nothing is moved over or joined to them.
+_STILL = re.compile(
+    "(["
+    r"\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27"
+    r"\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839-\U0001183a"
+    r"\U00011930\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97"
+    r"\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+    "])")
 
 
 def byte_symbols() -> list[str]:
@@ -223,7 +231,10 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         # lower case letter by letter, so a final sigma has no form of its own; white space is never part of a pre-token
-        text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower().translate(_LOWER)
+        if piece.isascii():
+            text = piece.lower()
+        else:
+            text = "".join([unicodedata.normalize("NFC", part) for part in _STILL.split(piece)]).replace("Σ", "σ").lower().translate(_LOWER)
         if text.isalpha():
             return self._word(text)
         words = (self.split_latin if max(text, default="") < _LATIN else self.split).findall(text)
