@@ -234,7 +234,8 @@ class Encoder:
         if piece.isascii():
             text = piece.lower()
         else:
-            text = "".join([unicodedata.normalize("NFC", part) for part in _STILL.split(piece)]).replace("Σ", "σ").lower().translate(_LOWER)
+            parts = [piece] if max(piece) < _LATIN else _STILL.split(piece)
+            text = "".join([unicodedata.normalize("NFC", part) for part in parts]).replace("Σ", "σ").lower().translate(_LOWER)
         if text.isalpha():
             return self._word(text)
         words = (self.split_latin if max(text, default="") < _LATIN else self.split).findall(text)
