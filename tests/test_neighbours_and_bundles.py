@@ -73,6 +73,42 @@ def test_compared_pairs_grow_with_the_rows(spark, monkeypatch):
     assert pairs[1] < 6 * pairs[0] and pairs[1] < 4000 * 4000 / 10
 
 
+def test_rows_that_meet_many_cells_are_not_written_for_each(spark, monkeypatch):
+    """Vectors without structure, some of them very near to each other: every ball meets nearly all cells."""
+    whole, sent = N._meet, []
+
+    def counted(lefts, rights, need, block_rows):
+        sent.append(lefts.count())
+        return whole(lefts, rights, need, block_rows)
+
+    monkeypatch.setattr(N, "_meet", counted)
+    x = np.random.default_rng(3).normal(size=(400, 12))
+    x[50:60] = x[50] + 1e-9 * x[50:60]
+    x[60:64] = x[60]
+    df, got = frame(spark, x, str), {}
+    for r in N.knn_join(df, df, "id", "v", 4, cell_rows=20, block_rows=16).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == brute([str(i) for i in range(400)], x, 4)
+    assert len(sent) == 2 and sent[1] <= 8 * 400
+
+
+def test_nearest_by_products_are_those_of_sums():
+    """Far from the origin, with ties, and where squares overflow: products must leave nothing out."""
+    rng = np.random.default_rng(1)
+    for a, b in ((1e7 + rng.normal(size=(50, 5)), 1e7 + rng.normal(size=(300, 5))), (rng.integers(0, 2, (50, 6)), rng.integers(0, 2, (300, 6))),
+                 (1e160 * rng.normal(size=(20, 3)), 1e160 * rng.normal(size=(40, 3)))):
+        a, b = a.astype(float), b.astype(float)
+        near = N.Nearest(a, np.full(len(a), np.inf), 4)
+        names = rng.permutation(len(b))
+        for part in np.array_split(np.arange(len(b)), 3):
+            near.meet(np.arange(len(a)), b[part], names[part])
+            near.merge()
+        d = N.distances(a, b)
+        for i, (row, distance, other) in enumerate(zip(*(x.reshape(len(a), 4) for x in near.found()), strict=True)):
+            first = np.lexsort((names, d[i]))[:4]
+            assert set(row) == {i} and list(other) == list(names[first]) and list(distance) == list(d[i, first])
+
+
 def test_projections_find_most_neighbours(spark):
     df = frame(spark, clumps(3000, 16, 3))
     row = N.recall(df, df, "id", "v", 5, share=0.1).first()

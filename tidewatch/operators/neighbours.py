@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidewatch.session import write_scratch
@@ -15,6 +16,10 @@ from tidewatch.session import write_scratch
 #: Rows a cell should have, rows on each side of a block that is compared at once, and the most pivots (what tasks hold: pivots x dimensions x 8 bytes).
 CELL_ROWS, BLOCK_ROWS, PIVOTS = 1_000, 2_000, 1 << 16
 TABLES, LSH_SAMPLE = 16, 512
+#: Other cells that a row is sent to by itself; rows that meet more of them are compared block by block, without being written again.
+SENT_CELLS = 8
+#: Distances that are held at once; bytes of a packed block, of the left and right files of blocks, and of the right blocks that a task holds.
+PAIRS, BLOCK_BYTES, FILE_BYTES, TASK_BYTES = 1 << 20, 1 << 22, 1 << 25, 1 << 26
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -25,9 +30,104 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def beside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each row of ``a`` to the row of ``b`` beside it, summed as by ``distances``."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += (a[:, i] - b[:, i]) ** 2
+    return np.sqrt(out)
+
+
+def about(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and for each row of ``a`` more than they can be wrong. NaN where squares overflow."""
+    with np.errstate(all="ignore"):
+        left, right = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+        out = a @ (-2 * b.T)
+        out += left[:, None]
+        out += right
+        return out, 4 * (a.shape[1] + 8) * np.finfo(float).eps * (left + right.max(initial=0))
+
+
+def between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds, from below and from above, of all distances."""
+    square, wrong = about(a, b)
+    with np.errstate(all="ignore"):
+        return np.sqrt(np.maximum(square - wrong[:, None], 0)), np.sqrt(square + wrong[:, None])
+
+
+def closest_of(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The number of the nearest pivot of each vector, or of one as near but for rounding."""
+    out, step = np.zeros(len(v), np.int64), max(1, PAIRS // len(pivots))
+    for i in range(0, len(v), step):
+        out[i:i + step] = about(v[i:i + step], pivots)[0].argmin(axis=1)
+    return out
+
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float, copy=False)
+
+
+class Nearest:
+    """The ``need`` nearest others of each row of ``v`` so far, ties by key; none beyond the distance ``most`` is kept."""
+
+    def __init__(self, v: np.ndarray, most: np.ndarray, need: int):
+        self.v, self.most, self.need = v, most, need
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.fresh = 0
+
+    def meet(self, rows: np.ndarray, w: np.ndarray, others: np.ndarray) -> None:
+        """Compare some rows with all vectors ``w``: products leave out what is surely too far, the rest is summed exactly."""
+        step = max(1, PAIRS // len(w))
+        for i in range(0, len(rows), step):
+            some = rows[i:i + step]
+            a = self.v[some]
+            square, wrong = about(a, w)
+            with np.errstate(all="ignore"):
+                limit = self.most[some] ** 2 * (1 + 1e-15) + wrong
+            near = ~(square > limit[:, None])
+            crowd = np.flatnonzero(near.sum(axis=1) > 4 * self.need)
+            if len(crowd):
+                kth = np.partition(square[crowd], self.need - 1, axis=1)[:, self.need - 1]
+                limit[crowd] = np.fmin(limit[crowd], kth + 2 * wrong[crowd])
+                near[crowd] = ~(square[crowd] > limit[crowd, None])
+            r, c = np.nonzero(near)
+            for j in range(0, len(r), PAIRS // 64):
+                at, to = r[j:j + PAIRS // 64], c[j:j + PAIRS // 64]
+                with np.errstate(all="ignore"):
+                    d = beside(a[at], w[to])
+                within = ~(d > self.most[some[at]])
+                self.kept.append((some[at[within]], d[within], others[to[within]]))
+                self.fresh += int(within.sum())
+                if self.fresh > PAIRS:
+                    self.merge()
+
+    def merge(self) -> None:
+        if not self.fresh:
+            return
+        row, d, other = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        order = np.lexsort((pd.factorize(other, sort=True)[0] if other.dtype == object else other, d, row))
+        row, d, other = row[order], d[order], other[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.need - 1
+        self.most[row[last]] = np.fmin(self.most[row[last]], d[last])
+        keep = place < self.need
+        self.kept, self.fresh = [(row[keep], d[keep], other[keep])], 0
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """``(row, distance, other)``, if there are any."""
+        self.merge()
+        return self.kept[0] if self.kept else None
+
+
+def _numbers(df: DataFrame, vector: str) -> str:
+    """Vectors stay floats if they are; they are compared as doubles."""
+    kind = df.schema[vector].dataType
+    return "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
+
+
 def _points(df: DataFrame, row_id: str, vector: str, copies: int) -> DataFrame:
     """``(key, v, ids)``: every vector once, with its first ``copies`` row keys; the first one names it. Rows with an incomplete vector have no place."""
-    rows = df.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(
+    rows = df.select(F.col(row_id).alias("id"), F.col(vector).cast(_numbers(df, vector)).alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     first = rows.withColumn("c", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("c") <= copies)
     return first.groupBy("v").agg(F.min("id").alias("key"), F.array_sort(F.collect_list("id")).alias("ids"))
@@ -64,54 +164,65 @@ class Cells:
 
     def assign(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell of each vector and the distance to its pivot."""
-        group = distances(v, self.coarse).argmin(axis=1)
-        cell, reach = np.zeros(len(v), np.int32), np.zeros(len(v))
+        group = closest_of(v, self.coarse)
+        cell = np.zeros(len(v), np.int32)
         for g in np.unique(group):
             rows = np.flatnonzero(group == g)
-            d = distances(v[rows], self.pivots[self.members[g]])
-            best = d.argmin(axis=1)
-            cell[rows], reach[rows] = self.members[g][best], d[np.arange(len(rows)), best]
-        return cell, reach
+            if len(self.members[g]):
+                cell[rows] = self.members[g][closest_of(v[rows], self.pivots[self.members[g]])]
+        return cell, beside(v, self.pivots[cell])
 
     def surely_within(self, v: np.ndarray, need: int) -> np.ndarray:
         """A distance within which each vector has ``need`` rows for certain: whole cells, from the nearest on, until they hold enough."""
         out = np.full(len(v), np.inf)
         if self.count.sum() < need:
             return out
-        for i in range(0, len(v), 256):
-            far = distances(v[i:i + 256], self.pivots) + np.where(self.count > 0, self.far, np.inf)
+        step = max(1, PAIRS // len(self.pivots))
+        for i in range(0, len(v), step):
+            far = distances(v[i:i + step], self.pivots) + np.where(self.count > 0, self.far, np.inf)
             order = np.argsort(far, axis=1)
             enough = np.cumsum(self.count[order], axis=1) >= need
-            out[i:i + 256] = np.take_along_axis(far, order, axis=1)[np.arange(len(far)), enough.argmax(axis=1)]
+            out[i:i + step] = np.take_along_axis(far, order, axis=1)[np.arange(len(far)), enough.argmax(axis=1)]
         return out
 
+    def areas(self, v: np.ndarray, ball: np.ndarray) -> np.ndarray:
+        """``v`` by coarse groups: whether a group may hold a row within a vector's ball."""
+        return ~(between(v, self.coarse)[0] - self.radius > (ball + _slack(ball))[:, None])
+
+    def meets(self, v: np.ndarray, ball: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """``v`` by ``some`` cells: whether a cell may hold a row within a vector's ball."""
+        least, most = between(v, self.pivots[some])
+        least = np.maximum(least - self.far[some], self.near[some] - most)
+        return ~(least > (ball + _slack(ball))[:, None]) & (self.count[some] > 0)
+
     def met(self, v: np.ndarray, ball: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(row, cell)`` of all cells that may hold a row within each vector's ball."""
         rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        slack = 1e-9 * (1 + np.where(np.isinf(ball), 0, ball))
-        to_group = distances(v, self.coarse)
+        to_area = self.areas(v, ball)
         for g, members in enumerate(self.members):
-            some = np.flatnonzero(to_group[:, g] - self.radius[g] <= ball + slack)
+            some = np.flatnonzero(to_area[:, g])
             if not len(some) or not len(members):
                 continue
-            d = distances(v[some], self.pivots[members])
-            least = np.maximum(d - self.far[members], self.near[members] - d)
-            hit = (least <= (ball + slack)[some, None]) & (self.count[members] > 0)
-            r, c = np.nonzero(hit)
+            r, c = np.nonzero(self.meets(v[some], ball[some], members))
             rows.append(some[r])
             cells.append(members[c])
         return np.concatenate(rows), np.concatenate(cells)
 
 
+def _slack(ball: np.ndarray) -> np.ndarray:
+    return 1e-9 * (1 + np.where(np.isinf(ball), 0, ball))
+
+
 def _assigned(df: DataFrame, cells: Broadcast) -> DataFrame:
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("area", T.IntegerType()), T.StructField("reach", T.DoubleType())])
 
     @F.pandas_udf(schema)
     def assign(vectors: pd.Series) -> pd.DataFrame:
-        cell, reach = Cells.of(cells).assign(np.stack(vectors.to_numpy()))
-        return pd.DataFrame({"cell": cell, "reach": reach})
+        known = Cells.of(cells)
+        cell, reach = known.assign(matrix(vectors))
+        return pd.DataFrame({"cell": cell, "area": known.group[cell], "reach": reach})
 
-    return df.withColumn("a", assign("v")).select(*df.columns, "a.cell", "a.reach")
+    return df.withColumn("a", assign("v")).select(*df.columns, "a.cell", "a.area", "a.reach")
 
 
 def _meet(lefts: DataFrame, rights: DataFrame, need: int, block_rows: int) -> DataFrame:
@@ -130,18 +241,10 @@ def _meet(lefts: DataFrame, rights: DataFrame, need: int, block_rows: int) -> Da
     def closest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"key": a["key"][:0], "other": b["other"][:0], "distance": np.zeros(0)})
-        b = b.sort_values("other")
-        right, others = np.stack(b["w"].to_numpy()), b["other"].to_numpy()
-        # hash shares are uneven, so a block's left rows are taken in pieces too
-        parts = []
-        for i in range(0, len(a), BLOCK_ROWS):
-            some = a.iloc[i:i + BLOCK_ROWS]
-            d = distances(np.stack(some["v"].to_numpy()), right)
-            order = np.argsort(d, axis=1, kind="stable")[:, :need]
-            parts.append(pd.DataFrame({
-                "key": np.repeat(some["key"].to_numpy(), order.shape[1]), "other": others[order].ravel(),
-                "distance": np.take_along_axis(d, order, axis=1).ravel()}))
-        return pd.concat(parts)
+        near = Nearest(matrix(a["v"]), np.full(len(a), np.inf), need)
+        near.meet(np.arange(len(a)), matrix(b["w"]), b["other"].to_numpy())
+        row, d, other = near.found()
+        return pd.DataFrame({"key": a["key"].to_numpy()[row], "other": other, "distance": d})
 
     return l_blocks.groupBy("target", "l", "r").cogroup(r_blocks.groupBy("target", "l", "r")).applyInPandas(
         closest, f"key {kind}, other {rights.schema['other'].dataType.simpleString()}, distance double")
@@ -176,21 +279,120 @@ def _exact(lefts: DataFrame, rights: DataFrame, n: int, need: int, cell_rows: in
 
     def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = Cells.of(shared)
+        step = max(1, min(BLOCK_ROWS, PAIRS // len(cells.pivots)))
         for batch in batches:
-            for i in range(0, len(batch), BLOCK_ROWS):
-                some = batch.iloc[i:i + BLOCK_ROWS]
-                v = np.stack(some["v"].to_numpy())
-                within = some["ball"].to_numpy(float)
+            for i in range(0, len(batch), step):
+                some = batch.iloc[i:i + step]
+                v = matrix(some["v"])
+                within = some["ball"].to_numpy(float, copy=True)
                 short = np.isnan(within)
-                within[short] = cells.surely_within(v[short], need)
+                sure = cells.surely_within(v[short], need)
+                within[short] = sure + _slack(sure)
                 row, cell = cells.met(v, within)
                 other = cell != some["cell"].to_numpy()[row]
-                yield pd.DataFrame({"target": cell[other].astype(np.int32), "key": some["key"].to_numpy()[row[other]], "v": some["v"].to_numpy()[row[other]]})
+                row, cell = row[other], cell[other]
+                sent = np.bincount(row, minlength=len(some)) <= SENT_CELLS
+                row, cell = np.concatenate([row[sent[row]], np.flatnonzero(~sent)]), np.concatenate([cell[sent[row]], np.full((~sent).sum(), -1)])
+                yield some.iloc[row][["key", "v", "cell", "area"]].assign(ball=within[row], target=cell.astype(np.int32))
 
-    # second round: to the cells that the ball of that distance meets
-    kind = lefts.schema["key"].dataType.simpleString()
-    sent = write_scratch(own.join(ball, "key", "left").mapInPandas(reached, f"target int, key {kind}, v array<double>"))
-    return inside.unionByName(_meet(sent, targets, need, block_rows))
+    # second round: to the cells that the ball of that distance meets; rows that meet many (target -1) are compared in blocks
+    kind = own.schema["key"].dataType.simpleString()
+    routed = write_scratch(own.join(ball, "key", "left").mapInPandas(
+        reached, f"key {kind}, v {own.schema['v'].dataType.simpleString()}, cell int, area int, ball double, target int"))
+    sent, spread = routed.where("target >= 0").select("target", "key", "v"), routed.where("target < 0").drop("target")
+    found = inside.unionByName(_meet(sent, targets, need, block_rows))
+    some = spread.count()
+    return found.unionByName(_scan(spread, some, placed, n, shared, need)) if some else found
+
+
+def _packed(df: DataFrame, n: int, key: str, vector: str, shared: Broadcast) -> DataFrame:
+    """``(block, keys, vectors, cells, balls, areas)``: rows in the order of their cells, many to a row.
+
+    ``areas`` are the coarse groups that the rows with a ball may meet, or those that the rows without lie in.
+    """
+    item = df.schema[vector].dataType
+    size, dims = (4 if isinstance(item.elementType, T.FloatType) else 8), shared.value[0].shape[1]
+    rows = max(1, min(8 * CELL_ROWS, BLOCK_BYTES // (8 * dims)))
+    has_ball = "ball" in df.columns
+    files = max((4 if has_ball else 1) * df.sparkSession.sparkContext.defaultParallelism, math.ceil(n * size * dims / FILE_BYTES))
+
+    def block(number: int, held: pa.Table, cells: Cells) -> pa.RecordBatch:
+        keys, cell = held[key].combine_chunks(), held["cell"].to_numpy().astype(np.int32)
+        v = held[vector].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cell), -1)
+        ball = held["ball"].to_numpy() if has_ball else np.zeros(0)
+        if has_ball:
+            wide, areas = v.astype(float), set()
+            step = max(1, PAIRS // len(cells.coarse))
+            for i in range(0, len(v), step):
+                areas |= set(np.flatnonzero(cells.areas(wide[i:i + step], ball[i:i + step]).any(axis=0)).tolist())
+        else:
+            areas = set(held["area"].to_numpy().tolist())
+        return pa.RecordBatch.from_arrays([
+            pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([v.tobytes()], pa.binary()),
+            pa.array([cell.tobytes()], pa.binary()), pa.array([ball.tobytes()], pa.binary()), pa.array([sorted(areas)], pa.list_(pa.int32())),
+        ], names=["block", "keys", "vectors", "cells", "balls", "areas"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, held, number = Cells.of(shared), None, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, more]) if held is not None else more
+            while len(held) >= rows:
+                yield block(number, held[:rows], cells)
+                held, number = held[rows:], number + 1
+        if held is not None and len(held):
+            yield block(number, held, cells)
+
+    kind = df.schema[key].dataType.simpleString()
+    order = ["area", "cell", F.xxhash64(key)]
+    return write_scratch(df.repartitionByRange(files, *order).sortWithinPartitions(*order).mapInArrow(
+        pack, f"block long, keys array<{kind}>, vectors binary, cells binary, balls binary, areas array<int>"))
+
+
+def _scan(spread: DataFrame, some: int, placed: DataFrame, n: int, shared: Broadcast, need: int) -> DataFrame:
+    """``(key, other, distance)``: the ``need`` nearest in other cells, of rows whose balls meet many of them.
+
+    A task takes some left and some right blocks as they lie; no row is shuffled again. Blocks whose coarse groups do not meet are not
+    paired, cells that no ball of a block meets are not compared, and balls shrink on the way.
+    """
+    lefts = _packed(spread, some, "key", "v", shared)
+    rights = _packed(placed, n, "other", "w", shared).select(
+        F.col("keys").alias("others"), F.col("vectors").alias("r_vectors"), F.col("cells").alias("r_cells"), F.col("areas").alias("r_areas"))
+    wide = lambda df, c: np.dtype(np.float32 if isinstance(df.schema[c].dataType.elementType, T.FloatType) else np.float64)
+    left_kind, right_kind = wide(spread, "v"), wide(placed, "w")
+    rights = rights.coalesce(math.ceil(n * right_kind.itemsize * shared.value[0].shape[1] / TASK_BYTES))
+
+    def table(near: Nearest, keys: pa.Array, other_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if (found := near.found()) is not None:
+            row, d, other = found
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(other, other_type), pa.array(d)], names=["key", "other", "distance"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, block, near = Cells.of(shared), None, None
+        for batch in batches:
+            raw = lambda c, i, kind, batch=batch: np.frombuffer(batch[c][i].as_buffer(), kind)
+            other_type = batch.schema.field("others").type.value_type
+            for i in range(batch.num_rows):
+                if (now := batch["block"][i].as_py()) != block:
+                    if near is not None:
+                        yield from table(near, keys, other_type)
+                    # copies, since the batch goes
+                    block, keys, own = now, pa.concat_arrays([batch["keys"][i].values]), raw("cells", i, np.int32).copy()
+                    near = Nearest(raw("vectors", i, left_kind).reshape(len(own), -1).astype(float), raw("balls", i, float).copy(), need)
+                others, at = batch["others"][i].values.to_numpy(zero_copy_only=False), raw("r_cells", i, np.int32)
+                w = raw("r_vectors", i, right_kind).reshape(len(at), -1).astype(float)
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                met = cells.meets(near.v, near.most, at[first]) & (own[:, None] != at[first])
+                for k, (begin, end) in enumerate(zip(first, [*first[1:], len(at)], strict=True)):
+                    if len(rows := np.flatnonzero(met[:, k])):
+                        near.meet(rows, w[begin:end], others[begin:end])
+                near.merge()
+        if near is not None:
+            yield from table(near, keys, other_type)
+
+    pairs = lefts.join(rights.hint("shuffle_replicate_nl"), F.arrays_overlap("areas", "r_areas"))
+    return pairs.select("block", "keys", "vectors", "cells", "balls", "others", "r_vectors", "r_cells").mapInArrow(
+        scan, f"key {spread.schema['key'].dataType.simpleString()}, other {placed.schema['other'].dataType.simpleString()}, distance double")
 
 
 def _approximate(lefts: DataFrame, rights: DataFrame, n: int, need: int, cell_rows: int, block_rows: int, tables: int, width: float | None) -> DataFrame:
@@ -217,7 +419,7 @@ def _approximate(lefts: DataFrame, rights: DataFrame, n: int, need: int, cell_ro
     @F.pandas_udf("array<long>")
     def codes(vectors: pd.Series) -> pd.Series:
         way, start, wide = shared.value
-        v = np.stack(vectors.to_numpy())
+        v = matrix(vectors)
         out = np.zeros((len(v), len(way)), np.uint64)
         for t in range(len(way)):
             cell = np.floor((v @ way[t].T + start[t]) / wide).astype(np.int64).view(np.uint64)
@@ -251,7 +453,7 @@ def knn_join(
         raise ValueError(f"no method called {method!r}")
     need = k + 1 if exclude_self else k
     rights = write_scratch(_points(right, row_id, vector, need))
-    lefts = write_scratch(_points(left, row_id, vector, 1).select("key", "v"))
+    lefts = rights.select("key", "v") if left is right else write_scratch(_points(left, row_id, vector, 1).select("key", "v"))
     n = rights.count()
     kind, other = left.schema[row_id].dataType.simpleString(), right.schema[row_id].dataType.simpleString()
     if n == 0:
@@ -261,7 +463,7 @@ def knn_join(
     # back from points to rows
     near = _first(found, need).join(rights.select(F.col("key").alias("other"), "ids"), "other").select("key", "distance", F.explode("ids").alias("other"))
     lists = _first(near, need).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("distance", F.col("other").alias("neighbour")))).alias("near"))
-    rows = left.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).join(lefts, "v").join(lists, "key")
+    rows = left.select(F.col(row_id).alias("id"), F.col(vector).cast(_numbers(left, vector)).alias("v")).join(lefts, "v").join(lists, "key")
     kept = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")) if exclude_self else F.col("near"), 1, k)
     return rows.select("id", kept.alias("kept")).select("id", F.posexplode("kept").alias("p", "x")).select(
         F.col("id").alias(row_id), "x.neighbour", "x.distance", (F.col("p") + 1).alias("rank"))
