@@ -129,6 +129,20 @@ def test_resampling_with_text_keys_and_projections(spark):
         assert out.schema["source_id"].dataType.simpleString() == "string"
 
 
+def test_danger_is_found_once(spark, monkeypatch):
+    """The join inside the rare class reads its left rows twice: they must not hold the search before."""
+    whole, plans = N.knn_join, []
+
+    def seen(left, *args, **kw):
+        plans.append(left._jdf.queryExecution().toString())
+        return whole(left, *args, **kw)
+
+    monkeypatch.setattr(R, "knn_join", seen)
+    x = np.random.default_rng(0).normal(size=(60, 3))
+    out = R.borderline_smote(frame(spark, x, int, (np.arange(60) % 3 == 0).astype(int)), "y", "id", "v")
+    assert out.count() == 20 and len(plans) == 2 and not any("CoGroups" in p for p in plans)
+
+
 # ---- saved models ---------------------------------------------------------------------
 
 NAMES = [f"x{i}" for i in range(6)]

@@ -19,7 +19,7 @@ TABLES, LSH_SAMPLE = 16, 512
 #: Other cells that a row is sent to by itself; rows that meet more of them are compared block by block, without being written again.
 SENT_CELLS = 8
 #: Distances that are held at once; bytes of a packed block, of the left and right files of blocks, and of the right blocks that a task holds.
-PAIRS, BLOCK_BYTES, FILE_BYTES, TASK_BYTES = 1 << 20, 1 << 22, 1 << 25, 1 << 26
+PAIRS, BLOCK_BYTES, FILE_BYTES, TASK_BYTES = 1 << 19, 1 << 22, 1 << 25, 1 << 26
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,9 +42,8 @@ def about(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances by one matrix product, and for each row of ``a`` more than they can be wrong. NaN where squares overflow."""
     with np.errstate(all="ignore"):
         left, right = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
-        out = a @ (-2 * b.T)
-        out += left[:, None]
-        out += right
+        # the squares are columns of the product
+        out = np.column_stack([a, left, np.ones(len(a))]) @ np.column_stack([-2 * b, np.ones(len(b)), right]).T
         return out, 4 * (a.shape[1] + 8) * np.finfo(float).eps * (left + right.max(initial=0))
 
 
@@ -84,13 +83,13 @@ class Nearest:
             square, wrong = about(a, w)
             with np.errstate(all="ignore"):
                 limit = self.most[some] ** 2 * (1 + 1e-15) + wrong
-            near = ~(square > limit[:, None])
-            crowd = np.flatnonzero(near.sum(axis=1) > 4 * self.need)
+            near = np.flatnonzero(~(square > limit[:, None]))
+            crowd = np.flatnonzero(np.bincount(near // len(w), minlength=len(some)) > 4 * self.need)
             if len(crowd):
                 kth = np.partition(square[crowd], self.need - 1, axis=1)[:, self.need - 1]
                 limit[crowd] = np.fmin(limit[crowd], kth + 2 * wrong[crowd])
-                near[crowd] = ~(square[crowd] > limit[crowd, None])
-            r, c = np.nonzero(near)
+                near = np.flatnonzero(~(square > limit[:, None]))
+            r, c = near // len(w), near % len(w)
             for j in range(0, len(r), PAIRS // 64):
                 at, to = r[j:j + PAIRS // 64], c[j:j + PAIRS // 64]
                 with np.errstate(all="ignore"):

@@ -64,8 +64,9 @@ def borderline_smote(
     rare = df.where(F.col(label) == value)
     near = knn_join(rare, df, row_id, vector, border, **kw)
     kinds = df.select(F.col(row_id).alias("neighbour"), (F.col(label) != value).cast("int").alias("foreign"))
-    danger = near.join(kinds, "neighbour").groupBy(row_id).agg(F.sum("foreign").alias("f")).where(
-        (F.col("f") >= border / 2) & (F.col("f") < border))
+    # written, since the second join reads its left rows more than once
+    danger = write_scratch(near.join(kinds, "neighbour").groupBy(row_id).agg(F.sum("foreign").alias("f")).where(
+        (F.col("f") >= border / 2) & (F.col("f") < border)))
     inner = knn_join(rare.join(danger.select(row_id), row_id, "left_semi"), rare, row_id, vector, neighbours, **kw)
     pairs = ordered_index(write_scratch(inner).select(F.col(row_id).alias("base"), F.col("neighbour").alias("other"), "rank"),
                           [F.col("base"), F.col("rank")], "place")
