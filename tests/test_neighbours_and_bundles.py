@@ -92,6 +92,25 @@ def test_rows_that_meet_many_cells_are_not_written_for_each(spark, monkeypatch):
     assert len(sent) == 2 and sent[1] <= 8 * 400
 
 
+def test_vectors_of_one_table_are_written_three_times(spark, monkeypatch):
+    """As points, with their cells, and with the cells that they meet; rows come back by keys, with no join of vectors."""
+    whole, written = N.write_scratch, []
+
+    def counted(df):
+        written.append(any(kind.startswith("array") for _, kind in df.dtypes))
+        return whole(df)
+
+    monkeypatch.setattr(N, "write_scratch", counted)
+    monkeypatch.setattr(N, "SENT_CELLS", 1000, raising=False)
+    x = clumps(120)
+    x[20:30] = x[20]
+    df, got = frame(spark, x), {}
+    for r in N.knn_join(df, df, "id", "v", 3, cell_rows=20).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == brute(list(range(120)), x, 3)
+    assert sum(written) <= 3
+
+
 def test_nearest_by_products_are_those_of_sums():
     """Far from the origin, with ties, and where squares overflow: products must leave nothing out."""
     rng = np.random.default_rng(1)

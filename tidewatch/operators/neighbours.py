@@ -124,12 +124,16 @@ def _numbers(df: DataFrame, vector: str) -> str:
     return "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
 
 
-def _points(df: DataFrame, row_id: str, vector: str, copies: int) -> DataFrame:
-    """``(key, v, ids)``: every vector once, with its first ``copies`` row keys; the first one names it. Rows with an incomplete vector have no place."""
+def _named(df: DataFrame, row_id: str, vector: str) -> DataFrame:
+    """``(id, c, key, v)``: rows with equal vectors are one point, named by the first key; only the first (``c`` 1) holds the vector.
+
+    Rows with an incomplete vector have no place.
+    """
     rows = df.select(F.col(row_id).alias("id"), F.col(vector).cast(_numbers(df, vector)).alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    first = rows.withColumn("c", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("c") <= copies)
-    return first.groupBy("v").agg(F.min("id").alias("key"), F.array_sort(F.collect_list("id")).alias("ids"))
+    equal = Window.partitionBy("v").orderBy("id")
+    placed = rows.withColumn("c", F.row_number().over(equal)).withColumn("key", F.first("id").over(equal))
+    return write_scratch(placed.select("id", "c", "key", F.when(F.col("c") == 1, F.col("v")).alias("v")))
 
 
 class Cells:
@@ -229,8 +233,9 @@ def _meet(lefts: DataFrame, rights: DataFrame, need: int, block_rows: int) -> Da
 
     Both sides of a target are dealt over blocks by hash, so a target with a third of all rows is many tasks.
     """
-    sizes = lefts.groupBy("target").agg((F.floor((F.count(F.lit(1)) - 1) / block_rows) + 1).alias("l_parts")).join(
-        rights.groupBy("target").agg((F.floor((F.count(F.lit(1)) - 1) / block_rows) + 1).alias("r_parts")), "target")
+    # written, so that Spark knows its size and need not shuffle vectors to it
+    sizes = write_scratch(lefts.groupBy("target").agg((F.floor((F.count(F.lit(1)) - 1) / block_rows) + 1).alias("l_parts")).join(
+        rights.groupBy("target").agg((F.floor((F.count(F.lit(1)) - 1) / block_rows) + 1).alias("r_parts")), "target"))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     l_blocks = lefts.join(sizes, "target").select("target", part("key", "l_parts").alias("l"), spread("r_parts").alias("r"), "key", "v")
@@ -271,7 +276,7 @@ def _exact(lefts: DataFrame, rights: DataFrame, n: int, need: int, cell_rows: in
     cells.measured(stats)
     shared = sc.broadcast(cells.plain())
     targets = placed.select(F.col("cell").alias("target"), "other", "w")
-    own = write_scratch(_assigned(lefts, plain).drop("reach"))
+    own = placed.select(F.col("other").alias("key"), F.col("w").alias("v"), "cell", "area") if lefts is rights else write_scratch(_assigned(lefts, plain).drop("reach"))
     # first round: the k-th distance inside a row's own cell
     inside = write_scratch(_meet(own.withColumnRenamed("cell", "target"), targets, need, block_rows))
     ball = _first(inside, need).groupBy("key").agg(F.when(F.count(F.lit(1)) >= need, F.max("distance")).alias("ball"))
@@ -451,8 +456,10 @@ def knn_join(
     if method not in ("exact", "lsh"):
         raise ValueError(f"no method called {method!r}")
     need = k + 1 if exclude_self else k
-    rights = write_scratch(_points(right, row_id, vector, need))
-    lefts = rights.select("key", "v") if left is right else write_scratch(_points(left, row_id, vector, 1).select("key", "v"))
+    right_rows = _named(right, row_id, vector)
+    left_rows = right_rows if left is right else _named(left, row_id, vector)
+    rights = right_rows.where("c = 1").select("key", "v")
+    lefts = rights if left is right else left_rows.where("c = 1").select("key", "v")
     n = rights.count()
     kind, other = left.schema[row_id].dataType.simpleString(), right.schema[row_id].dataType.simpleString()
     if n == 0:
@@ -460,9 +467,10 @@ def knn_join(
     found = _exact(lefts, rights, n, need, cell_rows, block_rows) if method == "exact" else _approximate(
         lefts, rights, n, need, cell_rows, block_rows, tables, width)
     # back from points to rows
-    near = _first(found, need).join(rights.select(F.col("key").alias("other"), "ids"), "other").select("key", "distance", F.explode("ids").alias("other"))
+    ids = right_rows.where(F.col("c") <= need).groupBy(F.col("key").alias("other")).agg(F.collect_list("id").alias("ids"))
+    near = _first(found, need).join(ids, "other").select("key", "distance", F.explode("ids").alias("other"))
     lists = _first(near, need).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("distance", F.col("other").alias("neighbour")))).alias("near"))
-    rows = left.select(F.col(row_id).alias("id"), F.col(vector).cast(_numbers(left, vector)).alias("v")).join(lefts, "v").join(lists, "key")
+    rows = left_rows.select("id", "key").join(lists, "key")
     kept = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")) if exclude_self else F.col("near"), 1, k)
     return rows.select("id", kept.alias("kept")).select("id", F.posexplode("kept").alias("p", "x")).select(
         F.col("id").alias(row_id), "x.neighbour", "x.distance", (F.col("p") + 1).alias("rank"))
